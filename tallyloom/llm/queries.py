@@ -6,12 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, mixing, sharding
+from . import decontamination, exact_dedup, language_id, language_model, line_dedup, mixing, near_duplicates, secrets, sharding, token_shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_block_naming_dedup": exact_dedup.op1_block_naming_dedup,
     "op2_decontamination": decontamination.op2_decontamination,
+    "op3_class_bigram_scoring": language_model.op3_class_bigram_scoring,
+    "op4_ngram_jaccard_join": near_duplicates.op4_ngram_jaccard_join,
     "op5_source_mixing": mixing.op5_source_mixing,
+    "op6_secret_scan": secrets.op6_secret_scan,
+    "op7_token_shards": token_shards.op7_token_shards,
+    "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_rendezvous_sharding": sharding.op9_rendezvous_sharding,
+    "op10_language_id": language_id.op10_language_id,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_block_naming_dedup": exact_dedup.OP1_SQL,
+}
