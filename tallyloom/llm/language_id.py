@@ -7,8 +7,9 @@ for switching then labels spans; a document's language is that of most of its wo
 Training: SAMPLE_ROWS labelled documents (a bounded sample by hash of doc_id; the bound is a parameter), VOCABULARY words
 and 65536 trigram buckets a language; whole texts. Prediction: every document, whole.
 
-Viterbi is exact. A text whose best single language can't be beaten (no other language gains more than the penalty over
-any stretch of words) is settled at once; the others run through the recursion, many texts at a time.
+Viterbi is exact. A text whose best single language can't be beaten (by what another language gains over
+any stretch of words) is settled at once (if the gain is at most half the
+penalty: a path without the best language has one switch less than stretches); the others run through the recursion, many texts at a time.
 
 Defined results: texts that are null or have no letter get `und` and score 0; without any labelled document all do; ties
 go to the first language in code-point order; null ids are neither held out nor learned from; other columns are ignored.
@@ -138,7 +139,7 @@ def viterbi(scores: np.ndarray, counts: np.ndarray, penalty: float = PENALTY) ->
         before = gain - step
         apart = text * (2 * np.abs(gain).max() + 1)  # each text starts lower than any before: running minima stay within it
         low = np.minimum.accumulate(before - apart) + apart
-        mixed |= np.maximum.reduceat(gain - low, starts[some]) > penalty - 1e-3
+        mixed |= np.maximum.reduceat(gain - low, starts[some]) > penalty / 2 - 1e-3
     hard = some[mixed]
     if len(hard):
         hard = hard[np.argsort(-counts[hard], kind="stable")]

@@ -62,7 +62,7 @@ SENT = "bucket int, block int, data binary, counts binary"
 
 
 def sender(bits: int, k: int):
-    def send(key, t: pa.Table) -> pa.Table:
+    def send(key, t):
         h, n = block_shingles(textops.shingle_sets(t["text"].to_pylist(), k))
         at, low = cut_up(h, bits), (h >> np.uint64(32 - bits)).astype(np.uint32)
         n = np.minimum(n, 255).astype(np.uint8)
@@ -72,8 +72,8 @@ def sender(bits: int, k: int):
     return send
 
 
-def count(key, t: pa.Table) -> pa.Table:
-    """A bucket's frequencies over all blocks, replied to each as classes: 0 for one set, else 1 + floor(log2)."""
+def count(key, t):
+    """A bucket's frequencies over all blocks, replied to each as classes: floor(log2), so 0 for one set."""
     sent = [textops.unpack(x) for x in t["data"].to_pylist()]
     values, inverse = np.unique(np.concatenate(sent), return_inverse=True)
     total = np.bincount(inverse, np.concatenate([np.frombuffer(x, np.uint8) for x in t["counts"].to_pylist()]))
@@ -90,7 +90,7 @@ def least_overlap(n: int) -> int:
 
 
 def poster(k: int):
-    def post(t: pa.Table, replies: pa.Table) -> pa.Table:
+    def post(t, replies):
         sets = textops.shingle_sets(t["text"].to_pylist(), k)
         h, _ = block_shingles(sets)
         replies = replies.sort_by("bucket")
