@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 from ..functions import labels
 
@@ -99,7 +100,7 @@ def example_quotas(weights: dict[str, int], total: int = 8) -> dict[str, int]:
     return {k: max(1, round(w / whole * total)) for k, w in weights.items()}
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def edit_share(a: pd.Series, b: pd.Series) -> pd.Series:
     """1 - the matching-blocks ratio of two strings."""
     return pd.Series([None if x is None or y is None else 1 - difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])

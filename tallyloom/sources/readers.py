@@ -71,7 +71,7 @@ def split_ids(spark: SparkSession, path: str, column: str = "hadm_id") -> DataFr
 
 def markdown_table(spark: SparkSession, path: str, heading: str) -> DataFrame:
     """The first table under a heading (a short document): one array of cells a row, numbers without ` % and ,."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.split("value", "\n").alias("l"))
+    lines = spark.read.text(path, wholetext=True).select(F.split("value", "\n").alias("l"))
     after = F.slice("l", F.array_position(F.transform("l", lambda x: F.trim(x) == heading), F.lit(True)).cast("int") + 1, 1 << 20)
     t = lines.where(F.array_contains(F.transform("l", lambda x: F.trim(x)), heading)).select(F.posexplode(after).alias("at", "line"))
     t = t.withColumn("is_row", F.trim("line").startswith("|"))

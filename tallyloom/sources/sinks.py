@@ -12,10 +12,10 @@ from ..operators.longform import first_of
 
 
 def features(df: DataFrame, path: str, key: str = "hadm_id", lists: tuple[str, ...] = ("admission_reason_tags",)) -> None:
-    """One row a document (the first by content), empty lists for missing ones, sorted within files."""
+    """One row a document (of several the last by content, so that filled lists win), empty lists for missing ones, sorted within files."""
     for c in lists:
         df = df.withColumn(c, F.coalesce(c, F.array().cast("array<string>")))
-    t = first_of(df, key, [F.asc(F.to_json(F.struct(*df.columns)))])
+    t = first_of(df, key, [F.desc(F.to_json(F.struct(*df.columns)))])
     t.repartitionByRange(key).sortWithinPartitions(key).write.option("compression", "snappy").parquet(path)
 
 
