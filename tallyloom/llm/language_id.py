@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import textops
 from .common import cut, documents
 
 SAMPLE_ROWS, VOCABULARY, BUCKETS = 20_000, 200_000, 1 << 16
@@ -75,14 +76,15 @@ def counter(batches):
     for b in batches:
         langs = b["lang"].to_pylist()
         for lang in sorted(set(langs)):
-            codes, _, vocabulary = split([t for t, x in zip(b["text"].to_pylist(), langs, strict=True) if x == lang])
-            if not len(codes):
-                continue
-            n = np.bincount(codes, minlength=len(vocabulary))
-            k, of = trigrams(vocabulary)
-            grams[lang] = grams.get(lang, 0) + np.bincount(k, n[of], BUCKETS)
-            scripts[lang] = scripts.get(lang, 0) + np.bincount(script(vocabulary), n, len(NAMES))
-            yield out(0, lang, vocabulary, n)
+            for texts in textops.chunks([t for t, x in zip(b["text"].to_pylist(), langs, strict=True) if x == lang]):
+                codes, _, vocabulary = split(texts)
+                if not len(codes):
+                    continue
+                n = np.bincount(codes, minlength=len(vocabulary))
+                k, of = trigrams(vocabulary)
+                grams[lang] = grams.get(lang, 0) + np.bincount(k, n[of], BUCKETS)
+                scripts[lang] = scripts.get(lang, 0) + np.bincount(script(vocabulary), n, len(NAMES))
+                yield out(0, lang, vocabulary, n)
     for lang in grams:
         k = np.flatnonzero(grams[lang])
         yield out(1, lang, list(map(str, k.tolist())), grams[lang][k].astype(np.int64))
@@ -224,7 +226,7 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame
 
     def run(batches):
         for b in batches:
-            got = labelled(known.value, b["text"].to_pylist())
+            got = [x for texts in textops.chunks(b["text"].to_pylist(), 8 << 20) for x in labelled(known.value, texts)]
             yield pa.record_batch([*(b[c] for c in keep), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64()), pa.array([x[2] for x in got], kinds)], [*keep, "lang_pred", "score", "spans"])
 
     d = docs.select(*dict.fromkeys([*keep, "text"]))

@@ -28,6 +28,19 @@ def words(texts: list[str | None], lower: bool = True) -> tuple[np.ndarray, np.n
     return d.indices.to_numpy(), counts, d.dictionary.to_pylist()
 
 
+def chunks(texts: list[str | None], chars: int = 4 << 20):
+    """The texts in runs of about so many characters (a longer text is a run of its own), so that word lists stay small."""
+    run, size = [], 0
+    for t in texts:
+        if run and size + len(t or "") > chars:
+            yield run
+            run, size = [], 0
+        run.append(t)
+        size += len(t or "")
+    if run:
+        yield run
+
+
 def hashes(vocabulary: list[bytes], seed: int = 0) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in vocabulary), np.uint64, len(vocabulary))
 
