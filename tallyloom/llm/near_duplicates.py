@@ -6,7 +6,9 @@
    among the first n - ceil(t n) + 1 of each. Shingles that no other set has drop out of the prefixes at once, so a text
    with enough words of its own goes no further.
 3. Candidate groups: sets that share prefix shingles, directly or not (components over the shingle's smallest set).
-   A group too large for a task is dealt into cells by size and hash; only cells of the same or adjacent size classes meet.
+   A group too large for a task is dealt into cells by size and hash. Its cells are linked within, then across by one set
+   of each component, and only sets outside the group's largest component then meet the cells of the same and adjacent
+   size classes: a large group of near copies doesn't grow into all pairs of its cells.
 4. Prefix trees. A task stores its sets in a path-compressed trie, in one order for all. Each set walks the trie: overlaps
    of shared paths are counted once, and a subtree is left when the remaining lengths can't reach the needed overlap or
    all of it is linked already. The tests on leaves are exact; a task reports a spanning forest of its links.
@@ -32,7 +34,7 @@ from .graph import components
 
 K, NUM, DEN = 5, 75, 100
 BLOCK_BYTES = 8 << 20
-CELL_SETS, CELL_SHINGLES = 1024, 1 << 20
+CELL_SETS, CELL_SHINGLES = 256, 1 << 18
 
 
 def dealt(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
@@ -197,21 +199,65 @@ def linker(batches):
     yield pa.record_batch([pa.array(x, pa.binary()), pa.array(y, pa.binary())], ["a", "b"])
 
 
-def tasks(nodes: DataFrame, cell_sets: int = CELL_SETS, cell_shingles: int = CELL_SHINGLES) -> DataFrame:
-    """(key, label, n, shingles) -> task, key, shingles: every two sets of a label that may be linked share a task."""
+def linked(tasks: DataFrame) -> DataFrame:
+    """(task, key, shingles) -> a spanning forest of each task's links."""
+    t = tasks.repartition(parts(tasks.sparkSession), "task").sortWithinPartitions("task")
+    return cut(t.mapInArrow(linker, "a binary, b binary"), "links")
+
+
+def dealt_cells(t: DataFrame, keys: list[str], cell_sets: int, cell_shingles: int) -> DataFrame:
+    """How many cells each group of keys needs, of at most about cell_sets sets and cell_shingles shingles."""
+    return t.groupBy(*keys).agg(F.greatest(F.ceil(F.count("*") / cell_sets), F.ceil(F.sum("n") / cell_shingles)).cast("int").alias("cells"))
+
+
+def own_cells(t: DataFrame, keys: list[str], cell_sets: int, cell_shingles: int) -> DataFrame:
+    """A task for each cell."""
+    t = t.join(dealt_cells(t, keys, cell_sets, cell_shingles), keys).withColumn("cell", F.pmod(F.xxhash64("key"), F.col("cells")).cast("int"))
+    name = F.concat_ws(",", F.hex("label"), *[F.col(k).cast("string") for k in keys if k != "label"], F.col("cell").cast("string"))
+    return t.select(name.cast("binary").alias("task"), "key", "shingles")
+
+
+def meetings(t: DataFrame, cell_sets: int, cell_shingles: int) -> DataFrame:
+    """Tasks in which every set outside its group's largest component (minor) meets all sets it may be linked with: cells of
+    the same or adjacent size classes. Sets of the largest component don't meet each other."""
+    cells = dealt_cells(t, ["label", "minor", "size_class"], cell_sets, cell_shingles)
+    around = Window.partitionBy("label").orderBy("size_class").rangeBetween(-1, 1)
+    near = F.collect_list(F.struct("minor", "size_class", "cells")).over(around)
+    cells = cells.select("*", near.alias("near")).withColumn("near", F.filter("near", lambda x: F.col("minor") | x["minor"]))
+    t = t.join(cells, ["label", "minor", "size_class"]).withColumn("cell", F.pmod(F.xxhash64("key"), F.col("cells")).cast("int"))
+    t = t.withColumn("meet", F.explode(F.flatten(F.transform("near", lambda x: F.transform(F.sequence(F.lit(0), x["cells"] - 1), lambda i: F.struct(x["minor"].alias("minor"), x["size_class"].alias("size_class"), i.alias("cell")))))))
+    mine = F.struct("minor", "size_class", "cell")
+    pair = F.concat_ws(",", F.hex("label"), F.to_json(F.struct(F.least(mine, "meet").alias("a"), F.greatest(mine, "meet").alias("b"))))
+    return t.select(pair.cast("binary").alias("task"), "key", "shingles")
+
+
+def links_within(nodes: DataFrame, cell_sets: int = CELL_SETS, cell_shingles: int = CELL_SHINGLES) -> DataFrame:
+    """(key, label, n, shingles) -> (key, label): components of the links between sets of the same candidate group.
+
+    A group that fits a cell is one task. Of a larger one, cells are linked within first; then one set of each component
+    so far and size class is linked with others of the kind, which joins the pieces of large groups of near copies; what is
+    left outside the group's largest component then meets all it may be linked with.
+    """
     sizes = nodes.groupBy("label").agg(F.count("*").alias("sets"), F.sum("n").alias("all"))
     whole = (F.col("sets") <= cell_sets) & (F.col("all") <= cell_shingles)
     t = nodes.join(sizes.select("label", whole.alias("whole")), "label")
-    t = cut(t.withColumn("size_class", F.when(F.col("whole"), 0).otherwise(F.floor(F.log(F.col("n").cast("double")) / float(np.log(DEN / NUM + 0.01)))).cast("int")), "grouped")
-    cells = t.where("not whole").groupBy("label", "size_class").agg(F.greatest(F.ceil(F.count("*") / cell_sets), F.ceil(F.sum("n") / cell_shingles)).cast("int").alias("cells"))
-    around = Window.partitionBy("label").orderBy("size_class").rangeBetween(-1, 1)
-    cells = cells.select("label", "size_class", "cells", F.collect_list(F.struct("size_class", "cells")).over(around).alias("near"))
+    size_class = F.floor(F.log(F.col("n").cast("double")) / float(np.log(DEN / NUM + 0.01))).cast("int")
+    t = cut(t.withColumn("size_class", size_class), "grouped")
+    big = t.where("not whole").drop("whole")
     small = t.where("whole").select(F.col("label").alias("task"), "key", "shingles")
-    big = t.where("not whole").join(cells, ["label", "size_class"]).withColumn("cell", F.pmod(F.xxhash64("key"), F.col("cells")).cast("int"))
-    big = big.withColumn("meet", F.explode(F.flatten(F.transform("near", lambda x: F.transform(F.sequence(F.lit(0), x["cells"] - 1), lambda i: F.struct(x["size_class"].alias("size_class"), i.alias("cell")))))))
-    mine = F.struct("size_class", "cell")
-    pair = F.concat_ws(",", F.hex("label"), F.to_json(F.struct(F.least(mine, "meet").alias("a"), F.greatest(mine, "meet").alias("b"))))
-    return small.unionByName(big.select(pair.cast("binary").alias("task"), "key", "shingles"))
+    found = linked(small.unionByName(own_cells(big, ["label", "size_class"], cell_sets, cell_shingles)))
+    names = components(found)
+    if not big.isEmpty():
+        first = big.join(names.select(F.col("node").alias("key"), F.col("label").alias("own")), "key", "left").withColumn("own", F.coalesce("own", "key"))
+        first = first.groupBy("label", "own", "size_class").agg(F.min(F.struct("key", "n", "shingles")).alias("x")).select("label", "x.*")
+        found = found.unionByName(linked(own_cells(first, ["label"], cell_sets, cell_shingles)))
+        names = components(found)
+        own = big.join(names.select(F.col("node").alias("key"), F.col("label").alias("own")), "key", "left").withColumn("own", F.coalesce("own", "key"))
+        largest = own.groupBy("label", "own").agg(F.count("*").alias("sets")).groupBy("label").agg(F.max(F.struct("sets", "own")).alias("x"))
+        largest = largest.join(sizes, "label").where("x.sets < sets").select("label", F.col("x.own").alias("major"))  # others are one component
+        rest = cut(own.join(largest, "label").withColumn("minor", F.col("own") != F.col("major")).select("label", "key", "n", "size_class", "shingles", "minor"), "rest")
+        names = components(found.unionByName(linked(meetings(rest, cell_sets, cell_shingles))))
+    return names.select(F.col("node").alias("key"), "label")
 
 
 def near_duplicates(docs: DataFrame, k: int = K, cell_sets: int = CELL_SETS, cell_shingles: int = CELL_SHINGLES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -226,9 +272,7 @@ def near_duplicates(docs: DataFrame, k: int = K, cell_sets: int = CELL_SETS, cel
     groups = components(posted.join(hubs, "h").select("a", F.col("key").alias("b")))
     nodes = base.where("shingles is not null").select("key", "n", "shingles").groupBy("key").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"))
     nodes = nodes.join(groups.select(F.col("node").alias("key"), "label"), "key")
-    t = tasks(nodes, cell_sets, cell_shingles)
-    found = t.repartition(parts(docs.sparkSession), "task").sortWithinPartitions("task").mapInArrow(linker, "a binary, b binary")
-    labels = components(found).select(F.col("node").alias("key"), "label")
+    labels = links_within(nodes, cell_sets, cell_shingles)
     base = base.select("doc_id", "text_hash", "n", "key")
     full = cut(base.where("n > 0").join(labels, "key", "left").select("doc_id", "text_hash", "n", F.coalesce("label", "key").alias("component")), "labelled")
     least = cut(full.groupBy("component").agg(F.min("doc_id").alias("component_id")), "least")
