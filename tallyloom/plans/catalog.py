@@ -450,9 +450,11 @@ def _running(spark, sf):
     return quality.running(r, ["event_type"], ["ts", "event_id"], ["cost"]).select("event_type", "event_id", "ts", "total_cost", "n_calls")
 
 
-@query("running_cost", f"{RUNNING} SELECT event_type, event_id, round(total_cost, 4) AS total_cost, n_calls FROM w")
+@query("running_cost", f"WITH {S.RUN}, w AS (SELECT event_type, event_id, sum(input_tokens) OVER w AS a, sum(output_tokens) OVER w AS b, count(*) OVER w AS n_calls FROM run WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)) SELECT event_type, event_id, a::BIGINT AS total_input_tokens, b::BIGINT AS total_output_tokens, (a * 200 + b * 1250)::BIGINT AS total_cost_nano, n_calls FROM w")
 def _(spark, sf):
-    return _running(spark, sf).select("event_type", "event_id", F.round("total_cost", 4).alias("total_cost"), "n_calls")
+    r = quality.running(S.run(spark, sf), ["event_type"], ["ts", "event_id"], ["input_tokens", "output_tokens"])
+    nano = F.col("total_input_tokens") * 200 + F.col("total_output_tokens") * 1250
+    return r.select("event_type", "event_id", "total_input_tokens", "total_output_tokens", nano.alias("total_cost_nano"), "n_calls")
 
 
 @query("budget_stop", f"{RUNNING}, o AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn FROM w WHERE total_cost > 0.05) SELECT event_type, event_id, n_calls FROM o WHERE rn = 1")
