@@ -75,7 +75,7 @@ def confusion_kind(left: Column, right: Column, domain_of: dict[str, str] | None
 
 def normal_tags(tags: Column, vocabulary: tuple[str, ...] = domains.TAGS) -> Column:
     """Trimmed tags of the vocabulary, each once, in order of first appearance."""
-    return F.array_distinct(F.filter(F.transform(F.coalesce(tags, F.array().cast("array<string>")), F.trim), lambda t: t.isin(*vocabulary)))
+    return F.array_distinct(F.filter(F.transform(F.coalesce(tags, F.array().cast("array<string>")), lambda t: F.trim(t)), lambda t: t.isin(*vocabulary)))
 
 
 def canonical_list(x: Column) -> Column:

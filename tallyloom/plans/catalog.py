@@ -665,3 +665,130 @@ def _(spark, sf):
 @query("fingerprints", "SELECT doc_id, sha256(lang || chr(0) || text) AS key FROM documents")
 def _(spark, sf):
     return S.read(spark, sf, "documents").select("doc_id", text.cache_key(F.col("lang"), F.col("text")).alias("key"))
+
+
+# ---------------------------------------------------------------- more scalar and audit operators
+@query("tristate_normalised", "WITH x AS (SELECT CASE doc_id % 6 WHEN 0 THEN ' YES ' WHEN 1 THEN 'No' WHEN 2 THEN 'none' WHEN 3 THEN '' WHEN 4 THEN 'maybe' END AS v FROM documents), y AS (SELECT CASE WHEN v IS NULL OR lower(trim(v)) IN ('', 'none', 'null') THEN NULL WHEN lower(trim(v)) IN ('yes', 'no', 'not_documented') THEN lower(trim(v)) ELSE 'not_documented' END AS value, CASE WHEN v IS NULL OR lower(trim(v)) IN ('', 'none', 'null') THEN NULL WHEN lower(trim(v)) = 'yes' THEN 'yes' ELSE 'not_yes' END AS collapsed FROM x) SELECT value, collapsed, CASE WHEN value IS NULL THEN 2 WHEN value = 'yes' THEN 1 WHEN value = 'no' THEN 0 ELSE -1 END::BIGINT AS code, count(*) AS n FROM y GROUP BY ALL")
+def _(spark, sf):
+    m = F.col("doc_id") % 6
+    v = F.when(m == 0, " YES ").when(m == 1, "No").when(m == 2, "none").when(m == 3, "").when(m == 4, "maybe")
+    d = S.read(spark, sf, "documents").select(labels.tristate(v).alias("value"), labels.tristate(v, True).alias("collapsed"))
+    return d.groupBy("value", "collapsed", labels.code(F.col("value")).alias("code")).agg(F.count("*").alias("n"))
+
+
+@query("normalised_tags", "WITH x AS (SELECT user_id, list(DISTINCT event_type) AS t FROM events GROUP BY user_id) SELECT user_id, array_to_string(list_sort(list_filter(t, lambda e: e IN ('view', 'click'))), ',') AS tags FROM x")
+def _(spark, sf):
+    e = S.read(spark, sf, "events").groupBy("user_id").agg(F.collect_set(F.concat(F.lit(" "), "event_type")).alias("t"))
+    return e.select("user_id", F.array_join(F.array_sort(labels.normal_tags(F.col("t"), ("view", "click"))), ",").alias("tags"))
+
+
+@query("confusion_kinds", "WITH c AS (SELECT DISTINCT x.p_type AS l, y.p_type AS r FROM part x JOIN part y ON x.p_partkey + 1 = y.p_partkey), k AS (SELECT replace(l, ' ', '_') AS l, replace(r, ' ', '_') AS r FROM c) SELECT CASE WHEN l = r THEN 'same' WHEN len(list_intersect(string_split(l, '_'), string_split(r, '_'))) > 0 THEN 'related' ELSE 'unrelated' END AS kind, count(*) AS n FROM k GROUP BY ALL")
+def _(spark, sf):
+    p = S.read(spark, sf, "part").select("p_partkey", F.replace("p_type", F.lit(" "), F.lit("_")).alias("l"))
+    q = p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("l").alias("r"))
+    return p.join(q, "p_partkey").select("l", "r").distinct().groupBy(labels.confusion_kind(F.col("l"), F.col("r")).alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query("guarded_casts", "WITH x AS (SELECT CASE doc_id % 4 WHEN 0 THEN doc_id::VARCHAR WHEN 1 THEN ' ' || doc_id::VARCHAR WHEN 2 THEN '-' || doc_id::VARCHAR ELSE NULL END AS v FROM documents) SELECT CASE WHEN regexp_full_match(v, '[0-9]+') THEN v::BIGINT END AS number, count(*) AS n FROM x GROUP BY ALL")
+def _(spark, sf):
+    i, m = F.col("doc_id").cast("string"), F.col("doc_id") % 4
+    v = F.when(m == 0, i).when(m == 1, F.concat(F.lit(" "), i)).when(m == 2, F.concat(F.lit("-"), i))
+    return S.read(spark, sf, "documents").groupBy(text.guarded_int(v).alias("number")).agg(F.count("*").alias("n"))
+
+
+@query("zero_firing_lfs", f"WITH {S.VOTES}, g AS (SELECT lf_name, count(*) AS codes_any, sum((doc_id % 2 = 0)::INT)::BIGINT AS codes_primary, sum((vote = 1)::INT)::BIGINT AS fired FROM votes GROUP BY lf_name) SELECT *, CASE WHEN fired > 0 THEN 'fires' WHEN codes_any = 0 THEN 'data_absent' WHEN codes_primary = 0 THEN 'primary_only' ELSE 'logic' END AS diagnosis FROM g")
+def _(spark, sf):
+    g = S.votes(spark, sf).groupBy("lf_name").agg(F.count("*").alias("codes_any"), F.count_if(F.col("doc_id") % 2 == 0).alias("codes_primary"), F.count_if(F.col("vote") == 1).alias("fired"))
+    return votes.zero_firing(g)
+
+
+@query("lf_smoke", f"WITH {S.WIDE}, x AS (SELECT wide.doc_id, dg, a = 'yes' AS m FROM wide JOIN f USING (doc_id) WHERE field = 'has_digit') SELECT sum((dg AND m)::INT)::BIGINT AS hits, sum((dg AND NOT m)::INT)::BIGINT AS false_hits, sum((NOT dg AND m)::INT)::BIGINT AS misses FROM x WHERE dg OR m")
+def _(spark, sf):
+    lf = S.facts(spark, sf).where("dg").select("doc_id", F.lit(True).alias("lf"))
+    model = S.answers(spark, sf).where("rater = 'A' and field = 'has_digit' and value = 'yes'").select("doc_id", F.lit(True).alias("model"))
+    j = lf.join(model, "doc_id", "full_outer")
+    return j.agg(F.count_if(F.col("lf").isNotNull() & F.col("model").isNotNull()).alias("hits"), F.count_if(F.col("model").isNull()).alias("false_hits"), F.count_if(F.col("lf").isNull()).alias("misses"))
+
+
+@query("predictions", f"WITH {MAJ} SELECT doc_id, target_field, target_value, probability, fit_status, n_lfs_total, n_lfs_contributing FROM mv WHERE target_field <> 'unseen'")
+def _(spark, sf):
+    return votes.majority(S.votes(spark, sf)).where("target_field != 'unseen'")
+
+
+@query("largest_disagreements", f"WITH {MAJ}, {S.WIDE0}, cc AS (SELECT doc_id, CASE WHEN (a = 'yes')::INT + (b = 'yes')::INT + (c = 'yes')::INT > (a = 'no')::INT + (b = 'no')::INT + (c = 'no')::INT THEN 1.0 WHEN (a = 'no')::INT + (b = 'no')::INT + (c = 'no')::INT > (a = 'yes')::INT + (b = 'yes')::INT + (c = 'yes')::INT THEN 0.0 ELSE 0.5 END::DOUBLE AS consensus FROM wide0 WHERE field = 'long_text'), j AS (SELECT target_field, doc_id, probability, consensus, row_number() OVER (PARTITION BY target_field ORDER BY abs(probability - consensus) DESC, doc_id) AS rn FROM mv JOIN cc USING (doc_id) WHERE abs(probability - consensus) > 0.3) SELECT target_field, doc_id, probability, consensus FROM j WHERE rn <= 3")
+def _(spark, sf):
+    from pyspark.sql import Window
+
+    abc = (F.col("A"), F.col("B"), F.col("C"))
+    c = S.wide(spark, sf).where("field = 'long_text'").select("doc_id", votes.consensus(*abc, "tristate").alias("consensus"))
+    gap = F.abs(F.col("probability") - F.col("consensus"))
+    j = votes.majority(S.votes(spark, sf)).join(c, "doc_id").where(gap > 0.3)
+    return j.withColumn("rn", F.row_number().over(Window.partitionBy("target_field").orderBy(F.desc(gap), "doc_id"))).where("rn <= 3").select("target_field", "doc_id", "probability", "consensus")
+
+
+@query("cluster_kappa")
+def _(spark, sf):
+    return audit.cluster_kappa(audit.clusters(audit.summaries(audit.patterns(S.wide(spark, sf)))), _report(spark, sf))
+
+
+@query("collapse_adjusted_clusters")
+def _(spark, sf):
+    found = audit.clusters(audit.summaries(audit.patterns(S.wide(spark, sf))))
+    p = audit.patterns(S.wide(spark, sf)).join(found.select("cluster_id", F.explode("fields").alias("field")), "field")
+    c = lambda x: labels.collapse(F.col(x))
+    apart = ~(c("A").eqNullSafe(c("B")) & c("B").eqNullSafe(c("C")))
+    return audit.adjusted(found, p.select("cluster_id", F.lit(True).alias("original"), apart.alias("collapsed"))).select("cluster_id", "n", "survival", "adjusted")
+
+
+@query("embedding_separation", f"WITH {SIMS}, o AS (SELECT v.label, list_dot_product(v.embedding::DOUBLE[], s.seed::DOUBLE[]) / (sqrt(list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[])) * sqrt(list_dot_product(s.seed::DOUBLE[], s.seed::DOUBLE[]))) AS x FROM embeddings v JOIN s ON s.label = (v.label + 1) % 10), a AS (SELECT label, median(x) AS own FROM sim GROUP BY label), b AS (SELECT label, median(x) AS other FROM o GROUP BY label) SELECT label::VARCHAR AS target, round(own, 6) AS own, round(other, 6) AS other, round(own - other, 6) AS gain, own - other >= 0.15 AS enough FROM a JOIN b USING (label)")
+def _(spark, sf):
+    from pyspark.sql import Window
+
+    e = S.read(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").alias("vec"))
+    seeds = e.withColumn("rn", F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))).where("rn <= 3").select("label", F.col("vec_id").alias("seed_id"), F.col("vec").alias("seed"))
+    hard = seeds.select(F.pmod(F.col("label") + 9, F.lit(10)).cast("string").alias("target"), "seed_id", "seed")
+    vectors = e.select("vec_id", F.col("label").cast("string").alias("target"), "vec")
+    own = embedding.similarities(vectors, seeds.select(F.col("label").cast("string").alias("target"), "seed_id", "seed"))
+    return embedding.separation(own, embedding.similarities(vectors, hard))
+
+
+@query("record_validity", "SELECT doc_id, CASE doc_id % 4 WHEN 1 THEN 'empty_tags,dominant_not_in_tags' WHEN 2 THEN 'dominant_not_in_tags' WHEN 3 THEN 'negative_count' ELSE '' END AS problems FROM documents")
+def _(spark, sf):
+    m = F.col("doc_id") % 4
+    fields = {f: F.lit("no") for f in domains.TRISTATE_FIELDS} | {k: F.lit(v[0]) for k, v in domains.ENUMS.items()}
+    record = fields | {
+        "admission_reason_tags": F.when(m == 1, F.array().cast("array<string>")).otherwise(F.array(F.lit("cardiac_hf"))), "dominant_admission_reason": F.when(m == 2, "other").otherwise("cardiac_hf"), "primary_diagnosis_text": F.substring("text", 1, 300),
+        "new_meds_started_count": F.when(m == 3, -1).otherwise(2), "meds_stopped_count": F.lit(None).cast("int"), "reasoning": F.lit(None).cast("string"),
+    }
+    return S.read(spark, sf, "documents").select("doc_id", F.array_join(labels.problems(lambda c: record[c]), ",").alias("problems"))
+
+
+@query("table_receipts")
+def _(spark, sf):
+    from ..operators import claims
+
+    return claims.table_receipt(S.read(spark, sf, "documents"))
+
+
+@query("claim_check", f"WITH {S.KAPPA} SELECT field || '_' || pair AS key, round(kappa, 6) AS stored, round(kappa, 6) AS now, 'match' AS status FROM kap")
+def _(spark, sf):
+    from ..operators import claims
+
+    k = agreement.kappa(agreement.contingency(S.pairs(spark, sf), FP), FP)
+    c = k.select(F.concat_ws("_", "field", "pair").alias("key"), F.col("kappa").alias("value"), F.lit("").alias("description"), F.lit(".2f").alias("format"), F.lit("r").alias("receipt"))
+    return claims.verify(claims.merge(c.where("false"), c), c)
+
+
+@query("cache_misses", "SELECT count(DISTINCT text) AS missing FROM documents WHERE doc_id % 2 = 1 AND text NOT IN (SELECT text FROM documents WHERE doc_id % 2 = 0)")
+def _(spark, sf):
+    from ..sources import readers
+
+    d = S.read(spark, sf, "documents").select("doc_id", "text")
+    cache = d.where("doc_id % 2 = 0").select(text.cache_key(F.lit("m"), F.col("text")).alias("cache_key")).distinct().withColumn("vector", F.lit(1))
+    return readers.cached(d, cache, "m")[1].agg(F.count("*").alias("missing"))
+
+
+@query("mined_phrases")
+def _(spark, sf):
+    d = S.read(spark, sf, "benchmark").select(F.lower(F.col("text")).alias("phrase"))
+    return spark.createDataFrame([(i, p) for i, p in enumerate(sections.mine_ngrams(d))] or [(0, "")], "place int, phrase string")

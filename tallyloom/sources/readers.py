@@ -77,7 +77,7 @@ def markdown_table(spark: SparkSession, path: str, heading: str) -> DataFrame:
     t = t.withColumn("is_row", F.trim("line").startswith("|"))
     w = Window.orderBy("at")  # the lines of one short document
     t = t.withColumn("gaps", F.sum((F.col("is_row") & ~F.lag("is_row", 1, False).over(w)).cast("int")).over(w))
-    cells = F.transform(F.split(F.regexp_replace(F.trim("line"), "^\\||\\|$", ""), "\\|"), F.trim)
+    cells = F.transform(F.split(F.regexp_replace(F.trim("line"), "^\\||\\|$", ""), "\\|"), lambda x: F.trim(x))
     return t.where("is_row and gaps = 1 and not line rlike '^[ |:-]+$'").select("at", cells.alias("cells"))
 
 

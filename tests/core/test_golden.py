@@ -226,7 +226,7 @@ def test_guarded_numbers_and_text(spark):
 def test_labels(spark):
     assert one(spark, labels.tristate(F.lit(" YES "))) == "yes" and one(spark, labels.tristate(F.lit("none"))) is None
     assert one(spark, labels.tristate(F.lit("x"), True)) == "not_yes"
-    assert one(spark, labels.normal_tags(F.array(F.lit(" other"), F.lit("x"), F.lit("other")))) == ["other"]
+    assert one(spark, labels.normal_tags(F.array(F.lit(" other"), F.lit("x"), F.lit("gi_bleed ")))) == ["other", "gi_bleed"]
     assert one(spark, labels.disagreement(F.lit("yes"), F.lit("no"))) == "hard_yes_no"
     assert one(spark, agreement.jaccard(F.array().cast("array<string>"), F.array().cast("array<string>"))) == 1.0
 
