@@ -136,6 +136,6 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any benchmark window."""
     bad = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated").select("doc_id", "text_hash").distinct()
-    d = docs.withColumns({"own_id": F.col("doc_id"), "own_hash": text_hash()})
-    on = F.col("own_id").eqNullSafe(F.col("b.doc_id")) & (F.col("own_hash") == F.col("b.text_hash"))
+    d = docs.withColumns({"tallyloom_id": F.col("doc_id"), "tallyloom_hash": text_hash()})
+    on = F.col("tallyloom_id").eqNullSafe(F.col("b.doc_id")) & (F.col("tallyloom_hash") == F.col("b.text_hash"))
     return d.alias("d").join(bad.alias("b"), on, "left_anti").select(*docs.columns)

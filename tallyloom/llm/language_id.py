@@ -242,4 +242,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that have a language: those without any letter go."""
-    return identify(docs, train(docs), docs.columns).where("lang_pred != 'und'").select(*docs.columns)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")  # no name of theirs can clash
+    return identify(rows, train(docs), ["row"]).where("lang_pred != 'und'").select("row.*")

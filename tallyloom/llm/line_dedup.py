@@ -133,8 +133,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 def without_lines(docs: DataFrame) -> DataFrame:
     """The documents with their dropped lines taken out of the text."""
     drop = dedup_lines(docs).select("doc_id", "text_hash", "dropped").groupBy("doc_id", "text_hash").agg(F.min_by("dropped", F.size("dropped")).alias("dropped"))
-    d = docs.withColumns({"own_id": F.col("doc_id"), "own_hash": text_hash()})
-    on = F.col("own_id").eqNullSafe(F.col("x.doc_id")) & (F.col("own_hash") == F.col("x.text_hash"))
+    d = docs.withColumns({"tallyloom_id": F.col("doc_id"), "tallyloom_hash": text_hash()})
+    on = F.col("tallyloom_id").eqNullSafe(F.col("x.doc_id")) & (F.col("tallyloom_hash") == F.col("x.text_hash"))
     kept = F.filter(F.split(F.col("d.text"), "\n"), lambda line, i: ~F.array_contains(F.col("x.dropped"), i))
     return d.alias("d").join(drop.alias("x"), on, "left").select(*[F.array_join(kept, "\n").alias("text") if c == "text" else F.col(f"d.{c}") for c in docs.columns])
 

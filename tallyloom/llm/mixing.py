@@ -118,8 +118,8 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     taken = taken.select("doc_id", "text_hash", copies.cast("int").alias("copies"))
     w = Window.partitionBy("doc_id", "text_hash").orderBy(F.desc("copies"))
     taken = taken.withColumn("nth", F.row_number().over(w))
-    every = Window.partitionBy("own_id", "own_hash").orderBy("own_hash")
-    d = docs.withColumns({"own_id": F.col("doc_id"), "own_hash": text_hash()}).withColumn("own_nth", F.row_number().over(every))
-    on = F.col("own_id").eqNullSafe(F.col("t.doc_id")) & (F.col("own_hash") == F.col("t.text_hash")) & (F.col("own_nth") == F.col("t.nth"))
-    out = d.alias("d").join(taken.where("copies > 0").alias("t"), on).select("d.*", F.explode(F.sequence(F.lit(1), F.col("t.copies"))).alias("own_copy"))
+    every = Window.partitionBy("tallyloom_id", "tallyloom_hash").orderBy("tallyloom_hash")
+    d = docs.withColumns({"tallyloom_id": F.col("doc_id"), "tallyloom_hash": text_hash()}).withColumn("tallyloom_nth", F.row_number().over(every))
+    on = F.col("tallyloom_id").eqNullSafe(F.col("t.doc_id")) & (F.col("tallyloom_hash") == F.col("t.text_hash")) & (F.col("tallyloom_nth") == F.col("t.nth"))
+    out = d.alias("d").join(taken.where("copies > 0").alias("t"), on).select("d.*", F.explode(F.sequence(F.lit(1), F.col("t.copies"))).alias("tallyloom_copy"))
     return out.select(*docs.columns)

@@ -290,9 +290,9 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     d = near_duplicates(docs).select("doc_id", "text_hash", "component")
     first = d.where("component is not null").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id"), F.col("text_hash"))).alias("x"))
     keep = cut(first.select(F.col("x.doc_id").alias("doc_id"), F.col("x.text_hash").alias("text_hash")), "kept")
-    rows = docs.withColumns({"own_id": F.col("doc_id"), "own_hash": text_hash()})
-    on = F.col("own_id").eqNullSafe(F.col("k.doc_id")) & (F.col("own_hash") == F.col("k.text_hash"))
+    rows = docs.withColumns({"tallyloom_id": F.col("doc_id"), "tallyloom_hash": text_hash()})
+    on = F.col("tallyloom_id").eqNullSafe(F.col("k.doc_id")) & (F.col("tallyloom_hash") == F.col("k.text_hash"))
     got = rows.alias("d").join(keep.alias("k"), on, "left_semi")
-    got = got.withColumn("own_nth", F.row_number().over(Window.partitionBy("own_id", "own_hash").orderBy("own_hash"))).where("own_nth = 1")
+    got = got.withColumn("tallyloom_nth", F.row_number().over(Window.partitionBy("tallyloom_id", "tallyloom_hash").orderBy("tallyloom_hash"))).where("tallyloom_nth = 1")
     empty = rows.where("text is null or not rlike(text, '[^\\\\x20\\\\x09-\\\\x0D]')")
     return got.select(*docs.columns).unionByName(empty.select(*docs.columns))
