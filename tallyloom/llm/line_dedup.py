@@ -45,8 +45,8 @@ def joined(w: Column) -> Column:
     return F.array_join(w, " ")
 
 
-def distinct_lines(docs: DataFrame) -> DataFrame:
-    """place, key (hash of the words), n, halves (hashes: of n and n + 1 words, first and last half)."""
+def keyed_lines(docs: DataFrame) -> DataFrame:
+    """place, key (hash of the words; null for blank lines), n, halves (hashes: of n and n + 1 words, first and last half)."""
     t = lines(docs).select("place", "words", F.size("words").alias("n"))
     halves = []
     for longer in (0, 1):
@@ -54,7 +54,7 @@ def distinct_lines(docs: DataFrame) -> DataFrame:
         q = F.floor((size - 1) / 2).cast("int")
         first, last = F.slice("words", 1, q), F.slice("words", F.greatest(F.col("n") - (size - q) + 2, F.lit(1)), F.greatest(size - q - 1, F.lit(0)))
         halves += [F.xxhash64(F.lit("first"), size, joined(first)), F.xxhash64(F.lit("last"), size, joined(last))]
-    return t.where("n > 0").select("place", F.xxhash64(joined(F.col("words"))).alias("key"), "n", F.when(F.col("n") >= MIN_WORDS - 1, F.array(*halves)).alias("halves"))
+    return t.select("place", F.when(F.col("n") > 0, F.xxhash64(joined(F.col("words")))).alias("key"), F.when(F.col("n") >= MIN_WORDS - 1, F.array(*halves)).alias("halves"))
 
 
 VARIANTS = "key long, first struct<no_id:boolean,doc_id:{0},text_hash:bigint,row_id:bigint,line_no:int>, h long, at int"
@@ -95,16 +95,23 @@ def within_one(a: Column, b: Column) -> Column:
     return (F.abs(na - nb) <= 1) & (F.greatest(na, nb) >= MIN_WORDS) & (rest_a == rest_b)
 
 
-def near_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Distinct lines (key, first place), and those with an earlier near line (key, place of it)."""
+def near_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All lines (place, key), distinct lines (key, first place), and those with an earlier near line (key, its place)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    d = cut(distinct_lines(docs).groupBy("key").agg(F.min("place").alias("first"), F.first("halves").alias("halves")), "lines")
+    every = cut(keyed_lines(docs), "all-lines")
+    d = cut(every.where("key is not null").groupBy("key").agg(F.min("place").alias("first"), F.first("halves").alias("halves")), "lines")
     halves = d.where("halves is not null").select("key", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a != b").select("half")
-    candidates = cut(halves.join(shared, "half", "left_semi").select("key").distinct().join(d.select("key", "first"), "key"), "candidates")
-    text = lines(docs).where("size(words) > 0").select(F.xxhash64(joined(F.col("words"))).alias("key"), "place", joined(F.col("words")).alias("line"))
-    on = (F.col("t.key") == F.col("c.key")) & (F.col("t.place") == F.col("c.first"))
-    text = cut(text.alias("t").join(candidates.alias("c"), on).select("c.key", "c.first", "t.line"), "candidate-lines")
+    candidates = halves.join(shared, "half", "left_semi").select("key").distinct().join(d.select("key", "first"), "key")
+    # the words of candidates come from their documents; of repeated rows any has them
+    wanted = candidates.groupBy("first.doc_id", "first.text_hash").agg(F.collect_list(F.struct("key", "first")).alias("wanted"))
+    t = docs.select("doc_id", "text", text_hash().alias("text_hash")).alias("t")
+    on = F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("t.text_hash") == F.col("w.text_hash"))
+    text = t.join(wanted.alias("w"), on).select(F.split("t.text", "\n").alias("lines"), "w.wanted")
+    at = lambda x: F.when(x["first"]["line_no"] < F.size("lines"), F.get("lines", x["first"]["line_no"]))
+    text = text.select(F.explode(F.transform("wanted", lambda x: F.struct(x["key"].alias("key"), x["first"].alias("first"), at(x).alias("line")))).alias("x"))
+    text = text.select("x.key", "x.first", joined(line_words(F.col("x.line"))).alias("line"))
+    text = cut(text.groupBy("key").agg(F.first("first").alias("first"), F.first("line").alias("line")), "candidate-lines")
     v = cut(text.mapInArrow(variants, VARIANTS.format(kind)), "variants")
     here = F.struct("first", "key")
     same_place = v.where("at >= 0").groupBy("h", "at").agg(F.min(here).alias("a"), F.max(here).alias("z")).where("a.key != z.key").select("h", "at", "a")
@@ -116,15 +123,14 @@ def near_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     pairs = pairs.where("first > a.first").select("key", F.col("a.key").alias("other"), F.col("a.first").alias("earlier")).distinct()
     mine, others = text.select("key", F.split("line", " ").alias("x")), text.select(F.col("key").alias("other"), F.split("line", " ").alias("y"))
     pairs = pairs.join(mine, "key").join(others, "other").where(within_one(F.col("x"), F.col("y")))
-    return d, cut(pairs.groupBy("key").agg(F.min("earlier").alias("earlier")), "near-lines")
+    return every, d, cut(pairs.groupBy("key").agg(F.min("earlier").alias("earlier")), "near-lines")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, n_lines, n_repeated (an equal line is earlier), n_near (only a near one is), dropped (line numbers)."""
-    d, near = near_lines(docs)
+    every, d, near = near_lines(docs)
     known = cut(d.join(near.select("key", F.lit(True).alias("near")), "key", "left").select("key", "first", F.coalesce("near", F.lit(False)).alias("near")), "known-lines")
-    t = lines(docs).select("place", F.when(F.size("words") > 0, F.xxhash64(joined(F.col("words")))).alias("key"))
-    t = t.join(known, "key", "left").select("place", F.coalesce(F.col("place") > F.col("first"), F.lit(False)).alias("repeated"), F.coalesce("near", F.lit(False)).alias("near"))
+    t = every.select("place", "key").join(known, "key", "left").select("place", F.coalesce(F.col("place") > F.col("first"), F.lit(False)).alias("repeated"), F.coalesce("near", F.lit(False)).alias("near"))
     drop = F.when(F.col("repeated") | F.col("near"), F.col("place.line_no"))
     out = t.groupBy("place.doc_id", "place.text_hash", "place.row_id").agg(F.count("*").alias("n_lines"), F.count_if("repeated").alias("n_repeated"), F.count_if(F.col("near") & ~F.col("repeated")).alias("n_near"), F.sort_array(F.collect_list(drop)).alias("dropped"))
     return out.drop("row_id")
