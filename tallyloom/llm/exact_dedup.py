@@ -119,10 +119,10 @@ def dedup(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row; of repeated rows with the id that stays, one is kept."""
     t = cut(identities(docs, block), "identities")
     groups = cut(t.groupBy("n_blocks", "name").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "groups")
-    t = t.join(groups, ["n_blocks", "name"])
-    first = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    nth = F.row_number().over(Window.partitionBy("n_blocks", "name", "doc_id").orderBy("text_sha256"))
-    return t.withColumn("kept", first & (nth == 1)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    # numbered before the join: a window on top of it would keep Spark from splitting the join's large groups
+    nth = F.row_number().over(Window.partitionBy("doc_id", "name", "n_blocks").orderBy("text_sha256"))
+    t = t.withColumn("nth", nth).join(groups, ["n_blocks", "name"])
+    return t.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def op1_block_naming_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
