@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
+from . import textops
 from .common import cut, documents, parts, text_hash
 
 SEQUENCE, SHARD_ROWS, ROUNDS, KEY = 1024, 4096, 6, 20240229
@@ -72,7 +73,8 @@ def tokeniser(path: str, sequence: int):
             tok = tok or Tokenizer(path)
             ids, hashes = b["doc_id"].to_pylist(), b["text_hash"].to_pylist()
             at, seq, n, data = [], [], [], []
-            for i, tokens in enumerate(tok.encode([t or "" for t in b["text"].to_pylist()])):
+            runs = textops.chunks([t or "" for t in b["text"].to_pylist()], 2 << 20)  # lists of ids are large
+            for i, tokens in enumerate(x for run_ in runs for x in tok.encode(run_)):
                 raw = np.asarray(tokens, "<u2").tobytes()
                 for s in range(max(1, -(-len(tokens) // sequence))):
                     piece = raw[2 * sequence * s : 2 * sequence * (s + 1)]
