@@ -95,10 +95,9 @@ def counter(batches):
 class Model:
     """Word and trigram scores: logarithms of likelihoods, relative to the best language and clipped."""
 
-    def __init__(self, langs: list[str], words: dict[str, list[int]], totals: np.ndarray, grams: np.ndarray, scripts: np.ndarray):
-        self.langs, m = langs, len(langs)
+    def __init__(self, langs: list[str], words: list[str], n: np.ndarray, totals: np.ndarray, grams: np.ndarray, scripts: np.ndarray):
+        self.langs = langs
         self.index = {w: i for i, w in enumerate(words)}
-        n = np.array(list(words.values()), float).reshape(-1, m)
         self.words = self.relative(np.log((n + 0.1) / (totals + 0.1 * max(1, len(n))))).astype(np.float32)
         self.grams = np.log((grams + 0.5) / (grams.sum(0) + 0.5 * BUCKETS)).astype(np.float32)
         self.uses = scripts > 0.001 * np.maximum(1, scripts.sum(0))
@@ -208,12 +207,13 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, vocabulary: int = VOC
     s, g = np.zeros((len(NAMES), len(langs))), np.zeros((BUCKETS, len(langs)))
     for r in scripts:
         s[NAMES.index(r.key), no[r.lang]] = r.n
-    for r in t.where("kind = 1").toLocalIterator():
-        g[int(r.key), no[r.lang]] = r.n
-    w = t.where("kind = 0").groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"), F.sum("n").alias("all"))
-    words = {r.key: [r.by.get(x, 0) for x in langs] for r in w.where("all > 1").orderBy(F.desc("all"), "key").limit(vocabulary).collect()}
+    k = t.where("kind = 1").select(F.col("key").cast("int").alias("k"), "lang", "n").toArrow()  # BUCKETS rows a language at most
+    g[k["k"].to_numpy(), [no[x] for x in k["lang"].to_pylist()]] = k["n"].to_numpy()
+    w = t.where("kind = 0").groupBy("key").agg(*[F.coalesce(F.sum(F.when(F.col("lang") == x, F.col("n"))), F.lit(0)).alias(f"n{i}") for i, x in enumerate(langs)], F.sum("n").alias("all"))
+    w = w.where("all > 1").orderBy(F.desc("all"), "key").limit(vocabulary).drop("all").toArrow()
+    words, counts = w["key"].to_pylist(), np.array([w[f"n{i}"].to_numpy() for i in range(len(langs))], float).reshape(len(langs), -1).T
     totals = {r.lang: r.n for r in t.where("kind = 0").groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    return Model(langs, words, np.array([totals[x] for x in langs], float), g, s)
+    return Model(langs, words, counts, np.array([totals[x] for x in langs], float), g, s)
 
 
 SPANS = "array<struct<lang:string,first_word:int,n_words:int>>"
