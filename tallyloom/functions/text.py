@@ -84,7 +84,7 @@ def cache_key(model: Column, t: Column) -> Column:
 
 
 def error_class(e: Column) -> Column:
-    """Class of an error message; the first rule that fits."""
+    """Class of an error message; the first rule that fits (names and markers are fixed values)."""
     low = F.lower(e)
     has = low.contains
     return (
@@ -97,6 +97,7 @@ def error_class(e: Column) -> Column:
 
 
 def reply_shape(error: Column, raw: Column) -> Column:
+    """Shape of a raw reply (names are fixed values)."""
     t = F.trim(raw)
     return (
         F.when(F.coalesce(raw, F.lit("")) == "", F.when(F.lower(error).contains("no response content"), "empty_response").otherwise("no_raw_payload"))
