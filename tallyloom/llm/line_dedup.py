@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textops
-from .common import BLANKS, LOWER, UPPER, cut, documents, text_hash
+from .common import BLANKS, LOWER, UPPER, cut, documents, ordered_offsets, text_hash
 
 MIN_WORDS = 8
 
@@ -57,7 +57,7 @@ def keyed_lines(docs: DataFrame) -> DataFrame:
     return t.select("place", F.when(F.col("n") > 0, F.xxhash64(joined(F.col("words")))).alias("key"), F.when(F.col("n") >= MIN_WORDS - 1, F.array(*halves)).alias("halves"))
 
 
-VARIANTS = "key long, first struct<no_id:boolean,doc_id:{0},text_hash:bigint,row_id:bigint,line_no:int>, h long, at int"
+VARIANTS = "rank long, h long, at int"
 
 
 def variants(batches):
@@ -81,7 +81,7 @@ def variants(batches):
             rows.append(np.full(n + 1, i))
         rows = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64))
         h = np.concatenate(hs).view(np.int64) if hs else np.zeros(0, np.int64)
-        yield pa.record_batch([b["key"].take(rows), b["first"].take(rows), pa.array(h), pa.array(np.concatenate(ats) if ats else np.zeros(0, np.int32))], ["key", "first", "h", "at"])
+        yield pa.record_batch([b["rank"].take(rows), pa.array(h), pa.array(np.concatenate(ats) if ats else np.zeros(0, np.int32))], ["rank", "h", "at"])
 
 
 def within_one(a: Column, b: Column) -> Column:
@@ -96,8 +96,7 @@ def within_one(a: Column, b: Column) -> Column:
 
 
 def near_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """All lines (place, key), distinct lines (key, first place), and those with an earlier near line (key, its place)."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    """All lines (place, key), distinct lines (key, first place), and the keys of those with an earlier near line."""
     every = cut(keyed_lines(docs), "all-lines")
     d = cut(every.where("key is not null").groupBy("key").agg(F.min("place").alias("first"), F.first("halves").alias("halves")), "lines")
     halves = d.where("halves is not null").select("key", F.explode("halves").alias("half"))
@@ -111,19 +110,20 @@ def near_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     at = lambda x: F.when(x["first"]["line_no"] < F.size("lines"), F.get("lines", x["first"]["line_no"]))
     text = text.select(F.explode(F.transform("wanted", lambda x: F.struct(x["key"].alias("key"), x["first"].alias("first"), at(x).alias("line")))).alias("x"))
     text = text.select("x.key", "x.first", joined(line_words(F.col("x.line"))).alias("line"))
-    text = cut(text.groupBy("key").agg(F.first("first").alias("first"), F.first("line").alias("line")), "candidate-lines")
-    v = cut(text.mapInArrow(variants, VARIANTS.format(kind)), "variants")
-    here = F.struct("first", "key")
-    same_place = v.where("at >= 0").groupBy("h", "at").agg(F.min(here).alias("a"), F.max(here).alias("z")).where("a.key != z.key").select("h", "at", "a")
-    whole = v.where("at < 0").select("h", here.alias("a"))
-    less = v.where("at >= 0").groupBy("h").agg(F.min(here).alias("a"))
-    pairs = v.join(same_place, ["h", "at"]).select("key", "first", "a")
-    pairs = pairs.unionByName(v.where("at >= 0").join(whole, "h").select("key", "first", "a"))
-    pairs = pairs.unionByName(v.where("at < 0").join(less, "h").select("key", "first", "a"))
-    pairs = pairs.where("first > a.first").select("key", F.col("a.key").alias("other"), F.col("a.first").alias("earlier")).distinct()
-    mine, others = text.select("key", F.split("line", " ").alias("x")), text.select(F.col("key").alias("other"), F.split("line", " ").alias("y"))
-    pairs = pairs.join(mine, "key").join(others, "other").where(within_one(F.col("x"), F.col("y")))
-    return every, d, cut(pairs.groupBy("key").agg(F.min("earlier").alias("earlier")), "near-lines")
+    text = text.groupBy("key").agg(F.first("first").alias("first"), F.first("line").alias("line"))
+    # candidates are ranked by their place, so that their many variants carry one number
+    text = cut(ordered_offsets(text, [F.asc("first"), F.asc("key")], {}, "ranked-lines").select("key", F.col("row_no").alias("rank"), "line"), "candidate-lines")
+    v = cut(text.select("rank", "line").mapInArrow(variants, VARIANTS), "variants")
+    same_place = v.where("at >= 0").groupBy("h", "at").agg(F.min("rank").alias("earlier"), F.max("rank").alias("last")).where("earlier != last").select("h", "at", "earlier")
+    whole = v.where("at < 0").select("h", F.col("rank").alias("earlier"))
+    less = v.where("at >= 0").groupBy("h").agg(F.min("rank").alias("earlier"))
+    pairs = v.join(same_place, ["h", "at"]).select("rank", "earlier")
+    pairs = pairs.unionByName(v.where("at >= 0").join(whole, "h").select("rank", "earlier"))
+    pairs = pairs.unionByName(v.where("at < 0").join(less, "h").select("rank", "earlier"))
+    pairs = pairs.where("rank > earlier").distinct()
+    mine, others = text.select("key", "rank", F.split("line", " ").alias("x")), text.select(F.col("rank").alias("earlier"), F.split("line", " ").alias("y"))
+    pairs = pairs.join(mine, "rank").join(others, "earlier").where(within_one(F.col("x"), F.col("y")))
+    return every, d, cut(pairs.select("key").distinct(), "near-lines")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
