@@ -256,7 +256,10 @@ def links_within(nodes: DataFrame, cell_sets: int = CELL_SETS, cell_shingles: in
         largest = own.groupBy("label", "own").agg(F.count("*").alias("sets")).groupBy("label").agg(F.max(F.struct("sets", "own")).alias("x"))
         largest = largest.join(sizes, "label").where("x.sets < sets").select("label", F.col("x.own").alias("major"))  # others are one component
         rest = cut(own.join(largest, "label").withColumn("minor", F.col("own") != F.col("major")).select("label", "key", "n", "size_class", "shingles", "minor"), "rest")
-        names = components(found.unionByName(linked(meetings(rest, cell_sets, cell_shingles))))
+        more = linked(meetings(rest, cell_sets, cell_shingles))
+        if not more.isEmpty():
+            # the sets' components so far are enough of a forest for what was linked before
+            names = components(names.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more))
     return names.select(F.col("node").alias("key"), "label")
 
 
