@@ -22,17 +22,26 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/tallyloom/{name}-{uuid.uuid4().hex}"
+
+
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """Delete what has been written to path when the application ends."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends there, and lost executors don't matter.
 
     The table is deleted when the application ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tallyloom/{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    delete_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

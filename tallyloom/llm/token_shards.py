@@ -3,8 +3,9 @@
 Documents are range-partitioned by id and tokenised; every document becomes sequences of SEQUENCE tokens (the last one is
 padded), numbered in the order of the documents. A keyed Feistel permutation with cycle walking sends each of the N
 numbers to a global slot, so the training order is random, dense, invertible and needs no sort key to be stored. Slot s is
-row s mod SHARD_ROWS of shard s div SHARD_ROWS; rows have a fixed stride, so shard, row and byte offset follow from the slot,
-and a reader resumes at any slot.
+row s mod SHARD_ROWS of shard s div SHARD_ROWS. A shard is one file in slot order, written by one task; its rows have a
+fixed stride (padded with 0; n_tokens tells the ids), so shard and row follow from the slot, and a reader resumes at any
+slot. The query and the pipeline's last stage write the shards and return their rows read back, without the padding.
 
 The tokenizer is a sentencepiece model (byte fallback, so nothing is unknown) whose path is a parameter; it is opened on
 the executors. Ids are uint16, little-endian. The model's blank (U+2581) in a text is written as its three bytes. The
@@ -24,9 +25,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
+from pyspark.sql.types import StructType
 
 from . import textops
-from .common import cut, documents, parts, text_hash
+from .common import cut, delete_at_end, documents, parts, shared_path, text_hash
 
 SEQUENCE, SHARD_ROWS, ROUNDS, KEY = 1024, 4096, 6, 20240229
 BLANK, FIRST_BYTE = "▁", 3
@@ -132,28 +134,40 @@ def materialise(docs: DataFrame, model: str | None = None, sequence: int = SEQUE
         return pd.Series(feistel(x.to_numpy(), total, key))
 
     t = t.join(F.broadcast(spark.createDataFrame(first, "range_id int, before long")), "range_id")
-    t = t.withColumn("slot", slot(F.col("before") + F.col("number"))).repartitionByRange(parts(spark), "slot").sortWithinPartitions("slot")
-    return t.select("slot", F.floor(F.col("slot") / shard_rows).cast("int").alias("shard"), (F.col("slot") % shard_rows).cast("int").alias("shard_row"), "doc_id", "text_hash", "seq_no", "n_tokens", "tokens")
+    t = t.withColumn("slot", slot(F.col("before") + F.col("number"))).withColumn("shard", F.floor(F.col("slot") / shard_rows).cast("int"))
+    t = t.repartitionByRange(parts(spark), "shard").sortWithinPartitions("shard", "slot")  # a shard is never split
+    return t.select("slot", "shard", (F.col("slot") % shard_rows).cast("int").alias("shard_row"), "doc_id", "text_hash", "seq_no", "n_tokens", "tokens")
 
 
 def write_shards(rows: DataFrame, path: str, sequence: int = SEQUENCE) -> None:
-    """Fixed-stride shards: one folder a shard, rows in slot order, each with exactly 2 * sequence bytes (padded with 0).
+    """Fixed-stride shards: one file a shard, rows in slot order, each with exactly 2 * sequence bytes (padded with 0).
 
-    A failed task leaves no partial shard behind (the committer moves whole files), so a job can be run again.
+    Rows are those of materialise(), whose partitions hold whole shards. A failed task leaves no partial shard behind
+    (the committer moves whole files), so a job can be run again.
     """
-    pad = F.concat("tokens", F.unhex(F.repeat(F.lit("00"), (2 * sequence - F.octet_length("tokens")).cast("int"))))
-    out = rows.withColumn("tokens", pad).sortWithinPartitions("shard", "slot")
+    out = rows.withColumn("tokens", F.rpad("tokens", F.lit(2 * sequence), F.lit(b"\0"))).sortWithinPartitions("shard", "slot")
     out.write.partitionBy("shard").option("compression", "zstd").parquet(path)
 
 
-def read_shards(spark: SparkSession, path: str, from_slot: int = 0, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """Rows from a slot on; shards before it aren't opened."""
-    return spark.read.parquet(path).where((F.col("shard") >= from_slot // shard_rows) & (F.col("slot") >= from_slot))
+def read_shards(spark: SparkSession, path: str, from_slot: int = 0, shard_rows: int = SHARD_ROWS, schema: StructType | None = None) -> DataFrame:
+    """Rows from a slot on, padded; shards before it aren't opened. With a schema there may be no shards at all."""
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.parquet(path).where((F.col("shard") >= from_slot // shard_rows) & (F.col("slot") >= from_slot))
+
+
+def shards(docs: DataFrame, sequence: int = SEQUENCE, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """Write the shards of docs to the shared folder; their rows as they were written, with the padding taken off."""
+    rows = materialise(docs, sequence=sequence, shard_rows=shard_rows).drop("text_hash")
+    path = shared_path(docs.sparkSession, "shards")
+    write_shards(rows, path, sequence)
+    delete_at_end(docs.sparkSession, path)
+    back = read_shards(docs.sparkSession, path, shard_rows=shard_rows, schema=rows.schema)
+    return back.withColumn("tokens", F.substring("tokens", F.lit(1), 2 * F.col("n_tokens"))).select(*rows.columns)
 
 
 def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return materialise(documents(spark, sf_dir)).drop("text_hash")
+    return shards(documents(spark, sf_dir))
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return materialise(docs).drop("text_hash")
+    return shards(docs)

@@ -6,6 +6,7 @@ from itertools import product
 from urllib.parse import quote
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from tallyloom.llm import exact_dedup, language_id, language_model, line_dedup, near_duplicates, secrets, token_shards
@@ -200,6 +201,23 @@ def test_shards_resume(spark, tmp_path):
     assert token_shards.materialise(odd(spark).limit(0)).count() == 0
 
 
+def test_query_writes_fixed_stride_shards(spark, sf):
+    docs = table(spark, [(i, f"text {i} " * (1 + i % 9)) for i in range(300)])
+    for made, sequence, shard_rows in ((token_shards.shards(docs, 8, 16), 8, 16), (token_shards.op7_token_shards(spark, sf), 1024, 4096), (token_shards.tokens_stage(spark, docs, sf), 1024, 4096)):
+        files = sorted(made.inputFiles(), key=lambda f: int(f.split("/shard=")[1].split("/")[0]))
+        slots = []
+        for k, f in enumerate(files):  # one file a shard, whole and in slot order
+            assert f"/shard={k}/" in f
+            t = pq.ParquetFile(f.removeprefix("file://")).read()
+            assert {len(x) for x in t["tokens"].to_pylist()} == {2 * sequence}
+            assert t["shard_row"].to_pylist() == list(range(len(t)))
+            slots += t["slot"].to_pylist()
+        assert slots == list(range(made.count())) and len(files) == -(-len(slots) // shard_rows)
+    small = token_shards.shards(docs, 8, 16)
+    assert small.orderBy("slot").collect() == token_shards.materialise(docs, sequence=8, shard_rows=16).drop("text_hash").orderBy("slot").collect()
+    assert token_shards.shards(odd(spark).limit(0)).count() == 0
+
+
 def near(a, b):
     a, b = a.split(), b.split()
     if a == b:
