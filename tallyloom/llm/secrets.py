@@ -1,13 +1,15 @@
 """Secret scans with a recursive decoding worklist.
 
 The text is the first layer. Every layer is scanned for the three kinds of secrets, then decoded: percent escapes and
-backslash escapes (\\uXXXX, \\xXX) give the whole layer with these decoded; a base64 run (either alphabet) gives a layer
-of its own, decompressed first if it is gzip, zlib, bzip2 or xz. New layers join the worklist until none is left; a layer
-seen before isn't scanned again, so cycles end. Each character of a layer knows the span of the text it came from, and
-spans found in a layer are mapped back through it.
+backslash escapes (\\uXXXX, \\xXX) give the whole layer with these decoded. A base64 run (either alphabet) is decoded from
+each of its first four characters, as a path or name may stand before the payload; every readable part of what comes out
+is a layer. Compressed data (gzip, zlib, bzip2, xz) is looked for at every byte of decoded base64 and escapes; members that
+follow one another are all read. UTF-16 within a layer gives a layer. New layers join the worklist until none is left; a
+layer seen before isn't scanned again, so cycles end. Each character of a layer knows the span of the text it came from,
+and spans found in a layer are mapped back through it.
 
-Decompression runs through windows of WINDOW bytes that overlap by OVERLAP bytes; each is a layer, so memory stays bounded
-and nothing is left out.
+Decompression, nested too, runs through windows of WINDOW bytes that overlap by OVERLAP bytes; each is a layer, so memory
+stays bounded and nothing is left out.
 
 Defined results: null and empty texts have no secrets; repeated rows each get their result; spans are in code points, end
 exclusive, of equal spans of one kind one; an empty table gives an empty result; other columns are ignored.
@@ -16,12 +18,13 @@ exclusive, of equal spans of one kind one; an empty table gives an empty result;
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
 import lzma
 import re
 import zlib
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +41,11 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 BACKSLASH = re.compile(r"\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Escapes of single bytes, as quoted byte strings have them.
+BYTES = re.compile(r"\\x[0-9A-Fa-f]{2}|\\[ntr0\\'\"]")
+#: No secret, nor what encodes one, is shorter than 16 characters of ASCII (UTF-16 has a NUL beside each).
+READABLE = re.compile(rb"[\x00\t\n\r\x20-\x7e]{16,}")
+LITTLE, BIG = re.compile(r"(?:[\t\n\r\x20-\x7e]\x00){16,}"), re.compile(r"(?:\x00[\t\n\r\x20-\x7e]){16,}")
 
 
 def scan(t: str) -> list[tuple[int, int, int]]:
@@ -92,6 +100,15 @@ def percent(t: str):
     return new, width[:-1], width[1:]
 
 
+def percent_bytes(t: str):
+    n = len(t) // 3
+    return bytes.fromhex(t.replace("%", "")).decode("latin-1"), [3 * i for i in range(n)], [3 * i + 3 for i in range(n)]
+
+
+def backslash_byte(t: str):
+    return chr(int(t[2:], 16)) if t[1] == "x" else {"n": "\n", "t": "\t", "r": "\r", "0": "\0"}.get(t[1], t[1]), [0], [len(t)]
+
+
 def backslash(t: str):
     c = int(t[2:], 16)
     return None if 0xD800 <= c < 0xE000 else (chr(c), [0], [len(t)])
@@ -101,65 +118,127 @@ def backslash(t: str):
 MAGIC = {b"\x1f\x8b": lambda: zlib.decompressobj(31), b"\x78\x01": zlib.decompressobj, b"\x78\x5e": zlib.decompressobj, b"\x78\x9c": zlib.decompressobj, b"\x78\xda": zlib.decompressobj, b"BZh": bz2.BZ2Decompressor, b"\xfd7zXZ\x00": lzma.LZMADecompressor}
 
 
-def packed(data: bytes):
+HEADS = re.compile(b"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00")
+
+
+def packed(data):
     """What decompresses the data, or None."""
-    return next((make for head, make in MAGIC.items() if data.startswith(head)), None)
+    head = bytes(data[:6])
+    return next((make for magic, make in MAGIC.items() if head.startswith(magic)), None)
 
 
-def unpacked(data: bytes):
-    """Decompressed data in windows."""
-    d, tail, rest = packed(data)(), b"", data
+def inflated(chunks: Iterable, left: list[int] | None = None) -> Iterator[bytes]:
+    """Decompressed data, in pieces of up to WINDOW bytes, of compressed members that follow one another.
+
+    To left is added how many bytes of the chunk lie behind each member.
+    """
+    d = None
     try:
-        while True:
-            got = d.decompress(rest, WINDOW)
-            if got:
-                yield tail + got
-                tail = got[-OVERLAP:]
-            if d.eof or not (got or getattr(d, "unconsumed_tail", b"")):
-                break
-            rest = getattr(d, "unconsumed_tail", b"")
-    except (zlib.error, OSError, EOFError, lzma.LZMAError):
+        for rest in chunks:
+            while True:
+                if d is None:
+                    while bytes(rest[:1]) == b"\0":  # padding between members
+                        rest = bytes(rest).lstrip(b"\0")
+                    if not (make := packed(rest)):
+                        if len(rest):
+                            return
+                        break
+                    d = make()
+                if got := d.decompress(rest, WINDOW):
+                    yield got
+                if d.eof:
+                    rest, d = d.unused_data, None
+                    if left is not None:
+                        left.append(len(rest))
+                    continue
+                rest = getattr(d, "unconsumed_tail", b"")
+                if not got and not rest:
+                    break
+    except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
         return
 
 
-def readable(data: bytes) -> str | None:
-    try:
-        t = data.decode()
-    except UnicodeDecodeError:
-        return None
-    return t if t and sum(c.isprintable() or c in "\t\n\r" for c in t) >= 0.9 * len(t) else None
+def unpacked(chunks: Iterable, seen: set[bytes] | None = None) -> Iterator[bytes]:
+    """Overlapping windows of decompressed data, and of what is compressed in it, at any depth."""
+    seen = set() if seen is None else seen
+    out = inflated(chunks)
+    first = next(out, None)
+    if first is None or (key := hashlib.sha256(first).digest()) in seen:
+        return
+    seen.add(key)
+    passed: list[bytes] = []
+
+    def watched():
+        tail = b""
+        for piece in chain([first], out):
+            passed.append(tail + piece)
+            tail = (tail + piece)[-OVERLAP:]
+            yield piece
+
+    source = watched()
+    if packed(first):
+        for window in unpacked(source, seen):
+            yield window
+            yield from passed
+            passed.clear()
+    for _ in source:  # what no inner stream has taken
+        yield from passed
+        passed.clear()
+    yield from passed
+
+
+def within(data: bytes, a: np.ndarray, b: np.ndarray) -> Iterator[Layer]:
+    """Layers of the compressed data in bytes that came from a[i] to b[i] of the original."""
+    view = memoryview(data)
+    for m in HEADS.finditer(data):
+        left = []
+        if not sum(map(len, inflated([view[m.start() :]], left))):  # nothing is kept of this pass but where the data end
+            continue
+        end = b[: len(data) - (left[-1] if left else 0)].max()
+        for p in unpacked([view[m.start() :]]):
+            t = p.decode("utf-8", "replace")
+            yield Layer(t, np.full(len(t), a[m.start()]), np.full(len(t), end))
 
 
 def from_base64(layer: Layer):
     for m in BASE64.finditer(layer.text):
-        body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-        body = body[: len(body) - (len(body) % 4 == 1)]
-        try:
+        run = m[0].rstrip("=").replace("-", "+").replace("_", "/")
+        for phase in range(4):
+            body = run[phase:]
+            body = body[: len(body) - (len(body) % 4 == 1)]
             data = base64.b64decode(body + "=" * (-len(body) % 4))
-        except (binascii.Error, ValueError):
-            continue
-        if packed(data):
-            a, b = layer.span(m.start(), m.end())
-            todo, seen = [data], set()
-            while todo:
-                for p in unpacked(todo.pop()):
-                    if (key := hashlib.sha256(p).digest()) in seen:
-                        continue
-                    seen.add(key)
-                    if packed(p):
-                        todo.append(p)
-                    t = p.decode("utf-8", "replace")
-                    yield Layer(t, np.full(len(t), a), np.full(len(t), b))
-            continue
-        t = readable(data)
-        if t is None:
-            continue
-        width = np.cumsum([0, *(len(c.encode()) for c in t)])
-        lo, hi = m.start() + width[:-1] * 8 // 6, np.minimum(m.start() + -(-width[1:] * 8 // 6), m.end())
-        if layer.start is None:
-            yield Layer(t, lo, hi)
-        else:
-            yield Layer(t, layer.start[lo], layer.end[hi - 1])
+            readable, heads = list(READABLE.finditer(data)), HEADS.search(data)
+            if not readable and not heads:
+                continue
+            at = np.arange(len(data) + 1)
+            lo, hi = m.start() + phase + at[:-1] * 8 // 6, np.minimum(m.start() + phase + -(-at[1:] * 8 // 6), m.end())
+            if layer.start is not None:
+                lo, hi = layer.start[lo], layer.end[hi - 1]
+            for r in readable:
+                yield Layer(r[0].decode("ascii"), lo[r.start() : r.end()], hi[r.start() : r.end()])
+            if heads:
+                whole = hi.copy()
+                whole[-1] = layer.span(m.start(), m.end())[1]
+                yield from within(data, lo, whole)
+
+
+def from_escapes(layer: Layer, pattern: re.Pattern, decode):
+    """Layers of the compressed data that single escaped bytes (and the characters between them) make."""
+    raw = replaced(layer, pattern, decode)
+    if raw is not None and HEADS.search(data := raw.text.encode("latin-1", "replace")):
+        yield from within(data, raw.start, raw.end)
+
+
+def from_utf16(layer: Layer):
+    little, big = list(LITTLE.finditer(layer.text)), list(BIG.finditer(layer.text))
+    ends, starts = {m.start(): m.end() for m in little}, {m.start(): m.end() for m in big}
+    # either order fits all but the outermost characters of the other; the longer reading is the right one
+    for m in little:
+        if starts.get(m.start() - 1, 0) <= m.end():
+            yield Layer(m[0][::2], layer.start[m.start() : m.end() : 2], layer.end[m.start() + 1 : m.end() : 2])
+    for m in big:
+        if ends.get(m.start() - 1, 0) < m.end():
+            yield Layer(m[0][1::2], layer.start[m.start() : m.end() : 2], layer.end[m.start() + 1 : m.end() : 2])
 
 
 def all_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
@@ -177,8 +256,12 @@ def all_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, in
         new = []
         if "%" in layer.text:
             new.append(replaced(layer, PERCENT, percent))
+            new += from_escapes(layer, PERCENT, percent_bytes)
         if "\\" in layer.text:
             new.append(replaced(layer, BACKSLASH, backslash))
+            new += from_escapes(layer, BYTES, backslash_byte)
+        if "\0" in layer.text and layer.start is not None:
+            new += from_utf16(layer)
         new += from_base64(layer)
         for x in new:
             if x is not None and (key := hashlib.sha256(x.text.encode("utf-8", "surrogatepass")).digest() + (b"" if x.start is None or not len(x.start) else b"%d" % x.start[0])) not in seen:

@@ -1,6 +1,8 @@
 import hashlib
 import base64
+import bz2
 import gzip
+import lzma
 import zlib
 from itertools import product
 from urllib.parse import quote
@@ -166,6 +168,33 @@ def test_layer_positions():
     assert a <= 2 + 5 * 8 // 6 + 1 and b <= len(text) and b - a < len(text) - 6
 
 
+def b64(data):
+    return base64.b64encode(data).decode()
+
+
+@pytest.mark.parametrize(
+    "inner",
+    [b64(KEY.encode()), *("k" * n + b64(KEY.encode()) for n in (1, 2, 3)), "com/cb/" + b64(KEY.encode()), "key_" + base64.urlsafe_b64encode(KEY.encode()).decode()]
+    + [b64(b"caf\xe9 " + KEY.encode()), b64(b"\xff\x00\x9c" * 99 + KEY.encode()), b64(KEY.encode("utf-16-le")), b64(b"x" + KEY.encode("utf-16-be")), b64(KEY.encode("utf-16")), "cb/" + b64(gzip.compress(KEY.encode("utf-16")))]
+    + [quote(gzip.compress(KEY.encode()), safe=""), "".join(f"%{c:02x}" for c in zlib.compress(KEY.encode())), "".join(f"\\x{c:02x}" for c in gzip.compress(KEY.encode())), repr(bz2.compress(KEY.encode()))]
+    + ["cb/" + b64(make(b"nothing") + make(KEY.encode())) for make in (gzip.compress, zlib.compress, bz2.compress, lzma.compress)]
+    + [b64(b"head" + gzip.compress(KEY.encode())), b64(gzip.compress(b"nothing") + KEY.encode())],
+)
+def test_hidden_layers(inner):
+    text = f"é before {inner} after"
+    _, every = secrets.all_spans(text)
+    spans = [(a, b) for a, k, b in every if k == 0]
+    assert spans and all(9 <= a < b <= 9 + len(inner) for a, b in spans)
+
+
+def test_nested_streams_through_windows(monkeypatch):
+    monkeypatch.setattr(secrets, "WINDOW", 4096)
+    monkeypatch.setattr(secrets, "OVERLAP", 256)
+    noise = np.random.default_rng(4).integers(0, 256, 30000, np.uint8).tobytes()
+    text = b64(zlib.compress(gzip.compress(bz2.compress(noise + KEY.encode() + noise))))
+    assert any(k == 0 for _, k, _ in secrets.all_spans(text)[1])
+
+
 def test_tokens_round_trip(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60).select("doc_id", "text")
     docs = docs.unionByName(table(spark, [(10**6, "▁a ▁\x00🙂é"), (10**6 + 1, ""), (10**6 + 2, None)]))
