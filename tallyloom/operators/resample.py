@@ -1,8 +1,14 @@
-"""Bootstrap confidence intervals: replicate multiplicities of documents, then weighted contingency tables."""
+"""Bootstrap confidence intervals: replicate multiplicities of documents, then weighted contingency tables.
+
+Documents whose labels are all alike are interchangeable, so n draws of n documents are a multinomial draw over the joint
+label patterns: the replicates are as large as the patterns, whatever the number of documents, and no document is left out.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import agreement
@@ -19,16 +25,35 @@ def multiplicities(spark, reps: int, n: int, seed: int) -> DataFrame:
     return t.select("rep", draw(seed, n).alias("row_no")).groupBy("rep", "row_no").agg(F.count("*").alias("w"))
 
 
-def kappa_replicates(patterns: DataFrame, reps: int, seed: int) -> DataFrame:
-    """Kappa of each replicate from (row_no, field, pair, left, right): one draw of rows for all fields and pairs.
+def label_patterns(pairs: DataFrame) -> DataFrame:
+    """pattern_no (from 0), cells (the field, pair, left, right of a document), n documents that have them.
 
-    Cells are counted for each row_no first, so with groups of documents as row_no the replicates stay small.
+    row_no is any key of documents. The patterns are bounded by the labels, so one task numbers them.
     """
-    patterns = patterns.groupBy("row_no", "field", "pair", "left", "right").agg(F.count("*").alias("n"))
-    n = patterns.agg(F.count_distinct("row_no")).first()[0]
-    w = multiplicities(patterns.sparkSession, reps, n, seed)
+    d = pairs.groupBy("row_no").agg(F.sort_array(F.collect_list(F.struct("field", "pair", "left", "right"))).alias("cells"))
+    p = d.groupBy("cells").agg(F.count("*").alias("n"))
+    return p.select((F.row_number().over(Window.orderBy("cells")) - 1).alias("pattern_no"), "cells", "n")
+
+
+def pattern_draws(patterns: DataFrame, reps: int, seed: int) -> DataFrame:
+    """rep, pattern_no, w: how often documents of each pattern are drawn when as many are drawn as there are."""
+
+    def draw_one(t: pa.Table) -> pa.Table:
+        t = t.sort_by("pattern_no")
+        n = t["n"].to_numpy()
+        w = np.random.default_rng([seed, t["rep"][0].as_py()]).multinomial(int(n.sum()), n / n.sum())
+        return pa.table({"rep": t["rep"], "pattern_no": t["pattern_no"], "w": pa.array(w, pa.int64())})
+
+    t = patterns.sparkSession.range(reps).withColumnRenamed("id", "rep").crossJoin(patterns.select(F.col("pattern_no").cast("long").alias("pattern_no"), "n"))
+    return t.groupBy("rep").applyInArrow(draw_one, "rep long, pattern_no long, w long").where("w > 0")
+
+
+def kappa_replicates(patterns: DataFrame, reps: int, seed: int) -> DataFrame:
+    """Kappa of each replicate from (row_no, field, pair, left, right): one draw of documents for all fields and pairs."""
+    p = label_patterns(patterns)
     keys = ["rep", "field", "pair"]
-    return agreement.kappa(agreement.contingency(patterns.join(w, "row_no"), keys, F.col("w") * F.col("n")), keys)
+    t = pattern_draws(p, reps, seed).join(p.select("pattern_no", F.explode("cells").alias("x")), "pattern_no").select("rep", "w", "x.*")
+    return agreement.kappa(agreement.contingency(t, keys, F.col("w")), keys)
 
 
 def interval(t: DataFrame, keys: list[str], value: str = "value", lo: float = 0.025, hi: float = 0.975) -> DataFrame:

@@ -631,9 +631,7 @@ def _(spark, sf):
 # ---------------------------------------------------------------- resampling, audit
 @query("bootstrap_kappa_ci")
 def _(spark, sf):
-    # documents are resampled in 200 groups by hash, so replicates stay small whatever the number of documents
-    p = S.pairs(spark, sf).withColumn("row_no", F.pmod(F.xxhash64("doc_id"), F.lit(200)))
-    k = resample.kappa_replicates(p, 100, 42)
+    k = resample.kappa_replicates(S.pairs(spark, sf).withColumnRenamed("doc_id", "row_no"), 100, 42)
     return resample.interval(k.withColumnRenamed("kappa", "value"), FP)
 
 

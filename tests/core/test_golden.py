@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import domains, labels, stats, text
 from tallyloom.operators import agreement, audit, claims, cohort, embedding, longform, quality, resample, sections, votes
+from tallyloom.plans import catalog
 from tallyloom.sources import readers, sinks
 
 
@@ -250,6 +251,27 @@ def test_bootstrap(spark):
     assert {r.w for r in w} == {30}
 
 
+def test_bootstrap_draws_every_document(spark):
+    """Document numbers with gaps: each replicate has n draws, and every label pattern is drawn as often as its share."""
+    rows = [(1000 * i, "f", "A_B", f"l{i % 4}", "yes" if i % 3 else "no") for i in range(120)]
+    p = frame(spark, rows, "row_no long, field string, pair string, left string, right string")
+    assert {r.n for r in resample.kappa_replicates(p, 50, 1).collect()} == {120}
+    patterns = resample.label_patterns(p)
+    share = {r.pattern_no: r.n for r in patterns.collect()}
+    assert sorted(share.values()) == [10] * 4 + [20] * 4
+    draws = resample.pattern_draws(patterns, 400, 1).groupBy("pattern_no").agg(F.sum("w").alias("w")).collect()
+    assert len(draws) == 8 and all(r.w / 400 == pytest.approx(share[r.pattern_no], abs=1.2) for r in draws)
+    assert resample.kappa_replicates(p.limit(0), 5, 1).count() == 0
+
+
+def test_bootstrap_query_draws_documents(spark, sf, monkeypatch):
+    seen, whole = [], resample.kappa_replicates
+    monkeypatch.setattr(resample, "kappa_replicates", lambda *a: seen.append(whole(*a)) or seen[0])
+    catalog.QUERIES["bootstrap_kappa_ci"](spark, sf)
+    n = spark.read.parquet(f"{sf}/documents.parquet").count()
+    assert {(r.n, r.k) for r in seen[0].groupBy("n").agg(F.count("*").alias("k")).collect()} == {(n, 900)}
+
+
 def test_derivative_of_a_square(spark):
     t = frame(spark, [("r", x, x * x) for x in (0.0, 1.0, 3.0, 4.0)], "k string, x double, y double")
     assert [r.rate for r in quality.derivative(t, ["k"], "x", "y").orderBy("x").collect()] == [1.0, 2.0, 6.0, 7.0]
