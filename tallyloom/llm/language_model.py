@@ -4,9 +4,15 @@ Documents are dealt into blocks. Each block sends its distinct words (64-bit has
 counters, which add them up and reply to each block with the counts of its words; totals come from the same counters. So
 the vocabulary is never in one place, whatever its size.
 
-Exchange clustering: the CLUSTERED most frequent words, and ENDINGS groups of all other words (by their last letters), are
-assigned to CLASSES classes by moving one at a time to the class with the largest likelihood of the class bigrams, until
-nothing moves. What it works on is bounded by these parameters; its counts are those of all training documents.
+Exchange clustering, in two levels:
+1. The CLUSTERED most frequent words, and ENDINGS groups of all other words (by their last letters), are assigned to
+   CLASSES classes by moving one at a time to the class with the largest likelihood of the class bigrams, until nothing
+   moves or SWEEPS passes are over.
+2. Every other word of LEAST training occurrences or more then moves by itself to its best class, by its counts of
+   neighbouring classes. They are gathered as the counts are (blocks send, counters reply), so the clustered vocabulary
+   grows with the training documents. Words of a sweep move at once; sweeps end when the likelihood gains less than
+   TOLERANCE of its size or after TAIL_SWEEPS, and the best classes are taken. Rarer words keep the class of their ending.
+Class bigrams are counts of all training documents.
 
 Probability of a word w after a word of class d, with c its training count, N all tokens and n1 the words seen once:
     unseen word: u = (n1 + 1) / (N + 2), the share of words to be expected new (one symbol stands for all unseen words)
@@ -29,6 +35,7 @@ from . import textops
 from .common import cut, documents, text_hash
 
 CLUSTERED, ENDINGS, CLASSES, ALPHA, MIX, SWEEPS = 1000, 255, 64, 1.0, 0.98, 8
+LEAST, TAIL_SWEEPS, TOLERANCE = 2, 2, 1e-4
 BLOCK_BYTES = 8 << 20
 
 
@@ -131,9 +138,6 @@ def exchange(n: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.
     c = np.zeros((classes, classes))
     np.add.at(c, (of[:, None], of[None, :]), n)
 
-    def f(x):
-        return np.where(x > 0, x * np.log(np.maximum(x, 1)), 0.0)
-
     for _ in range(sweeps):
         moved = 0
         for w in np.argsort(-freq[: m - 1], kind="stable").tolist():
@@ -148,14 +152,7 @@ def exchange(n: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.
             c[a, :] -= out
             c[:, a] -= into
             c[a, a] -= own
-            row, col = c.sum(1), c.sum(0)
-            # joining class b adds out to its row, into to its column, and all that lies between w and b to its diagonal
-            gain = (f(c + out) - f(c)).sum(1) + (f(c.T + into) - f(c.T)).sum(1)
-            d = np.diag(c)
-            gain += f(d + out + into + own) - f(d + out) - f(d + into) + f(d)
-            gain -= f(row + out.sum() + own) - f(row) + f(col + into.sum() + own) - f(col)
-            gain[classes - 1] = -np.inf
-            b = int(gain.argmax()) if gain.max() > gain[a] + 1e-9 else a
+            b = best_class(c, out, into, own, a)
             moved += b != a
             of[w] = b
             c[b, :] += out
@@ -166,32 +163,131 @@ def exchange(n: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.
     return of
 
 
+def f(x):
+    return np.where(x > 0, x * np.log(np.maximum(x, 1)), 0.0)
+
+
+def likelihood(c: np.ndarray) -> float:
+    """Of class bigrams, without what doesn't depend on the classes."""
+    return float(f(c).sum() - f(c.sum(1)).sum() - f(c.sum(0)).sum())
+
+
+def best_class(c: np.ndarray, out: np.ndarray, into: np.ndarray, own: float, a: int) -> int:
+    """The class that a unit of class a, taken out of the class bigrams c, is to join; the last class is closed."""
+    row, col = c.sum(1), c.sum(0)
+    # joining class b adds out to its row, into to its column, and all that lies between w and b to its diagonal
+    gain = (f(c + out) - f(c)).sum(1) + (f(c.T + into) - f(c.T)).sum(1)
+    d = np.diag(c)
+    gain += f(d + out + into + own) - f(d + out) - f(d + into) + f(d)
+    gain -= f(row + out.sum() + own) - f(row) + f(col + into.sum() + own) - f(col)
+    gain[-1] = -np.inf
+    return int(gain.argmax()) if gain.max() > gain[a] + 1e-9 else a
+
+
 class Model:
     def __init__(self, top: np.ndarray, of: np.ndarray, n: np.ndarray, tokens: int, types: int, once: int, ends: int):
         self.top, self.of, self.tokens, self.types, self.ends = top, of, tokens, types, ends
         classes = int(of.max()) + 1
         c = np.zeros((classes, classes))
         np.add.at(c, (of[:, None], of[None, :]), n)
-        share = c.sum(0) / max(1, c.sum())
+        self.new = (once + 1) / (tokens + 2)
+        self.fit(c)
+
+    def fit(self, c: np.ndarray) -> None:
+        """Take c as the class bigrams."""
+        self.bigrams, share = c, c.sum(0) / max(1, c.sum())
         self.step = (c + ALPHA * share) / (c.sum(1, keepdims=True) + ALPHA)
         self.size = c.sum(0)
-        self.new = (once + 1) / (tokens + 2)
+
+    def known(self, vocabulary, h, order, replies):
+        """Training count and class of each word of a block, and which words (in order of h) are classed by themselves."""
+        replies, n = replies.sort_by("bucket"), np.zeros(len(h), np.int64)
+        n[order] = np.frombuffer(b"".join(x for x in replies["counts"].to_pylist() if x is not None), np.int64)
+        u = units(vocabulary, h, self.top, len(self.top) + ENDINGS) if len(h) else np.zeros(0, np.int64)
+        k, tail = self.of[u], order[(u[order] >= len(self.top)) & (n[order] >= LEAST)]
+        if sent := [x for x in replies["classes"].to_pylist() if x is not None]:
+            k[tail] = np.frombuffer(b"".join(sent), np.uint8)
+        return n, k, tail
+
+    def contexts(self, bits: int, gather: bool):
+        """Blocks -> their class bigrams (bucket -1); and, if to be gathered, the neighbouring classes of their other words by bucket."""
+        classes = len(self.bigrams)
+
+        def send(t, replies):
+            codes, counts, vocabulary, h, order = block_words(t)
+            _, k, tail = self.known(vocabulary, h, order, replies)
+            learn = t["learn"].to_numpy(zero_copy_only=False).astype(bool)
+            word = codes[np.repeat(learn, counts)] if len(codes) else np.zeros(0, np.int64)
+            counts = counts[learn]
+            stream = np.full(len(word) + len(counts) + 1, len(h))
+            stream[1 + np.arange(len(word)) + np.repeat(np.arange(len(counts)), counts)] = word
+            before, after = stream[:-1], stream[1:]
+            of = np.append(k, classes - 1)
+            c = np.bincount(of[before] * classes + of[after], minlength=classes * classes).astype(np.int64)
+            rows = [(-1, b"", b"", b"", b"", c.tobytes())]
+            if gather and len(tail):
+                place, width = np.full(len(h) + 1, -1), 2 * classes + 1
+                place[tail] = np.arange(len(tail))
+                x, y = place[before], place[after]
+                own = (before == after) & (x >= 0)
+                a, b = (x >= 0) & ~own, (y >= 0) & ~own
+                keys = np.concatenate((x[a] * width + of[after[a]], y[b] * width + classes + of[before[b]], x[own] * width + 2 * classes))
+                keys, n = np.unique(keys, return_counts=True)
+                at, to = cut_up(h[tail], bits), None
+                to = np.searchsorted(keys, np.asarray(at) * width)
+                for j in range(1 << bits):
+                    if at[j + 1] > at[j]:
+                        mine = tail[at[j] : at[j + 1]]
+                        rows.append((j, h[mine].tobytes(), k[mine].astype(np.uint8).tobytes(), (keys[to[j] : to[j + 1]] - at[j] * width).tobytes(), n[to[j] : to[j + 1]].astype(np.uint32).tobytes(), None))
+            block = t["block"][0].as_py() if len(t) else -1
+            return pa.Table.from_pylist([dict(zip(("bucket", "data", "classes", "keys", "n", "bigrams"), r, strict=True), block=block) for r in rows], CONTEXT_ROWS).select(CONTEXT_ROWS.names)
+
+        return send
+
+    def mover(self):
+        """Counters: the best class of each word by its neighbouring classes in all blocks."""
+        c, classes = self.bigrams, len(self.bigrams)
+
+        def move(key, t):
+            sent = [np.frombuffer(x, np.uint64) for x in t["data"].to_pylist()]
+            at, width = np.cumsum([0, *map(len, sent)]), 2 * classes + 1
+            values, inverse = np.unique(np.concatenate(sent), return_inverse=True)
+            was = np.zeros(len(values), np.int64)
+            was[inverse] = np.frombuffer(b"".join(t["classes"].to_pylist()), np.uint8)
+            keys = []
+            for first, x in zip(at, t["keys"].to_pylist(), strict=False):
+                x = np.frombuffer(x, np.int64)
+                keys.append(inverse[first + x // width] * width + x % width)
+            keys, where = np.unique(np.concatenate(keys), return_inverse=True)
+            n = np.bincount(where, np.frombuffer(b"".join(t["n"].to_pylist()), np.uint32), len(keys))
+            to = np.searchsorted(keys, np.arange(len(values) + 1) * width)
+            now = was.copy()
+            for w in range(len(values)):
+                x = np.zeros(width)
+                x[keys[to[w] : to[w + 1]] - w * width] = n[to[w] : to[w + 1]]
+                out, into, own, a = x[:classes], x[classes:-1], x[-1], was[w]
+                left = c.copy()
+                left[a, :] -= out
+                left[:, a] -= into
+                left[a, a] -= own
+                now[w] = best_class(left, out, into, own, a)
+            mine = now[inverse].astype(np.uint8)
+            return pa.table({"block": t["block"], "bucket": t["bucket"], "counts": pa.nulls(len(sent), pa.binary()), "classes": pa.array([mine[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)], pa.binary())})
+
+        return move
 
     def score(self, t, replies):
         codes, counts, vocabulary, h, order = block_words(t)
-        n = np.zeros(len(h), np.int64)
-        n[order] = np.frombuffer(b"".join(replies.sort_by("bucket")["counts"].to_pylist()), np.int64)
-        end = len(self.top) + ENDINGS
+        n, classes, _ = self.known(vocabulary, h, order, replies)
         last = np.cumsum(counts + 1) - 1
         at = np.arange(len(codes)) + np.repeat(np.arange(len(counts)), counts)
-        c, u = np.zeros(len(codes) + len(counts), np.int64), np.full(len(codes) + len(counts), end)
+        c, k = np.zeros(len(codes) + len(counts), np.int64), np.full(len(codes) + len(counts), self.of[-1])
         c[at], c[last] = n[codes], self.ends
         if len(codes):
-            u[at] = units(vocabulary, h, self.top, end)[codes]
+            k[at] = classes[codes]
         base = np.log10((c + 1) / (self.tokens + 1 * (self.types + 1)))
         if self.tokens:
-            k = self.of[u]
-            before = np.concatenate(([self.of[end]], k[:-1]))
+            before = np.concatenate((self.of[-1:], k[:-1]))
             p = MIX * self.step[before, k] * c / np.maximum(1, self.size[k]) + (1 - MIX) * c / self.tokens
             p = np.where(c > 0, (1 - self.new) * p, self.new)
             own = np.log10(p)
@@ -203,6 +299,48 @@ class Model:
         return pa.table({"doc_id": t["doc_id"], "held_out": t["held_out"], "n_tokens": pa.array(counts + 1), "n_known": pa.array(add((c > 0).astype(np.int64)), pa.int64()), "train_tokens": pa.array(np.full(many, self.tokens), pa.int64()), "base_score": pa.array(add(base), pa.float64()), "score": pa.array(add(own), pa.float64())})
 
 
+CONTEXT_ROWS = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("data", pa.binary()), ("classes", pa.binary()), ("keys", pa.binary()), ("n", pa.binary()), ("bigrams", pa.binary())])
+CONTEXTS = "bucket int, block int, data binary, classes binary, keys binary, n binary, bigrams binary"
+
+
+def added(batches):
+    """The sum of class bigrams of a partition."""
+    total = None
+    for b in batches:
+        for x in b["bigrams"].to_pylist():
+            x = np.frombuffer(x, np.int64)
+            total = x if total is None else total + x
+    if total is not None:
+        yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], ["bigrams"])
+
+
+def classed(d: DataFrame, replies: DataFrame, model: Model, bits: int) -> DataFrame:
+    """Class all other words by themselves: replies with their classes. The model takes over the class bigrams."""
+    spark, kept = d.sparkSession, replies
+
+    def count(to: DataFrame, gather: bool) -> tuple[DataFrame, np.ndarray]:
+        known = spark.sparkContext.broadcast(model)  # bounded by CLUSTERED, ENDINGS and CLASSES
+        sent = d.groupBy("block").cogroup(to.groupBy("block")).applyInArrow(lambda t, r: known.value.contexts(bits, gather)(t, r), CONTEXTS)
+        sent = cut(sent, "contexts")
+        c = [np.frombuffer(r.bigrams, np.int64) for r in sent.where("bucket < 0").select("bigrams").mapInArrow(added, "bigrams binary").collect()]
+        return sent.where("bucket >= 0"), np.sum(c, 0).reshape(model.bigrams.shape).astype(float)
+
+    for sweep in range(TAIL_SWEEPS):
+        if not sweep:
+            sent, _ = count(kept, True)
+        moved = spark.sparkContext.broadcast(model)
+        classes = cut(sent.groupBy("bucket").applyInArrow(lambda k, t: moved.value.mover()(k, t), "block int, bucket int, counts binary, classes binary"), "classes")
+        to = replies.unionByName(classes)
+        sent, c = count(to, sweep + 1 < TAIL_SWEEPS)
+        gain = likelihood(c) - likelihood(model.bigrams)
+        if gain > 0:
+            model.fit(c)
+            kept = to
+        if gain <= TOLERANCE * abs(likelihood(model.bigrams)):
+            break
+    return kept
+
+
 SCORES = "doc_id {}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -226,8 +364,10 @@ def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES, clustered: int = CLUS
     n[learned["pair"].to_numpy()] = learned["n"].to_numpy()  # at most m * m rows
     n = n.reshape(m, m)
     model = Model(top, exchange(n), n, tokens, types, once, ends)
+    replies = replies.where("block >= 0").select("block", "bucket", "counts", F.lit(None).cast("binary").alias("classes"))
+    if types > len(top) + 1 and tokens:
+        replies = classed(d, replies, model, bits)
     known = docs.sparkSession.sparkContext.broadcast(model)  # bounded by CLUSTERED, ENDINGS and CLASSES
-    replies = replies.where("block >= 0").select("block", "bucket", "counts")
     return d.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(lambda t, r: known.value.score(t, r), SCORES.format(docs.schema["doc_id"].dataType.simpleString()))
 
 

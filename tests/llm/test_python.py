@@ -168,6 +168,15 @@ def test_layer_positions():
     assert a <= 2 + 5 * 8 // 6 + 1 and b <= len(text) and b - a < len(text) - 6
 
 
+def test_words_outside_the_core_get_classes(spark):
+    """Words of two kinds alternate; their endings tell nothing, and only a few are among the clustered ones."""
+    r = np.random.default_rng(6)
+    kinds = [[f"{a}{i}zz" for i in range(300)] for a in "xy"]
+    docs = table(spark, [(i, " ".join(str(r.choice(kinds[(j + i) % 2])) for j in range(100))) for i in range(300)])
+    held = [x for x in language_model.score(docs, clustered=120).collect() if x.held_out]
+    assert sum(x.score - x.base_score for x in held) > 0.2 * sum(x.n_tokens for x in held)  # log10(2) is 0.301
+
+
 def b64(data):
     return base64.b64encode(data).decode()
 
