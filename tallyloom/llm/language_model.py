@@ -172,14 +172,18 @@ def likelihood(c: np.ndarray) -> float:
     return float(f(c).sum() - f(c.sum(1)).sum() - f(c.sum(0)).sum())
 
 
-def best_class(c: np.ndarray, out: np.ndarray, into: np.ndarray, own: float, a: int) -> int:
-    """The class that a unit of class a, taken out of the class bigrams c, is to join; the last class is closed."""
-    row, col = c.sum(1), c.sum(0)
+def best_class(c: np.ndarray, out: np.ndarray, into: np.ndarray, own: float, a: int, sums: tuple | None = None) -> int:
+    """The class that a unit of class a, taken out of the class bigrams c, is to join; the last class is closed.
+
+    sums: those of rows and columns, with the unit counted as its neighbours' neighbour.
+    """
+    row, col = (c.sum(1) + into, c.sum(0) + out) if sums is None else sums
     # joining class b adds out to its row, into to its column, and all that lies between w and b to its diagonal
-    gain = (f(c + out) - f(c)).sum(1) + (f(c.T + into) - f(c.T)).sum(1)
-    d = np.diag(c)
-    gain += f(d + out + into + own) - f(d + out) - f(d + into) + f(d)
-    gain -= f(row + out.sum() + own) - f(row) + f(col + into.sum() + own) - f(col)
+    o, i = np.flatnonzero(out), np.flatnonzero(into)
+    x, y, d = c[:, o], c[i].T, np.diag(c)
+    gain = (f(x + out[o]) - f(x)).sum(1) + (f(y + into[i]) - f(y)).sum(1)
+    v = f(np.stack((d + out + into + own, d + out, d + into, d, row + out.sum() + own, row, col + into.sum() + own, col)))
+    gain += v[0] - v[1] - v[2] + v[3] - v[4] + v[5] - v[6] + v[7]
     gain[-1] = -np.inf
     return int(gain.argmax()) if gain.max() > gain[a] + 1e-9 else a
 
@@ -261,7 +265,7 @@ class Model:
             keys, where = np.unique(np.concatenate(keys), return_inverse=True)
             n = np.bincount(where, np.frombuffer(b"".join(t["n"].to_pylist()), np.uint32), len(keys))
             to = np.searchsorted(keys, np.arange(len(values) + 1) * width)
-            now = was.copy()
+            now, rows, columns = was.copy(), c.sum(1), c.sum(0)
             for w in range(len(values)):
                 x = np.zeros(width)
                 x[keys[to[w] : to[w + 1]] - w * width] = n[to[w] : to[w + 1]]
@@ -270,7 +274,10 @@ class Model:
                 left[a, :] -= out
                 left[:, a] -= into
                 left[a, a] -= own
-                now[w] = best_class(left, out, into, own, a)
+                row, col = rows.copy(), columns.copy()
+                row[a] -= out.sum() + own
+                col[a] -= into.sum() + own
+                now[w] = best_class(left, out, into, own, a, (row, col))
             mine = now[inverse].astype(np.uint8)
             return pa.table({"block": t["block"], "bucket": t["bucket"], "counts": pa.nulls(len(sent), pa.binary()), "classes": pa.array([mine[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)], pa.binary())})
 

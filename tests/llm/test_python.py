@@ -168,6 +168,21 @@ def test_layer_positions():
     assert a <= 2 + 5 * 8 // 6 + 1 and b <= len(text) and b - a < len(text) - 6
 
 
+def test_best_class_has_the_best_likelihood():
+    r = np.random.default_rng(8)
+    for _ in range(30):
+        c = r.integers(0, 40, (6, 6)).astype(float)
+        out, into, own, a = r.integers(0, 3, 6).astype(float), r.integers(0, 3, 6).astype(float), float(r.integers(0, 2)), int(r.integers(5))
+        every = []
+        for b in range(5):
+            x = c.copy()
+            x[b] += out
+            x[:, b] += into
+            x[b, b] += own
+            every.append(language_model.likelihood(x))
+        assert every[language_model.best_class(c, out, into, own, a)] == pytest.approx(max(every), abs=1e-6)
+
+
 def test_words_outside_the_core_get_classes(spark):
     """Words of two kinds alternate; their endings tell nothing, and only a few are among the clustered ones."""
     r = np.random.default_rng(6)
