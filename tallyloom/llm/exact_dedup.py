@@ -71,11 +71,9 @@ def name(blocks: DataFrame, level: str) -> DataFrame:
     many = [r.h for r in ends.groupBy("h").agg(F.count_distinct("range_id").alias("n")).where("n > 1").select("h").collect()]
     names = (F.shiftleft(F.col("range_id").cast("long"), 40) + F.col("run")).alias("name")
     own = t.where("own").select("row_id", "pos", "range_id", "run")
-    if not many:
-        return own.select("row_id", "pos", names)
     first: dict[tuple[int, bytes], int] = {}
-    moved = []
-    for r in sorted(ends.where(F.col("h").isin(many)).collect(), key=lambda r: (r.range_id, r.run)):
+    moved = [(-1, -1, -1)]  # never empty: the plan is the same whether or not a run crosses a border
+    for r in sorted(ends.where(F.col("h").isin(many)).collect() if many else [], key=lambda r: (r.range_id, r.run)):
         got = first.setdefault((r.h, bytes(r.content)), (r.range_id << 40) + r.run)
         moved.append((r.range_id, r.run, got))
     moved_df = F.broadcast(spark.createDataFrame(moved, "range_id int, run long, moved long"))  # a few rows a partition
