@@ -18,6 +18,8 @@ of their own; an empty table has no slots; other columns are ignored.
 from __future__ import annotations
 
 import os
+import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,9 @@ from .common import cut, delete_at_end, documents, parts, shared_path, text_hash
 
 SEQUENCE, SHARD_ROWS, ROUNDS, KEY = 1024, 4096, 6, 20240229
 BLANK, FIRST_BYTE = "▁", 3
+WORDS = re.compile(" +[^ ]*")
+#: Characters of distinct words whose ids a task holds before it begins anew.
+KNOWN_CHARS = 4 << 20
 ROWS = "doc_id {}, text_hash long, range_id int, number long, seq_no int, n_tokens int, tokens binary"
 
 
@@ -42,12 +47,46 @@ def default_model() -> str:
 
 
 class Tokenizer:
+    """Encodes word by word, each distinct word once, where no piece of the model reaches over a blank into the next word:
+    merges then never cross words, so the ids are those of the whole text (else it encodes whole texts)."""
+
     def __init__(self, path: str):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+        pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
+        self.by_word = BLANK in pieces and not any(BLANK in p.lstrip(BLANK) for p in pieces)
+        self.alone = {"": np.asarray([self.model.piece_to_id(BLANK)], "<u2").tobytes()}
+        self.known, self.held = dict(self.alone), 0
+
+    def words(self, text: str) -> list[str]:
+        """The words, each with the blanks before it but for one (which encoding adds)."""
+        if text[:1] == " " or "  " in text:
+            return [w[1:] for w in WORDS.findall(" " + text)]
+        return text.split(" ")
+
+    def learn(self, new: list[str]) -> None:
+        ids = self.model.encode(new, num_threads=1)
+        n = np.fromiter(map(len, ids), np.int64, len(ids))
+        every = np.fromiter(chain.from_iterable(ids), "<u2", int(n.sum())).tobytes()
+        ends = np.cumsum(2 * n).tolist()
+        self.known.update(zip(new, (every[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
+        self.held += sum(map(len, new))
+
+    def raw(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, two bytes each."""
+        if not self.by_word:
+            return [np.asarray(x, "<u2").tobytes() for x in self.encode(texts)]
+        mark = np.asarray([FIRST_BYTE + b for b in BLANK.encode()], "<u2").tobytes()
+        split = [[self.words(part) if part else [] for part in (t.split(BLANK) if BLANK in t else [t])] for t in texts]
+        if self.held > KNOWN_CHARS:
+            self.known, self.held = dict(self.alone), 0
+        self.learn(list({w for parts_ in split for x in parts_ for w in x}.difference(self.known)))
+        get = self.known.__getitem__
+        return [mark.join([b"".join(map(get, x)) for x in parts_]) for parts_ in split]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
+        """The ids of each text, encoded whole."""
         out = self.model.encode([t if BLANK not in t else "" for t in texts], num_threads=1)
         for i, t in enumerate(texts):
             if BLANK in t:
@@ -75,10 +114,9 @@ def tokeniser(path: str, sequence: int):
             tok = tok or Tokenizer(path)
             ids, hashes = b["doc_id"].to_pylist(), b["text_hash"].to_pylist()
             at, seq, n, data = [], [], [], []
-            runs = textops.chunks([t or "" for t in b["text"].to_pylist()], 2 << 20)  # lists of ids are large
-            for i, tokens in enumerate(x for run_ in runs for x in tok.encode(run_)):
-                raw = np.asarray(tokens, "<u2").tobytes()
-                for s in range(max(1, -(-len(tokens) // sequence))):
+            runs = textops.chunks([t or "" for t in b["text"].to_pylist()], 2 << 20)
+            for i, raw in enumerate(x for run_ in runs for x in tok.raw(run_)):
+                for s in range(max(1, -(-len(raw) // (2 * sequence)))):
                     piece = raw[2 * sequence * s : 2 * sequence * (s + 1)]
                     at.append(i)
                     seq.append(s)
