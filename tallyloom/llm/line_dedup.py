@@ -12,6 +12,8 @@ earlier in the corpus (by doc_id, then text hash, then line number) is dropped;
    being the other's variant. Each line is joined to the earliest of a key, never to all, so groups stay linear.
 4. The edit distance of each pair is verified on the words.
 
+Equal lines are told by 128 bits of hash over their words.
+
 Defined results: null and empty texts have no lines; null ids come last; repeated rows are documents of their own, whose
 order follows an internal row number, so all but one lose all lines that aren't blank; other columns are ignored.
 """
@@ -20,8 +22,9 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import textops
 from .common import BLANKS, LOWER, UPPER, cut, documents, ordered_offsets, text_hash
@@ -33,28 +36,76 @@ def line_words(line: Column) -> Column:
     return F.filter(F.split(F.translate(line, UPPER, LOWER), BLANKS), lambda w: w != "")
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """A row for each line that isn't blank: place (its order in the corpus), words; and one with words null for each text."""
-    d = docs.select("doc_id", text_hash().alias("text_hash"), F.monotonically_increasing_id().alias("row_id"), F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
-    d = d.select("doc_id", "text_hash", "row_id", F.posexplode("lines").alias("line_no", "line"))
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "row_id", "line_no")
-    return d.select(place.alias("place"), line_words(F.col("line")).alias("words"))
-
-
 def joined(w: Column) -> Column:
     return F.array_join(w, " ")
 
 
-def keyed_lines(docs: DataFrame) -> DataFrame:
-    """place, key (hash of the words; null for blank lines), n, halves (hashes: of n and n + 1 words, first and last half)."""
-    t = lines(docs).select("place", "words", F.size("words").alias("n"))
+BASE, AGAIN = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+
+
+class Sums:
+    """Hashes of stretches of a stream of word hashes, each from the words in it alone."""
+
+    def __init__(self, w: np.ndarray, base: int):
+        n = len(w)
+        power, self.back = np.ones(n + 1, np.uint64), np.ones(n + 1, np.uint64)
+        power[1:] = np.cumprod(np.full(n, base, np.uint64))
+        self.back[1:] = np.cumprod(np.full(n, pow(base, -1, 1 << 64), np.uint64))
+        self.at = np.concatenate((np.zeros(1, np.uint64), np.cumsum(w * power[:n])))
+
+    def of(self, a: np.ndarray, b: np.ndarray, *more: np.ndarray | int) -> np.ndarray:
+        out = (self.at[b] - self.at[a]) * self.back[a]
+        for x in more:
+            out = textops.mixed(out + np.asarray(x).astype(np.uint64) * np.uint64(AGAIN))
+        return out.view(np.int64)
+
+
+def line_keys(texts: list[str | None]) -> tuple[np.ndarray, ...]:
+    """For each line of each text: which text, line number, words, 128 bits of its words (key, key2) and hashes of its halves."""
+    every, counts, of, nos = [], [], [], []
+    for i, t in enumerate(texts):
+        found = (t or "").encode().translate(textops.LOWERED).split(b"\n")
+        for line in found:
+            w = line.split()
+            counts.append(len(w))
+            every += w
+        of.append(np.full(len(found), i, np.int32))
+        nos.append(np.arange(len(found), dtype=np.int32))
+    d = pa.array(every, pa.large_binary()).dictionary_encode()
+    codes, vocabulary = d.indices.to_numpy(), d.dictionary.to_pylist()
+    one, two = (Sums(textops.mixed(textops.hashes(vocabulary, seed)[codes]) if len(codes) else np.zeros(0, np.uint64), base) for seed, base in ((0, BASE), (1, AGAIN)))
+    n = np.array(counts, np.int64)
+    end = np.cumsum(n)
+    first = end - n
     halves = []
     for longer in (0, 1):
-        size = F.col("n") + longer
-        q = F.floor((size - 1) / 2).cast("int")
-        first, last = F.slice("words", 1, q), F.slice("words", F.greatest(F.col("n") - (size - q) + 2, F.lit(1)), F.greatest(size - q - 1, F.lit(0)))
-        halves += [F.xxhash64(F.lit("first"), size, joined(first)), F.xxhash64(F.lit("last"), size, joined(last))]
-    return t.select("place", F.when(F.col("n") > 0, F.xxhash64(joined(F.col("words")))).alias("key"), F.when(F.col("n") >= MIN_WORDS - 1, F.array(*halves)).alias("halves"))
+        size = n + longer
+        q = np.maximum((size - 1) // 2, 0)
+        halves += [one.of(first, first + np.minimum(q, n), size, 1), one.of(end - np.clip(size - q - 1, 0, n), end, size, 2)]
+    return np.concatenate(of), np.concatenate(nos), n, one.of(first, end, n), two.of(first, end, n), np.stack(halves, 1)
+
+
+def keyer(batches):
+    import pyarrow.compute as pc
+
+    for b in batches:
+        at = 0
+        for texts in textops.chunks(b["text"].to_pylist()):
+            of, nos, n, key, key2, halves = line_keys(texts)
+            whose, blank, long = pa.array(of + at), n == 0, n >= MIN_WORDS - 1
+            halves = pa.ListArray.from_arrays(pa.array(4 * np.arange(len(n) + 1), pa.int32()), pa.array(halves.ravel()))
+            halves = pc.if_else(pa.array(long), halves, pa.nulls(len(n), halves.type))
+            yield pa.record_batch([*(b[c].take(whose) for c in ("doc_id", "text_hash", "row_id")), pa.array(nos), pa.array(key, mask=blank), pa.array(key2, mask=blank), halves], ["doc_id", "text_hash", "row_id", "line_no", "key", "key2", "halves"])
+            at += len(texts)
+
+
+def keyed_lines(docs: DataFrame) -> DataFrame:
+    """A row for each line: place (its order in the corpus), key and key2 (of its words; null for blank lines), halves (hashes:
+    of n and n + 1 words, first and last half; null for short lines)."""
+    d = docs.select("doc_id", text_hash().alias("text_hash"), F.monotonically_increasing_id().alias("row_id"), "text")
+    schema = StructType([*d.drop("text").schema, *StructType.fromDDL("line_no int, key long, key2 long, halves array<long>")])
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "row_id", "line_no")
+    return d.mapInArrow(keyer, schema).select(place.alias("place"), "key", "key2", "halves")
 
 
 VARIANTS = "rank long, h long, at int"
@@ -96,23 +147,23 @@ def within_one(a: Column, b: Column) -> Column:
 
 
 def near_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """All lines (place, key), distinct lines (key, first place), and the keys of those with an earlier near line."""
+    """All lines (place, key, key2), distinct lines (and their first place), and the keys of those with an earlier near line."""
     every = cut(keyed_lines(docs), "all-lines")
-    d = cut(every.where("key is not null").groupBy("key").agg(F.min("place").alias("first"), F.first("halves").alias("halves")), "lines")
+    d = cut(every.where("key is not null").groupBy("key", "key2").agg(F.min("place").alias("first"), F.first("halves").alias("halves")), "lines")
     halves = d.where("halves is not null").select("key", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a != b").select("half")
-    candidates = halves.join(shared, "half", "left_semi").select("key").distinct().join(d.select("key", "first"), "key")
+    candidates = halves.join(shared, "half", "left_semi").select("key").distinct().join(d.select("key", "key2", "first"), "key")
     # the words of candidates come from their documents; of repeated rows any has them
-    wanted = candidates.groupBy("first.doc_id", "first.text_hash").agg(F.collect_list(F.struct("key", "first")).alias("wanted"))
+    wanted = candidates.groupBy("first.doc_id", "first.text_hash").agg(F.collect_list(F.struct("key", "key2", "first")).alias("wanted"))
     t = docs.select("doc_id", "text", text_hash().alias("text_hash")).alias("t")
     on = F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("t.text_hash") == F.col("w.text_hash"))
     text = t.join(wanted.alias("w"), on).select(F.split("t.text", "\n").alias("lines"), "w.wanted")
     at = lambda x: F.when(x["first"]["line_no"] < F.size("lines"), F.get("lines", x["first"]["line_no"]))
-    text = text.select(F.explode(F.transform("wanted", lambda x: F.struct(x["key"].alias("key"), x["first"].alias("first"), at(x).alias("line")))).alias("x"))
-    text = text.select("x.key", "x.first", joined(line_words(F.col("x.line"))).alias("line"))
-    text = text.groupBy("key").agg(F.first("first").alias("first"), F.first("line").alias("line"))
+    text = text.select(F.explode(F.transform("wanted", lambda x: F.struct(x["key"].alias("key"), x["key2"].alias("key2"), x["first"].alias("first"), at(x).alias("line")))).alias("x"))
+    text = text.select("x.key", "x.key2", "x.first", joined(line_words(F.col("x.line"))).alias("line"))
+    text = text.groupBy("key", "key2").agg(F.first("first").alias("first"), F.first("line").alias("line"))
     # candidates are ranked by their place, so that their many variants carry one number
-    text = cut(ordered_offsets(text, [F.asc("first"), F.asc("key")], {}, "ranked-lines").select("key", F.col("row_no").alias("rank"), "line"), "candidate-lines")
+    text = cut(ordered_offsets(text, [F.asc("first"), F.asc("key"), F.asc("key2")], {}, "ranked-lines").select("key", "key2", F.col("row_no").alias("rank"), "line"), "candidate-lines")
     v = cut(text.select("rank", "line").mapInArrow(variants, VARIANTS), "variants")
     same_place = v.where("at >= 0").groupBy("h", "at").agg(F.min("rank").alias("earlier"), F.max("rank").alias("last")).where("earlier != last").select("h", "at", "earlier")
     whole = v.where("at < 0").select("h", F.col("rank").alias("earlier"))
@@ -121,28 +172,31 @@ def near_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     pairs = pairs.unionByName(v.where("at >= 0").join(whole, "h").select("rank", "earlier"))
     pairs = pairs.unionByName(v.where("at < 0").join(less, "h").select("rank", "earlier"))
     pairs = pairs.where("rank > earlier").distinct()
-    mine, others = text.select("key", "rank", F.split("line", " ").alias("x")), text.select(F.col("rank").alias("earlier"), F.split("line", " ").alias("y"))
+    mine, others = text.select("key", "key2", "rank", F.split("line", " ").alias("x")), text.select(F.col("rank").alias("earlier"), F.split("line", " ").alias("y"))
     pairs = pairs.join(mine, "rank").join(others, "earlier").where(within_one(F.col("x"), F.col("y")))
-    return every, d, cut(pairs.select("key").distinct(), "near-lines")
+    return every, d, cut(pairs.select("key", "key2").distinct(), "near-lines")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, n_lines, n_repeated (an equal line is earlier), n_near (only a near one is), dropped (line numbers)."""
     every, d, near = near_lines(docs)
-    known = cut(d.join(near.select("key", F.lit(True).alias("near")), "key", "left").select("key", "first", F.coalesce("near", F.lit(False)).alias("near")), "known-lines")
-    t = every.select("place", "key").join(known, "key", "left").select("place", F.coalesce(F.col("place") > F.col("first"), F.lit(False)).alias("repeated"), F.coalesce("near", F.lit(False)).alias("near"))
+    known = cut(d.join(near.select("key", "key2", F.lit(True).alias("near")), ["key", "key2"], "left").select("key", "key2", "first", F.coalesce("near", F.lit(False)).alias("near")), "known-lines")
+    t = every.where("key is not null").select("place", "key", "key2").join(known, ["key", "key2"]).select("place", (F.col("place") > F.col("first")).alias("repeated"), "near")
+    t = t.unionByName(every.where("key is null").select("place", F.lit(False).alias("repeated"), F.lit(False).alias("near")))  # blank lines join nothing
     drop = F.when(F.col("repeated") | F.col("near"), F.col("place.line_no"))
     out = t.groupBy("place.doc_id", "place.text_hash", "place.row_id").agg(F.count("*").alias("n_lines"), F.count_if("repeated").alias("n_repeated"), F.count_if(F.col("near") & ~F.col("repeated")).alias("n_near"), F.sort_array(F.collect_list(drop)).alias("dropped"))
     return out.drop("row_id")
 
 
 def without_lines(docs: DataFrame) -> DataFrame:
-    """The documents with their dropped lines taken out of the text."""
-    drop = dedup_lines(docs).select("doc_id", "text_hash", "dropped").groupBy("doc_id", "text_hash").agg(F.min_by("dropped", F.size("dropped")).alias("dropped"))
+    """The documents with their dropped lines taken out of the text (of repeated rows, one keeps what is not dropped)."""
+    drop = dedup_lines(docs).select("doc_id", "text_hash", "dropped")
+    drop = drop.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "text_hash").orderBy(F.size("dropped"))))
     d = docs.withColumns({"tallyloom_id": F.col("doc_id"), "tallyloom_hash": text_hash()})
-    on = F.col("tallyloom_id").eqNullSafe(F.col("x.doc_id")) & (F.col("tallyloom_hash") == F.col("x.text_hash"))
+    d = d.withColumn("tallyloom_nth", F.row_number().over(Window.partitionBy("tallyloom_id", "tallyloom_hash").orderBy("tallyloom_hash")))
+    on = F.col("tallyloom_id").eqNullSafe(F.col("x.doc_id")) & (F.col("tallyloom_hash") == F.col("x.text_hash")) & (F.col("tallyloom_nth") == F.col("x.nth"))
     kept = F.filter(F.split(F.col("d.text"), "\n"), lambda line, i: ~F.array_contains(F.col("x.dropped"), i))
-    return d.alias("d").join(drop.alias("x"), on, "left").select(*[F.array_join(kept, "\n").alias("text") if c == "text" else F.col(f"d.{c}") for c in docs.columns])
+    return d.alias("d").join(drop.alias("x"), on, "left").select(*[F.array_join(kept, "\n").alias("text") if c == "text" else F.col(f"d.`{c}`") for c in docs.columns])
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
