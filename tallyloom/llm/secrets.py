@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents
 
-WINDOW, OVERLAP = 1 << 24, 1 << 12
+WINDOW, OVERLAP = 1 << 22, 1 << 12
 KINDS = ("assign", "access", "hex")
 #: Fixed values of the contract. Runs are maximal, so the least lengths of access and hex stand in the pattern.
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
@@ -197,7 +197,7 @@ def within(data: bytes, a: np.ndarray, b: np.ndarray) -> Iterator[Layer]:
         end = b[: len(data) - (left[-1] if left else 0)].max()
         for p in unpacked([view[m.start() :]]):
             t = p.decode("utf-8", "replace")
-            yield Layer(t, np.full(len(t), a[m.start()]), np.full(len(t), end))
+            yield Layer(t, np.broadcast_to(a[m.start()], len(t)), np.broadcast_to(end, len(t)))
 
 
 def from_base64(layer: Layer):
@@ -241,32 +241,44 @@ def from_utf16(layer: Layer):
             yield Layer(m[0][1::2], layer.start[m.start() : m.end() : 2], layer.end[m.start() + 1 : m.end() : 2])
 
 
+def decoded(layer: Layer) -> Iterator[Layer]:
+    """The layers right below a layer, one at a time."""
+    whole = []
+    if "%" in layer.text:
+        whole.append((PERCENT, percent))
+        yield from from_escapes(layer, PERCENT, percent_bytes)
+    if "\\" in layer.text:
+        whole.append((BACKSLASH, backslash))
+        yield from from_escapes(layer, BYTES, backslash_byte)
+    for pattern, decode in whole:
+        if (new := replaced(layer, pattern, decode)) is not None:
+            yield new
+    if "\0" in layer.text and layer.start is not None:
+        yield from from_utf16(layer)
+    yield from from_base64(layer)
+
+
 def all_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(base spans, base spans and those of decoded layers), each (start, kind, end)."""
     base = scan(text)
     if "%" not in text and "\\" not in text and not BASE64.search(text):
         return base, base
-    found, seen, todo = set(base), {hashlib.sha256(text.encode()).digest()}, [Layer(text)]
+    # a stack of what is still to come at each depth: one layer a depth is held at a time
+    found, seen, todo = set(base), set(), [iter([Layer(text)])]
     while todo:
-        layer = todo.pop()
+        layer = next(todo[-1], None)
+        if layer is None:
+            todo.pop()
+            continue
+        key = hashlib.sha256(layer.text.encode("utf-8", "surrogatepass")).digest() + (b"" if layer.start is None or not len(layer.start) else b"%d" % layer.start[0])
+        if key in seen:
+            continue
+        seen.add(key)
         if layer.start is not None:
             for a, kind, b in scan(layer.text):
                 x, y = layer.span(a, b)
                 found.add((x, kind, y))
-        new = []
-        if "%" in layer.text:
-            new.append(replaced(layer, PERCENT, percent))
-            new += from_escapes(layer, PERCENT, percent_bytes)
-        if "\\" in layer.text:
-            new.append(replaced(layer, BACKSLASH, backslash))
-            new += from_escapes(layer, BYTES, backslash_byte)
-        if "\0" in layer.text and layer.start is not None:
-            new += from_utf16(layer)
-        new += from_base64(layer)
-        for x in new:
-            if x is not None and (key := hashlib.sha256(x.text.encode("utf-8", "surrogatepass")).digest() + (b"" if x.start is None or not len(x.start) else b"%d" % x.start[0])) not in seen:
-                seen.add(key)
-                todo.append(x)
+        todo.append(decoded(layer))
     return base, sorted(found)
 
 
