@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 from .common import LOWER, UPPER
@@ -41,6 +42,16 @@ def chunks(texts: list[str | None], chars: int = 4 << 20):
         yield run
 
 
+def runs(texts: pa.Array, size: int):
+    """Bounds of slices of about so many bytes of text (a longer text is one of its own)."""
+    at = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64))
+    a = 0
+    while a < len(at):
+        b = max(a + 1, int(np.searchsorted(at, (at[a - 1] if a else 0) + size, "right")))
+        yield a, b
+        a = b
+
+
 def hashes(vocabulary: list[bytes], seed: int = 0) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in vocabulary), np.uint64, len(vocabulary))
 

@@ -19,10 +19,12 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterable
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +39,7 @@ BLANK, FIRST_BYTE = "▁", 3
 WORDS = re.compile(" +[^ ]*")
 #: Characters of distinct words whose ids a task holds before it begins anew.
 KNOWN_CHARS = 4 << 20
+RUN_BYTES = 16 << 20
 ROWS = "doc_id {}, text_hash long, range_id int, number long, seq_no int, n_tokens int, tokens binary"
 
 
@@ -65,7 +68,11 @@ class Tokenizer:
             return [w[1:] for w in WORDS.findall(" " + text)]
         return text.split(" ")
 
-    def learn(self, new: list[str]) -> None:
+    def learn(self, words: Iterable[str]) -> None:
+        """Know the ids of words; of what was known before, all is given up once it is much."""
+        if self.held > KNOWN_CHARS:
+            self.known, self.held = dict(self.alone), 0
+        new = [w for w in words if w not in self.known]
         ids = self.model.encode(new, num_threads=1)
         n = np.fromiter(map(len, ids), np.int64, len(ids))
         every = np.fromiter(chain.from_iterable(ids), "<u2", int(n.sum())).tobytes()
@@ -79,12 +86,35 @@ class Tokenizer:
             return [np.asarray(x, "<u2").tobytes() for x in self.encode(texts)]
         mark = np.asarray([FIRST_BYTE + b for b in BLANK.encode()], "<u2").tobytes()
         split = [[self.words(part) if part else [] for part in (t.split(BLANK) if BLANK in t else [t])] for t in texts]
-        if self.held > KNOWN_CHARS:
-            self.known, self.held = dict(self.alone), 0
-        self.learn(list({w for parts_ in split for x in parts_ for w in x}.difference(self.known)))
+        self.learn({w for parts_ in split for x in parts_ for w in x})
         get = self.known.__getitem__
         return [mark.join([b"".join(map(get, x)) for x in parts_]) for parts_ in split]
 
+    def stream(self, texts: pa.Array) -> tuple[np.ndarray, bytes | pa.Buffer]:
+        """The ids of all texts as one stream, and how many bytes of it each text has."""
+        empty = pc.fill_null(pc.equal(texts, ""), True)
+        if self.by_word:
+            odd = pc.or_(pc.or_(pc.match_substring(texts, "  "), pc.starts_with(texts, " ")), pc.match_substring(texts, BLANK))
+            odd = pc.and_not(pc.fill_null(odd, False), empty)
+        else:
+            odd = pc.invert(empty)
+        words = pc.split_pattern(pc.if_else(pc.or_(odd, empty), None, texts), " ")
+        d = words.flatten().dictionary_encode()
+        vocabulary = d.dictionary.to_pylist()
+        self.learn(vocabulary)
+        ids = pa.array(list(map(self.known.__getitem__, vocabulary)), pa.binary()).take(d.indices)
+        ends = np.frombuffer(ids.buffers()[1], np.int32, len(ids) + 1, 4 * ids.offset) if len(ids) else np.zeros(1, np.int32)
+        at = ends[np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(words), 0).to_numpy())))].astype(np.int64)
+        size, data = np.diff(at), ids.buffers()[2] if len(ids) else b""
+        if pc.any(odd).as_py():
+            where = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+            raw, view = self.raw(texts.take(pa.array(where)).to_pylist()), memoryview(data)
+            size[where] = list(map(len, raw))
+            cuts = at[where].tolist()
+            data = b"".join(x for a, b, r in zip([int(at[0]), *cuts], [*cuts, int(at[-1])], [*raw, b""], strict=False) for x in (view[a:b], r))
+            return size, data
+        return size, data if not len(at) or not at[0] else data[int(at[0]) : int(at[-1])]
+
     def encode(self, texts: list[str]) -> list[list[int]]:
         """The ids of each text, encoded whole."""
         out = self.model.encode([t if BLANK not in t else "" for t in texts], num_threads=1)
@@ -106,25 +136,27 @@ class Tokenizer:
 
 
 def tokeniser(path: str, sequence: int):
+    stride = 2 * sequence
+
     def run(batches):
         from pyspark import TaskContext
 
         me, number, tok = TaskContext.get().partitionId(), 0, None
-        for b in batches:
+        for batch in batches:
             tok = tok or Tokenizer(path)
-            ids, hashes = b["doc_id"].to_pylist(), b["text_hash"].to_pylist()
-            at, seq, n, data = [], [], [], []
-            runs = textops.chunks([t or "" for t in b["text"].to_pylist()], 2 << 20)
-            for i, raw in enumerate(x for run_ in runs for x in tok.raw(run_)):
-                for s in range(max(1, -(-len(raw) // (2 * sequence)))):
-                    piece = raw[2 * sequence * s : 2 * sequence * (s + 1)]
-                    at.append(i)
-                    seq.append(s)
-                    n.append(len(piece) // 2)
-                    data.append(piece)
-            many = len(at)
-            yield pa.record_batch([pa.array([ids[i] for i in at], b["doc_id"].type), pa.array([hashes[i] for i in at], pa.int64()), pa.array(np.full(many, me, np.int32)), pa.array(np.arange(number, number + many)), pa.array(seq, pa.int32()), pa.array(n, pa.int32()), pa.array(data, pa.binary())], ["doc_id", "text_hash", "range_id", "number", "seq_no", "n_tokens", "tokens"])
-            number += many
+            for a, z in textops.runs(batch["text"], RUN_BYTES):
+                b = batch.slice(a, z - a)
+                size, data = tok.stream(b["text"])
+                many = np.maximum(1, -(-size // stride))
+                at = np.repeat(np.arange(len(size)), many)
+                seq = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
+                ends = np.cumsum(size)
+                first = (ends - size)[at] + stride * seq
+                offsets = np.append(first, ends[-1]).astype(np.int32)  # sequences follow one another without gaps
+                tokens = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+                of = pa.array(at)
+                yield pa.record_batch([b["doc_id"].take(of), b["text_hash"].take(of), pa.array(np.full(len(at), me, np.int32)), pa.array(np.arange(number, number + len(at))), pa.array(seq, pa.int32()), pa.array(np.diff(offsets) // 2, pa.int32()), tokens], ["doc_id", "text_hash", "range_id", "number", "seq_no", "n_tokens", "tokens"])
+                number += len(at)
 
     return run
 
