@@ -7,9 +7,10 @@ earlier in the corpus (by doc_id, then text hash, then line number) is dropped;
 1. Of equal lines, the earliest position is kept (one row for each distinct line).
 2. An edit leaves the first or the last half of a line untouched. Distinct lines that share neither with another line have
    no near line; the others are candidates. (The halves are those of the longer length, so a line has two of each.)
-3. Candidates emit all variants within the bound as hashed keys: the line itself and the line without each word. Equal
-   keys join: a replacement shows as the same deletion at the same place in both, an insertion or deletion as one line
-   being the other's variant. Each line is joined to the earliest of a key, never to all, so groups stay linear.
+3. Candidates emit all variants within the bound as hashed keys: the line itself and the line without each word of the
+   half that may differ. Equal keys join: a replacement shows as the same deletion at the same place in both, an insertion
+   or deletion as one line being the other's variant. Each line is joined to the earliest of a key, never to all, so groups
+   stay linear.
 4. The edit distance of each pair is verified on the words.
 
 Equal lines are told by 128 bits of hash over their words.
@@ -22,6 +23,8 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -60,21 +63,24 @@ class Sums:
         return out.view(np.int64)
 
 
-def line_keys(texts: list[str | None]) -> tuple[np.ndarray, ...]:
+def word_hashes(vocabulary: list[bytes]) -> np.ndarray:
+    """Two 64-bit hashes of each word."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, vocabulary)), np.uint64).reshape(-1, 2)
+
+
+def line_keys(texts: pa.Array) -> tuple[np.ndarray, ...]:
     """For each line of each text: which text, line number, words, 128 bits of its words (key, key2) and hashes of its halves."""
-    every, counts, of, nos = [], [], [], []
-    for i, t in enumerate(texts):
-        found = (t or "").encode().translate(textops.LOWERED).split(b"\n")
-        for line in found:
-            w = line.split()
-            counts.append(len(w))
-            every += w
-        of.append(np.full(len(found), i, np.int32))
-        nos.append(np.arange(len(found), dtype=np.int32))
-    d = pa.array(every, pa.large_binary()).dictionary_encode()
-    codes, vocabulary = d.indices.to_numpy(), d.dictionary.to_pylist()
-    one, two = (Sums(textops.mixed(textops.hashes(vocabulary, seed)[codes]) if len(codes) else np.zeros(0, np.uint64), base) for seed, base in ((0, BASE), (1, AGAIN)))
-    n = np.array(counts, np.int64)
+    found = pc.split_pattern(pc.ascii_lower(pc.fill_null(texts, "")), "\n")
+    of = pc.list_parent_indices(found).to_numpy().astype(np.int32)
+    nos = np.arange(len(of), dtype=np.int32) - np.repeat(np.cumsum(many := pc.list_value_length(found).to_numpy()) - many, many).astype(np.int32)
+    split = pc.ascii_split_whitespace(found.flatten())
+    words, line = split.flatten(), pc.list_parent_indices(split)
+    some = pc.not_equal(words, "")
+    words, line = words.filter(some), line.filter(some)
+    d = words.dictionary_encode()
+    h = word_hashes(pc.cast(d.dictionary, pa.binary()).to_pylist())[d.indices.to_numpy()] if len(words) else np.zeros((0, 2), np.uint64)
+    one, two = Sums(textops.mixed(h[:, 0]), BASE), Sums(textops.mixed(h[:, 1]), AGAIN)
+    n = np.bincount(line.to_numpy(), minlength=len(of))
     end = np.cumsum(n)
     first = end - n
     halves = []
@@ -82,21 +88,18 @@ def line_keys(texts: list[str | None]) -> tuple[np.ndarray, ...]:
         size = n + longer
         q = np.maximum((size - 1) // 2, 0)
         halves += [one.of(first, first + np.minimum(q, n), size, 1), one.of(end - np.clip(size - q - 1, 0, n), end, size, 2)]
-    return np.concatenate(of), np.concatenate(nos), n, one.of(first, end, n), two.of(first, end, n), np.stack(halves, 1)
+    return of, nos, n, one.of(first, end, n), two.of(first, end, n), np.stack(halves, 1)
 
 
 def keyer(batches):
-    import pyarrow.compute as pc
-
-    for b in batches:
-        at = 0
-        for texts in textops.chunks(b["text"].to_pylist()):
-            of, nos, n, key, key2, halves = line_keys(texts)
-            whose, blank, long = pa.array(of + at), n == 0, n >= MIN_WORDS - 1
-            halves = pa.ListArray.from_arrays(pa.array(4 * np.arange(len(n) + 1), pa.int32()), pa.array(halves.ravel()))
-            halves = pc.if_else(pa.array(long), halves, pa.nulls(len(n), halves.type))
+    for batch in batches:
+        for a, z in textops.runs(batch["text"], 8 << 20):
+            b = batch.slice(a, z - a)
+            of, nos, n, key, key2, halves = line_keys(b["text"])
+            whose, blank, long = pa.array(of), n == 0, n >= MIN_WORDS - 1
+            offsets = pa.array(np.append(0, np.cumsum(4 * long)), pa.int32(), mask=np.append(~long, False))
+            halves = pa.ListArray.from_arrays(offsets, pa.array(halves[long].ravel()))
             yield pa.record_batch([*(b[c].take(whose) for c in ("doc_id", "text_hash", "row_id")), pa.array(nos), pa.array(key, mask=blank), pa.array(key2, mask=blank), halves], ["doc_id", "text_hash", "row_id", "line_no", "key", "key2", "halves"])
-            at += len(texts)
 
 
 def keyed_lines(docs: DataFrame) -> DataFrame:
@@ -112,27 +115,30 @@ VARIANTS = "rank long, h long, at int"
 
 
 def variants(batches):
-    """Each line's own hash (at -1) and that of the line without word `at`; linear in the line's length."""
-    base = np.uint64(0x9E3779B97F4A7C15)
+    """The hash of each line with an inserted word elsewhere (`longer`; at -1), and those of the line without word `at`: of
+    the last half for lines that share their first, of the first half for those that share their last."""
+    base = np.uint64(BASE)
     for b in batches:
         rows, hs, ats = [], [], []
-        for i, line in enumerate(b["line"].to_pylist()):
-            codes, _, vocabulary = textops.words([line], lower=False)
-            w = textops.mixed(textops.hashes(vocabulary)[codes])
+        for i, (line, first, last, longer) in enumerate(zip(*(b[c].to_pylist() for c in ("line", "first", "last", "longer")), strict=True)):
+            w = textops.mixed(word_hashes(line.encode().split())[:, 0])
             n = len(w)
             power = np.ones(n + 1, np.uint64)
             power[1:] = np.cumprod(np.full(n, base, np.uint64))
             # value of words i to j: sum of w[k] * base^(k - i); deletion of word i shifts what follows by one place
             head = np.concatenate(([np.uint64(0)], np.cumsum(w * power[:n])))
             down = np.concatenate(([np.uint64(0)], np.cumsum(w[1:] * power[: n - 1])))
-            whole = head[n : n + 1] + np.uint64(n)
-            less = head[:n] + (down[n - 1] - down[:n]) + np.uint64(n - 1)
-            hs.append(textops.mixed(np.concatenate((whole, less))))
-            ats.append(np.arange(-1, n, dtype=np.int32))
-            rows.append(np.full(n + 1, i))
+            middle = (n - 1) // 2
+            at = np.arange(0 if last else middle if first else n, n if first else middle + 1 if last else n)
+            less = head[at] + (down[n - 1] - down[at]) + np.uint64(n - 1)
+            if longer:
+                less, at = np.append(less, head[n] + np.uint64(n)), np.append(at, -1)
+            hs.append(textops.mixed(less))
+            ats.append(at)
+            rows.append(np.full(len(at), i))
         rows = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64))
         h = np.concatenate(hs).view(np.int64) if hs else np.zeros(0, np.int64)
-        yield pa.record_batch([b["rank"].take(rows), pa.array(h), pa.array(np.concatenate(ats) if ats else np.zeros(0, np.int32))], ["rank", "h", "at"])
+        yield pa.record_batch([b["rank"].take(rows), pa.array(h), pa.array(np.concatenate(ats) if ats else np.zeros(0, np.int64), pa.int32())], ["rank", "h", "at"])
 
 
 def within_one(a: Column, b: Column) -> Column:
@@ -150,28 +156,32 @@ def near_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """All lines (place, key, key2), distinct lines (and their first place), and the keys of those with an earlier near line."""
     every = cut(keyed_lines(docs), "all-lines")
     d = cut(every.where("key is not null").groupBy("key", "key2").agg(F.min("place").alias("first"), F.first("halves").alias("halves")), "lines")
-    halves = d.where("halves is not null").select("key", F.explode("halves").alias("half"))
+    halves = d.where("halves is not null").select("key", F.posexplode("halves").alias("which", "half"))
     shared = halves.groupBy("half").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a != b").select("half")
-    candidates = halves.join(shared, "half", "left_semi").select("key").distinct().join(d.select("key", "key2", "first"), "key")
+    # of the halves as of its own length, which are shared, and whether one is as of a length more
+    which = [F.max(F.col("which") == 0).alias("same_first"), F.max(F.col("which") == 1).alias("same_last"), F.max(F.col("which") > 1).alias("longer")]
+    candidates = halves.join(shared, "half", "left_semi").groupBy("key").agg(*which).join(d.select("key", "key2", "first"), "key")
+    flags = ["same_first", "same_last", "longer"]
     # the words of candidates come from their documents; of repeated rows any has them
-    wanted = candidates.groupBy("first.doc_id", "first.text_hash").agg(F.collect_list(F.struct("key", "key2", "first")).alias("wanted"))
+    wanted = candidates.groupBy("first.doc_id", "first.text_hash").agg(F.collect_list(F.struct("key", "key2", "first", *flags)).alias("wanted"))
     t = docs.select("doc_id", "text", text_hash().alias("text_hash")).alias("t")
     on = F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("t.text_hash") == F.col("w.text_hash"))
     text = t.join(wanted.alias("w"), on).select(F.split("t.text", "\n").alias("lines"), "w.wanted")
     at = lambda x: F.when(x["first"]["line_no"] < F.size("lines"), F.get("lines", x["first"]["line_no"]))
-    text = text.select(F.explode(F.transform("wanted", lambda x: F.struct(x["key"].alias("key"), x["key2"].alias("key2"), x["first"].alias("first"), at(x).alias("line")))).alias("x"))
-    text = text.select("x.key", "x.key2", "x.first", joined(line_words(F.col("x.line"))).alias("line"))
-    text = text.groupBy("key", "key2").agg(F.first("first").alias("first"), F.first("line").alias("line"))
+    text = text.select(F.explode(F.transform("wanted", lambda x: F.struct(*[x[c].alias(c) for c in ("key", "key2", "first", *flags)], at(x).alias("line")))).alias("x"))
+    text = text.select("x.key", "x.key2", "x.first", *[f"x.{c}" for c in flags], joined(line_words(F.col("x.line"))).alias("line"))
+    text = text.groupBy("key", "key2").agg(F.first("first").alias("first"), F.first("line").alias("line"), *[F.first(c).alias(c) for c in flags])
     # candidates are ranked by their place, so that their many variants carry one number
-    text = cut(ordered_offsets(text, [F.asc("first"), F.asc("key"), F.asc("key2")], {}, "ranked-lines").select("key", "key2", F.col("row_no").alias("rank"), "line"), "candidate-lines")
-    v = cut(text.select("rank", "line").mapInArrow(variants, VARIANTS), "variants")
+    text = cut(ordered_offsets(text, [F.asc("first"), F.asc("key"), F.asc("key2")], {}, "ranked-lines").select("key", "key2", F.col("row_no").alias("rank"), *flags, "line"), "candidate-lines")
+    v = text.select("rank", F.col("same_first").alias("first"), F.col("same_last").alias("last"), "longer", "line")
+    v = cut(v.mapInArrow(variants, VARIANTS), "variants")
     same_place = v.where("at >= 0").groupBy("h", "at").agg(F.min("rank").alias("earlier"), F.max("rank").alias("last")).where("earlier != last").select("h", "at", "earlier")
-    whole = v.where("at < 0").select("h", F.col("rank").alias("earlier"))
-    less = v.where("at >= 0").groupBy("h").agg(F.min("rank").alias("earlier"))
-    pairs = v.join(same_place, ["h", "at"]).select("rank", "earlier")
-    pairs = pairs.unionByName(v.where("at >= 0").join(whole, "h").select("rank", "earlier"))
-    pairs = pairs.unionByName(v.where("at < 0").join(less, "h").select("rank", "earlier"))
-    pairs = pairs.where("rank > earlier").distinct()
+    pairs = v.where("at >= 0").join(same_place, ["h", "at"]).select("rank", "earlier").where("rank > earlier")
+    # a line without a word has the hash of one other line at most; of the lines that are a word longer, the earliest counts
+    grown = cut(v.where("at >= 0").select("h", "rank").join(v.where("at < 0").select("h", F.col("rank").alias("whole")), "h").select("rank", "whole"), "grown-lines")
+    pairs = pairs.unionByName(grown.where("rank > whole").select("rank", F.col("whole").alias("earlier")))
+    pairs = pairs.unionByName(grown.groupBy("whole").agg(F.min("rank").alias("earlier")).where("whole > earlier").select(F.col("whole").alias("rank"), "earlier"))
+    pairs = pairs.distinct()
     mine, others = text.select("key", "key2", "rank", F.split("line", " ").alias("x")), text.select(F.col("rank").alias("earlier"), F.split("line", " ").alias("y"))
     pairs = pairs.join(mine, "rank").join(others, "earlier").where(within_one(F.col("x"), F.col("y")))
     return every, d, cut(pairs.select("key", "key2").distinct(), "near-lines")
