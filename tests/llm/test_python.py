@@ -8,6 +8,7 @@ from itertools import product
 from urllib.parse import quote
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
@@ -246,6 +247,10 @@ def test_encoding_by_word_equals_that_of_whole_texts(monkeypatch):
     texts += ["".join(r.choice(list("ab  ▁\n\té<>.0"), int(r.integers(1, 40)))) for _ in range(3000)]
     want = [np.asarray(x, "<u2").tobytes() for x in tok.encode(texts)]
     assert tok.raw(texts) == want
+    for some in (texts, [t for t in texts if "  " not in t], ["▁"], [""], []):
+        size, data = tok.stream(pa.array(some, pa.string()))
+        ends = np.cumsum(size).tolist()
+        assert [bytes(data)[a:b] for a, b in zip([0, *ends], ends)] == [want[texts.index(t)] for t in some]
     monkeypatch.setattr(token_shards, "KNOWN_CHARS", 50)
     assert token_shards.Tokenizer(token_shards.default_model()).raw(texts) == want
 
