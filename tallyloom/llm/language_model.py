@@ -1,8 +1,8 @@
 """Language-model scoring by a Brown class bigram model.
 
-Documents are dealt into blocks. Each block sends its distinct words (64-bit hashes, by range) with their training counts to
-counters, which add them up and reply to each block with the counts of its words; totals come from the same counters. So
-the vocabulary is never in one place, whatever its size.
+Documents are dealt into blocks, each written once as numbers. Each block sends its distinct words (64-bit hashes, by range)
+with their training counts to counters, which add them up and reply to each block with the counts of its words; totals come
+from the same counters. So the vocabulary is never in one place, whatever its size, and later passes read no text.
 
 Exchange clustering, in two levels:
 1. The CLUSTERED most frequent words, and ENDINGS groups of all other words (by their last letters), are assigned to
@@ -26,6 +26,8 @@ are ignored.
 
 from __future__ import annotations
 
+from itertools import pairwise
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,30 +50,77 @@ def ending(words: list[bytes]) -> np.ndarray:
     return (textops.hashes([w[-2:] + (b"+" if len(w) > 2 else b"") for w in words], 7) % np.uint64(ENDINGS)).astype(np.int64)
 
 
-def cut_up(h: np.ndarray, bits: int) -> list[int]:
-    return np.searchsorted(h, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).tolist() + [len(h)]
+def cut_up(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets (top bits) that sorted hashes fall into, and where each begins (and the last ends)."""
+    of = (h >> np.uint64(64 - bits)).astype(np.int64)
+    first = np.flatnonzero(np.diff(of, prepend=-1))
+    return of[first], np.append(first, len(h))
+
 
+BLOCKS = "bucket int, block int, data binary, counts binary, endings binary, codes binary, docs array<struct<doc_id:{},held_out:boolean,learn:boolean,n:int>>"
 
-def block_words(t: pa.Table):
-    codes, counts, vocabulary = textops.words(t["text"].to_pylist())
-    h = textops.hashes(vocabulary)
-    order = np.argsort(h)
-    return codes, counts, vocabulary, h, order
 
+def encoder(bits: int):
+    """A block of documents -> (bucket -1) its words as numbers, and (bucket 0 and on) its words' training counts by range.
+
+    As numbers: data has the hashes of the distinct words in order, endings their groups of endings, codes each word's
+    place in that order, docs the documents.
+    """
 
-def sender(bits: int):
     def send(key, t):
-        codes, counts, _, h, order = block_words(t)
+        codes, counts, vocabulary = textops.words(t["text"].to_pylist())
+        h = textops.hashes(vocabulary)
+        order = np.argsort(h)
+        place = np.empty(len(h), np.int32)
+        place[order] = np.arange(len(h), dtype=np.int32)
+        codes, h, endings = place[codes] if len(codes) else np.zeros(0, np.int32), h[order], ending(vocabulary)[order].astype(np.uint8) if vocabulary else np.zeros(0, np.uint8)
         learn = np.repeat(t["learn"].to_numpy(zero_copy_only=False).astype(bool), counts)
-        n = np.bincount(codes[learn], minlength=len(h)).astype(np.uint32)[order]
-        h = h[order]
-        at = cut_up(h, bits)
-        full = [b for b in range(1 << bits) if at[b + 1] > at[b]]
-        return pa.table({"bucket": pa.array(full, pa.int32()), "block": pa.array([key[0].as_py()] * len(full), pa.int32()), "data": pa.array([h[at[b] : at[b + 1]].tobytes() for b in full], pa.binary()), "counts": pa.array([n[at[b] : at[b + 1]].tobytes() for b in full], pa.binary())})
+        n = np.bincount(codes[learn], minlength=len(h)).astype(np.uint32)
+        of, at = cut_up(h, bits)
+        docs = pa.StructArray.from_arrays([t[c].combine_chunks() for c in ("doc_id", "held_out", "learn")] + [pa.array(counts, pa.int32())], ["doc_id", "held_out", "learn", "n"])
+        block, m = key[0].as_py(), len(of)
+        return pa.table({
+            "bucket": pa.array([-1, *of.tolist()], pa.int32()),
+            "block": pa.array([block] * (m + 1), pa.int32()),
+            "data": pa.array([h.tobytes(), *(h[a:b].tobytes() for a, b in pairwise(at))], pa.binary()),
+            "counts": pa.array([None, *(n[a:b].tobytes() for a, b in pairwise(at))], pa.binary()),
+            "endings": pa.array([endings.tobytes()] + [None] * m, pa.binary()),
+            "codes": pa.array([codes.tobytes()] + [None] * m, pa.binary()),
+            "docs": pa.ListArray.from_arrays(pa.array([0, *[len(docs)] * (m + 1)], pa.int32()), docs),
+        })
 
     return send
 
 
+class Block:
+    """A block of documents as numbers, from its row."""
+
+    def __init__(self, t: pa.Table):
+        some = len(t) > 0
+        self.block = t["block"][0].as_py() if some else -1
+        self.h = np.frombuffer(t["data"][0].as_py() if some else b"", np.uint64)
+        self.endings = np.frombuffer(t["endings"][0].as_py() if some else b"", np.uint8).astype(np.int64)
+        self.codes = np.frombuffer(t["codes"][0].as_py() if some else b"", np.int32)
+        self.docs = t["docs"].combine_chunks().flatten()
+        self.counts = self.docs.field("n").to_numpy().astype(np.int64)
+        self.learn = self.docs.field("learn").to_numpy(zero_copy_only=False).astype(bool)
+
+    def units(self, top: np.ndarray) -> np.ndarray:
+        """The unit (clustered word or group of endings) of each distinct word; top is sorted."""
+        if not len(top) or not len(self.h):
+            return self.endings
+        at = np.minimum(np.searchsorted(top, self.h), len(top) - 1)
+        return np.where(top[at] == self.h, at, len(top) + self.endings)
+
+    def stream(self) -> np.ndarray:
+        """The words of training documents in turn, the end (one number more than there are words) before and after each text."""
+        word = self.codes[np.repeat(self.learn, self.counts)]
+        counts = self.counts[self.learn]
+        out = np.full(len(word) + len(counts) + 1, len(self.h))
+        out[1 + np.arange(len(word)) + np.repeat(np.arange(len(counts)), counts)] = word
+        return out
+
+
 REPLY = "block int, bucket int, counts binary, tokens long, types long, once long, top binary, top_counts binary"
 
 
@@ -100,30 +149,16 @@ def counter(clustered: int):
     return count
 
 
-def units(vocabulary: list[bytes], h: np.ndarray, top: np.ndarray, end: int) -> np.ndarray:
-    """The unit (clustered word or group of endings) of each word; top is sorted."""
-    if not len(top):
-        return ending(vocabulary)
-    at = np.minimum(np.searchsorted(top, h), len(top) - 1)
-    return np.where(top[at] == h, at, len(top) + ending(vocabulary))
-
-
 def pairs(top: np.ndarray):
-    """Training texts -> counts of pairs of adjacent units, the end between texts included."""
+    """Blocks -> counts of pairs of adjacent units in training documents, the end between texts included."""
     end = len(top) + ENDINGS
     m = end + 1
 
-    def run(batches):
-        total = np.zeros(m * m, np.int64)
-        for texts in (c for b in batches for c in textops.chunks(b["text"].to_pylist())):
-            codes, counts, vocabulary = textops.words(texts)
-            u = units(vocabulary, textops.hashes(vocabulary), top, end)[codes] if len(codes) else codes
-            stream = np.full(len(codes) + len(counts) + 1, end)
-            stream[1 + np.arange(len(codes)) + np.repeat(np.arange(len(counts)), counts)] = u
-            total += np.bincount(stream[:-1] * m + stream[1:], minlength=m * m)
-        k = np.flatnonzero(total)
-        for a in range(0, len(k), 1 << 16):
-            yield pa.record_batch([pa.array(k[a : a + (1 << 16)]), pa.array(total[k[a : a + (1 << 16)]])], ["pair", "n"])
+    def run(key, t):
+        b = Block(t)
+        u = np.append(b.units(top), end)[b.stream()]
+        k, n = np.unique(u[:-1] * m + u[1:], return_counts=True)
+        return pa.table({"pair": pa.array(k), "n": pa.array(n)})
 
     return run
 
@@ -188,6 +223,47 @@ def best_class(c: np.ndarray, out: np.ndarray, into: np.ndarray, own: float, a:
     return int(gain.argmax()) if gain.max() > gain[a] + 1e-9 else a
 
 
+SMALL = 16
+
+
+def best_classes(c: np.ndarray, rows: np.ndarray, columns: np.ndarray, was: np.ndarray, out: np.ndarray, into: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """best_class of many units at once, each taken out of the class bigrams c by itself.
+
+    was: their classes; out and into: a row of counts by class after and before each; own: pairs of a unit with itself.
+    """
+    m, k = out.shape
+    every, fc = np.arange(m), f(c)
+    gain = np.zeros((m, k))
+    for counts, others, x, fx in ((out, into, c.T, fc.T), (into, out, c, fc)):
+        few = f(x[:, None, :] + np.arange(SMALL + 1)[None, :, None]) - fx[:, None, :]  # by neighbour, count and class
+        w, o = np.nonzero(counts)
+        n, a = counts[w, o], was[w]
+        g = few[o, np.minimum(n, SMALL).astype(np.int64)]
+        if len(many := np.flatnonzero(n > SMALL)):
+            g[many] = f(x[o[many]] + n[many, None]) - fx[o[many]]
+        # the unit's own class has lost its counts; of a neighbour of that class all have
+        each = np.arange(len(w))
+        left = x[o, a] - n
+        g[each, a] = f(left + n) - f(left)
+        if len(same := np.flatnonzero(o == a)):
+            left = x[o[same]] - others[w[same]]
+            left[np.arange(len(same)), a[same]] -= n[same] + own[w[same]]
+            g[same] = f(left + n[same, None]) - f(left)
+        if len(w):
+            first = np.flatnonzero(np.diff(w, prepend=-1))
+            gain[w[first]] += np.add.reduceat(g, first)
+    d, row, col = (np.repeat(x[None, :], m, 0) for x in (np.diag(c), rows, columns))
+    outs, ins = out.sum(1), into.sum(1)
+    d[every, was] -= out[every, was] + into[every, was] + own
+    row[every, was] -= outs + own
+    col[every, was] -= ins + own
+    own, outs, ins = own[:, None], outs[:, None], ins[:, None]
+    gain += f(d + out + into + own) - f(d + out) - f(d + into) + f(d) - f(row + outs + own) + f(row) - f(col + ins + own) + f(col)
+    gain[:, -1] = -np.inf
+    best = gain.argmax(1)
+    return np.where(gain[every, best] > gain[every, was] + 1e-9, best, was)
+
+
 class Model:
     def __init__(self, top: np.ndarray, of: np.ndarray, n: np.ndarray, tokens: int, types: int, once: int, ends: int):
         self.top, self.of, self.tokens, self.types, self.ends = top, of, tokens, types, ends
@@ -203,12 +279,12 @@ class Model:
         self.step = (c + ALPHA * share) / (c.sum(1, keepdims=True) + ALPHA)
         self.size = c.sum(0)
 
-    def known(self, vocabulary, h, order, replies):
-        """Training count and class of each word of a block, and which words (in order of h) are classed by themselves."""
-        replies, n = replies.sort_by("bucket"), np.zeros(len(h), np.int64)
-        n[order] = np.frombuffer(b"".join(x for x in replies["counts"].to_pylist() if x is not None), np.int64)
-        u = units(vocabulary, h, self.top, len(self.top) + ENDINGS) if len(h) else np.zeros(0, np.int64)
-        k, tail = self.of[u], order[(u[order] >= len(self.top)) & (n[order] >= LEAST)]
+    def known(self, block: Block, replies):
+        """Training count and class of each word of a block, and which words are classed by themselves."""
+        replies = replies.sort_by("bucket")
+        n = np.frombuffer(b"".join(x for x in replies["counts"].to_pylist() if x is not None), np.int64)
+        u = block.units(self.top)
+        k, tail = self.of[u], np.flatnonzero((u >= len(self.top)) & (n >= LEAST))
         if sent := [x for x in replies["classes"].to_pylist() if x is not None]:
             k[tail] = np.frombuffer(b"".join(sent), np.uint8)
         return n, k, tail
@@ -218,13 +294,10 @@ class Model:
         classes = len(self.bigrams)
 
         def send(t, replies):
-            codes, counts, vocabulary, h, order = block_words(t)
-            _, k, tail = self.known(vocabulary, h, order, replies)
-            learn = t["learn"].to_numpy(zero_copy_only=False).astype(bool)
-            word = codes[np.repeat(learn, counts)] if len(codes) else np.zeros(0, np.int64)
-            counts = counts[learn]
-            stream = np.full(len(word) + len(counts) + 1, len(h))
-            stream[1 + np.arange(len(word)) + np.repeat(np.arange(len(counts)), counts)] = word
+            block = Block(t)
+            h = block.h
+            _, k, tail = self.known(block, replies)
+            stream = block.stream()
             before, after = stream[:-1], stream[1:]
             of = np.append(k, classes - 1)
             c = np.bincount(of[before] * classes + of[after], minlength=classes * classes).astype(np.int64)
@@ -237,18 +310,16 @@ class Model:
                 a, b = (x >= 0) & ~own, (y >= 0) & ~own
                 keys = np.concatenate((x[a] * width + of[after[a]], y[b] * width + classes + of[before[b]], x[own] * width + 2 * classes))
                 keys, n = np.unique(keys, return_counts=True)
-                at, to = cut_up(h[tail], bits), None
-                to = np.searchsorted(keys, np.asarray(at) * width)
-                for j in range(1 << bits):
-                    if at[j + 1] > at[j]:
-                        mine = tail[at[j] : at[j + 1]]
-                        rows.append((j, h[mine].tobytes(), k[mine].astype(np.uint8).tobytes(), (keys[to[j] : to[j + 1]] - at[j] * width).tobytes(), n[to[j] : to[j + 1]].astype(np.uint32).tobytes(), None))
-            block = t["block"][0].as_py() if len(t) else -1
-            return pa.Table.from_pylist([dict(zip(("bucket", "data", "classes", "keys", "n", "bigrams"), r, strict=True), block=block) for r in rows], CONTEXT_ROWS).select(CONTEXT_ROWS.names)
+                buckets, at = cut_up(h[tail], bits)
+                to = np.searchsorted(keys, at * width)
+                for j, (p, q), (r, s) in zip(buckets.tolist(), pairwise(at.tolist()), pairwise(to.tolist()), strict=True):
+                    mine = tail[p:q]
+                    rows.append((j, h[mine].tobytes(), k[mine].astype(np.uint8).tobytes(), (keys[r:s] - p * width).tobytes(), n[r:s].astype(np.uint32).tobytes(), None))
+            return pa.Table.from_pylist([dict(zip(("bucket", "data", "classes", "keys", "n", "bigrams"), r, strict=True), block=block.block) for r in rows], CONTEXT_ROWS).select(CONTEXT_ROWS.names)
 
         return send
 
-    def mover(self):
+    def mover(self, chunk: int = 1024):
         """Counters: the best class of each word by its neighbouring classes in all blocks."""
         c, classes = self.bigrams, len(self.bigrams)
 
@@ -266,26 +337,20 @@ class Model:
             n = np.bincount(where, np.frombuffer(b"".join(t["n"].to_pylist()), np.uint32), len(keys))
             to = np.searchsorted(keys, np.arange(len(values) + 1) * width)
             now, rows, columns = was.copy(), c.sum(1), c.sum(0)
-            for w in range(len(values)):
-                x = np.zeros(width)
-                x[keys[to[w] : to[w + 1]] - w * width] = n[to[w] : to[w + 1]]
-                out, into, own, a = x[:classes], x[classes:-1], x[-1], was[w]
-                left = c.copy()
-                left[a, :] -= out
-                left[:, a] -= into
-                left[a, a] -= own
-                row, col = rows.copy(), columns.copy()
-                row[a] -= out.sum() + own
-                col[a] -= into.sum() + own
-                now[w] = best_class(left, out, into, own, a, (row, col))
+            for lo in range(0, len(values), chunk):
+                hi = min(lo + chunk, len(values))
+                x = np.zeros((hi - lo, width))
+                x.ravel()[keys[to[lo] : to[hi]] - lo * width] = n[to[lo] : to[hi]]
+                now[lo:hi] = best_classes(c, rows, columns, was[lo:hi], x[:, :classes], x[:, classes:-1], x[:, -1])
             mine = now[inverse].astype(np.uint8)
             return pa.table({"block": t["block"], "bucket": t["bucket"], "counts": pa.nulls(len(sent), pa.binary()), "classes": pa.array([mine[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)], pa.binary())})
 
         return move
 
     def score(self, t, replies):
-        codes, counts, vocabulary, h, order = block_words(t)
-        n, classes, _ = self.known(vocabulary, h, order, replies)
+        block = Block(t)
+        n, classes, _ = self.known(block, replies)
+        codes, counts = block.codes, block.counts
         last = np.cumsum(counts + 1) - 1
         at = np.arange(len(codes)) + np.repeat(np.arange(len(counts)), counts)
         c, k = np.zeros(len(codes) + len(counts), np.int64), np.full(len(codes) + len(counts), self.of[-1])
@@ -303,7 +368,7 @@ class Model:
         first = last - counts
         add = lambda x: np.add.reduceat(x, first) if len(first) else np.zeros(0)
         many = len(counts)
-        return pa.table({"doc_id": t["doc_id"], "held_out": t["held_out"], "n_tokens": pa.array(counts + 1), "n_known": pa.array(add((c > 0).astype(np.int64)), pa.int64()), "train_tokens": pa.array(np.full(many, self.tokens), pa.int64()), "base_score": pa.array(add(base), pa.float64()), "score": pa.array(add(own), pa.float64())})
+        return pa.table({"doc_id": block.docs.field("doc_id"), "held_out": block.docs.field("held_out"), "n_tokens": pa.array(counts + 1), "n_known": pa.array(add((c > 0).astype(np.int64)), pa.int64()), "train_tokens": pa.array(np.full(many, self.tokens), pa.int64()), "base_score": pa.array(add(base), pa.float64()), "score": pa.array(add(own), pa.float64())})
 
 
 CONTEXT_ROWS = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("data", pa.binary()), ("classes", pa.binary()), ("keys", pa.binary()), ("n", pa.binary()), ("bigrams", pa.binary())])
@@ -352,13 +417,17 @@ SCORES = "doc_id {}, held_out boolean, n_tokens long, n_known long, train_tokens
 
 
 def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES, clustered: int = CLUSTERED) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(64, -(-total // block_bytes))
-    bits = min(14, max(1, (blocks - 1).bit_length()))
+    bits = max(1, (blocks - 1).bit_length())  # buckets grow with the input
     held = F.coalesce(remainder() == 2, F.lit(False))
     d = docs.select("doc_id", "text", held.alias("held_out"), (F.col("doc_id").isNotNull() & ~held).alias("learn"))
     d = d.withColumn("block", F.pmod(F.xxhash64("doc_id", text_hash()), F.lit(blocks)).cast("int"))
-    sent = d.select("block", "text", "learn").groupBy("block").applyInArrow(sender(bits), "bucket int, block int, data binary, counts binary")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    sent = cut(d.groupBy("block").applyInArrow(encoder(bits), BLOCKS.format(kind)), "blocks")
+    encoded = sent.where("bucket < 0").drop("bucket", "counts")
+    sent = sent.where("bucket >= 0").select("bucket", "block", "data", "counts")
     replies = cut(sent.groupBy("bucket").applyInArrow(counter(clustered), REPLY), "counts")
     ends = docs.where(F.col("doc_id").isNotNull() & ~held).count()
     s = replies.where("block < 0").agg(F.sum("tokens"), F.sum("types"), F.sum("once")).first()
@@ -367,15 +436,15 @@ def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES, clustered: int = CLUS
     top = np.sort(np.array([r.h for r in few], np.int64).view(np.uint64))
     m = len(top) + ENDINGS + 1
     n = np.zeros(m * m)
-    learned = d.where("learn").select("text").mapInArrow(pairs(top), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    learned = encoded.groupBy("block").applyInArrow(lambda k, t: pairs(top)(k, t), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     n[learned["pair"].to_numpy()] = learned["n"].to_numpy()  # at most m * m rows
     n = n.reshape(m, m)
     model = Model(top, exchange(n), n, tokens, types, once, ends)
     replies = replies.where("block >= 0").select("block", "bucket", "counts", F.lit(None).cast("binary").alias("classes"))
     if types > len(top) + 1 and tokens:
-        replies = classed(d, replies, model, bits)
+        replies = classed(encoded, replies, model, bits)
     known = docs.sparkSession.sparkContext.broadcast(model)  # bounded by CLUSTERED, ENDINGS and CLASSES
-    return d.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(lambda t, r: known.value.score(t, r), SCORES.format(docs.schema["doc_id"].dataType.simpleString()))
+    return encoded.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(lambda t, r: known.value.score(t, r), SCORES.format(kind))
 
 
 def heads(batches):
