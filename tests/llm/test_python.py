@@ -184,6 +184,42 @@ def test_best_class_has_the_best_likelihood():
         assert every[language_model.best_class(c, out, into, own, a)] == pytest.approx(max(every), abs=1e-6)
 
 
+def test_best_classes_of_many_are_those_of_each():
+    r = np.random.default_rng(9)
+    for high in (2, 40):
+        m, k = 200, 7
+        was = r.integers(0, k - 1, m)
+        out, into, own = r.integers(0, high, (m, k)) * r.integers(0, 2, (m, k)), r.integers(0, high, (m, k)) * r.integers(0, 2, (m, k)), r.integers(0, 2, m)
+        c = r.integers(0, 90, (k, k)).astype(float)
+        for w in range(m):  # the units are part of the counts
+            c[was[w]] += out[w]
+            c[:, was[w]] += into[w]
+            c[was[w], was[w]] += own[w]
+        out, into, own = out.astype(float), into.astype(float), own.astype(float)
+        got = language_model.best_classes(c, c.sum(1), c.sum(0), was, out, into, own)
+        for w in range(m):
+            left, a = c.copy(), was[w]
+            left[a] -= out[w]
+            left[:, a] -= into[w]
+            left[a, a] -= own[w]
+            row, col = c.sum(1), c.sum(0)
+            row[a] -= out[w].sum() + own[w]
+            col[a] -= into[w].sum() + own[w]
+            assert got[w] == language_model.best_class(left, out[w], into[w], own[w], a, (row, col))
+
+
+def test_probabilities_sum_to_one(spark):
+    """Over all known words and the one symbol for new ones, after a word of any class."""
+    words = [f"w{i}" for i in range(40)]
+    n = np.random.default_rng(3).integers(1, 9, 40)
+    of = np.arange(40) % 5
+    pair = np.random.default_rng(4).integers(0, 4, (41, 41)).astype(float)
+    model = language_model.Model(np.arange(40, dtype=np.uint64), np.append(of, 5), pair, int(n.sum()), len(words), 7, 3)
+    for before in range(6):
+        known = sum(language_model.MIX * model.step[before, k] + (1 - language_model.MIX) * 0 for k in range(6)) + (1 - language_model.MIX)
+        assert (1 - model.new) * known + model.new == pytest.approx(1)
+
+
 def test_words_outside_the_core_get_classes(spark):
     """Words of two kinds alternate; their endings tell nothing, and only a few are among the clustered ones."""
     r = np.random.default_rng(6)
