@@ -3,18 +3,21 @@
 1. Rarity. Documents are dealt into blocks. Each block sends the hashes of its shingles, by range of hash, to counters,
    which reply with a class of document frequency (its binary logarithm) for each.
 2. Prefixes. Shingles are ordered globally by that class, then by hash. Two sets linked at threshold t share a shingle
-   among the first n - ceil(t n) + 1 of each. Shingles that no other set has drop out of the prefixes at once, so a text
-   with enough words of its own goes no further.
+   among the first n - ceil(t n) + 1 of the larger and the first n - ceil(2 t n / (1 + t)) + 1 of the smaller (whose overlap
+   is 2 t n / (1 + t) at least). Shingles that no other set has drop out of the prefixes at once, so a text with enough words
+   of its own goes no further, and sets whose shared passages come after too many shingles of their own never meet.
 3. Candidate groups: sets that share prefix shingles, directly or not (components over the shingle's smallest set).
    A group too large for a task is dealt into cells by size and hash. Its cells are linked within, then across by one set
    of each component, and only sets outside the group's largest component then meet the cells of the same and adjacent
    size classes: a large group of near copies doesn't grow into all pairs of its cells.
-4. Prefix trees. A task stores its sets in a path-compressed trie, in one order for all. Each set walks the trie: overlaps
+4. Prefix trees. A task stores its sets in a path-compressed trie, in the global order (from its end, as what many sets have
+   is shared best). Each set walks the trie: overlaps
    of shared paths are counted once, and a subtree is left when the remaining lengths can't reach the needed overlap or
    all of it is linked already. The tests on leaves are exact; a task reports a spanning forest of its links.
 5. Components over these links.
 
-Sets are named by a 128-bit hash, shingles by 64 bits (in step 1 by at least 32 bits; a clash there only adds candidates).
+Sets are named by a 128-bit hash, shingles by 64 bits (in step 1 by at least 32 bits, where a clash only adds candidates; in
+step 4 by 58, besides the class).
 
 Defined results: null and empty texts have an empty set and are their own component; equal sets are linked, however many;
 the component of rows without ids is null; repeated rows are documents of their own; other columns are ignored.
@@ -22,6 +25,8 @@ the component of rows without ids is null; repeated rows are documents of their
 
 from __future__ import annotations
 
+from itertools import pairwise
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -45,13 +50,15 @@ def dealt(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, i
 
 
 def bucket_bits(blocks: int) -> int:
-    """Buckets are ranges of hash: as many as blocks, up to 16384."""
-    return min(14, max(1, (blocks - 1).bit_length()))
+    """Buckets are ranges of hash: as many as blocks."""
+    return max(1, (blocks - 1).bit_length())
 
 
-def cut_up(values: np.ndarray, bits: int) -> np.ndarray:
-    """Bounds of the buckets in sorted hashes."""
-    return np.searchsorted(values, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).tolist() + [len(values)]
+def cut_up(h: np.ndarray, bits: int) -> tuple[list[int], list[int]]:
+    """The buckets that sorted hashes fall into, and where each begins (and the last ends)."""
+    of = (h >> np.uint64(64 - bits)).astype(np.int64)
+    first = np.flatnonzero(np.diff(of, prepend=-1))
+    return of[first].tolist(), [*first.tolist(), len(h)]
 
 
 def block_shingles(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -66,10 +73,9 @@ SENT = "bucket int, block int, data binary, counts binary"
 def sender(bits: int, k: int):
     def send(key, t):
         h, n = block_shingles(textops.shingle_sets(t["text"].to_pylist(), k))
-        at, low = cut_up(h, bits), (h >> np.uint64(32 - bits)).astype(np.uint32)
-        n = np.minimum(n, 255).astype(np.uint8)
-        full = [b for b in range(1 << bits) if at[b + 1] > at[b]]
-        return pa.table({"bucket": pa.array(full, pa.int32()), "block": pa.array([key[0].as_py()] * len(full), pa.int32()), "data": pa.array([textops.pack(low[at[b] : at[b + 1]]) for b in full], pa.binary()), "counts": pa.array([n[at[b] : at[b + 1]].tobytes() for b in full], pa.binary())})
+        full, at = cut_up(h, bits)
+        low, n = (h >> np.uint64(32 - bits)).astype(np.uint32), np.minimum(n, 255).astype(np.uint8)
+        return pa.table({"bucket": pa.array(full, pa.int32()), "block": pa.array([key[0].as_py()] * len(full), pa.int32()), "data": pa.array([textops.pack(low[a:b]) for a, b in pairwise(at)], pa.binary()), "counts": pa.array([n[a:b].tobytes() for a, b in pairwise(at)], pa.binary())})
 
     return send
 
@@ -84,34 +90,47 @@ def count(key, t):
     return pa.table({"block": t["block"], "bucket": t["bucket"], "classes": pa.array([classes[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)], pa.binary())})
 
 
-NODES = "doc_id long, text_hash long, n int, key binary, posted array<long>, shingles binary"
+NODES = "doc_id long, text_hash long, n int, key binary, posted array<long>, meeting int, shingles binary"
 
 
 def least_overlap(n: int) -> int:
+    """Of a set of n with any set linked to it."""
     return -(-NUM * n // DEN)
 
 
+def larger_overlap(n: int) -> int:
+    """Of a set of n with any linked set that isn't smaller."""
+    return -(-2 * NUM * n // (DEN + NUM))
+
+
+def ordered(s: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Shingles in the global order, as numbers of the same order: class of frequency, then hash."""
+    return np.sort((c.astype(np.uint64) << np.uint64(58)) | (s >> np.uint64(6)))
+
+
 def poster(k: int):
     def post(t, replies):
         sets = textops.shingle_sets(t["text"].to_pylist(), k)
         h, _ = block_shingles(sets)
         replies = replies.sort_by("bucket")
         classes = np.frombuffer(b"".join(replies["classes"].to_pylist()), np.uint8)
-        keys, posted, kept, seen = [], [], [], set()
+        keys, posted, meeting, kept, seen = [], [], [], [], set()
         for s in sets:
             key = xxhash.xxh3_128_digest(s.tobytes())
             keys.append(key)
-            mine = None
+            mine, c, some = None, None, 0
             if len(s) and key not in seen:
                 seen.add(key)
                 c = classes[np.searchsorted(h, s)]
                 size = len(s) - least_overlap(len(s)) + 1
                 if np.count_nonzero(c == 0) < size:
                     first = np.lexsort((s, c))[:size]
+                    some = int(np.count_nonzero(c[first[: len(s) - larger_overlap(len(s)) + 1]] > 0))
                     mine = s[first[c[first] > 0]].view(np.int64).tolist()
             posted.append(mine or None)
-            kept.append(s.tobytes() if mine else None)
-        return pa.table({"doc_id": t["doc_id"], "text_hash": t["text_hash"], "n": pa.array([len(s) for s in sets], pa.int32()), "key": pa.array(keys, pa.binary()), "posted": pa.array(posted, pa.list_(pa.int64())), "shingles": pa.array(kept, pa.binary())})
+            meeting.append(some if mine else None)
+            kept.append(ordered(s, c).tobytes() if mine else None)
+        return pa.table({"doc_id": t["doc_id"], "text_hash": t["text_hash"], "n": pa.array([len(s) for s in sets], pa.int32()), "key": pa.array(keys, pa.binary()), "posted": pa.array(posted, pa.list_(pa.int64())), "meeting": pa.array(meeting, pa.int32()), "shingles": pa.array(kept, pa.binary())})
 
     return post
 
@@ -140,16 +159,14 @@ def trie(seqs: list[np.ndarray]) -> list[tuple]:
 
 
 def links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """A spanning forest of the links between sets (sorted distinct hashes)."""
+    """A spanning forest of the links between sets (sorted distinct numbers of shingles)."""
     m = len(sets)
     if m < 2:
         return []
-    values, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    rank = np.empty(len(values), np.uint32)
-    rank[np.lexsort((values, -counts))] = np.arange(len(values), dtype=np.uint32)
+    values, inverse = np.unique(np.concatenate(sets), return_inverse=True)
     at = np.cumsum([0, *map(len, sets)])
-    ids = rank[inverse]
-    seqs = [np.sort(ids[a:b]) for a, b in zip(at, at[1:], strict=False)]
+    ids = (len(values) - 1 - inverse).astype(np.uint32)  # frequent shingles first
+    seqs = [ids[a:b][::-1] for a, b in pairwise(at.tolist())]
     order = sorted(range(m), key=lambda i: seqs[i].astype(">u4").tobytes())
     seqs = [seqs[i] for i in order]
     nodes = trie(seqs)
@@ -263,25 +280,37 @@ def links_within(nodes: DataFrame, cell_sets: int = CELL_SETS, cell_shingles: in
     return names.select(F.col("node").alias("key"), "label")
 
 
-def near_duplicates(docs: DataFrame, k: int = K, cell_sets: int = CELL_SETS, cell_shingles: int = CELL_SHINGLES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, text_hash, n_shingles, component_id, component (a name for it, null for empty sets)."""
+def candidates(base: DataFrame) -> DataFrame:
+    """Sets that may be linked with another one, by candidate group: key, n, shingles, label."""
+    posted = base.where("posted is not null").select("key", "n", "meeting", F.posexplode("posted").alias("at", "h"))
+    # a set meets those that aren't smaller by the first `meeting` shingles, smaller ones by any
+    least = F.min(F.when(F.col("at") < F.col("meeting"), F.struct("n", "key")))
+    hubs = posted.groupBy("h").agg(least.alias("least"), F.min("key").alias("a"), F.max("key").alias("z")).where("a != z and least is not null").select("h", "least")
+    groups = components(posted.join(hubs, "h").where("n >= least.n").select(F.col("least.key").alias("a"), F.col("key").alias("b")))
+    nodes = base.where("shingles is not null").select("key", "n", "shingles").groupBy("key").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"))
+    return nodes.join(groups.select(F.col("node").alias("key"), "label"), "key")
+
+
+def classes(docs: DataFrame, k: int = K, cell_sets: int = CELL_SETS, cell_shingles: int = CELL_SHINGLES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, text_hash, n (shingles), component (a name for it, null for empty sets) of each row."""
     d, blocks = dealt(docs, block_bytes)
     bits = bucket_bits(blocks)
     sent = d.select("block", "text").groupBy("block").applyInArrow(sender(bits, k), SENT)
     replies = sent.groupBy("bucket").applyInArrow(count, "block int, bucket int, classes binary")
     base = cut(d.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(poster(k), NODES), "sets")
-    posted = base.where("posted is not null").select("key", F.explode("posted").alias("h"))
-    hubs = posted.groupBy("h").agg(F.min("key").alias("a"), F.max("key").alias("z")).where("a != z").select("h", "a")
-    groups = components(posted.join(hubs, "h").select("a", F.col("key").alias("b")))
-    nodes = base.where("shingles is not null").select("key", "n", "shingles").groupBy("key").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"))
-    nodes = nodes.join(groups.select(F.col("node").alias("key"), "label"), "key")
-    labels = links_within(nodes, cell_sets, cell_shingles)
+    labels = links_within(candidates(base), cell_sets, cell_shingles)
     base = base.select("doc_id", "text_hash", "n", "key")
-    full = cut(base.where("n > 0").join(labels, "key", "left").select("doc_id", "text_hash", "n", F.coalesce("label", "key").alias("component")), "labelled")
+    full = base.where("n > 0").join(labels, "key", "left").select("doc_id", "text_hash", "n", F.coalesce("label", "key").alias("component"))
+    return cut(full.unionByName(base.where("n = 0").select("doc_id", "text_hash", "n", F.lit(None).cast("binary").alias("component"))), "labelled")
+
+
+def near_duplicates(docs: DataFrame, k: int = K, cell_sets: int = CELL_SETS, cell_shingles: int = CELL_SHINGLES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id, component (a name for it, null for empty sets)."""
+    every = classes(docs, k, cell_sets, cell_shingles, block_bytes).withColumn("n", F.col("n").cast("long")).withColumnRenamed("n", "n_shingles")
+    full, empty = every.where("component is not null"), every.where("component is null")
     least = cut(full.groupBy("component").agg(F.min("doc_id").alias("component_id")), "least")
-    full = full.join(least, "component").select("doc_id", "text_hash", "n", "component_id", "component")
-    empty = base.where("n = 0").select("doc_id", "text_hash", "n", F.col("doc_id").alias("component_id"), F.lit(None).cast("binary").alias("component"))
-    return full.unionByName(empty).withColumn("n", F.col("n").cast("long")).withColumnRenamed("n", "n_shingles")
+    columns = ["doc_id", "text_hash", "n_shingles", "component_id", "component"]
+    return full.join(least, "component").select(*columns).unionByName(empty.withColumn("component_id", F.col("doc_id")).select(*columns))
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -289,13 +318,16 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component: the one with the smallest id (of equal ids, the smallest text hash; null ids last)."""
-    d = near_duplicates(docs).select("doc_id", "text_hash", "component")
-    first = d.where("component is not null").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id"), F.col("text_hash"))).alias("x"))
+    """One document of each component: the one with the smallest id (of equal ids, the smallest text hash; null ids last).
+
+    Documents without words are kept, all of them; of repeated rows one stays; an empty table gives an empty result; all
+    columns of docs are returned, whatever their names.
+    """
+    first = classes(docs).where("component is not null").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id"), F.col("text_hash"))).alias("x"))
     keep = cut(first.select(F.col("x.doc_id").alias("doc_id"), F.col("x.text_hash").alias("text_hash")), "kept")
     rows = docs.withColumns({"tallyloom_id": F.col("doc_id"), "tallyloom_hash": text_hash()})
     on = F.col("tallyloom_id").eqNullSafe(F.col("k.doc_id")) & (F.col("tallyloom_hash") == F.col("k.text_hash"))
     got = rows.alias("d").join(keep.alias("k"), on, "left_semi")
     got = got.withColumn("tallyloom_nth", F.row_number().over(Window.partitionBy("tallyloom_id", "tallyloom_hash").orderBy("tallyloom_hash"))).where("tallyloom_nth = 1")
     empty = rows.where("text is null or not rlike(text, '[^\\\\x20\\\\x09-\\\\x0D]')")
-    return got.select(*docs.columns).unionByName(empty.select(*docs.columns))
+    return got.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(empty.select(*[F.col(f"`{c}`") for c in docs.columns]))
