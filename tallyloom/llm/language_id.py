@@ -4,8 +4,9 @@ A word's script (by ranges of code points) narrows its candidate languages to th
 score for each candidate: from word counts where the word was seen, else from its letter trigrams. Viterbi with a penalty
 for switching then labels spans; a document's language is that of most of its words, and the score their share.
 
-Training: SAMPLE_ROWS labelled documents (a bounded sample by hash of doc_id; the bound is a parameter), VOCABULARY words
-and 65536 trigram buckets a language; whole texts. Prediction: every document, whole.
+Training: about SAMPLE_ROWS labelled documents (a bounded sample by hash of doc_id; the bound is a parameter; the rarest
+languages are taken whole, the others in equal parts), the VOCABULARY most frequent words that occur twice or more, and 65536
+trigram buckets a language; whole texts. Prediction: every document, whole.
 
 Viterbi is exact. A text whose best single language can't be beaten (by what another language gains over
 any stretch of words) is settled at once (if the gain is at most half the
@@ -17,19 +18,20 @@ go to the first language in code-point order; null ids are neither held out nor
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import textops
 from .common import cut, documents
 
 SAMPLE_ROWS, VOCABULARY, BUCKETS = 20_000, 200_000, 1 << 16
 PENALTY, CLIP, FOREIGN = 6.0, 8.0, 12.0
-LETTERS = re.compile(r"[^\W\d_]+")
+#: A word: letters (category L) with the marks on them.
+LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 #: First code point of each range, and its script.
 SCRIPTS = [(0x0000, "Latin"), (0x0370, "Greek"), (0x0400, "Cyrillic"), (0x0530, "Armenian"), (0x0590, "Hebrew"), (0x0600, "Arabic"), (0x0900, "Indic"), (0x0E00, "Thai"), (0x0E80, "Other"), (0x10A0, "Georgian"), (0x1100, "Hangul"), (0x1200, "Other"), (0x1E00, "Latin"), (0x1F00, "Greek"), (0x2000, "Other"), (0x3040, "Kana"), (0x3100, "Other"), (0x3400, "Han"), (0xA000, "Other"), (0xAC00, "Hangul"), (0xD7B0, "Other"), (0xF900, "Han"), (0xFB00, "Other"), (0x20000, "Han")]
 STARTS, NAMES = np.array([a for a, _ in SCRIPTS]), sorted({b for _, b in SCRIPTS})
@@ -195,9 +197,15 @@ def remainder() -> Column:
 
 def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, vocabulary: int = VOCABULARY) -> Model | None:
     d = docs.where(F.col("lang").isNotNull() & (remainder() != 2)).select("doc_id", "text", "lang")
-    n = d.count()
-    if n > sample_rows:
-        d = d.where(F.pmod(F.xxhash64(F.lit("sample"), F.col("doc_id")), F.lit(1 << 30)) < int((1 << 30) * sample_rows / n))
+    labels = {r.lang: r["count"] for r in d.groupBy("lang").count().collect()}  # a row for each language
+    each, left = sample_rows, sample_rows
+    for place, n in enumerate(sorted(labels.values())):  # the rarer languages whole, the others in equal parts
+        each = left // (len(labels) - place)
+        left -= min(n, each)
+    drawn = F.pmod(F.xxhash64(F.lit("sample"), F.col("doc_id")), F.lit(1 << 30))
+    for lang, n in labels.items():
+        if n > max(1, each):
+            d = d.where((F.col("lang") != lang) | (drawn < int((1 << 30) * max(1, each) / n)))
     t = cut(d.select("text", "lang").mapInArrow(counter, "kind int, lang string, key string, n long").groupBy("kind", "lang", "key").agg(F.sum("n").alias("n")), "language-counts")
     scripts = t.where("kind = 2").collect()
     langs = sorted({r.lang for r in scripts})
@@ -230,8 +238,8 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame
             yield pa.record_batch([*(b[c] for c in keep), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64()), pa.array([x[2] for x in got], kinds)], [*keep, "lang_pred", "score", "spans"])
 
     d = docs.select(*dict.fromkeys([*keep, "text"]))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.select(*keep).schema)
-    return d.mapInArrow(run, f"{schema}, lang_pred string, score double, spans {SPANS}")
+    schema = StructType([*d.select(*keep).schema, *StructType.fromDDL(f"lang_pred string, score double, spans {SPANS}")])
+    return d.mapInArrow(run, schema)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -241,6 +249,9 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that have a language: those without any letter go."""
+    """Documents that have a language: those without any letter (null and empty texts too) go.
+
+    Repeated rows all stay; an empty table gives an empty result; all columns of docs are returned, whatever their names.
+    """
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")  # no name of theirs can clash
     return identify(rows, train(docs), ["row"]).where("lang_pred != 'und'").select("row.*")
