@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from tallyloom.llm import exact_dedup, language_id, language_model, line_dedup, near_duplicates, secrets, token_shards
 
@@ -60,6 +61,20 @@ def test_near_duplicates_chains_and_short_texts(spark, cells):
     assert {x.doc_id for x in kept.collect()} == {i for i, (_, c) in got.items() if i == c}
 
 
+def test_shared_passages_alone_make_no_candidates(spark):
+    """Documents of which four fifths are one passage have a similarity of two thirds: none is dealt to a task, however many."""
+    shared = " ".join(f"s{i}" for i in range(400))
+    docs = table(spark, [(i, shared + " " + " ".join(f"d{i}w{j}" for j in range(100))) for i in range(300)])
+    d, blocks = near_duplicates.dealt(docs)
+    bits = near_duplicates.bucket_bits(blocks)
+    replies = d.select("block", "text").groupBy("block").applyInArrow(near_duplicates.sender(bits, 5), near_duplicates.SENT).groupBy("bucket").applyInArrow(near_duplicates.count, "block int, bucket int, classes binary")
+    base = d.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(near_duplicates.poster(5), near_duplicates.NODES)
+    assert near_duplicates.candidates(base).count() == 0
+    # and with nine tenths of them shared, one component
+    docs = table(spark, [(i, shared + " " + " ".join(f"d{i}w{j}" for j in range(40))) for i in range(300)])
+    assert {r.component_id for r in near_duplicates.near_duplicates(docs, cell_sets=16).collect()} == {0}
+
+
 def test_near_duplicates_odd_rows(spark):
     assert near_duplicates.near_duplicates(odd(spark)).count() == 7
     assert near_duplicates.near_duplicates(odd(spark).limit(0)).count() == 0
@@ -396,6 +411,17 @@ def test_line_dedup_table(spark, sf):
     assert got == brute_lines([tuple(r) for r in docs.collect()])
 
 
+def test_numerals_are_no_letters_and_any_column_name_passes(spark):
+    docs = table(spark, [(i, t) for i, t in enumerate(["one two three", "² ½ ① Ⅷ 12", "क्षि हिन्दी", "x²y"])])
+    docs = docs.withColumn("lang", F.lit("en")).withColumn("my col", F.col("doc_id")).withColumn("a.b", F.lit(1))
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(docs, language_id.train(docs), ["doc_id"]).collect()}
+    assert [got[i] for i in range(4)] == ["en", "und", "en", "en"]
+    assert language_id.split(["क्षि हिन्दी x²y"])[1].tolist() == [4]
+    kept = language_id.language_stage(spark, docs, "")
+    assert kept.columns == docs.columns and kept.count() == 3
+    assert near_duplicates.near_duplicates_stage(spark, docs, "").columns == docs.columns
+
+
 def slow_viterbi(s, penalty):
     n, m = s.shape
     best = max(product(range(m), repeat=n), key=lambda p: sum(s[i, k] for i, k in enumerate(p)) - penalty * sum(a != b for a, b in zip(p, p[1:])))
