@@ -70,7 +70,7 @@ def word_hashes(vocabulary: list[bytes]) -> np.ndarray:
 
 def line_keys(texts: pa.Array) -> tuple[np.ndarray, ...]:
     """For each line of each text: which text, line number, words, 128 bits of its words (key, key2) and hashes of its halves."""
-    found = pc.split_pattern(pc.ascii_lower(pc.fill_null(texts, "")), "\n")
+    found = pc.split_pattern(pc.ascii_lower(pc.fill_null(textops.own(texts), "")), "\n")
     of = pc.list_parent_indices(found).to_numpy().astype(np.int32)
     nos = np.arange(len(of), dtype=np.int32) - np.repeat(np.cumsum(many := pc.list_value_length(found).to_numpy()) - many, many).astype(np.int32)
     split = pc.ascii_split_whitespace(found.flatten())

@@ -52,6 +52,11 @@ def runs(texts: pa.Array, size: int):
         a = b
 
 
+def own(texts: pa.Array, without: np.ndarray | None = None) -> pa.Array:
+    """A copy of a slice in memory of its own (not all functions of Arrow bear slices), with nulls where `without` is true."""
+    return texts.take(pa.array(np.arange(len(texts)), mask=without))
+
+
 def hashes(vocabulary: list[bytes], seed: int = 0) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in vocabulary), np.uint64, len(vocabulary))
 

@@ -92,13 +92,14 @@ class Tokenizer:
 
     def stream(self, texts: pa.Array) -> tuple[np.ndarray, bytes | pa.Buffer]:
         """The ids of all texts as one stream, and how many bytes of it each text has."""
-        empty = pc.fill_null(pc.equal(texts, ""), True)
+        texts = textops.own(texts)
+        empty = pc.fill_null(pc.equal(pc.binary_length(texts), 0), True).to_numpy(zero_copy_only=False)
         if self.by_word:
             odd = pc.or_(pc.or_(pc.match_substring(texts, "  "), pc.starts_with(texts, " ")), pc.match_substring(texts, BLANK))
-            odd = pc.and_not(pc.fill_null(odd, False), empty)
+            odd = pc.fill_null(odd, False).to_numpy(zero_copy_only=False)
         else:
-            odd = pc.invert(empty)
-        words = pc.split_pattern(pc.if_else(pc.or_(odd, empty), None, texts), " ")
+            odd = ~empty
+        words = pc.split_pattern(textops.own(texts, odd | empty), " ")
         d = words.flatten().dictionary_encode()
         vocabulary = d.dictionary.to_pylist()
         self.learn(vocabulary)
@@ -106,8 +107,8 @@ class Tokenizer:
         ends = np.frombuffer(ids.buffers()[1], np.int32, len(ids) + 1, 4 * ids.offset) if len(ids) else np.zeros(1, np.int32)
         at = ends[np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(words), 0).to_numpy())))].astype(np.int64)
         size, data = np.diff(at), ids.buffers()[2] if len(ids) else b""
-        if pc.any(odd).as_py():
-            where = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        if odd.any():
+            where = np.flatnonzero(odd)
             raw, view = self.raw(texts.take(pa.array(where)).to_pylist()), memoryview(data)
             size[where] = list(map(len, raw))
             cuts = at[where].tolist()
