@@ -298,6 +298,9 @@ def test_encoding_by_word_equals_that_of_whole_texts(monkeypatch):
     texts += ["".join(r.choice(list("ab  ▁\n\té<>.0"), int(r.integers(1, 40)))) for _ in range(3000)]
     want = [np.asarray(x, "<u2").tobytes() for x in tok.encode(texts)]
     assert tok.raw(texts) == want
+    for a, b in ((0, 50), (3, 90), (100, len(texts))):  # slices, as the operator takes them
+        size, data = tok.stream(pa.array(texts, pa.string()).slice(a, b - a))
+        assert bytes(data) == b"".join(want[a:b]) and size.tolist() == list(map(len, want[a:b]))
     for some in (texts, [t for t in texts if "  " not in t], ["▁"], [""], []):
         size, data = tok.stream(pa.array(some, pa.string()))
         ends = np.cumsum(size).tolist()
