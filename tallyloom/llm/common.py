@@ -45,7 +45,17 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     delete_at_end(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.tallyloom_path = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables that cut() has made, once what was read from them has been written down itself."""
+    for df in tables:
+        if path := getattr(df, "__dict__", {}).pop("tallyloom_path", None):
+            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def parts(spark: SparkSession) -> int:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, discard
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -17,14 +17,18 @@ def components(edges: DataFrame) -> DataFrame:
     e = cut(edges.where("a != b").distinct(), "edges")
     steps: list[DataFrame] = []
     while not e.isEmpty():
+        old = e
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         step = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("to")), "step")
         steps.append(step)
         e = e.join(step.select(F.col("node").alias("a"), F.col("to").alias("x")), "a").join(step.select(F.col("node").alias("b"), F.col("to").alias("y")), "b")
-        e = cut(e.where("x != y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "edges")
+        before, e = old, cut(e.where("x != y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "edges")
+        discard(before)
     if not steps:
         return e.select(F.col("a").alias("node"), F.col("b").alias("label"))
     out = steps[0].select("node", F.col("to").alias("label"))
     for step in steps[1:]:
         out = out.join(step.select(F.col("node").alias("label"), "to"), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
-    return cut(out, "components")
+    out = cut(out, "components")
+    discard(e, *steps)
+    return out
