@@ -30,11 +30,12 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textops
-from .common import cut, documents, text_hash
+from .common import cut, discard, documents, text_hash
 
 CLUSTERED, ENDINGS, CLASSES, ALPHA, MIX, SWEEPS = 1000, 255, 64, 1.0, 0.98, 8
 LEAST, TAIL_SWEEPS, TOLERANCE = 2, 2, 1e-4
@@ -63,29 +64,32 @@ BLOCKS = "bucket int, block int, data binary, counts binary, endings binary, cod
 def encoder(bits: int):
     """A block of documents -> (bucket -1) its words as numbers, and (bucket 0 and on) its words' training counts by range.
 
-    As numbers: data has the hashes of the distinct words in order, endings their groups of endings, codes each word's
-    place in that order, docs the documents.
+    As numbers: data has the hashes of the distinct words, frequent ones first, endings their groups of endings, codes each
+    word's place in that order (low halves, then high halves, which shuffles compress), docs the documents.
     """
 
     def send(key, t):
         codes, counts, vocabulary = textops.words(t["text"].to_pylist())
         h = textops.hashes(vocabulary)
-        order = np.argsort(h)
-        place = np.empty(len(h), np.int32)
-        place[order] = np.arange(len(h), dtype=np.int32)
-        codes, h, endings = place[codes] if len(codes) else np.zeros(0, np.int32), h[order], ending(vocabulary)[order].astype(np.uint8) if vocabulary else np.zeros(0, np.uint8)
+        order = np.argsort(-np.bincount(codes, minlength=len(h)), kind="stable")
+        place = np.empty(len(h), np.uint32)
+        place[order] = np.arange(len(h), dtype=np.uint32)
+        codes = place[codes] if len(codes) else np.zeros(0, np.uint32)
+        h, endings = h[order], ending(vocabulary)[order].astype(np.uint8) if vocabulary else np.zeros(0, np.uint8)
         learn = np.repeat(t["learn"].to_numpy(zero_copy_only=False).astype(bool), counts)
-        n = np.bincount(codes[learn], minlength=len(h)).astype(np.uint32)
+        n, by_hash = np.bincount(codes[learn], minlength=len(h)).astype(np.uint32), np.argsort(h)
+        words, n = h, n[by_hash]
+        h = h[by_hash]
         of, at = cut_up(h, bits)
         docs = pa.StructArray.from_arrays([t[c].combine_chunks() for c in ("doc_id", "held_out", "learn")] + [pa.array(counts, pa.int32())], ["doc_id", "held_out", "learn", "n"])
         block, m = key[0].as_py(), len(of)
         return pa.table({
             "bucket": pa.array([-1, *of.tolist()], pa.int32()),
             "block": pa.array([block] * (m + 1), pa.int32()),
-            "data": pa.array([h.tobytes(), *(h[a:b].tobytes() for a, b in pairwise(at))], pa.binary()),
+            "data": pa.array([words.tobytes(), *(h[a:b].tobytes() for a, b in pairwise(at))], pa.binary()),
             "counts": pa.array([None, *(n[a:b].tobytes() for a, b in pairwise(at))], pa.binary()),
             "endings": pa.array([endings.tobytes()] + [None] * m, pa.binary()),
-            "codes": pa.array([codes.tobytes()] + [None] * m, pa.binary()),
+            "codes": pa.array([(codes & 0xFFFF).astype(np.uint16).tobytes() + (codes >> 16).astype(np.uint16).tobytes()] + [None] * m, pa.binary()),
             "docs": pa.ListArray.from_arrays(pa.array([0, *[len(docs)] * (m + 1)], pa.int32()), docs),
         })
 
@@ -100,10 +104,15 @@ class Block:
         self.block = t["block"][0].as_py() if some else -1
         self.h = np.frombuffer(t["data"][0].as_py() if some else b"", np.uint64)
         self.endings = np.frombuffer(t["endings"][0].as_py() if some else b"", np.uint8).astype(np.int64)
-        self.codes = np.frombuffer(t["codes"][0].as_py() if some else b"", np.int32)
+        halves = np.frombuffer(t["codes"][0].as_py() if some else b"", np.uint16).astype(np.int64).reshape(2, -1)
+        self.codes = halves[0] | halves[1] << 16
+        self.by_hash = np.argsort(self.h)
         self.docs = t["docs"].combine_chunks().flatten()
-        self.counts = self.docs.field("n").to_numpy().astype(np.int64)
-        self.learn = self.docs.field("learn").to_numpy(zero_copy_only=False).astype(bool)
+        self.counts = self.doc("n").to_numpy().astype(np.int64)
+        self.learn = self.doc("learn").to_numpy(zero_copy_only=False).astype(bool)
+
+    def doc(self, column: str) -> pa.Array:
+        return pc.struct_field(self.docs, column)
 
     def units(self, top: np.ndarray) -> np.ndarray:
         """The unit (clustered word or group of endings) of each distinct word; top is sorted."""
@@ -154,11 +163,16 @@ def pairs(top: np.ndarray):
     end = len(top) + ENDINGS
     m = end + 1
 
-    def run(key, t):
-        b = Block(t)
-        u = np.append(b.units(top), end)[b.stream()]
-        k, n = np.unique(u[:-1] * m + u[1:], return_counts=True)
-        return pa.table({"pair": pa.array(k), "n": pa.array(n)})
+    def run(batches):
+        total = np.zeros(m * m, np.int64)
+        for t in batches:
+            for i in range(t.num_rows):
+                b = Block(pa.Table.from_batches([t.slice(i, 1)]))
+                u = np.append(b.units(top), end)[b.stream()]
+                total += np.bincount(u[:-1] * m + u[1:], minlength=m * m)
+        k = np.flatnonzero(total)
+        for a in range(0, len(k), 1 << 16):
+            yield pa.record_batch([pa.array(k[a : a + (1 << 16)]), pa.array(total[k[a : a + (1 << 16)]])], ["pair", "n"])
 
     return run
 
@@ -282,9 +296,10 @@ class Model:
     def known(self, block: Block, replies):
         """Training count and class of each word of a block, and which words are classed by themselves."""
         replies = replies.sort_by("bucket")
-        n = np.frombuffer(b"".join(x for x in replies["counts"].to_pylist() if x is not None), np.int64)
+        n = np.zeros(len(block.h), np.int64)
+        n[block.by_hash] = np.frombuffer(b"".join(x for x in replies["counts"].to_pylist() if x is not None), np.int64)
         u = block.units(self.top)
-        k, tail = self.of[u], np.flatnonzero((u >= len(self.top)) & (n >= LEAST))
+        k, tail = self.of[u], block.by_hash[((u >= len(self.top)) & (n >= LEAST))[block.by_hash]]
         if sent := [x for x in replies["classes"].to_pylist() if x is not None]:
             k[tail] = np.frombuffer(b"".join(sent), np.uint8)
         return n, k, tail
@@ -301,7 +316,7 @@ class Model:
             before, after = stream[:-1], stream[1:]
             of = np.append(k, classes - 1)
             c = np.bincount(of[before] * classes + of[after], minlength=classes * classes).astype(np.int64)
-            rows = [(-1, b"", b"", b"", b"", c.tobytes())]
+            rows = [(-1, b"", b"", b"", b"", b"", c.tobytes())]
             if gather and len(tail):
                 place, width = np.full(len(h) + 1, -1), 2 * classes + 1
                 place[tail] = np.arange(len(tail))
@@ -310,12 +325,19 @@ class Model:
                 a, b = (x >= 0) & ~own, (y >= 0) & ~own
                 keys = np.concatenate((x[a] * width + of[after[a]], y[b] * width + classes + of[before[b]], x[own] * width + 2 * classes))
                 keys, n = np.unique(keys, return_counts=True)
+                more = (n - 1) // 255  # a count takes a byte; larger ones come in parts
+                last = np.cumsum(more + 1) - 1
+                keys, left = np.repeat(keys, more + 1), n - 255 * more
+                n = np.full(len(keys), 255, np.uint8)
+                n[last] = left
+                word, keys = keys // width, (keys % width).astype(np.uint8)
+                sizes = np.bincount(word, minlength=len(tail)).astype(np.uint16)
                 buckets, at = cut_up(h[tail], bits)
-                to = np.searchsorted(keys, at * width)
+                to = np.searchsorted(word, at)
                 for j, (p, q), (r, s) in zip(buckets.tolist(), pairwise(at.tolist()), pairwise(to.tolist()), strict=True):
                     mine = tail[p:q]
-                    rows.append((j, h[mine].tobytes(), k[mine].astype(np.uint8).tobytes(), (keys[r:s] - p * width).tobytes(), n[r:s].astype(np.uint32).tobytes(), None))
-            return pa.Table.from_pylist([dict(zip(("bucket", "data", "classes", "keys", "n", "bigrams"), r, strict=True), block=block.block) for r in rows], CONTEXT_ROWS).select(CONTEXT_ROWS.names)
+                    rows.append((j, h[mine].tobytes(), k[mine].astype(np.uint8).tobytes(), sizes[p:q].tobytes(), keys[r:s].tobytes(), n[r:s].tobytes(), None))
+            return pa.Table.from_pylist([dict(zip(("bucket", "data", "classes", "sizes", "keys", "n", "bigrams"), r, strict=True), block=block.block) for r in rows], CONTEXT_ROWS).select(CONTEXT_ROWS.names)
 
         return send
 
@@ -329,12 +351,9 @@ class Model:
             values, inverse = np.unique(np.concatenate(sent), return_inverse=True)
             was = np.zeros(len(values), np.int64)
             was[inverse] = np.frombuffer(b"".join(t["classes"].to_pylist()), np.uint8)
-            keys = []
-            for first, x in zip(at, t["keys"].to_pylist(), strict=False):
-                x = np.frombuffer(x, np.int64)
-                keys.append(inverse[first + x // width] * width + x % width)
-            keys, where = np.unique(np.concatenate(keys), return_inverse=True)
-            n = np.bincount(where, np.frombuffer(b"".join(t["n"].to_pylist()), np.uint32), len(keys))
+            keys, sizes, n = (np.frombuffer(b"".join(t[x].to_pylist()), kind) for x, kind in (("keys", np.uint8), ("sizes", np.uint16), ("n", np.uint8)))
+            keys, where = np.unique(np.repeat(inverse, sizes) * width + keys, return_inverse=True)
+            n = np.bincount(where, n, len(keys))
             to = np.searchsorted(keys, np.arange(len(values) + 1) * width)
             now, rows, columns = was.copy(), c.sum(1), c.sum(0)
             for lo in range(0, len(values), chunk):
@@ -368,11 +387,11 @@ class Model:
         first = last - counts
         add = lambda x: np.add.reduceat(x, first) if len(first) else np.zeros(0)
         many = len(counts)
-        return pa.table({"doc_id": block.docs.field("doc_id"), "held_out": block.docs.field("held_out"), "n_tokens": pa.array(counts + 1), "n_known": pa.array(add((c > 0).astype(np.int64)), pa.int64()), "train_tokens": pa.array(np.full(many, self.tokens), pa.int64()), "base_score": pa.array(add(base), pa.float64()), "score": pa.array(add(own), pa.float64())})
+        return pa.table({"doc_id": block.doc("doc_id"), "held_out": block.doc("held_out"), "n_tokens": pa.array(counts + 1), "n_known": pa.array(add((c > 0).astype(np.int64)), pa.int64()), "train_tokens": pa.array(np.full(many, self.tokens), pa.int64()), "base_score": pa.array(add(base), pa.float64()), "score": pa.array(add(own), pa.float64())})
 
 
-CONTEXT_ROWS = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("data", pa.binary()), ("classes", pa.binary()), ("keys", pa.binary()), ("n", pa.binary()), ("bigrams", pa.binary())])
-CONTEXTS = "bucket int, block int, data binary, classes binary, keys binary, n binary, bigrams binary"
+CONTEXT_ROWS = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("data", pa.binary()), ("classes", pa.binary()), ("sizes", pa.binary()), ("keys", pa.binary()), ("n", pa.binary()), ("bigrams", pa.binary())])
+CONTEXTS = "bucket int, block int, data binary, classes binary, sizes binary, keys binary, n binary, bigrams binary"
 
 
 def added(batches):
@@ -395,13 +414,14 @@ def classed(d: DataFrame, replies: DataFrame, model: Model, bits: int) -> DataFr
         sent = d.groupBy("block").cogroup(to.groupBy("block")).applyInArrow(lambda t, r: known.value.contexts(bits, gather)(t, r), CONTEXTS)
         sent = cut(sent, "contexts")
         c = [np.frombuffer(r.bigrams, np.int64) for r in sent.where("bucket < 0").select("bigrams").mapInArrow(added, "bigrams binary").collect()]
-        return sent.where("bucket >= 0"), np.sum(c, 0).reshape(model.bigrams.shape).astype(float)
+        return sent, np.sum(c, 0).reshape(model.bigrams.shape).astype(float)
 
     for sweep in range(TAIL_SWEEPS):
         if not sweep:
             sent, _ = count(kept, True)
         moved = spark.sparkContext.broadcast(model)
-        classes = cut(sent.groupBy("bucket").applyInArrow(lambda k, t: moved.value.mover()(k, t), "block int, bucket int, counts binary, classes binary"), "classes")
+        classes = cut(sent.where("bucket >= 0").groupBy("bucket").applyInArrow(lambda k, t: moved.value.mover()(k, t), "block int, bucket int, counts binary, classes binary"), "classes")
+        discard(sent)
         to = replies.unionByName(classes)
         sent, c = count(to, sweep + 1 < TAIL_SWEEPS)
         gain = likelihood(c) - likelihood(model.bigrams)
@@ -410,6 +430,7 @@ def classed(d: DataFrame, replies: DataFrame, model: Model, bits: int) -> DataFr
             kept = to
         if gain <= TOLERANCE * abs(likelihood(model.bigrams)):
             break
+    discard(sent)
     return kept
 
 
@@ -436,7 +457,7 @@ def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES, clustered: int = CLUS
     top = np.sort(np.array([r.h for r in few], np.int64).view(np.uint64))
     m = len(top) + ENDINGS + 1
     n = np.zeros(m * m)
-    learned = encoded.groupBy("block").applyInArrow(lambda k, t: pairs(top)(k, t), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    learned = encoded.mapInArrow(pairs(top), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     n[learned["pair"].to_numpy()] = learned["n"].to_numpy()  # at most m * m rows
     n = n.reshape(m, m)
     model = Model(top, exchange(n), n, tokens, types, once, ends)
