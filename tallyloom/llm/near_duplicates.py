@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textops
-from .common import cut, documents, parts, text_hash
+from .common import cut, discard, documents, parts, text_hash
 from .graph import components
 
 K, NUM, DEN = 5, 75, 100
@@ -248,8 +248,9 @@ def meetings(t: DataFrame, cell_sets: int, cell_shingles: int) -> DataFrame:
     return t.select(pair.cast("binary").alias("task"), "key", "shingles")
 
 
-def links_within(nodes: DataFrame, cell_sets: int = CELL_SETS, cell_shingles: int = CELL_SHINGLES) -> DataFrame:
-    """(key, label, n, shingles) -> (key, label): components of the links between sets of the same candidate group.
+def links_within(nodes: DataFrame, cell_sets: int = CELL_SETS, cell_shingles: int = CELL_SHINGLES) -> tuple[DataFrame, DataFrame]:
+    """(key, label, n, shingles) -> (key, label): components of the links between sets of the same candidate group; and the
+    table that holds them.
 
     A group that fits a cell is one task. Of a larger one, cells are linked within first; then one set of each component
     so far and size class is linked with others of the kind, which joins the pieces of large groups of near copies; what is
@@ -263,32 +264,47 @@ def links_within(nodes: DataFrame, cell_sets: int = CELL_SETS, cell_shingles: in
     big = t.where("not whole").drop("whole")
     small = t.where("whole").select(F.col("label").alias("task"), "key", "shingles")
     found = linked(small.unionByName(own_cells(big, ["label", "size_class"], cell_sets, cell_shingles)))
-    names = components(found)
+    names, old = components(found), [t, found]
     if not big.isEmpty():
         first = big.join(names.select(F.col("node").alias("key"), F.col("label").alias("own")), "key", "left").withColumn("own", F.coalesce("own", "key"))
         first = first.groupBy("label", "own", "size_class").agg(F.min(F.struct("key", "n", "shingles")).alias("x")).select("label", "x.*")
-        found = found.unionByName(linked(own_cells(first, ["label"], cell_sets, cell_shingles)))
-        names = components(found)
+        across = linked(own_cells(first, ["label"], cell_sets, cell_shingles))
+        old += [names, across]
+        names = components(found.unionByName(across))
         own = big.join(names.select(F.col("node").alias("key"), F.col("label").alias("own")), "key", "left").withColumn("own", F.coalesce("own", "key"))
         largest = own.groupBy("label", "own").agg(F.count("*").alias("sets")).groupBy("label").agg(F.max(F.struct("sets", "own")).alias("x"))
         largest = largest.join(sizes, "label").where("x.sets < sets").select("label", F.col("x.own").alias("major"))  # others are one component
         rest = cut(own.join(largest, "label").withColumn("minor", F.col("own") != F.col("major")).select("label", "key", "n", "size_class", "shingles", "minor"), "rest")
         more = linked(meetings(rest, cell_sets, cell_shingles))
+        old += [rest, more]
         if not more.isEmpty():
+            old.append(names)
             # the sets' components so far are enough of a forest for what was linked before
             names = components(names.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more))
-    return names.select(F.col("node").alias("key"), "label")
+    discard(*old)
+    return names.select(F.col("node").alias("key"), "label"), names
 
 
-def candidates(base: DataFrame) -> DataFrame:
-    """Sets that may be linked with another one, by candidate group: key, n, shingles, label."""
-    posted = base.where("posted is not null").select("key", "n", "meeting", F.posexplode("posted").alias("at", "h"))
+MOST = 1 << 19
+
+
+def candidates(base: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sets that may be linked with another one, by candidate group: key, n, shingles, label; and the table of the groups.
+
+    Within this step a set's number is its size (up to MOST), then 44 bits of its key: the smallest number has the smallest
+    set. Sets whose numbers clash share a group, which only adds candidates.
+    """
+    size = F.least(F.col("n"), F.lit(MOST - 1)).cast("long")
+    number = F.shiftleft(size, 44).bitwiseOR(F.shiftrightunsigned(F.xxhash64("key"), 20))
+    sets = base.where("posted is not null").select(number.alias("id"), "meeting", F.posexplode("posted").alias("at", "h"))
     # a set meets those that aren't smaller by the first `meeting` shingles, smaller ones by any
-    least = F.min(F.when(F.col("at") < F.col("meeting"), F.struct("n", "key")))
-    hubs = posted.groupBy("h").agg(least.alias("least"), F.min("key").alias("a"), F.max("key").alias("z")).where("a != z and least is not null").select("h", "least")
-    groups = components(posted.join(hubs, "h").where("n >= least.n").select(F.col("least.key").alias("a"), F.col("key").alias("b")))
+    least = F.min(F.when(F.col("at") < F.col("meeting"), F.col("id")))
+    hubs = sets.groupBy("h").agg(least.alias("least"), F.min("id").alias("a"), F.max("id").alias("z")).where("a != z and least is not null").select("h", "least")
+    met = sets.select("id", "h").join(hubs, "h").where(F.shiftright("id", 44) >= F.shiftright("least", 44))
+    groups = components(met.select(F.col("least").alias("a"), F.col("id").alias("b")))
     nodes = base.where("shingles is not null").select("key", "n", "shingles").groupBy("key").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"))
-    return nodes.join(groups.select(F.col("node").alias("key"), "label"), "key")
+    names = groups.select(F.col("node").alias("id"), F.hex("label").cast("binary").alias("label"))
+    return nodes.withColumn("id", number).join(names, "id").drop("id"), groups
 
 
 def classes(docs: DataFrame, k: int = K, cell_sets: int = CELL_SETS, cell_shingles: int = CELL_SHINGLES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -298,10 +314,13 @@ def classes(docs: DataFrame, k: int = K, cell_sets: int = CELL_SETS, cell_shingl
     sent = d.select("block", "text").groupBy("block").applyInArrow(sender(bits, k), SENT)
     replies = sent.groupBy("bucket").applyInArrow(count, "block int, bucket int, classes binary")
     base = cut(d.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(poster(k), NODES), "sets")
-    labels = links_within(candidates(base), cell_sets, cell_shingles)
-    base = base.select("doc_id", "text_hash", "n", "key")
+    nodes, groups = candidates(base)
+    labels, links_ = links_within(nodes, cell_sets, cell_shingles)
+    sets, base = base, base.select("doc_id", "text_hash", "n", "key")
     full = base.where("n > 0").join(labels, "key", "left").select("doc_id", "text_hash", "n", F.coalesce("label", "key").alias("component"))
-    return cut(full.unionByName(base.where("n = 0").select("doc_id", "text_hash", "n", F.lit(None).cast("binary").alias("component"))), "labelled")
+    out = cut(full.unionByName(base.where("n = 0").select("doc_id", "text_hash", "n", F.lit(None).cast("binary").alias("component"))), "labelled")
+    discard(sets, groups, links_)
+    return out
 
 
 def near_duplicates(docs: DataFrame, k: int = K, cell_sets: int = CELL_SETS, cell_shingles: int = CELL_SHINGLES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
