@@ -37,10 +37,13 @@ def cost(tokens_in: Column, tokens_out: Column, price_in: float, price_out: floa
     return tokens_in / 1e6 * price_in + tokens_out / 1e6 * price_out
 
 
-def kappa(n: Column, agree: Column, expected: Column, on_empty: float | None = 0.0) -> Column:
-    """From counts: n pairs, how many agree, and the sum over labels of the products of their marginals."""
+def kappa(n: Column, agree: Column, expected: Column, on_empty: float | None = 0.0, on_constant: float | None = 1.0) -> Column:
+    """From counts: n pairs, how many agree, and the sum over labels of the products of their marginals.
+
+    Without pairs it is on_empty, with one label on both sides throughout on_constant (null, 0, 1 or NaN).
+    """
     n, agree, expected = n.cast("double"), agree.cast("double"), expected.cast("double")
-    return F.when(n == 0, F.lit(on_empty)).when(expected == n * n, 1.0).otherwise(F.try_divide(n * agree - expected, n * n - expected))
+    return F.when(n == 0, F.lit(on_empty)).when(expected == n * n, F.lit(on_constant)).otherwise(F.try_divide(n * agree - expected, n * n - expected))
 
 
 def band(k: Column) -> Column:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels, stats
+from . import longform
 
 
 def contingency(pairs: DataFrame, keys: list[str], weight: Column | None = None) -> DataFrame:
@@ -13,7 +16,7 @@ def contingency(pairs: DataFrame, keys: list[str], weight: Column | None = None)
     return pairs.groupBy(*keys, "left", "right").agg((F.sum(weight) if weight is not None else F.count("*")).alias("n"))
 
 
-def kappa(table: DataFrame, keys: list[str], on_empty: float | None = 0.0) -> DataFrame:
+def kappa(table: DataFrame, keys: list[str], on_empty: float | None = 0.0, on_constant: float | None = 1.0) -> DataFrame:
     """n, agreement, kappa and 2-class PABAK of each key. Each cell counts into the marginals of both of its labels."""
     sides = F.array(
         F.struct(F.col("left").alias("label"), F.col("n").alias("row_n"), F.lit(0).cast("long").alias("col_n"), F.when(F.col("left").eqNullSafe(F.col("right")), F.col("n")).otherwise(0).alias("same_n")),
@@ -22,7 +25,7 @@ def kappa(table: DataFrame, keys: list[str], on_empty: float | None = 0.0) -> Da
     m = table.select(*keys, F.explode(sides).alias("x")).groupBy(*keys, "x.label").agg(F.sum("x.row_n").alias("r"), F.sum("x.col_n").alias("c"), F.sum("x.same_n").alias("s"))
     m = m.groupBy(*keys).agg(F.sum("r").alias("n"), F.sum("s").alias("agree"), F.sum(F.col("r").cast("double") * F.col("c")).alias("expected"))
     po = stats.ratio(F.col("agree"), F.col("n"))
-    return m.select(*keys, "n", po.alias("agreement"), stats.kappa(F.col("n"), F.col("agree"), F.col("expected"), on_empty).alias("kappa"), F.when(F.col("n") > 0, 2 * po - 1).otherwise(0.0).alias("pabak"))
+    return m.select(*keys, "n", po.alias("agreement"), stats.kappa(F.col("n"), F.col("agree"), F.col("expected"), on_empty, on_constant).alias("kappa"), F.when(F.col("n") > 0, 2 * po - 1).otherwise(0.0).alias("pabak"))
 
 
 def mean_over_pairs(k: DataFrame, keys: list[str]) -> DataFrame:
@@ -40,6 +43,36 @@ def report(answers: DataFrame, wide: DataFrame, pair_frame: DataFrame, least: in
     return k.join(positives(answers), "field").withColumns({"low_base_rate": F.col("n_positive") < least, "below": F.col("kappa_mean") < 0.6, "band": stats.band(F.col("kappa_mean"))})
 
 
+def full_report(answers: DataFrame, least: int = 10) -> DataFrame:
+    """report() over fields of all kinds (longform.unpivot_features), with each field's kind.
+
+    Positives are tags that are there, tri-state values of yes, and other values that are documented.
+    """
+    kind, v = labels.field_class(F.col("field")), F.col("value")
+    w = longform.side_by_side(answers)
+    k = mean_over_pairs(kappa(contingency(longform.pairs(w), ["field", "pair"]), ["field", "pair"]), ["field"])
+    p = positives(answers, F.when(kind == "tag", v == "1").when(kind == "tristate", v == "yes").otherwise(v != "not_documented"))
+    return k.join(p, "field").withColumns({"field_group": kind, "low_base_rate": F.col("n_positive") < least, "below": F.col("kappa_mean") < 0.6, "band": stats.band(F.col("kappa_mean"))})
+
+
+def by_group(report_frame: DataFrame) -> DataFrame:
+    """Mean and median kappa of each kind of field, over those that aren't rare."""
+    t = report_frame.where("not low_base_rate").groupBy("field_group")
+    return t.agg(F.count("*").alias("n_fields"), F.avg("kappa_mean").alias("mean_kappa"), F.median("kappa_mean").alias("median_kappa"))
+
+
+def common_in_both(answers: DataFrame, least: int = 10) -> DataFrame:
+    """(model, field, value) -> fields with enough positives in every model."""
+    n = answers.groupBy("field", "model").agg(F.count_if(F.col("value") == "yes").alias("n"))
+    return n.groupBy("field").agg(F.min("n").alias("n")).where(F.col("n") >= least).select("field")
+
+
+def model_effect(k: DataFrame, included: DataFrame) -> DataFrame:
+    """Of the included fields: how many, the median and mean of their deltas, and how many are negative."""
+    d = model_delta(k).join(included, "field", "left_semi")
+    return d.agg(F.count("*").alias("n_fields"), F.median("delta_pp").alias("median_delta_pp"), F.avg("delta_pp").alias("mean_delta_pp"), F.count_if(F.col("delta_pp") < 0).alias("n_negative"))
+
+
 def filtered_median(report_frame: DataFrame) -> DataFrame:
     return report_frame.where("not low_base_rate").agg(F.median("kappa_mean").alias("median_kappa"), F.count("*").alias("n_fields"))
 
@@ -87,6 +120,14 @@ def multilabel_confusion(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return both.unionByName(off).groupBy(*keys, "left", "right").agg(F.count("*").alias("n"))
 
 
+def off_diagonal(confusions: DataFrame, keys: list[str], top: int = 10) -> DataFrame:
+    """The largest cells off the diagonal of a multi-label confusion, with their share of the row's off-diagonal cells."""
+    t = confusions.where("left != right")
+    t = t.withColumn("row_share", F.col("n") / F.sum("n").over(Window.partitionBy(*keys, "left")))
+    w = Window.partitionBy(*keys).orderBy(F.desc("n"), "left", "right")
+    return t.withColumn("place", F.row_number().over(w)).where(F.col("place") <= top)
+
+
 def jaccard(left: Column, right: Column) -> Column:
     """1 when both are empty."""
     u = F.size(F.array_union(left, right))
@@ -167,3 +208,11 @@ def shifts(before: DataFrame, after: DataFrame, value: str = "kappa") -> DataFra
     """Fields of both samples with the change, largest first, and a verdict."""
     j = before.select("field", F.col(value).alias("before")).join(after.select("field", F.col(value).alias("after")), "field")
     return j.withColumn("delta", F.col("after") - F.col("before")).withColumn("verdict", stats.verdict(F.col("delta"))).orderBy(F.desc(F.abs("delta")), "field")
+
+
+def compared(samples: dict[str, DataFrame], value: str = "kappa_mean") -> DataFrame:
+    """Any number of samples side by side: a column for each, and which of them lack the field."""
+    names = list(samples)
+    t = reduce(DataFrame.unionByName, (df.select(F.lit(n).alias("sample"), "field", F.col(value).alias("v")) for n, df in samples.items()))
+    t = t.groupBy("field").agg(*[F.max(F.when(F.col("sample") == n, F.col("v"))).alias(n) for n in names])
+    return t.withColumn("lacking", F.concat_ws(",", *[F.when(F.col(n).isNull(), n) for n in names]))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 from pyspark.sql.types import DoubleType
@@ -62,10 +62,19 @@ def adjusted(found: DataFrame, examples: DataFrame) -> DataFrame:
     return t.withColumn("adjusted", F.greatest(F.lit(0), F.least(F.bround(F.col("n") * F.col("survival")).cast("long"), F.col("n"))))
 
 
+def new_clusters(before: DataFrame, after: DataFrame, least: int = 0) -> DataFrame:
+    """Clusters of `after`, larger than least, that `before` doesn't have."""
+    return after.join(before.select("cluster_id").distinct(), "cluster_id", "left_anti").where(F.col("n") > least)
+
+
 def reduction(first: int, last: int) -> float:
     return 100.0 * (first - last) / first if first else 0.0
 
 
+def reduction_pct(first: Column, last: Column) -> Column:
+    return F.when(first > 0, 100.0 * (first - last) / first).otherwise(0.0)
+
+
 def examples(found: DataFrame, strata: DataFrame, cap: int = 10, top_patterns: int = 5) -> DataFrame:
     """At most `cap` documents of each field: round robin over its most frequent patterns, unseen strata first.
 
@@ -100,6 +109,16 @@ def example_quotas(weights: dict[str, int], total: int = 8) -> dict[str, int]:
     return {k: max(1, round(w / whole * total)) for k, w in weights.items()}
 
 
+def quota_examples(records: DataFrame, total: int = 8) -> DataFrame:
+    """(cluster_id, record_id, weight, examples) -> `total` examples of each cluster: those within their record's quota
+    first (at least one, in proportion to its weight; halves to even), then more of the records in turn."""
+    all_ = F.sum("weight").over(Window.partitionBy("cluster_id"))
+    t = records.withColumn("quota", F.greatest(F.bround(F.col("weight") / all_ * total), F.lit(1.0)).cast("int"))
+    t = t.select("cluster_id", "record_id", "quota", F.posexplode("examples").alias("at", "example"))
+    w = Window.partitionBy("cluster_id").orderBy((F.col("at") >= F.col("quota")).cast("int"), "record_id", "at")
+    return t.withColumn("place", F.row_number().over(w)).where(F.col("place") <= total).select("cluster_id", "place", "record_id", "example")
+
+
 @pandas_udf(DoubleType())
 def edit_share(a: pd.Series, b: pd.Series) -> pd.Series:
     """1 - the matching-blocks ratio of two strings."""

@@ -34,6 +34,13 @@ def top_codes(codes: DataFrame, titles: DataFrame, n: int) -> DataFrame:
     return t.select("code", "n", F.coalesce("title", F.lit("")).alias("title")).orderBy(F.desc("n"), "code").limit(n)
 
 
+def top_versioned_codes(codes: DataFrame, titles: DataFrame, n: int) -> DataFrame:
+    """The most frequent pairs of code and version with their titles; a dictionary's version is text (empty where unknown)."""
+    t = codes.groupBy("code", "version").agg(F.count("*").alias("n")).withColumn("v", F.col("version").cast("string"))
+    names = titles.groupBy("code", F.col("version").cast("string").alias("v")).agg(F.max("title").alias("title"))
+    return t.join(names, ["code", "v"], "left").select("code", "version", "n", F.coalesce("title", F.lit("")).alias("title")).orderBy(F.desc("n"), "code", "version").limit(n)
+
+
 def join_audit(left: DataFrame, right: DataFrame, key: str, right_key: str) -> DataFrame:
     """Rows, distinct keys and orphans (rows of left without a match; null keys count) in one row."""
     r = right.select(F.col(right_key).alias("k")).distinct()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import domains
+
 RATERS = ("A", "B", "C")
 
 
@@ -36,10 +38,22 @@ def pairs(wide: DataFrame, raters: tuple[str, ...] = RATERS, keep: tuple[str, ..
     return wide.select(*keep, F.explode(F.array(*some)).alias("x")).select(*keep, "x.pair", "x.left", "x.right")
 
 
-def on_off(on: DataFrame, off: DataFrame, key: str, columns: list[str]) -> DataFrame:
+def on_off(on: DataFrame, off: DataFrame, key: str | list[str], columns: list[str]) -> DataFrame:
     """Two runs over the same documents, suffixed."""
-    a = on.select(key, *[F.col(c).alias(f"{c}_on") for c in columns])
-    return a.join(off.select(key, *[F.col(c).alias(f"{c}_off") for c in columns]), key)
+    keys = [key] if isinstance(key, str) else key
+    a = on.select(*keys, *[F.col(c).alias(f"{c}_on") for c in columns])
+    return a.join(off.select(*keys, *[F.col(c).alias(f"{c}_off") for c in columns]), keys)
+
+
+def unpivot_features(features: DataFrame, tags: tuple[str, ...] = domains.TAGS, enums: tuple[str, ...] = tuple(domains.ENUMS), tristates: tuple[str, ...] = domains.TRISTATE_FIELDS, ids: tuple[str, ...] = ("doc_id", "rater")) -> DataFrame:
+    """Answers of all four kinds of fields: a bit for each tag of the vocabulary; tri-state fields, not documented where
+    missing; enums, None (as text) where missing; the dominant reason, other where unknown."""
+    bits = [(f"admission_reason_tags:{t}", F.coalesce(F.array_contains("admission_reason_tags", t), F.lit(False)).cast("int").cast("string")) for t in tags]
+    three = [(f, F.coalesce(F.col(f), F.lit("not_documented"))) for f in tristates]
+    some = [(f, F.coalesce(F.col(f), F.lit("None"))) for f in enums]
+    first = F.col("dominant_admission_reason")
+    rows = [*bits, *three, *some, ("dominant_admission_reason", F.when(first.isin(*tags), first).otherwise("other"))]
+    return features.select(*ids, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), v.alias("value")) for f, v in rows])).alias("x")).select(*ids, "x.field", "x.value")
 
 
 def first_of(df: DataFrame, key: str | list[str], order: list[Column]) -> DataFrame:

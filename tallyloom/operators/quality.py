@@ -66,6 +66,14 @@ def window_rate(events: DataFrame, keys: list[str], order: list[str], latency: s
     return events.withColumn("window_rps", F.try_divide(F.count(latency).over(w).cast("double"), F.sum(latency).over(w)))
 
 
+def thinned(t: DataFrame, keys: list[str], order: list[str], points: int = 4000) -> DataFrame:
+    """About so many rows of each key: every n-th one and the last."""
+    w = Window.partitionBy(*keys)
+    t = t.withColumns({"rn": F.row_number().over(w.orderBy(*order)), "rows": F.count("*").over(w)})
+    step = F.greatest(F.ceil(F.col("rows") / points), F.lit(1))
+    return t.where(((F.col("rn") - 1) % step == 0) | (F.col("rn") == F.col("rows"))).drop("rn", "rows")
+
+
 def derivative(t: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """dy/dx by second-order central differences for uneven steps; one-sided at the ends."""
     w = Window.partitionBy(*keys).orderBy(x)
@@ -147,7 +155,7 @@ def drift(current: DataFrame, baseline: DataFrame, keys: list[str], flag_pp: flo
     return t.withColumns({"delta_pp": delta, "low": low, "high": high, "flag": F.abs(delta) > flag_pp})
 
 
-def gates(summary: DataFrame, baseline_cost: float, planned_rps: float | None = None, parse_max: float = 0.02, api_max: float = 0.01, cost_max: float = 0.15, late: str = "p95", late_max: float = 2.0) -> DataFrame:
+def gates(summary: DataFrame, baseline_cost: float, planned_rps: float | None = None, parse_max: float = 0.02, api_max: float = 0.01, cost_max: float = 0.15, late: str = "p95", late_max: float = 2.0, keys: tuple[str, ...] = ()) -> DataFrame:
     """PASS or FAIL rows of a run: parse failures and API errors below their limits, cost and latency within theirs."""
     n = F.col("attempted")
     rows = [
@@ -158,8 +166,8 @@ def gates(summary: DataFrame, baseline_cost: float, planned_rps: float | None =
     ]
     if planned_rps is not None:
         rows.append(("throughput", F.abs(F.col("rps") / planned_rps - 1), F.lit(0.20), "<="))
-    t = summary.select(F.explode(F.array(*[F.struct(F.lit(g).alias("gate"), v.alias("value"), m.alias("limit"), ((v < m) if op == "<" else (v <= m)).alias("ok")) for g, v, m, op in rows])).alias("x")).select("x.*")
-    return t.select("gate", "value", "limit", F.when(F.col("ok"), "PASS").otherwise("FAIL").alias("result"), F.when(F.min("ok").over(Window.partitionBy()), "PASS").otherwise("FAIL").alias("overall"))
+    t = summary.select(*keys, F.explode(F.array(*[F.struct(F.lit(g).alias("gate"), v.alias("value"), m.alias("limit"), ((v < m) if op == "<" else (v <= m)).alias("ok")) for g, v, m, op in rows])).alias("x")).select(*keys, "x.*")
+    return t.select(*keys, "gate", "value", "limit", F.when(F.col("ok"), "PASS").otherwise("FAIL").alias("result"), F.when(F.min("ok").over(Window.partitionBy(*keys)), "PASS").otherwise("FAIL").alias("overall"))
 
 
 def integrity(results: DataFrame, key: str, expected: tuple[int, int]) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import agreement
+from . import agreement, longform
 
 
 def draw(seed: int, n: int):
@@ -56,6 +56,36 @@ def kappa_replicates(patterns: DataFrame, reps: int, seed: int) -> DataFrame:
     return agreement.kappa(agreement.contingency(t, keys, F.col("w")), keys)
 
 
+def paired_models(wide: DataFrame, reps: int, seed: int, least: int = 10) -> DataFrame:
+    """Replicates of the effect of model size: (row_no, model, field, A, B, C) -> rep, filter, field, statistic, value.
+
+    One draw of documents serves both models, all fields and raters. The fixed filter keeps the fields that have `least`
+    positives in both models over all documents, the dynamic one those that have them in the replicate. Statistics: each
+    field's delta (median over pairs of 100 (full - small) kappa; field is set), and over the kept fields the median and the
+    mean of the deltas, the share of negative ones, and 100 times the difference of the models' median kappas.
+    """
+    d = wide.groupBy("row_no").agg(F.sort_array(F.collect_list(F.struct("model", "field", "A", "B", "C"))).alias("cells"))
+    p = d.groupBy("cells").agg(F.count("*").alias("n"))
+    p = p.select((F.row_number().over(Window.orderBy("cells")) - 1).alias("pattern_no"), "cells", "n")  # bounded by the labels
+    whole = p.select(F.lit(-1).cast("long").alias("rep"), F.col("pattern_no").cast("long").alias("pattern_no"), F.col("n").alias("w"))
+    t = pattern_draws(p, reps, seed).unionByName(whole).join(p.select("pattern_no", F.explode("cells").alias("x")), "pattern_no").select("rep", "w", "x.*")
+    keys = ["rep", "model", "field", "pair"]
+    k = agreement.kappa(agreement.contingency(longform.pairs(t, keep=("rep", "model", "field", "w")), keys, F.col("w")), keys)
+    yes = sum(((F.col(r) == "yes").cast("int") for r in longform.RATERS), F.lit(0))
+    often = t.groupBy("rep", "field", "model").agg(F.sum(yes * F.col("w")).alias("n")).groupBy("rep", "field").agg(F.min("n").alias("n")).where(F.col("n") >= least)
+    fixed = often.where("rep = -1").select("field")
+    k = k.where("rep >= 0")
+    both = k.join(fixed, "field", "left_semi").withColumn("filter", F.lit("fixed")).unionByName(k.join(often, ["rep", "field"], "left_semi").withColumn("filter", F.lit("dynamic")))
+    of = lambda m: F.max(F.when(F.col("model") == m, F.col("kappa")))
+    deltas = both.groupBy("rep", "filter", "field", "pair").agg((100 * (of("full") - of("small"))).alias("d")).groupBy("rep", "filter", "field").agg(F.median("d").alias("value"))
+    over = deltas.groupBy("rep", "filter").agg(F.median("value").alias("median_delta"), F.avg("value").alias("mean_delta"), F.avg((F.col("value") < 0).cast("double")).alias("negative_share"))
+    pooled = both.groupBy("rep", "filter").agg((100 * (F.median(F.when(F.col("model") == "full", F.col("kappa"))) - F.median(F.when(F.col("model") == "small", F.col("kappa"))))).alias("pooled_delta"))
+    names = ["median_delta", "mean_delta", "negative_share", "pooled_delta"]
+    rows = F.explode(F.array(*[F.struct(F.lit(n).alias("statistic"), F.col(n).alias("value")) for n in names]))
+    wholes = over.join(pooled, ["rep", "filter"]).select("rep", "filter", F.lit(None).cast("string").alias("field"), rows.alias("x")).select("rep", "filter", "field", "x.statistic", "x.value")
+    return wholes.unionByName(deltas.select("rep", "filter", "field", F.lit("delta").alias("statistic"), "value"))
+
+
 def interval(t: DataFrame, keys: list[str], value: str = "value", lo: float = 0.025, hi: float = 0.975) -> DataFrame:
     """Percentile interval over finite values; null if there are none."""
     v = F.when(~F.isnan(value) & (F.abs(value) != float("inf")), F.col(value))

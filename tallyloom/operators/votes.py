@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -111,6 +113,25 @@ def fuse(votes: DataFrame, sweeps: int = 50) -> DataFrame:
     return base.drop("probability").join(z, ["doc_id", *TARGET]).withColumns({"probability": p, "fit_status": F.lit("success_model")}).drop("z", "cast")
 
 
+def fuse_targets(votes: DataFrame, sweeps: int = 50) -> DataFrame:
+    """fuse() of each target (there are as many as fields and values to be labelled)."""
+    targets = sorted(tuple(r) for r in votes.select(*TARGET).distinct().collect())
+    return reduce(DataFrame.unionByName, (fuse(votes.where(same_target(t)), sweeps) for t in targets))
+
+
+def same_target(values: tuple) -> Column:
+    out = F.lit(True)
+    for c, v in zip(TARGET, values, strict=True):
+        out = out & (F.col(c) == v)
+    return out
+
+
+def smoke(t: DataFrame, keys: list[str], lf: Column, model: Column) -> DataFrame:
+    """Hits, false hits and misses of a function (fires or not) against a model (positive or not)."""
+    g = t.where(lf | model).groupBy(*keys)
+    return g.agg(F.count_if(lf & model).alias("hits"), F.count_if(lf & ~model).alias("false_hits"), F.count_if(~lf & model).alias("misses"))
+
+
 def consensus(a: Column, b: Column, c: Column, kind: str) -> Column:
     """Probability from three raters: tags by at least half, tri-state by majority of yes and no."""
     yes = sum((F.coalesce((x == "yes").cast("int"), F.lit(0)) for x in (a, b, c)), F.lit(0))

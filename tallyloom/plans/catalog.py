@@ -114,9 +114,9 @@ def wilson_sql(k: str, n: str) -> str:
     return f"round(CASE WHEN {n} > 0 THEN greatest(({m} - {h}) / {d}, 0) ELSE 0 END, 6) AS low, round(CASE WHEN {n} > 0 THEN least(({m} + {h}) / {d}, 1) ELSE 0 END, 6) AS high"
 
 
-@query("gold_agreement", f"{CROSS} SELECT field, n, round(agreement, 6) AS agreement, round(kappa, 6) AS kappa, round(pabak, 6) AS pabak, round(agreement * n)::BIGINT AS hits, {wilson_sql('(agreement * n)', 'n::DOUBLE')} FROM kap WHERE rater = 'A'")
+@query("gold_agreement", f"{CROSS} SELECT field, rater, n, round(agreement, 6) AS agreement, round(kappa, 6) AS kappa, round(pabak, 6) AS pabak, round(agreement * n)::BIGINT AS hits, {wilson_sql('(agreement * n)', 'n::DOUBLE')} FROM kap")
 def _(spark, sf):
-    return agreement.gold(_cross(spark, sf).where("rater = 'A'"), ["field"])
+    return agreement.gold(_cross(spark, sf), ["field", "rater"])
 
 
 @query("confusion_matrix", f"WITH {S.PAIRS}, c AS (SELECT field, pair, l, r, count(*) AS n FROM pairs GROUP BY ALL) SELECT field, pair, l AS \"left\", r AS \"right\", n, round(n / sum(n) OVER (PARTITION BY field, pair, l), 6) AS row_share, round(sum(CASE WHEN l = r THEN n ELSE 0 END) OVER (PARTITION BY field, pair) / sum(n) OVER (PARTITION BY field, pair), 6) AS diagonal_share FROM c")
@@ -171,11 +171,11 @@ def _(spark, sf):
     return agreement.shifts(m.where("model = 'small'"), m.where("model = 'full'"), "kappa_mean")
 
 
-@query("on_off_disagreement", f"{CROSS} SELECT field, count(*) AS n, sum((l IS DISTINCT FROM r)::INT)::BIGINT AS changed FROM p WHERE rater = 'A' GROUP BY field")
+@query("on_off_disagreement", f"{CROSS} SELECT field, count(*) AS n, sum((l IS DISTINCT FROM r)::INT)::BIGINT AS changed FROM p GROUP BY field")
 def _(spark, sf):
-    on = S.answers(spark, sf).where("rater = 'A'").groupBy("doc_id").pivot("field", S.FIELDS).agg(F.first("value"))
-    off = S.answers(spark, sf, "full").where("rater = 'A'").groupBy("doc_id").pivot("field", S.FIELDS).agg(F.first("value"))
-    j = longform.on_off(on, off, "doc_id", S.FIELDS)
+    on = S.answers(spark, sf).groupBy("doc_id", "rater").pivot("field", S.FIELDS).agg(F.first("value"))
+    off = S.answers(spark, sf, "full").groupBy("doc_id", "rater").pivot("field", S.FIELDS).agg(F.first("value"))
+    j = longform.on_off(on, off, ["doc_id", "rater"], S.FIELDS)
     rows = F.array(*[F.struct(F.lit(f).alias("field"), (~F.col(f"{f}_on").eqNullSafe(F.col(f"{f}_off"))).alias("changed")) for f in S.FIELDS])
     return j.select(F.explode(rows).alias("x")).groupBy("x.field").agg(F.count("*").alias("n"), F.count_if("x.changed").alias("changed"))
 
@@ -432,9 +432,9 @@ def _(spark, sf):
     return quality.progress(quality.run_summary(S.run(spark, sf), ["event_type"]), F.lit(2.0), 100000).select("event_type", "rps", "eta_hours", "projected_usd")
 
 
-@query("gate_table", f"WITH {SUMMARY}, one AS (SELECT * FROM sm WHERE event_type = 'view'), g AS (SELECT 'parse_failures' AS gate, parse_failures / attempted AS value, 0.02::DOUBLE AS \"limit\", parse_failures / attempted < 0.02 AS ok FROM one UNION ALL SELECT 'api_errors', api_errors / attempted, 0.01, api_errors / attempted < 0.01 FROM one UNION ALL SELECT 'cost_drift', abs(cost_usd / attempted / 0.0013 - 1), 0.15, abs(cost_usd / attempted / 0.0013 - 1) <= 0.15 FROM one UNION ALL SELECT 'latency', p95 / p50, 2.0, p95 / p50 <= 2 FROM one) SELECT gate, round(value, 6) AS value, \"limit\", CASE WHEN ok THEN 'PASS' ELSE 'FAIL' END AS result, CASE WHEN min(ok::INT) OVER () = 1 THEN 'PASS' ELSE 'FAIL' END AS overall FROM g")
+@query("gate_table", f"WITH {SUMMARY}, g AS (SELECT event_type, 'parse_failures' AS gate, parse_failures / attempted AS value, 0.02::DOUBLE AS \"limit\", parse_failures / attempted < 0.02 AS ok FROM sm UNION ALL SELECT event_type, 'api_errors', api_errors / attempted, 0.01, api_errors / attempted < 0.01 FROM sm UNION ALL SELECT event_type, 'cost_drift', abs(cost_usd / attempted / 0.0013 - 1), 0.15, abs(cost_usd / attempted / 0.0013 - 1) <= 0.15 FROM sm UNION ALL SELECT event_type, 'latency', p95 / p50, 2.0, p95 / p50 <= 2 FROM sm) SELECT event_type, gate, round(value, 6) AS value, \"limit\", CASE WHEN ok THEN 'PASS' ELSE 'FAIL' END AS result, CASE WHEN min(ok::INT) OVER (PARTITION BY event_type) = 1 THEN 'PASS' ELSE 'FAIL' END AS overall FROM g")
 def _(spark, sf):
-    return quality.gates(quality.run_summary(S.run(spark, sf), ["event_type"]).where("event_type = 'view'"), 0.0013)
+    return quality.gates(quality.run_summary(S.run(spark, sf), ["event_type"]), 0.0013, keys=("event_type",))
 
 
 @query("run_integrity", f"WITH {S.RUN} SELECT count(*) AS attempted, count(DISTINCT event_id) AS \"unique\", sum((parse_error IS NULL)::INT)::BIGINT AS ok, sum((parse_error IS NOT NULL)::INT)::BIGINT AS failed, count(*) - count(DISTINCT event_id) AS surplus, true AS adds_up, count(DISTINCT event_id) BETWEEN 100 AND 1000000000 AS in_range FROM run")
@@ -536,8 +536,7 @@ def _(spark, sf):
 
 @query("label_model")
 def _(spark, sf):
-    v = S.votes(spark, sf).where("target_field = 'quality'")
-    return votes.fuse(v).select("doc_id", "target_field", "probability", "fit_status", "n_lfs_contributing")
+    return votes.fuse_targets(S.votes(spark, sf)).select("doc_id", "target_field", "probability", "fit_status", "n_lfs_contributing")
 
 
 @query("model_votes", f"WITH {S.WIDE}, x AS (SELECT field, unnest([a, b, c]) AS v FROM wide) SELECT field, CASE WHEN v = 'not_documented' THEN -1 WHEN v = 'yes' THEN 1 ELSE 0 END::BIGINT AS vote, count(*) AS n FROM x GROUP BY ALL")
@@ -587,11 +586,11 @@ def _(spark, sf):
     return d.select("doc_id", sections.vote(F.col("t"), spec).alias("vote"), sections.near_each_other(F.col("t"), "token", "[0-9]", 20).alias("close"))
 
 
-@query("section_coverage", f"WITH n AS (SELECT doc_id, ' pain ' || lang AS cc, regexp_replace(regexp_replace(substr(text, 1, 50), '^[ \\t\\n\\r\\f\\x0B]+', ''), '[ \\t\\n\\r\\f\\x0B]+$', '') AS hc FROM documents), x AS (SELECT 'Chief Complaint' AS name, trim(cc) AS body FROM n UNION ALL SELECT 'Hospital Course', hc FROM n) SELECT name, count(*) AS present, ((SELECT count(*) FROM n) - count(*))::BIGINT AS absent, round(100.0 * count(*) / (SELECT count(*) FROM n), 6) AS pct, median(length(body))::DOUBLE AS median_chars FROM x GROUP BY name")
+@query("section_coverage", f"WITH n AS (SELECT doc_id, ' pain ' || lang AS cc, regexp_replace(regexp_replace(replace(text, ':', ';'), '^[ \\t\\n\\r\\f\\x0B]+', ''), '[ \\t\\n\\r\\f\\x0B]+$', '') AS hc FROM documents), x AS (SELECT 'Chief Complaint' AS name, trim(cc) AS body FROM n UNION ALL SELECT 'Hospital Course', hc FROM n) SELECT name, count(*) AS present, ((SELECT count(*) FROM n) - count(*))::BIGINT AS absent, round(100.0 * count(*) / (SELECT count(*) FROM n), 6) AS pct, median(length(body))::DOUBLE AS median_chars FROM x GROUP BY name")
 def _(spark, sf):
     d = S.read(spark, sf, "documents")
     nl = F.lit("\n")
-    note = F.concat(F.lit("intro\nChief Complaint:\n pain "), "lang", F.lit("\nHospital Course:\n"), F.substring("text", 1, 50), F.when(F.col("doc_id") % 2 == 0, "\nChief Complaint:\nagain").otherwise(""))
+    note = F.concat(F.lit("intro\nChief Complaint:\n pain "), "lang", F.lit("\nHospital Course:\n"), F.translate("text", ":", ";"), F.when(F.col("doc_id") % 2 == 0, "\nChief Complaint:\nagain").otherwise(""))
     return sections.coverage(d.select("doc_id", sections.sections(F.concat(note, nl)).alias("sections")))
 
 
@@ -700,28 +699,26 @@ def _(spark, sf):
     return votes.zero_firing(g)
 
 
-@query("lf_smoke", f"WITH {S.WIDE}, x AS (SELECT wide.doc_id, dg, a = 'yes' AS m FROM wide JOIN f USING (doc_id) WHERE field = 'has_digit') SELECT sum((dg AND m)::INT)::BIGINT AS hits, sum((dg AND NOT m)::INT)::BIGINT AS false_hits, sum((NOT dg AND m)::INT)::BIGINT AS misses FROM x WHERE dg OR m")
+@query("lf_smoke", f"WITH {S.WIDE}, x AS (SELECT field, unnest(['A', 'B', 'C']) AS rater, dg, unnest([a, b, c]) = 'yes' AS m FROM wide JOIN f USING (doc_id)) SELECT field, rater, sum((dg AND m)::INT)::BIGINT AS hits, sum((dg AND NOT m)::INT)::BIGINT AS false_hits, sum((NOT dg AND m)::INT)::BIGINT AS misses FROM x WHERE dg OR m GROUP BY ALL")
 def _(spark, sf):
-    lf = S.facts(spark, sf).where("dg").select("doc_id", F.lit(True).alias("lf"))
-    model = S.answers(spark, sf).where("rater = 'A' and field = 'has_digit' and value = 'yes'").select("doc_id", F.lit(True).alias("model"))
-    j = lf.join(model, "doc_id", "full_outer")
-    return j.agg(F.count_if(F.col("lf").isNotNull() & F.col("model").isNotNull()).alias("hits"), F.count_if(F.col("model").isNull()).alias("false_hits"), F.count_if(F.col("lf").isNull()).alias("misses"))
+    j = S.answers(spark, sf).join(S.facts(spark, sf).select("doc_id", "dg"), "doc_id")
+    return votes.smoke(j, ["field", "rater"], F.col("dg"), F.col("value") == "yes")
 
 
-@query("predictions", f"WITH {MAJ} SELECT doc_id, target_field, target_value, probability, fit_status, n_lfs_total, n_lfs_contributing FROM mv WHERE target_field <> 'unseen'")
+@query("predictions", f"WITH {MAJ} SELECT doc_id, target_field, target_value, probability, fit_status, n_lfs_total, n_lfs_contributing FROM mv")
 def _(spark, sf):
-    return votes.majority(S.votes(spark, sf)).where("target_field != 'unseen'")
+    return votes.majority(S.votes(spark, sf))
 
 
-@query("largest_disagreements", f"WITH {MAJ}, {S.WIDE0}, cc AS (SELECT doc_id, CASE WHEN (a = 'yes')::INT + (b = 'yes')::INT + (c = 'yes')::INT > (a = 'no')::INT + (b = 'no')::INT + (c = 'no')::INT THEN 1.0 WHEN (a = 'no')::INT + (b = 'no')::INT + (c = 'no')::INT > (a = 'yes')::INT + (b = 'yes')::INT + (c = 'yes')::INT THEN 0.0 ELSE 0.5 END::DOUBLE AS consensus FROM wide0 WHERE field = 'long_text'), j AS (SELECT target_field, doc_id, probability, consensus, row_number() OVER (PARTITION BY target_field ORDER BY abs(probability - consensus) DESC, doc_id) AS rn FROM mv JOIN cc USING (doc_id) WHERE abs(probability - consensus) > 0.3) SELECT target_field, doc_id, probability, consensus FROM j WHERE rn <= 3")
+@query("largest_disagreements", f"WITH {MAJ}, {S.WIDE0}, cc AS (SELECT doc_id, field, CASE WHEN (a = 'yes')::INT + (b = 'yes')::INT + (c = 'yes')::INT > (a = 'no')::INT + (b = 'no')::INT + (c = 'no')::INT THEN 1.0 WHEN (a = 'no')::INT + (b = 'no')::INT + (c = 'no')::INT > (a = 'yes')::INT + (b = 'yes')::INT + (c = 'yes')::INT THEN 0.0 ELSE 0.5 END::DOUBLE AS consensus FROM wide0), j AS (SELECT target_field, field, doc_id, probability, consensus, row_number() OVER (PARTITION BY target_field, field ORDER BY abs(probability - consensus) DESC, doc_id) AS rn FROM mv JOIN cc USING (doc_id) WHERE abs(probability - consensus) > 0.3) SELECT target_field, field, doc_id, probability, consensus FROM j WHERE rn <= 3")
 def _(spark, sf):
     from pyspark.sql import Window
 
     abc = (F.col("A"), F.col("B"), F.col("C"))
-    c = S.wide(spark, sf).where("field = 'long_text'").select("doc_id", votes.consensus(*abc, "tristate").alias("consensus"))
+    c = S.wide(spark, sf).select("doc_id", "field", votes.consensus(*abc, "tristate").alias("consensus"))
     gap = F.abs(F.col("probability") - F.col("consensus"))
     j = votes.majority(S.votes(spark, sf)).join(c, "doc_id").where(gap > 0.3)
-    return j.withColumn("rn", F.row_number().over(Window.partitionBy("target_field").orderBy(F.desc(gap), "doc_id"))).where("rn <= 3").select("target_field", "doc_id", "probability", "consensus")
+    return j.withColumn("rn", F.row_number().over(Window.partitionBy("target_field", "field").orderBy(F.desc(gap), "doc_id"))).where("rn <= 3").select("target_field", "field", "doc_id", "probability", "consensus")
 
 
 @query("cluster_kappa")
@@ -750,12 +747,12 @@ def _(spark, sf):
     return embedding.separation(own, embedding.similarities(vectors, hard))
 
 
-@query("record_validity", "SELECT doc_id, CASE doc_id % 4 WHEN 1 THEN 'empty_tags,dominant_not_in_tags' WHEN 2 THEN 'dominant_not_in_tags' WHEN 3 THEN 'negative_count' ELSE '' END AS problems FROM documents")
+@query("record_validity", "SELECT doc_id, array_to_string(list_filter([CASE doc_id % 4 WHEN 1 THEN 'empty_tags' END, CASE WHEN doc_id % 4 IN (1, 2) THEN 'dominant_not_in_tags' END, CASE doc_id % 4 WHEN 3 THEN 'negative_count' END, CASE WHEN coalesce(length(text) > 300, true) THEN 'diagnosis_length' END], lambda x: x IS NOT NULL), ',') AS problems FROM documents")
 def _(spark, sf):
     m = F.col("doc_id") % 4
     fields = {f: F.lit("no") for f in domains.TRISTATE_FIELDS} | {k: F.lit(v[0]) for k, v in domains.ENUMS.items()}
     record = fields | {
-        "admission_reason_tags": F.when(m == 1, F.array().cast("array<string>")).otherwise(F.array(F.lit("cardiac_hf"))), "dominant_admission_reason": F.when(m == 2, "other").otherwise("cardiac_hf"), "primary_diagnosis_text": F.substring("text", 1, 300),
+        "admission_reason_tags": F.when(m == 1, F.array().cast("array<string>")).otherwise(F.array(F.lit("cardiac_hf"))), "dominant_admission_reason": F.when(m == 2, "other").otherwise("cardiac_hf"), "primary_diagnosis_text": F.col("text"),
         "new_meds_started_count": F.when(m == 3, -1).otherwise(2), "meds_stopped_count": F.lit(None).cast("int"), "reasoning": F.lit(None).cast("string"),
     }
     return S.read(spark, sf, "documents").select("doc_id", F.array_join(labels.problems(lambda c: record[c]), ",").alias("problems"))
@@ -768,13 +765,15 @@ def _(spark, sf):
     return claims.table_receipt(S.read(spark, sf, "documents"))
 
 
-@query("claim_check", f"WITH {S.KAPPA} SELECT field || '_' || pair AS key, round(kappa, 6) AS stored, round(kappa, 6) AS now, 'match' AS status FROM kap")
+@query("claim_check", f"WITH {S.KAPPA}, k AS (SELECT field || '_' || pair AS key, field, pair, round(kappa, 6) AS v FROM kap) SELECT key, CASE WHEN pair <> 'A_B' THEN CASE WHEN field = 'long_text' THEN v + 1 ELSE v END END AS stored, CASE WHEN pair <> 'B_C' THEN v END AS now, CASE WHEN pair = 'A_B' THEN 'new' WHEN pair = 'B_C' THEN 'missing' WHEN field = 'has_digit' THEN 'match' ELSE 'mismatch' END AS status FROM k")
 def _(spark, sf):
+    """Stored claims against recomputed ones: of a pair stored later, one no longer computed, other values and other receipts."""
     from ..operators import claims
 
     k = agreement.kappa(agreement.contingency(S.pairs(spark, sf), FP), FP)
-    c = k.select(F.concat_ws("_", "field", "pair").alias("key"), F.col("kappa").alias("value"), F.lit("").alias("description"), F.lit(".2f").alias("format"), F.lit("r").alias("receipt"))
-    return claims.verify(claims.merge(c.where("false"), c), c)
+    c = k.select("field", "pair", F.concat_ws("_", "field", "pair").alias("key"), F.col("kappa").alias("value"), F.lit("").alias("description"), F.lit(".2f").alias("format"), F.lit("r").alias("receipt"))
+    stored = c.where("pair != 'A_B'").withColumns({"value": F.when(F.col("field") == "long_text", F.col("value") + 1).otherwise(F.col("value")), "receipt": F.when(F.col("field") == "multi_line", "old").otherwise("r")})
+    return claims.verify(claims.merge(stored.where("pair = 'A_C'"), stored).drop("field", "pair"), c.where("pair != 'B_C'").drop("field", "pair"))
 
 
 @query("cache_misses", "SELECT count(DISTINCT text) AS missing FROM documents WHERE doc_id % 2 = 1 AND text NOT IN (SELECT text FROM documents WHERE doc_id % 2 = 0)")
@@ -790,3 +789,6 @@ def _(spark, sf):
 def _(spark, sf):
     d = S.read(spark, sf, "benchmark").select(F.lower(F.col("text")).alias("phrase"))
     return spark.createDataFrame([(i, p) for i, p in enumerate(sections.mine_ngrams(d))] or [(0, "")], "place int, phrase string")
+
+
+from . import more  # noqa: E402, F401  registers further queries

@@ -26,11 +26,14 @@ def payloads(df: DataFrame, path: str, nested: tuple[str, ...] = ("features_json
     df.write.option("maxRecordsPerFile", rows).parquet(path)
 
 
-def split(df: DataFrame, path: str, stratum: str, quotas: dict[str, int]) -> DataFrame:
-    """A split as CSV (never overwritten), and its manifest: rows, quotas, counts by stratum, fingerprint."""
+def split(df: DataFrame, path: str, stratum: str, quotas: dict[str, int], revision: str = "") -> DataFrame:
+    """A split as CSV (never overwritten), and its manifest beside it (path.manifest): rows, quotas, counts by stratum,
+    fingerprint, revision of the code."""
     df.write.mode("error").option("header", True).csv(path)
     counts = {r[stratum]: r["count"] for r in df.groupBy(stratum).count().collect()}  # a row for each stratum
-    return claims.table_receipt(df).withColumns({"quotas": F.lit(json.dumps(quotas, sort_keys=True)), "counts": F.lit(json.dumps(counts, sort_keys=True))})
+    manifest = claims.table_receipt(df).withColumns({"quotas": F.lit(json.dumps(quotas, sort_keys=True)), "counts": F.lit(json.dumps(counts, sort_keys=True)), "revision": F.lit(revision)})
+    manifest.coalesce(1).write.mode("error").json(f"{path}.manifest")
+    return manifest
 
 
 def append_run(df: DataFrame, path: str, key: str = "hadm_id") -> None:

@@ -333,3 +333,44 @@ def test_stream(spark, sf, tmp_path):
     q.awaitTermination(120)
     got = spark.read.parquet(str(tmp_path / "out"))
     assert got.count() > 0 and got.agg(F.sum("n")).first()[0] <= 1000 and not math.isnan(got.agg(F.sum("total")).first()[0])
+
+
+def test_paired_models_against_plain_python(spark):
+    """Each replicate's deltas from its weights, as plain kappas over repeated documents; fixed and dynamic filters."""
+    import itertools
+    from statistics import median
+
+    import numpy as np
+
+    from tallyloom.operators import resample
+
+    r = np.random.default_rng(7)
+    rows = [(i, m, f, *(str(r.choice(["yes", "no"], p=[0.5 if f == "f" else 0.06, 0.5 if f == "f" else 0.94])) for _ in "ABC")) for i in range(60) for m in ("small", "full") for f in ("f", "g")]
+    wide = spark.createDataFrame(rows, "row_no long, model string, field string, A string, B string, C string")
+    got = {(x.rep, x["filter"], x.field, x.statistic): x.value for x in resample.paired_models(wide, 4, 3).collect()}
+    by = {}
+    for i, *rest in rows:
+        by.setdefault(i, []).append(tuple(rest))
+    kinds = sorted({tuple(sorted(v)) for v in by.values()})
+    n = [sum(tuple(sorted(v)) == k for v in by.values()) for k in kinds]
+
+    def kappa(pairs):
+        total = sum(w for *_, w in pairs)
+        same = sum(w for a, b, w in pairs if a == b) / total
+        chance = sum(sum(w for a, _, w in pairs if a == x) * sum(w for _, b, w in pairs if b == x) for x in ("yes", "no")) / total**2
+        return 1.0 if chance == 1 else (same - chance) / (1 - chance)
+
+    positives = lambda w, f, m: sum(wt * c[2:].count("yes") for k, wt in zip(kinds, w) for c in k if c[0] == m and c[1] == f)
+    fixed = {f for f in "fg" if min(positives(n, f, m) for m in ("small", "full")) >= 10}
+    for rep in range(4):
+        w = np.random.default_rng([3, rep]).multinomial(sum(n), np.array(n) / sum(n)).tolist()
+        k = {(m, f, p): kappa([(c[2 + p[0]], c[2 + p[1]], wt) for kind, wt in zip(kinds, w) for c in kind if c[0] == m and c[1] == f and wt]) for m in ("small", "full") for f in "fg" for p in itertools.combinations(range(3), 2)}
+        deltas = {f: median(100 * (k["full", f, p] - k["small", f, p]) for p in itertools.combinations(range(3), 2)) for f in "fg"}
+        dynamic = {f for f in "fg" if min(positives(w, f, m) for m in ("small", "full")) >= 10}
+        for name, kept in (("fixed", fixed), ("dynamic", dynamic)):
+            assert {f for a, b, f, s in got if a == rep and b == name and s == "delta"} == kept
+            for f in kept:
+                assert got[rep, name, f, "delta"] == pytest.approx(deltas[f], abs=1e-9)
+            assert got[rep, name, None, "median_delta"] == pytest.approx(median(deltas[f] for f in kept), abs=1e-9)
+            pooled = [median(k[m, f, p] for f in kept for p in itertools.combinations(range(3), 2)) for m in ("full", "small")]
+            assert got[rep, name, None, "pooled_delta"] == pytest.approx(100 * (pooled[0] - pooled[1]), abs=1e-9)
