@@ -7,11 +7,12 @@ the document (it must start at or after the first word and end at or before the
 compared with the document's, one by one, over a stretch of the window's own size.
 
 Documents are read as short stretches of words with as much context as a window may need, so a candidate is verified
-where it is found. The windows are broadcast up to BROADCAST_WINDOWS of them; beyond that the join shuffles shingles
+where it is found. The windows are broadcast up to BROADCAST_WINDOWS of them with BROADCAST_BYTES of words and ids; beyond that the join shuffles shingles
 without their context and fetches the stretch of each candidate afterwards.
 
 Defined results: null and empty texts have no words and are clean; repeated rows and null ids are documents of their own;
-an empty benchmark leaves everything clean; equal windows of several items count for each; other columns are ignored.
+an empty benchmark leaves everything clean; equal windows of several items count for each; the words of an item without an id are hit, but it can't be listed; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ from .common import LOWER, UPPER, cut, documents, text_hash
 
 NO_WORD = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 WINDOW, SHINGLE, STRETCH = 10, 3, 32
-#: Of at most about 200 bytes each.
-BROADCAST_WINDOWS = 200_000
+#: Windows and the bytes of their words and item ids up to which they are broadcast.
+BROADCAST_WINDOWS, BROADCAST_BYTES = 200_000, 64 << 20
 
 
 def words(text: Column) -> Column:
@@ -93,7 +94,8 @@ def occurrences(docs: DataFrame, items: DataFrame, length: int = WINDOW, broadca
     """Each verified occurrence of a window (row_id, begin, size, items), and a row with begin null for each document."""
     w = cut(windows(items, length), "items")
     ks = [r.k for r in w.select("k").distinct().collect()] or [SHINGLE]
-    small = w.count() <= broadcast_windows
+    size = w.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(F.array_join("words", " ")) + F.octet_length(F.array_join("items", ","))), F.lit(0)).alias("bytes")).first()
+    small = size.n <= broadcast_windows and size.bytes <= BROADCAST_BYTES
     w = rarest(docs, w, sorted(ks), small)
     s = stretches(docs, sorted(ks), length)
     on = ["h"]
@@ -134,8 +136,28 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any benchmark window."""
+    """Documents without any benchmark window.
+
+    Null and empty texts have no words and stay; repeated rows stay or go together; an empty table gives an empty result; all
+    columns of docs are returned, whatever their names.
+    """
     bad = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated").select("doc_id", "text_hash").distinct()
     d = docs.withColumns({"tallyloom_id": F.col("doc_id"), "tallyloom_hash": text_hash()})
     on = F.col("tallyloom_id").eqNullSafe(F.col("b.doc_id")) & (F.col("tallyloom_hash") == F.col("b.text_hash"))
-    return d.alias("d").join(bad.alias("b"), on, "left_anti").select(*docs.columns)
+    return d.alias("d").join(bad.alias("b"), on, "left_anti").select(*[F.col(f"d.`{c}`") for c in docs.columns])
+
+
+#: Words by the contract's pattern; windows and grams of equal words as joined strings, one join for all lengths.
+OP2_SQL = """
+WITH d AS (SELECT row_number() OVER () AS row_id, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+b AS (SELECT item_id::VARCHAR AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+b2 AS (SELECT item, w, unnest(range(0, greatest(len(w) - 9, 1))) AS p FROM b WHERE len(w) > 0),
+win AS (SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(w[p + 1 : p + 10], ' ') AS gram FROM b2),
+sizes AS (SELECT DISTINCT n FROM win), d2 AS (SELECT row_id, w, n, unnest(range(0, greatest(len(w) - n + 1, 0))) AS p FROM d, sizes),
+grams AS (SELECT row_id, n, p, array_to_string(w[p + 1 : p + n], ' ') AS gram FROM d2),
+found AS (SELECT row_id, n, p, item FROM grams JOIN win USING (n, gram)),
+hit AS (SELECT row_id, count(DISTINCT word) AS n_hit FROM (SELECT row_id, unnest(range(p, p + n)) AS word FROM found) GROUP BY row_id),
+ids AS (SELECT row_id, count(DISTINCT item) AS n_items, array_to_string(list_sort(list(DISTINCT item)), ',') AS ids FROM found GROUP BY row_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (row_id) LEFT JOIN ids USING (row_id)
+"""

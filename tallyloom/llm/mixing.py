@@ -73,7 +73,7 @@ def schedule(sources: DataFrame, slots: int, chunk: int = 8192) -> DataFrame:
 
 
 def block_size(total: int) -> int:
-    """Words of a block: about a million slots, between 16 and 4096 words each."""
+    """Words of a block, by the size of the corpus: about a million slots, between 16 and 4096 words each."""
     return max(16, min(4096, total >> 20))
 
 
@@ -112,7 +112,11 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mixture takes them (the last, partial take counts from half of the document on)."""
+    """Documents as often as the mixture takes them (the last, partial take counts from half of the document on).
+
+    Null and empty texts have no words, so they aren't taken; repeated rows are taken as documents of their own; an empty
+    table gives an empty result; all columns of docs are returned, whatever their names.
+    """
     taken, _ = mix(docs)
     copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size")) + F.when((F.col("taken") % F.col("size")) * 2 >= F.col("size"), 1).otherwise(0)).otherwise(0)
     taken = taken.select("doc_id", "text_hash", copies.cast("int").alias("copies"))
@@ -122,4 +126,4 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     d = docs.withColumns({"tallyloom_id": F.col("doc_id"), "tallyloom_hash": text_hash()}).withColumn("tallyloom_nth", F.row_number().over(every))
     on = F.col("tallyloom_id").eqNullSafe(F.col("t.doc_id")) & (F.col("tallyloom_hash") == F.col("t.text_hash")) & (F.col("tallyloom_nth") == F.col("t.nth"))
     out = d.alias("d").join(taken.where("copies > 0").alias("t"), on).select("d.*", F.explode(F.sequence(F.lit(1), F.col("t.copies"))).alias("tallyloom_copy"))
-    return out.select(*docs.columns)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

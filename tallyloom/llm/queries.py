@@ -23,4 +23,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op1_block_naming_dedup": exact_dedup.OP1_SQL,
+    "op2_decontamination": decontamination.OP2_SQL,
+    "op4_ngram_jaccard_join": near_duplicates.OP4_SQL,
 }

@@ -3,7 +3,7 @@
 The text is the first layer. Every layer is scanned for the three kinds of secrets, then decoded: percent escapes and
 backslash escapes (\\uXXXX, \\xXX) give the whole layer with these decoded. A base64 run (either alphabet) is decoded from
 each of its first four characters, as a path or name may stand before the payload; every readable part of what comes out
-is a layer. Compressed data (gzip, zlib, bzip2, xz) is looked for at every byte of decoded base64 and escapes; members that
+is a layer. Base64 in lines is joined first. Compressed data (gzip, zlib, bzip2, xz) is looked for at every byte of decoded base64 and escapes; members that
 follow one another are all read. UTF-16 within a layer gives a layer. New layers join the worklist until none is left; a
 layer seen before isn't scanned again, so cycles end. Each character of a layer knows the span of the text it came from,
 and spans found in a layer are mapped back through it.
@@ -41,6 +41,10 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 BACKSLASH = re.compile(r"\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Base64 in lines (as mail and certificates have it), the ends of lines as they are or escaped.
+LINE_END = r"(?:\r?\n|\\r\\n|\\n)"
+WRAPPED = re.compile(rf"(?:[A-Za-z0-9+/_-]{{40,}}{LINE_END})+[A-Za-z0-9+/_-]+={{0,2}}")
+LINE_END = re.compile(LINE_END)
 #: Escapes of single bytes, as quoted byte strings have them.
 BYTES = re.compile(r"\\x[0-9A-Fa-f]{2}|\\[ntr0\\'\"]")
 #: No secret, nor what encodes one, is shorter than 16 characters of ASCII (UTF-16 has a NUL beside each).
@@ -59,10 +63,13 @@ def scan(t: str) -> list[tuple[int, int, int]]:
 
 
 class Layer:
-    """A text whose character i came from start[i] to end[i] of the original (None: it is the original)."""
+    """A text whose character i came from start[i] to end[i] of the original (None: it is the original).
 
-    def __init__(self, text: str, start: np.ndarray | None = None, end: np.ndarray | None = None):
-        self.text, self.start, self.end = text, start, end
+    Layers that only join lines are decoded, but not scanned.
+    """
+
+    def __init__(self, text: str, start: np.ndarray | None = None, end: np.ndarray | None = None, joined: bool = False):
+        self.text, self.start, self.end, self.joined = text, start, end, joined
 
     def span(self, a: int, b: int) -> tuple[int, int]:
         """Of the original, for characters a to b."""
@@ -241,6 +248,17 @@ def from_utf16(layer: Layer):
             yield Layer(m[0][1::2], layer.start[m.start() : m.end() : 2], layer.end[m.start() + 1 : m.end() : 2])
 
 
+def from_lines(layer: Layer) -> Iterator[Layer]:
+    """Wrapped base64 with its lines joined."""
+    for m in WRAPPED.finditer(layer.text):
+        keep = np.ones(m.end() - m.start(), bool)
+        for x in LINE_END.finditer(m[0]):
+            keep[x.start() : x.end()] = False
+        at = m.start() + np.flatnonzero(keep)
+        start, end = (at, at + 1) if layer.start is None else (layer.start[at], layer.end[at])
+        yield Layer(LINE_END.sub("", m[0]), start, end, joined=True)
+
+
 def decoded(layer: Layer) -> Iterator[Layer]:
     """The layers right below a layer, one at a time."""
     whole = []
@@ -256,6 +274,7 @@ def decoded(layer: Layer) -> Iterator[Layer]:
     if "\0" in layer.text and layer.start is not None:
         yield from from_utf16(layer)
     yield from from_base64(layer)
+    yield from from_lines(layer)
 
 
 def all_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
@@ -274,7 +293,7 @@ def all_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, in
         if key in seen:
             continue
         seen.add(key)
-        if layer.start is not None:
+        if layer.start is not None and not layer.joined:
             for a, kind, b in scan(layer.text):
                 x, y = layer.span(a, b)
                 found.add((x, kind, y))

@@ -241,4 +241,6 @@ def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows of the shards of docs: at least one for each row of docs, null and empty texts and repeated rows too; none of
+    an empty table. Columns of docs other than doc_id and text are ignored."""
     return shards(docs)
