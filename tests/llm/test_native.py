@@ -1,8 +1,12 @@
+import math
+import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import pytest
+import xxhash
 
-from tallyloom.llm import decontamination, mixing, sharding
+from tallyloom.llm import decontamination, mixing, queries, sharding
 
 from . import brute
 
@@ -96,3 +100,41 @@ def test_decontaminate_stage(spark, sf):
     kept = decontamination.decontaminate_stage(spark, docs, sf)
     assert kept.columns == docs.columns
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in docs.collect()} - bad
+
+
+def spark_hash(seed, *values):
+    """xxhash64 of Spark: the hash of each value is the seed of the next."""
+    h = seed
+    for v in values:
+        data = v.encode() if isinstance(v, str) else v.to_bytes(4, "little", signed=True)
+        h = xxhash.xxh64_intdigest(data, h)
+    return h
+
+
+def test_sharding_equals_brute_force(spark, sf):
+    """Each row's shard from the scores of all shards; slots are any numbering without gaps."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = {r.doc_id: r for r in sharding.op9_rendezvous_sharding(spark, sf).collect()}
+
+    def best(key, shards):
+        score = lambda i: -1.0 / math.log(((spark_hash(42, 0, key, i) >> 11) + 0.5) / 2**53)
+        return max(range(shards), key=lambda i: (score(i), i))
+
+    slots = defaultdict(list)
+    for r in docs.select("doc_id", "text").collect():
+        x, data = got.pop(r.doc_id), (r.text or "").encode()
+        assert (x.size, x.text_crc32, x.law) == (len(data) + 16, zlib.crc32(data), "key")
+        assert (x.shard, x.grown_shard) == (best(str(r.doc_id), 40), best(str(r.doc_id), 41))
+        slots[x.shard].append(x.slot)
+    assert not got and all(sorted(v) == list(range(len(v))) for v in slots.values())
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_queries_equal_their_sql(spark, sf, name):
+    c = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        c.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    want = c.execute(queries.ORACLES[name])
+    columns = [x[0] for x in want.description]
+    assert sorted(columns) == sorted((df := queries.QUERIES[name](spark, sf)).columns)
+    assert Counter(map(tuple, df.select(*columns).collect())) == Counter(want.fetchall())

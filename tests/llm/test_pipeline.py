@@ -1,6 +1,7 @@
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tallyloom.llm import token_shards
@@ -40,3 +41,19 @@ def test_stages_return_documents(spark, sf):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         empty = stage(spark, docs.limit(0), sf)
         assert empty.columns == docs.columns and empty.count() == 0
+
+
+def test_stages_take_any_columns_and_rows(spark, sf):
+    """Nulls, blank and repeated rows, and columns whose names clash with internal ones or need quotes."""
+    base = spark.read.parquet(f"{sf}/documents.parquet").limit(30)
+    rows = [(None, "one two three", "en", "a", 3), (10**6, None, "en", None, 0), (10**6 + 1, " \n", None, "a", 2), (10**6 + 2, "uno dos tres", "es", "b", 12), (10**6 + 2, "uno dos tres", "es", "b", 12)]
+    docs = base.select("doc_id", "text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars")).unionByName(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"))
+    for c in ("my col", "a.b", "block", "row", "copies", "key", "words", "t", "d"):
+        docs = docs.withColumn(c, F.lit(1))
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, sf)
+        if name != "tokens":
+            assert got.columns == docs.columns and got.count() <= docs.count() * 3
+            assert got.where("text is null").count() == (0 if name in ("language", "mixture") else 1)
+        else:
+            assert got.count() >= docs.count()

@@ -263,6 +263,16 @@ def test_hidden_layers(inner):
     assert spans and all(9 <= a < b <= 9 + len(inner) for a, b in spans)
 
 
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\\n"])
+@pytest.mark.parametrize("pack", [lambda x: x, gzip.compress])
+def test_wrapped_base64(end, pack):
+    noise = np.random.default_rng(4).integers(32, 127, 300, np.uint8).tobytes()
+    inner = base64.encodebytes(pack(noise + b" " + KEY.encode() + b" " + noise)).decode().strip().replace("\n", end)
+    text = f"é before {inner} after"
+    spans = [(a, b) for a, k, b in secrets.all_spans(text)[1] if k == 0]
+    assert spans and all(9 <= a < b <= 9 + len(inner) for a, b in spans)
+
+
 def test_nested_streams_through_windows(monkeypatch):
     monkeypatch.setattr(secrets, "WINDOW", 4096)
     monkeypatch.setattr(secrets, "OVERLAP", 256)
