@@ -38,8 +38,8 @@ SEQUENCE, SHARD_ROWS, ROUNDS, KEY = 1024, 4096, 6, 20240229
 BLANK, FIRST_BYTE = "▁", 3
 WORDS = re.compile(" +[^ ]*")
 #: Characters of distinct words whose ids a task holds before it begins anew.
-KNOWN_CHARS = 4 << 20
-RUN_BYTES = 16 << 20
+KNOWN_CHARS = 2 << 20
+RUN_BYTES, LEARNED_WORDS = 6 << 20, 1 << 15
 ROWS = "doc_id {}, text_hash long, range_id int, number long, seq_no int, n_tokens int, tokens binary"
 
 
@@ -72,13 +72,15 @@ class Tokenizer:
         """Know the ids of words; of what was known before, all is given up once it is much."""
         if self.held > KNOWN_CHARS:
             self.known, self.held = dict(self.alone), 0
-        new = [w for w in words if w not in self.known]
-        ids = self.model.encode(new, num_threads=1)
-        n = np.fromiter(map(len, ids), np.int64, len(ids))
-        every = np.fromiter(chain.from_iterable(ids), "<u2", int(n.sum())).tobytes()
-        ends = np.cumsum(2 * n).tolist()
-        self.known.update(zip(new, (every[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
-        self.held += sum(map(len, new))
+        every = [w for w in words if w not in self.known]
+        for at in range(0, len(every), LEARNED_WORDS):  # lists of ids are large
+            new = every[at : at + LEARNED_WORDS]
+            ids = self.model.encode(new, num_threads=1)
+            n = np.fromiter(map(len, ids), np.int64, len(ids))
+            data = np.fromiter(chain.from_iterable(ids), "<u2", int(n.sum())).tobytes()
+            ends = np.cumsum(2 * n).tolist()
+            self.known.update(zip(new, (data[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
+            self.held += sum(map(len, new))
 
     def raw(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, two bytes each."""
@@ -158,6 +160,7 @@ def tokeniser(path: str, sequence: int):
                 of = pa.array(at)
                 yield pa.record_batch([b["doc_id"].take(of), b["text_hash"].take(of), pa.array(np.full(len(at), me, np.int32)), pa.array(np.arange(number, number + len(at))), pa.array(seq, pa.int32()), pa.array(np.diff(offsets) // 2, pa.int32()), tokens], ["doc_id", "text_hash", "range_id", "number", "seq_no", "n_tokens", "tokens"])
                 number += len(at)
+        pa.default_memory_pool().release_unused()  # workers live on
 
     return run
 
