@@ -234,8 +234,9 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame
 
     def run(batches):
         for b in batches:
-            got = [x for texts in textops.chunks(b["text"].to_pylist(), 8 << 20) for x in labelled(known.value, texts)]
+            got = [x for texts in textops.chunks(b["text"].to_pylist(), 2 << 20) for x in labelled(known.value, texts)]
             yield pa.record_batch([*(b[c] for c in keep), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64()), pa.array([x[2] for x in got], kinds)], [*keep, "lang_pred", "score", "spans"])
+        pa.default_memory_pool().release_unused()  # workers live on
 
     d = docs.select(*dict.fromkeys([*keep, "text"]))
     schema = StructType([*d.select(*keep).schema, *StructType.fromDDL(f"lang_pred string, score double, spans {SPANS}")])
