@@ -15,12 +15,16 @@
    of shared paths are counted once, and a subtree is left when the remaining lengths can't reach the needed overlap or
    all of it is linked already. The tests on leaves are exact; a task reports a spanning forest of its links.
 5. Components over these links.
+6. Numbers of links, where asked for. Links run within a component alone. One of two sets is one link; the sets of a larger
+   component, dealt into cells, meet cell by cell, and the trie of one cell counts the links of each set of the other. No
+   pair leaves its task. This is exact and takes time by the square of a component's different sets, as their links do.
 
 Sets are named by a 128-bit hash, shingles by 64 bits (in step 1 by at least 32 bits, where a clash only adds candidates; in
 step 4 by 58, besides the class).
 
 Defined results: null and empty texts have an empty set and are their own component; equal sets are linked, however many;
-the component of rows without ids is null; repeated rows are documents of their own; other columns are ignored.
+the component of rows without ids is null; repeated rows are documents of their own, linked with each other; a document
+without words has 0 links; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ from itertools import pairwise
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textops
@@ -158,19 +162,28 @@ def trie(seqs: list[np.ndarray]) -> list[tuple]:
     return nodes
 
 
+def sequences(sets: list[np.ndarray]) -> tuple[list[np.ndarray], int]:
+    """Sets (sorted numbers of shingles) as ascending small numbers, frequent shingles first; and how many numbers there are."""
+    values, inverse = np.unique(np.concatenate(sets), return_inverse=True)
+    at = np.cumsum([0, *map(len, sets)])
+    ids = (len(values) - 1 - inverse).astype(np.uint32)
+    return [ids[a:b][::-1] for a, b in pairwise(at.tolist())], len(values)
+
+
+def in_order(seqs: list[np.ndarray], of: list[int]) -> list[int]:
+    return sorted(of, key=lambda i: seqs[i].astype(">u4").tobytes())
+
+
 def links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     """A spanning forest of the links between sets (sorted distinct numbers of shingles)."""
     m = len(sets)
     if m < 2:
         return []
-    values, inverse = np.unique(np.concatenate(sets), return_inverse=True)
-    at = np.cumsum([0, *map(len, sets)])
-    ids = (len(values) - 1 - inverse).astype(np.uint32)  # frequent shingles first
-    seqs = [ids[a:b][::-1] for a, b in pairwise(at.tolist())]
-    order = sorted(range(m), key=lambda i: seqs[i].astype(">u4").tobytes())
+    seqs, size = sequences(sets)
+    order = in_order(seqs, list(range(m)))
     seqs = [seqs[i] for i in order]
     nodes = trie(seqs)
-    group, own, found = np.arange(m), np.zeros(len(values), bool), []
+    group, own, found = np.arange(m), np.zeros(size, bool), []
     for q, x in enumerate(seqs):
         own[x] = True
         nx = len(x)
@@ -194,6 +207,75 @@ def links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return found
 
 
+def degrees(sets: list[np.ndarray], side: list[bool], copies: list[int]) -> np.ndarray:
+    """With how many rows of the other side each set is linked; of the others of its own where there is but one side."""
+    seqs, size = sequences(sets)
+    ours = [i for i, x in enumerate(side) if x]
+    theirs = [i for i, x in enumerate(side) if not x]
+    within = not theirs or not ours
+    ours = ours or theirs
+    order = in_order(seqs, ours if within else theirs)
+    nodes = trie([seqs[i] for i in order])
+    edges = np.concatenate([x[2] for x in nodes])
+    end = np.cumsum([len(x[2]) for x in nodes])
+    begin = np.append(0, end[:-1])
+    depth, least, most = (np.array([x[i] for x in nodes]) for i in (3, 4, 5))
+    leaf = np.array([order[x[0]] if x[1] - x[0] == 1 else -1 for x in nodes])
+    parent = np.zeros(len(nodes), np.int64)
+    for i, x in enumerate(nodes):
+        parent[x[6]] = i
+    levels, level = [], [0]
+    while level:
+        levels.append(np.array(level))
+        level = [b for i in level for b in nodes[i][6]]
+    weight, out, own = np.array(copies, np.int64), np.zeros(len(sets), np.int64), np.zeros(size, bool)
+    alive = np.zeros(len(nodes), bool)
+    for q in ours:
+        own[seqs[q]] = True
+        nx, along = len(seqs[q]), np.append(0, np.cumsum(own[edges]))
+        own[seqs[q]] = False
+        overlap = along[end] - along[begin]
+        alive[:] = False
+        alive[0] = True
+        for at in levels:
+            above = parent[at]
+            if at[0]:
+                overlap[at] += overlap[above]
+            # a leaf has no remaining length, so the bound is the test itself
+            alive[at] = alive[above] & ((DEN + NUM) * (overlap[at] + np.minimum(nx - overlap[at], most[at] - depth[at])) >= NUM * (nx + least[at]))
+            if not alive[at].any():
+                break
+        hit = leaf[alive & (leaf >= 0)]
+        out[q] += weight[hit].sum()
+        if within:
+            out[q] -= weight[q]
+        else:
+            out[hit] += weight[q]
+    return out
+
+
+def counter(batches):
+    """Rows sorted by task -> links of each task's sets."""
+    rest: list[tuple] = []
+    task = None
+
+    def flush():
+        got = degrees([np.frombuffer(x[1], np.uint64) for x in rest], [x[2] for x in rest], [x[3] for x in rest]).tolist() if len(rest) > 1 else []
+        return [x[0] for x in rest[: len(got)]], got
+
+    for batch in batches:
+        keys: list[bytes] = []
+        found: list[int] = []
+        for t, *row in zip(*(batch[c].to_pylist() for c in ("task", "key", "shingles", "side", "copies")), strict=True):
+            if t != task:
+                k, n = flush()
+                keys, found, rest, task = keys + k, found + n, [], t
+            rest.append(tuple(row))
+        yield pa.record_batch([pa.array(keys, pa.binary()), pa.array(found, pa.int64())], ["key", "links"])
+    k, n = flush()
+    yield pa.record_batch([pa.array(k, pa.binary()), pa.array(n, pa.int64())], ["key", "links"])
+
+
 def linker(batches):
     """Rows sorted by task -> links of each task."""
     rest: list[tuple] = []
@@ -234,9 +316,14 @@ def own_cells(t: DataFrame, keys: list[str], cell_sets: int, cell_shingles: int)
     return t.select(name.cast("binary").alias("task"), "key", "shingles")
 
 
-def meetings(t: DataFrame, cell_sets: int, cell_shingles: int) -> DataFrame:
+def size_class() -> Column:
+    """Linked sets are of the same or of adjacent classes."""
+    return F.floor(F.log(F.col("n").cast("double")) / float(np.log(DEN / NUM + 0.01))).cast("int")
+
+
+def meetings(t: DataFrame, cell_sets: int, cell_shingles: int, *more: str) -> DataFrame:
     """Tasks in which every set outside its group's largest component (minor) meets all sets it may be linked with: cells of
-    the same or adjacent size classes. Sets of the largest component don't meet each other."""
+    the same or adjacent size classes. Sets of the largest component don't meet each other. `side` tells two cells apart."""
     cells = dealt_cells(t, ["label", "minor", "size_class"], cell_sets, cell_shingles)
     around = Window.partitionBy("label").orderBy("size_class").rangeBetween(-1, 1)
     near = F.collect_list(F.struct("minor", "size_class", "cells")).over(around)
@@ -245,7 +332,7 @@ def meetings(t: DataFrame, cell_sets: int, cell_shingles: int) -> DataFrame:
     t = t.withColumn("meet", F.explode(F.flatten(F.transform("near", lambda x: F.transform(F.sequence(F.lit(0), x["cells"] - 1), lambda i: F.struct(x["minor"].alias("minor"), x["size_class"].alias("size_class"), i.alias("cell")))))))
     mine = F.struct("minor", "size_class", "cell")
     pair = F.concat_ws(",", F.hex("label"), F.to_json(F.struct(F.least(mine, "meet").alias("a"), F.greatest(mine, "meet").alias("b"))))
-    return t.select(pair.cast("binary").alias("task"), "key", "shingles")
+    return t.select(pair.cast("binary").alias("task"), "key", "shingles", (mine <= F.col("meet")).alias("side"), *more)
 
 
 def links_within(nodes: DataFrame, cell_sets: int = CELL_SETS, cell_shingles: int = CELL_SHINGLES) -> tuple[DataFrame, DataFrame]:
@@ -259,8 +346,7 @@ def links_within(nodes: DataFrame, cell_sets: int = CELL_SETS, cell_shingles: in
     sizes = nodes.groupBy("label").agg(F.count("*").alias("sets"), F.sum("n").alias("all"))
     whole = (F.col("sets") <= cell_sets) & (F.col("all") <= cell_shingles)
     t = nodes.join(sizes.select("label", whole.alias("whole")), "label")
-    size_class = F.floor(F.log(F.col("n").cast("double")) / float(np.log(DEN / NUM + 0.01))).cast("int")
-    t = cut(t.withColumn("size_class", size_class), "grouped")
+    t = cut(t.withColumn("size_class", size_class()), "grouped")
     big = t.where("not whole").drop("whole")
     small = t.where("whole").select(F.col("label").alias("task"), "key", "shingles")
     found = linked(small.unionByName(own_cells(big, ["label", "size_class"], cell_sets, cell_shingles)))
@@ -275,7 +361,7 @@ def links_within(nodes: DataFrame, cell_sets: int = CELL_SETS, cell_shingles: in
         largest = own.groupBy("label", "own").agg(F.count("*").alias("sets")).groupBy("label").agg(F.max(F.struct("sets", "own")).alias("x"))
         largest = largest.join(sizes, "label").where("x.sets < sets").select("label", F.col("x.own").alias("major"))  # others are one component
         rest = cut(own.join(largest, "label").withColumn("minor", F.col("own") != F.col("major")).select("label", "key", "n", "size_class", "shingles", "minor"), "rest")
-        more = linked(meetings(rest, cell_sets, cell_shingles))
+        more = linked(meetings(rest, cell_sets, cell_shingles).drop("side"))
         old += [rest, more]
         if not more.isEmpty():
             old.append(names)
@@ -307,8 +393,25 @@ def candidates(base: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes.withColumn("id", number).join(names, "id").drop("id"), groups
 
 
-def classes(docs: DataFrame, k: int = K, cell_sets: int = CELL_SETS, cell_shingles: int = CELL_SHINGLES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, text_hash, n (shingles), component (a name for it, null for empty sets) of each row."""
+def link_counts(base: DataFrame, labels: DataFrame, cell_sets: int, cell_shingles: int) -> DataFrame:
+    """key, links: with how many other rows those that have this set are linked; sets without links aren't listed."""
+    copies = base.where("n > 0").groupBy("key").agg(F.count("*").alias("copies"))
+    members = cut(copies.join(labels, "key", "left"), "members")
+    sizes = members.where("label is not null").groupBy("label").agg(F.count("*").alias("sets"), F.sum("copies").alias("all"))
+    sized = members.where("label is not null").join(sizes, "label")
+    pairs = sized.where("sets = 2").select("key", (F.col("all") - F.col("copies")).alias("links"))
+    nodes = base.where("shingles is not null").select("key", "n", "shingles").groupBy("key").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"))
+    large = cut(nodes.join(sized.where("sets > 2").select("key", "label", "copies"), "key").withColumns({"size_class": size_class(), "minor": F.lit(True)}), "large")
+    t = meetings(large, cell_sets, cell_shingles, "copies").repartition(parts(base.sparkSession), "task").sortWithinPartitions("task")
+    more = t.mapInArrow(counter, "key binary, links long")
+    own = members.where("copies > 1").select("key", (F.col("copies") - 1).alias("links"))
+    out = cut(own.unionByName(pairs).unionByName(more).groupBy("key").agg(F.sum("links").alias("links")), "link-counts")
+    discard(members, large)
+    return out
+
+
+def classes(docs: DataFrame, k: int = K, cell_sets: int = CELL_SETS, cell_shingles: int = CELL_SHINGLES, block_bytes: int = BLOCK_BYTES, count_links: bool = False) -> DataFrame:
+    """doc_id, text_hash, n (shingles), component (a name for it, null for empty sets) of each row; n_links where asked for."""
     d, blocks = dealt(docs, block_bytes)
     bits = bucket_bits(blocks)
     sent = d.select("block", "text").groupBy("block").applyInArrow(sender(bits, k), SENT)
@@ -316,24 +419,31 @@ def classes(docs: DataFrame, k: int = K, cell_sets: int = CELL_SETS, cell_shingl
     base = cut(d.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(poster(k), NODES), "sets")
     nodes, groups = candidates(base)
     labels, links_ = links_within(nodes, cell_sets, cell_shingles)
+    counts = link_counts(base, labels, cell_sets, cell_shingles) if count_links else None
     sets, base = base, base.select("doc_id", "text_hash", "n", "key")
-    full = base.where("n > 0").join(labels, "key", "left").select("doc_id", "text_hash", "n", F.coalesce("label", "key").alias("component"))
-    out = cut(full.unionByName(base.where("n = 0").select("doc_id", "text_hash", "n", F.lit(None).cast("binary").alias("component"))), "labelled")
-    discard(sets, groups, links_)
+    full, component = base.where("n > 0").join(labels, "key", "left"), F.coalesce("label", "key").alias("component")
+    empty = base.where("n = 0").withColumn("component", F.lit(None).cast("binary"))
+    columns = ["doc_id", "text_hash", "n"]
+    if counts is not None:
+        full, empty = full.join(counts, "key", "left").withColumn("n_links", F.coalesce("links", F.lit(0))), empty.withColumn("n_links", F.lit(0).cast("long"))
+        columns.append("n_links")
+    out = cut(full.select(*columns, component).unionByName(empty.select(*columns, "component")), "labelled")
+    discard(sets, groups, links_, counts)
     return out
 
 
 def near_duplicates(docs: DataFrame, k: int = K, cell_sets: int = CELL_SETS, cell_shingles: int = CELL_SHINGLES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, text_hash, n_shingles, component_id, component (a name for it, null for empty sets)."""
-    every = classes(docs, k, cell_sets, cell_shingles, block_bytes).withColumn("n", F.col("n").cast("long")).withColumnRenamed("n", "n_shingles")
+    """doc_id, text_hash, n_shingles, component_id, n_links (other rows linked with this), component (a name for it, null for
+    empty sets)."""
+    every = classes(docs, k, cell_sets, cell_shingles, block_bytes, count_links=True).withColumn("n", F.col("n").cast("long")).withColumnRenamed("n", "n_shingles")
     full, empty = every.where("component is not null"), every.where("component is null")
     least = cut(full.groupBy("component").agg(F.min("doc_id").alias("component_id")), "least")
-    columns = ["doc_id", "text_hash", "n_shingles", "component_id", "component"]
+    columns = ["doc_id", "text_hash", "n_shingles", "component_id", "n_links", "component"]
     return full.join(least, "component").select(*columns).unionByName(empty.withColumn("component_id", F.col("doc_id")).select(*columns))
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+    return near_duplicates(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -359,6 +469,6 @@ p AS (SELECT doc_id, w, unnest(range(0, greatest(len(w) - 4, 1))) AS p FROM w WH
 s AS (SELECT DISTINCT doc_id, array_to_string(w[p + 1 : p + 5], ' ') AS s FROM p), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 i AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM s x JOIN s y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL),
 links AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 75 * (x.n + y.n - i)),
-r AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM r JOIN links l ON r.b = l.a), least_ AS (SELECT a, min(b) AS m FROM r GROUP BY a)
-SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(w.doc_id, coalesce(m, w.doc_id)) AS component_id FROM w LEFT JOIN n USING (doc_id) LEFT JOIN least_ ON a = w.doc_id
+r AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM r JOIN links l ON r.b = l.a), least_ AS (SELECT a, min(b) AS m FROM r GROUP BY a), many AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(w.doc_id, coalesce(m, w.doc_id)) AS component_id, coalesce(n_links, 0)::BIGINT AS n_links FROM w LEFT JOIN n USING (doc_id) LEFT JOIN least_ ON least_.a = w.doc_id LEFT JOIN many ON many.a = w.doc_id
 """

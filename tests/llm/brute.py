@@ -45,7 +45,7 @@ def shingles(t):
 
 def near(rows):
     sets = {i: shingles(t) for i, t in rows}
-    top = {i: i for i in sets}
+    top, links = {i: i for i in sets}, dict.fromkeys(sets, 0)
 
     def find(x):
         while top[x] != x:
@@ -58,7 +58,9 @@ def near(rows):
             if sets[a] and sets[b] and 100 * (k := len(sets[a] & sets[b])) >= 75 * (len(sets[a]) + len(sets[b]) - k):
                 x, y = sorted((find(a), find(b)))
                 top[y] = x
-    return {i: (len(sets[i]), find(i)) for i in ids}
+                links[a] += 1
+                links[b] += 1
+    return {i: (len(sets[i]), find(i), links[i]) for i in ids}
 
 
 def mixing(rows):

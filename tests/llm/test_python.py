@@ -39,7 +39,7 @@ def test_exact_dedup(spark, sf, block):
 @pytest.mark.parametrize("cells", [1024, 4])
 def test_near_duplicates(spark, sf, cells):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates.near_duplicates(docs, cell_sets=cells).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in near_duplicates.near_duplicates(docs, cell_sets=cells).collect()}
     assert got == brute.near(docs.select("doc_id", "text").collect())
 
 
@@ -55,10 +55,10 @@ def test_near_duplicates_chains_and_short_texts(spark, cells):
             rows.append(" ".join(t[: r.integers(30, 41)]))
     rows += ["a b", "A  B", "a b c", None, "", " ", "a"]
     docs = table(spark, list(enumerate(rows)))
-    got = {x.doc_id: (x.n_shingles, x.component_id) for x in near_duplicates.near_duplicates(docs, cell_sets=cells).collect()}
+    got = {x.doc_id: (x.n_shingles, x.component_id, x.n_links) for x in near_duplicates.near_duplicates(docs, cell_sets=cells).collect()}
     assert got == brute.near(list(enumerate(rows)))
     kept = near_duplicates.near_duplicates_stage(spark, docs, "")
-    assert {x.doc_id for x in kept.collect()} == {i for i, (_, c) in got.items() if i == c}
+    assert {x.doc_id for x in kept.collect()} == {i for i, (_, c, _) in got.items() if i == c}
 
 
 def test_shared_passages_alone_make_no_candidates(spark):
@@ -103,6 +103,14 @@ def test_links_equals_all_pairs():
 
         every = [(a, b) for a, b in product(range(m), repeat=2) if a < b and 100 * len(k := np.intersect1d(sets[a], sets[b])) >= 75 * (len(sets[a]) + len(sets[b]) - len(k))]
         assert classes(near_duplicates.links(sets)) == classes(every)
+        copies = r.integers(1, 5, m).tolist()
+        for side in ([True] * m, [False] * m, (r.random(m) < 0.5).tolist()):
+            want = [0] * m
+            for a, b in every:
+                if len(set(side)) == 1 or side[a] != side[b]:
+                    want[a] += copies[b]
+                    want[b] += copies[a]
+            assert near_duplicates.degrees(sets, side, copies).tolist() == want
 
 
 def test_class_bigram_scoring(spark, sf):
