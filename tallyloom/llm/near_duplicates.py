@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textops
-from .common import cut, discard, documents, parts, text_hash
+from .common import cut, discard, documents, parts, release, text_hash
 from .graph import components
 
 K, NUM, DEN = 5, 75, 100
@@ -417,6 +417,8 @@ def classes(docs: DataFrame, k: int = K, cell_sets: int = CELL_SETS, cell_shingl
     sent = d.select("block", "text").groupBy("block").applyInArrow(sender(bits, k), SENT)
     replies = sent.groupBy("bucket").applyInArrow(count, "block int, bucket int, classes binary")
     base = cut(d.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(poster(k), NODES), "sets")
+    del d, sent, replies
+    release(docs.sparkSession)  # the texts, shuffled by block
     nodes, groups = candidates(base)
     labels, links_ = links_within(nodes, cell_sets, cell_shingles)
     counts = link_counts(base, labels, cell_sets, cell_shingles) if count_links else None
