@@ -61,7 +61,11 @@ def discard(*tables: DataFrame | None) -> None:
 
 def release(spark: SparkSession) -> None:
     """Have the shuffle files of plans that nothing refers to any longer removed now: Spark does so when the driver's garbage
-    is collected, which on a large heap may be long after they are of use."""
+    is collected, which on a large heap may be long after they are of use.
+
+    Events of a plan that has just ended may still be on their way and hold it; the next call removes its files. Call this
+    once a phase, as what a call finds in use is old to the collector and stays until another one.
+    """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

@@ -420,7 +420,10 @@ def classes(docs: DataFrame, k: int = K, cell_sets: int = CELL_SETS, cell_shingl
     del d, sent, replies
     release(docs.sparkSession)  # the texts, shuffled by block
     nodes, groups = candidates(base)
+    release(docs.sparkSession)  # the texts, if their plan's events were still on their way; the prefixes
     labels, links_ = links_within(nodes, cell_sets, cell_shingles)
+    del nodes
+    release(docs.sparkSession)  # the candidates' shingles
     counts = link_counts(base, labels, cell_sets, cell_shingles) if count_links else None
     sets, base = base, base.select("doc_id", "text_hash", "n", "key")
     full, component = base.where("n > 0").join(labels, "key", "left"), F.coalesce("label", "key").alias("component")
