@@ -414,7 +414,8 @@ def classes(docs: DataFrame, k: int = K, cell_sets: int = CELL_SETS, cell_shingl
     """doc_id, text_hash, n (shingles), component (a name for it, null for empty sets) of each row; n_links where asked for."""
     d, blocks = dealt(docs, block_bytes)
     bits = bucket_bits(blocks)
-    sent = d.select("block", "text").groupBy("block").applyInArrow(sender(bits, k), SENT)
+    # the same columns as below, so that the texts are shuffled once for both
+    sent = d.groupBy("block").applyInArrow(sender(bits, k), SENT)
     replies = sent.groupBy("bucket").applyInArrow(count, "block int, bucket int, classes binary")
     base = cut(d.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(poster(k), NODES), "sets")
     del d, sent, replies
