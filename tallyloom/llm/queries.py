@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, exact_dedup, language_id, language_model, line_dedup, mixing, near_duplicates, secrets, sharding, token_shards
+from . import decontamination, exact_dedup, hard_negatives, language_id, language_model, line_dedup, mixing, near_duplicates, secrets, sharding, token_shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_block_naming_dedup": exact_dedup.op1_block_naming_dedup,
@@ -19,10 +19,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_rendezvous_sharding": sharding.op9_rendezvous_sharding,
     "op10_language_id": language_id.op10_language_id,
+    "op11_hard_negatives": hard_negatives.op11_hard_negatives,
 }
 
 ORACLES: dict[str, str] = {
     "op1_block_naming_dedup": exact_dedup.OP1_SQL,
     "op2_decontamination": decontamination.OP2_SQL,
     "op4_ngram_jaccard_join": near_duplicates.OP4_SQL,
+    "op11_hard_negatives": hard_negatives.OP11_SQL,
 }
