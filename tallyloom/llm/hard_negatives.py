@@ -35,6 +35,8 @@ POSITIVES, NEGATIVES = 5, 3
 LOW, HIGH = 50, 95
 SCALE, LARGEST = 256, 1 << 15
 BLOCK_VALUES, ANCHOR_VALUES = 1 << 22, 1 << 20
+#: A block that isn't full has so many rows on average.
+BLOCK_ROWS = 1024
 TILE, SPARSE = 2048, 1 / 16
 
 
@@ -248,7 +250,7 @@ def hard_negatives(rows: DataFrame, positives: int = POSITIVES, negatives: int =
     t = cut(integers(rows).withColumn("deal", F.xxhash64("id", "v", F.rand(7))), "integers")
     total, anchors, dims = t.agg(F.count("*"), F.count(F.when(F.col("anchor"), 1)), F.max(F.size("v"))).first()
     dims = max(dims or 0, 1)
-    r_blocks, a_blocks = max(2 * parts(spark), -(-total * dims // block_values)), max(1, -(-anchors * dims // anchor_values))
+    r_blocks, a_blocks = max(min(2 * parts(spark), total // BLOCK_ROWS), -(-total * dims // block_values), 1), max(1, -(-anchors * dims // anchor_values))
     dealt = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "deal"), F.lit(n)).cast("int")
     sliced = cut(t.withColumn("r_block", dealt("row", r_blocks)).groupBy("r_block").applyInArrow(slicer(dims), SLICED), "sliced")
     packed = cut(t.where("anchor").withColumn("a_block", dealt("anchor", a_blocks)).groupBy("a_block").applyInArrow(packer(dims), PACKED), "anchors")
