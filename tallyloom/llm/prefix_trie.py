@@ -232,7 +232,7 @@ def prefix_trie(conversations: DataFrame, long: int = LONG) -> DataFrame:
         paths = cut(nodes, "long-nodes")
         rows = rows.join(many.select("conv_id"), "conv_id", "left_anti").unionByName(heads.select("*", F.lit(False).alias("whole")))
     rows = rows.withColumn("base", base_of("conv_id"))
-    bases, others = rows.where("conv_id = base").groupBy("base"), rows.where("conv_id <> base").groupBy("base")
+    bases, others = rows.where("conv_id = base").groupBy("base"), rows.where("conv_id <> base").select(*[F.col(c).alias(c) for c in rows.columns]).groupBy("base")
     families = cut(bases.cogroup(others).applyInArrow(family, NODES), "family-nodes")
     nodes = families if paths is None else families.unionByName(paths)
     merged = nodes.groupBy("a", "b", "depth").agg(F.sum("n_convs").alias("n_convs"), F.min("least").alias("least"), F.bool_and("childless").alias("childless"), F.first("size").alias("size"), F.first("up_a").alias("up_a"), F.first("up_b").alias("up_b"))
