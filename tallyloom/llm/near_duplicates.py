@@ -276,32 +276,35 @@ def counter(batches):
     yield pa.record_batch([pa.array(k, pa.binary()), pa.array(n, pa.int64())], ["key", "links"])
 
 
-def linker(batches):
-    """Rows sorted by task -> links of each task."""
-    rest: list[tuple] = []
-    task = None
-
-    def flush():
-        got = links([np.frombuffer(s, np.uint64) for _, s in rest])
-        return [rest[a][0] for a, _ in got], [rest[b][0] for _, b in got]
-
-    for batch in batches:
-        a: list[bytes] = []
-        b: list[bytes] = []
-        for t, k, s in zip(*(batch[c].to_pylist() for c in ("task", "key", "shingles")), strict=True):
-            if t != task:
-                x, y = flush()
-                a, b, rest, task = a + x, b + y, [], t
-            rest.append((k, s))
-        yield pa.record_batch([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
-    x, y = flush()
-    yield pa.record_batch([pa.array(x, pa.binary()), pa.array(y, pa.binary())], ["a", "b"])
-
-
-def linked(tasks: DataFrame) -> DataFrame:
-    """(task, key, shingles) -> a spanning forest of each task's links."""
+def linker(compare):
+    def link(batches):
+        """Rows sorted by task -> links of each task."""
+        rest: list[tuple] = []
+        task = None
+
+        def flush():
+            got = compare([np.frombuffer(s, np.uint64) for _, s in rest])
+            return [rest[a][0] for a, _ in got], [rest[b][0] for _, b in got]
+
+        for batch in batches:
+            a: list[bytes] = []
+            b: list[bytes] = []
+            for t, k, s in zip(*(batch[c].to_pylist() for c in ("task", "key", "shingles")), strict=True):
+                if t != task:
+                    x, y = flush()
+                    a, b, rest, task = a + x, b + y, [], t
+                rest.append((k, s))
+            yield pa.record_batch([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+        x, y = flush()
+        yield pa.record_batch([pa.array(x, pa.binary()), pa.array(y, pa.binary())], ["a", "b"])
+
+    return link
+
+
+def linked(tasks: DataFrame, compare=links) -> DataFrame:
+    """(task, key, shingles) -> a spanning forest of each task's links, by links() or another function of its kind."""
     t = tasks.repartition(parts(tasks.sparkSession), "task").sortWithinPartitions("task")
-    return cut(t.mapInArrow(linker, "a binary, b binary"), "links")
+    return cut(t.mapInArrow(linker(compare), "a binary, b binary"), "links")
 
 
 def dealt_cells(t: DataFrame, keys: list[str], cell_sets: int, cell_shingles: int) -> DataFrame:
@@ -316,9 +319,9 @@ def own_cells(t: DataFrame, keys: list[str], cell_sets: int, cell_shingles: int)
     return t.select(name.cast("binary").alias("task"), "key", "shingles")
 
 
-def size_class() -> Column:
-    """Linked sets are of the same or of adjacent classes."""
-    return F.floor(F.log(F.col("n").cast("double")) / float(np.log(DEN / NUM + 0.01))).cast("int")
+def size_class(least: float = NUM / DEN) -> Column:
+    """Sets linked at a similarity of `least` are of the same or of adjacent classes."""
+    return F.floor(F.log(F.col("n").cast("double")) / float(np.log(1 / least + 0.01))).cast("int")
 
 
 def meetings(t: DataFrame, cell_sets: int, cell_shingles: int, *more: str) -> DataFrame:
@@ -335,9 +338,9 @@ def meetings(t: DataFrame, cell_sets: int, cell_shingles: int, *more: str) -> Da
     return t.select(pair.cast("binary").alias("task"), "key", "shingles", (mine <= F.col("meet")).alias("side"), *more)
 
 
-def links_within(nodes: DataFrame, cell_sets: int = CELL_SETS, cell_shingles: int = CELL_SHINGLES) -> tuple[DataFrame, DataFrame]:
+def links_within(nodes: DataFrame, cell_sets: int = CELL_SETS, cell_shingles: int = CELL_SHINGLES, compare=links, least: float = NUM / DEN) -> tuple[DataFrame, DataFrame]:
     """(key, label, n, shingles) -> (key, label): components of the links between sets of the same candidate group; and the
-    table that holds them.
+    table that holds them. `compare` finds the links of a task, at a similarity of `least`.
 
     A group that fits a cell is one task. Of a larger one, cells are linked within first; then one set of each component
     so far and size class is linked with others of the kind, which joins the pieces of large groups of near copies; what is
@@ -346,22 +349,22 @@ def links_within(nodes: DataFrame, cell_sets: int = CELL_SETS, cell_shingles: in
     sizes = nodes.groupBy("label").agg(F.count("*").alias("sets"), F.sum("n").alias("all"))
     whole = (F.col("sets") <= cell_sets) & (F.col("all") <= cell_shingles)
     t = nodes.join(sizes.select("label", whole.alias("whole")), "label")
-    t = cut(t.withColumn("size_class", size_class()), "grouped")
+    t = cut(t.withColumn("size_class", size_class(least)), "grouped")
     big = t.where("not whole").drop("whole")
     small = t.where("whole").select(F.col("label").alias("task"), "key", "shingles")
-    found = linked(small.unionByName(own_cells(big, ["label", "size_class"], cell_sets, cell_shingles)))
+    found = linked(small.unionByName(own_cells(big, ["label", "size_class"], cell_sets, cell_shingles)), compare)
     names, old = components(found), [t, found]
     if not big.isEmpty():
         first = big.join(names.select(F.col("node").alias("key"), F.col("label").alias("own")), "key", "left").withColumn("own", F.coalesce("own", "key"))
         first = first.groupBy("label", "own", "size_class").agg(F.min(F.struct("key", "n", "shingles")).alias("x")).select("label", "x.*")
-        across = linked(own_cells(first, ["label"], cell_sets, cell_shingles))
+        across = linked(own_cells(first, ["label"], cell_sets, cell_shingles), compare)
         old += [names, across]
         names = components(found.unionByName(across))
         own = big.join(names.select(F.col("node").alias("key"), F.col("label").alias("own")), "key", "left").withColumn("own", F.coalesce("own", "key"))
         largest = own.groupBy("label", "own").agg(F.count("*").alias("sets")).groupBy("label").agg(F.max(F.struct("sets", "own")).alias("x"))
         largest = largest.join(sizes, "label").where("x.sets < sets").select("label", F.col("x.own").alias("major"))  # others are one component
         rest = cut(own.join(largest, "label").withColumn("minor", F.col("own") != F.col("major")).select("label", "key", "n", "size_class", "shingles", "minor"), "rest")
-        more = linked(meetings(rest, cell_sets, cell_shingles).drop("side"))
+        more = linked(meetings(rest, cell_sets, cell_shingles).drop("side"), compare)
         old += [rest, more]
         if not more.isEmpty():
             old.append(names)

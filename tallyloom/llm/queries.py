@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, exact_dedup, hard_negatives, language_id, language_model, line_dedup, mixing, near_duplicates, prefix_trie, secrets, sharding, token_shards
+from . import chosen_path, decontamination, exact_dedup, hard_negatives, language_id, language_model, line_dedup, mixing, near_duplicates, prefix_trie, secrets, sharding, token_shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_block_naming_dedup": exact_dedup.op1_block_naming_dedup,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_rendezvous_sharding": sharding.op9_rendezvous_sharding,
     "op10_language_id": language_id.op10_language_id,
     "op11_hard_negatives": hard_negatives.op11_hard_negatives,
+    "op12_minhash_near_dedup": chosen_path.op12_minhash_near_dedup,
     "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
 
@@ -28,5 +29,6 @@ ORACLES: dict[str, str] = {
     "op2_decontamination": decontamination.OP2_SQL,
     "op4_ngram_jaccard_join": near_duplicates.OP4_SQL,
     "op11_hard_negatives": hard_negatives.OP11_SQL,
+    "op12_minhash_near_dedup": chosen_path.OP12_SQL,
     "op13_prefix_trie": prefix_trie.OP13_SQL,
 }
