@@ -1,14 +1,14 @@
 """Secret scans with a recursive decoding worklist.
 
 The text is the first layer. Every layer is scanned for the three kinds of secrets, then decoded: percent escapes and
-backslash escapes (\\uXXXX, \\xXX) give the whole layer with these decoded. A base64 run (either alphabet) is decoded from
+escaped code points (\\uXXXX, \\UXXXXXXXX, \\u{X}, \\xXX, %uXXXX, &#N;, &#xX;) give the whole layer with these decoded. A base64 run (either alphabet) is decoded from
 each of its first four characters, as a path or name may stand before the payload; every readable part of what comes out
 is a layer. Base64 in lines is joined first. Compressed data (gzip, zlib, bzip2, xz) is looked for at every byte of decoded base64 and escapes; members that
 follow one another are all read. UTF-16 within a layer gives a layer. New layers join the worklist until none is left; a
 layer seen before isn't scanned again, so cycles end. Each character of a layer knows the span of the text it came from,
 and spans found in a layer are mapped back through it.
 
-Decompression, nested too, runs through windows of WINDOW bytes that overlap by OVERLAP bytes; each is a layer, so memory
+Each compressed region is read once, and nothing calls itself, so no nesting is too deep. Decompression, nested too, runs through windows of WINDOW bytes that overlap by OVERLAP bytes; each is a layer, so memory
 stays bounded and nothing is left out.
 
 Defined results: null and empty texts have no secrets; repeated rows each get their result; spans are in code points, end
@@ -24,10 +24,10 @@ import lzma
 import re
 import zlib
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents
@@ -36,14 +36,17 @@ WINDOW, OVERLAP = 1 << 22, 1 << 12
 KINDS = ("assign", "access", "hex")
 #: Fixed values of the contract. Runs are maximal, so the least lengths of access and hex stand in the pattern.
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
+#: One of these is in each match of ASSIGN.
+WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-BACKSLASH = re.compile(r"\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}")
+#: Escapes of code points: of programming languages, of URLs and of markup.
+CODES = re.compile(r"\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\U[0-9A-Fa-f]{8}|\\[ux]\{[0-9A-Fa-f]{1,6}\}|%u[0-9A-Fa-f]{4}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 #: Base64 in lines (as mail and certificates have it), the ends of lines as they are or escaped.
 LINE_END = r"(?:\r?\n|\\r\\n|\\n)"
-WRAPPED = re.compile(rf"(?:[A-Za-z0-9+/_-]{{40,}}{LINE_END})+[A-Za-z0-9+/_-]+={{0,2}}")
+WRAPPED = re.compile(rf"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{{4,}}+{LINE_END})+[A-Za-z0-9+/_-]++={{0,2}}")
 LINE_END = re.compile(LINE_END)
 #: Escapes of single bytes, as quoted byte strings have them.
 BYTES = re.compile(r"\\x[0-9A-Fa-f]{2}|\\[ntr0\\'\"]")
@@ -54,7 +57,9 @@ LITTLE, BIG = re.compile(r"(?:[\t\n\r\x20-\x7e]\x00){16,}"), re.compile(r"(?:\x0
 
 def scan(t: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the base spans."""
-    out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(t) if m.end(2) - m.start(2) >= 12]
+    low, out = t.lower(), []
+    if any(w in low for w in WORDS):
+        out += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(t) if m.end(2) - m.start(2) >= 12]
     if "AKIA" in t:
         out += [(m.start(), 1, m.end()) for m in ACCESS.finditer(t)]
     out += [(m.start(), 2, m.end()) for m in HEX.finditer(t)]
@@ -116,9 +121,9 @@ def backslash_byte(t: str):
     return chr(int(t[2:], 16)) if t[1] == "x" else {"n": "\n", "t": "\t", "r": "\r", "0": "\0"}.get(t[1], t[1]), [0], [len(t)]
 
 
-def backslash(t: str):
-    c = int(t[2:], 16)
-    return None if 0xD800 <= c < 0xE000 else (chr(c), [0], [len(t)])
+def code_point(t: str):
+    c = int(t[2:-1]) if t[:2] == "&#" and t[2] not in "xX" else int(t.strip("\\%&#uUxX{};"), 16)
+    return None if 0xD800 <= c < 0xE000 or c > 0x10FFFF else (chr(c), [0], [len(t)])
 
 
 #: First bytes of compressed data.
@@ -134,77 +139,144 @@ def packed(data):
     return next((make for magic, make in MAGIC.items() if head.startswith(magic)), None)
 
 
-def inflated(chunks: Iterable, left: list[int] | None = None) -> Iterator[bytes]:
-    """Decompressed data, in pieces of up to WINDOW bytes, of compressed members that follow one another.
+class Members:
+    """Decompresses members that follow one another, chunk by chunk."""
 
-    To left is added how many bytes of the chunk lie behind each member.
-    """
-    d = None
-    try:
-        for rest in chunks:
-            while True:
-                if d is None:
-                    while bytes(rest[:1]) == b"\0":  # padding between members
-                        rest = bytes(rest).lstrip(b"\0")
+    def __init__(self):
+        self.d, self.rest, self.fed, self.end, self.done = None, b"", 0, None, False
+
+    def push(self, chunk: bytes) -> Iterator[bytes]:
+        """What a chunk gives, in pieces of up to WINDOW bytes; `end` is where the last whole member ended."""
+        self.fed += len(chunk)
+        rest, self.rest = self.rest + bytes(chunk), b""
+        try:
+            while not self.done:
+                if self.d is None:
+                    rest = rest.lstrip(b"\0") if self.end is not None else rest  # padding between members
+                    if len(rest) < 6:
+                        self.rest = rest
+                        return
                     if not (make := packed(rest)):
-                        if len(rest):
-                            return
-                        break
-                    d = make()
-                if got := d.decompress(rest, WINDOW):
+                        self.done = True
+                        return
+                    self.d = make()
+                if got := self.d.decompress(rest, WINDOW):
                     yield got
-                if d.eof:
-                    rest, d = d.unused_data, None
-                    if left is not None:
-                        left.append(len(rest))
+                if self.d.eof:
+                    rest, self.d = self.d.unused_data, None
+                    self.end = self.fed - len(rest)
                     continue
-                rest = getattr(d, "unconsumed_tail", b"")
+                rest = getattr(self.d, "unconsumed_tail", b"")
                 if not got and not rest:
-                    break
-    except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
-        return
-
-
-def unpacked(chunks: Iterable, seen: set[bytes] | None = None) -> Iterator[bytes]:
-    """Overlapping windows of decompressed data, and of what is compressed in it, at any depth."""
-    seen = set() if seen is None else seen
-    out = inflated(chunks)
-    first = next(out, None)
-    if first is None or (key := hashlib.sha256(first).digest()) in seen:
-        return
-    seen.add(key)
-    passed: list[bytes] = []
-
-    def watched():
-        tail = b""
-        for piece in chain([first], out):
-            passed.append(tail + piece)
-            tail = (tail + piece)[-OVERLAP:]
-            yield piece
-
-    source = watched()
-    if packed(first):
-        for window in unpacked(source, seen):
-            yield window
-            yield from passed
-            passed.clear()
-    for _ in source:  # what no inner stream has taken
-        yield from passed
-        passed.clear()
-    yield from passed
+                    return
+        except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
+            self.done = True
+
+
+#: A deflated stream keeps what it can't compress in blocks of up to BLOCK bytes, with five bytes before each: the last four
+#: are its length, and the length inverted.
+BLOCK, BETWEEN = 65535, 5
+
+
+def copied(piece: bytes, source: bytes) -> tuple[int, int]:
+    """How much of a piece's beginning stands in its source as it is, and in how many such blocks."""
+    i, at, blocks = source.find(piece[:64], 4, 160), 0, 0
+    while i >= 4 and at < len(piece):
+        size = int.from_bytes(source[i - 4 : i - 2], "little")
+        if size ^ BLOCK != int.from_bytes(source[i - 2 : i], "little") or source[i : i + size][: len(piece) - at] != piece[at : at + size]:
+            break
+        at += size
+        i += size + BETWEEN
+        blocks += 1
+    return min(at, len(piece)), blocks
+
+
+def unpacked(chunks: Iterable[bytes]) -> Iterator[bytes]:
+    """Overlapping windows of decompressed data, and of what is compressed in it (from its beginning on), at any depth.
+
+    The depths are a list of what decompresses each, so no depth is too large. What a depth only copies from the one above
+    gives no window of its own.
+    """
+    depths, tails, seen = [Members()], [b""], set()
+    for chunk in chunks:
+        todo, above = [depths[0].push(chunk)], [chunk]
+        while todo:
+            piece, at = next(todo[-1], None), len(todo) - 1
+            if piece is None:
+                todo.pop()
+                above.pop()
+                continue
+            first = not tails[at]
+            if first and at:
+                key = xxhash.xxh3_128_digest(above[-1])  # a depth that is given what an outer one was given is a cycle
+                if key in seen:
+                    depths[at].done = True
+                    continue
+                seen.add(key)
+            window = tails[at] + piece
+            tails[at] = window[-OVERLAP:]
+            if copied(piece, above[-1])[0] < len(piece):
+                yield window
+            if first and len(depths) == at + 1 and packed(piece):
+                depths.append(Members())
+                tails.append(b"")
+            if len(depths) > at + 1 and not depths[at + 1].done:
+                todo.append(depths[at + 1].push(piece))
+                above.append(piece)
+        if depths[0].done:
+            return
+
+
+def portions(data: bytes, at: int) -> Iterator[bytes]:
+    """Data from a place on: a little first, as most of what looks like a head isn't one."""
+    yield data[at : at + 256]
+    for a in range(at + 256, len(data), 1 << 16):
+        yield data[a : a + (1 << 16)]
+
+
+def extent(data: bytes, at: int) -> tuple[int, int | None, int, int]:
+    """Of the stream that begins there: how many bytes it gives, where its last whole member ends (None: it breaks off), and
+    how many of the first bytes it only copies from the data, and in how many blocks."""
+    members, first, size = Members(), b"", 0
+    for chunk in portions(data, at):
+        for piece in members.push(chunk):
+            if len(first) < 4 * BLOCK:
+                first += piece
+            size += len(piece)
+        if members.done:
+            break
+    return size, members.end, *(copied(first, data[at : at + len(first) + len(first) // 64 + 512]) if first else (0, 0))
+
+
+def later(data: bytes, at: int, skip: int) -> Iterator[bytes]:
+    """Windows of what a stream gives after its first bytes."""
+    members, tail = Members(), b""
+    for chunk in portions(data, at):
+        for piece in members.push(chunk):
+            if (skip := skip - len(piece)) < 0:
+                window = tail + piece[max(0, len(piece) + skip - OVERLAP) if not tail else 0 :]
+                tail = window[-OVERLAP:]
+                yield window
 
 
 def within(data: bytes, a: np.ndarray, b: np.ndarray) -> Iterator[Layer]:
-    """Layers of the compressed data in bytes that came from a[i] to b[i] of the original."""
-    view = memoryview(data)
-    for m in HEADS.finditer(data):
-        left = []
-        if not sum(map(len, inflated([view[m.start() :]], left))):  # nothing is kept of this pass but where the data end
+    """Layers of the compressed data in bytes that came from a[i] to b[i] of the original.
+
+    A compressed region is read once: after members that end well, heads are looked for behind them. What a stream only copies
+    is passed over, as it is found in the data itself: a stream that gives nothing else is none, and heads are looked for in it.
+    """
+    latest, at = np.maximum.accumulate(b), 0
+    while m := HEADS.search(data, at):
+        start, at = m.start(), m.start() + 1
+        size, ended, same, blocks = extent(data, start)
+        if size == same and (blocks <= 1 or ended is None):
             continue
-        end = b[: len(data) - (left[-1] if left else 0)].max()
-        for p in unpacked([view[m.start() :]]):
+        end = latest[-1] if ended is None else latest[start + ended - 1]
+        for p in unpacked(portions(data, start)) if ended is not None or not same else later(data, start, same):
             t = p.decode("utf-8", "replace")
-            yield Layer(t, np.broadcast_to(a[m.start()], len(t)), np.broadcast_to(end, len(t)))
+            yield Layer(t, np.broadcast_to(a[start], len(t)), np.broadcast_to(end, len(t)))
+        if ended is not None and not same:
+            at = start + ended
 
 
 def from_base64(layer: Layer):
@@ -237,6 +309,8 @@ def from_escapes(layer: Layer, pattern: re.Pattern, decode):
 
 
 def from_utf16(layer: Layer):
+    if layer.start is None:
+        layer = Layer(layer.text, at := np.arange(len(layer.text)), at + 1)
     little, big = list(LITTLE.finditer(layer.text)), list(BIG.finditer(layer.text))
     ends, starts = {m.start(): m.end() for m in little}, {m.start(): m.end() for m in big}
     # either order fits all but the outermost characters of the other; the longer reading is the right one
@@ -265,13 +339,14 @@ def decoded(layer: Layer) -> Iterator[Layer]:
     if "%" in layer.text:
         whole.append((PERCENT, percent))
         yield from from_escapes(layer, PERCENT, percent_bytes)
+    if "\\" in layer.text or "%u" in layer.text or "&#" in layer.text:
+        whole.append((CODES, code_point))
     if "\\" in layer.text:
-        whole.append((BACKSLASH, backslash))
         yield from from_escapes(layer, BYTES, backslash_byte)
     for pattern, decode in whole:
         if (new := replaced(layer, pattern, decode)) is not None:
             yield new
-    if "\0" in layer.text and layer.start is not None:
+    if "\0" in layer.text:
         yield from from_utf16(layer)
     yield from from_base64(layer)
     yield from from_lines(layer)
@@ -280,7 +355,7 @@ def decoded(layer: Layer) -> Iterator[Layer]:
 def all_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(base spans, base spans and those of decoded layers), each (start, kind, end)."""
     base = scan(text)
-    if "%" not in text and "\\" not in text and not BASE64.search(text):
+    if not any(c in text for c in ("%", "\\", "&#", "\0")) and not BASE64.search(text) and not WRAPPED.search(text):
         return base, base
     # a stack of what is still to come at each depth: one layer a depth is held at a time
     found, seen, todo = set(base), set(), [iter([Layer(text)])]
