@@ -3,6 +3,8 @@ import base64
 import bz2
 import gzip
 import lzma
+import random
+import time
 import zlib
 from itertools import product
 from urllib.parse import quote
@@ -476,3 +478,67 @@ def test_language_id(spark, sf):
     assert [r.lang_pred == "und" for r in out].count(True) == 3
     assert language_id.identify(odd(spark), language_id.train(odd(spark).where("lang is null")), ["doc_id"]).where("lang_pred = 'und'").count() == 7
     assert {r.doc_id for r in language_id.language_stage(spark, docs, "").collect()} == {r.doc_id for r in rows if r.lang_pred != "und"}
+
+
+@pytest.mark.parametrize(
+    "data",
+    [b"x\x01\x00\xff\xff\x00\x00" * 400, b"x\x01\x00\xff\xff\x00\x00" * 2000, b"x\x01\x00\xff\xff\x00\x00" * 20000, b"x\x9c" * 20000, zlib.compress(b"\0" * (4 << 20)), zlib.compress(b"\0" * (16 << 20))],
+    ids=["400 deep", "2000 deep", "20000 deep", "heads", "4 MB", "16 MB"],
+)
+def test_hostile_archives(data):
+    text = "token: abcdefgh12345 " + base64.b64encode(data).decode()
+    start = time.process_time()
+    assert (0, 0, 20) in secrets.all_spans(text)[1]
+    assert time.process_time() - start < 15
+
+
+def test_hostile_archive_in_spark(spark):
+    text = "z " + base64.b64encode(b"x\x01\x00\xff\xff\x00\x00" * 2000).decode() + " secret=abcdefghijkl"
+    df = spark.createDataFrame([(1, text), (2, "token = abcdefghijklmnop")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_assign) for r in secrets.find_secrets(df).collect()) == [(1, 1), (2, 1)]
+
+
+def test_streams_that_are_deep_broken_or_stored():
+    secret = b"and password = abcdefghijkl1234 after"
+    deep = secret
+    for _ in range(700):
+        deep = zlib.compress(deep, 9)
+    stored = gzip.compress(bytes(range(256)) * 600 + gzip.compress(secret), 0)
+    broken = zlib.compress(random.Random(1).randbytes(70_000) + secret * 3, 1)[:-7]
+    twice = gzip.compress(secret) + b"junk" + gzip.compress(secret)
+    for data, number in ((deep, 1), (stored, 1), (broken, 1), (twice, 2)):
+        text = "z " + base64.b64encode(data).decode()
+        assert sum(k == 0 for _, k, _ in secrets.all_spans(text)[1]) >= number
+
+
+@pytest.mark.parametrize("width", [4, 8, 24, 32, 40, 76])
+def test_base64_in_lines_of_any_length(width):
+    code = base64.b64encode(b"some text and password = abcdefghijkl1234 more").decode()
+    text = "\n".join(code[i : i + width] for i in range(0, len(code), width))
+    assert any(k == 0 for _, k, _ in secrets.all_spans(text)[1])
+
+
+@pytest.mark.parametrize("escape", ["\\u0074", "\\x74", "\\U00000074", "\\u{74}", "\\x{74}", "%u0074", "&#116;", "&#x74;", "&#X74;", "%74"])
+def test_escaped_letters(escape):
+    text = f"é {escape}oken = abcdefghijklmnop \\U99999999 &#9999999; \\ud83d"
+    assert (2, 0, 2 + len(escape) + 23) in secrets.all_spans(text)[1]
+
+
+def test_utf16_of_the_text_itself():
+    text = "x " + "".join(c + "\0" for c in "secret: abcdefghijklmnop")
+    assert any(k == 0 for _, k, _ in secrets.all_spans(text)[1])
+
+
+def test_components_in_one_task_or_by_rounds(spark):
+    from tallyloom.llm import graph
+
+    r = random.Random(4)
+    edges = [(r.randrange(400), r.randrange(400)) for _ in range(260)] + [(1000 + i, 1001 + i) for i in range(60)]
+    for kind in ("long", "binary"):
+        df = spark.createDataFrame(edges, "a long, b long")
+        if kind == "binary":
+            df = df.selectExpr("cast(string(a) as binary) a", "cast(string(b) as binary) b")
+        got = [{(bytes(x.node) if kind == "binary" else x.node): x.label for x in graph.components(df, few).collect()} for few in (1 << 20, 20, 0)]
+        groups = [sorted(sorted(n for n in g if g[n] == label) for label in set(map(bytes, g.values()) if kind == "binary" else g.values())) for g in got]
+        assert groups[0] == groups[1] == groups[2]
+    assert graph.components(spark.createDataFrame([], "a long, b long")).collect() == []
