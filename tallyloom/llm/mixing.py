@@ -1,8 +1,10 @@
 """Mixing sources to target weights: a low-discrepancy source schedule (DataFrame functions only).
 
 Slot i of the mixture is the point frac(i * golden ratio); the cumulative target weights map it to a source. The slots of
-a source are ranked, and rank r takes block r of that source's shuffled word stream, cut into blocks of equal size. The
-stream repeats its documents up to `epochs` times.
+a source are ranked, and rank r takes block r of that source's shuffled word stream. The stream repeats its documents up to
+`epochs` times; its first `target` words (rounded) are cut into as many blocks as the source has slots, equal but for one
+word, so a source gives its target to half a word. Blocks are of about block_size() words; a source whose target is less
+than three of these weighs as much as three in the schedule, so that it has a slot, and its blocks are smaller.
 
 Targets: sources in code-point order (null last) weigh 1, 2, 3, repeating; each target stops at `epochs` times what the
 source has, and the rest is shared again by weight (water filling, in closed form over the sources ordered by the level
@@ -34,7 +36,7 @@ def point(i: Column) -> Column:
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), epochs: int = 3) -> tuple[DataFrame, int]:
-    """(source, source_size) -> the same with source_no, target and the range lo to hi of the unit interval; total size."""
+    """(source, source_size) -> the same with source_no, target and the range lo to hi of the unit interval; number of slots."""
     n = len(weights)
     total = sizes.agg(F.sum("source_size")).first()[0] or 0
     weight = F.element_at(F.array(*map(F.lit, weights)), ((F.col("source_no") % n) + 1).cast("int"))
@@ -47,10 +49,13 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), epochs: int
     found = s.select("row_no", "full_at", level.alias("level")).where("level <= full_at * (1 + 1e-12)").agg(F.min_by("level", "row_no")).first()[0]
     fill = F.least("cap", F.col("weight") * F.lit(float(found if found is not None else 0.0)))
     s = s.select("source", "source_size", "source_no", fill.alias("target"))
-    s = ordered_offsets(s, [F.asc("source_no")], {"lo": "target"}, "weights").drop("row_no")
-    goal = float(max(total, 1))
-    hi = (F.col("lo") + F.col("target")) / goal
-    return s.select("source", "source_size", "source_no", "target", (F.col("lo") / goal).alias("lo"), F.when(hi > 1 - 1e-9, 2.0).otherwise(hi).alias("hi")), total
+    # gaps between the points of n slots are below 2.62 / n, so an interval of three slots has one
+    words = block_size(total)
+    s = s.withColumn("share", F.when(F.col("target") > 0, F.greatest("target", F.lit(3.0 * words))).otherwise(0.0))
+    s = ordered_offsets(s, [F.asc("source_no")], {"lo": "share"}, "weights").drop("row_no")
+    goal = s.agg(F.sum("share")).first()[0] or 0.0
+    hi = (F.col("lo") + F.col("share")) / max(goal, 1.0)
+    return s.select("source", "source_size", "source_no", "target", (F.col("lo") / max(goal, 1.0)).alias("lo"), F.when(hi > 1 - 1e-9, 2.0).otherwise(hi).alias("hi")), math.ceil(goal / words)
 
 
 def schedule(sources: DataFrame, slots: int, chunk: int = 8192) -> DataFrame:
@@ -85,22 +90,27 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), epochs: int = 3,
     """
     size = F.coalesce(F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
     d = cut(docs.select("doc_id", "source", size.alias("size"), text_hash().alias("text_hash")), "sizes")
-    s, total = targets(d.groupBy("source").agg(F.sum("size").alias("source_size")), weights, epochs)
-    s, words = cut(s, "targets"), block_size(total)
-    slots = cut(schedule(s, -(-total // words)), "slots")
+    s, slots = targets(d.groupBy("source").agg(F.sum("size").alias("source_size")), weights, epochs)
+    s = cut(s, "targets")
+    slots = cut(schedule(s, slots), "slots")
     drawn = slots.groupBy("source_no").agg(F.count("*").alias("drawn"))
     s = cut(s.join(drawn, "source_no", "left").withColumn("drawn", F.coalesce("drawn", F.lit(0))), "drawn")
     start = ordered_offsets(s.select("source_no", "source_size"), [F.asc("source_no")], {"first": "source_size"}, "firsts").select("source_no", "first")
-    s = s.join(start, "source_no").select("source", "source_size", "source_no", "target", "drawn", "first")
-    d = d.alias("d").join(s.alias("s"), same("d", "s", "source")).select("d.doc_id", "d.size", "d.text_hash", "s.source_no", "s.source_size", "s.target", "s.drawn", "s.first")
+    goal = F.when(F.col("drawn") > 0, F.round("target").cast("long")).otherwise(0)
+    s = s.join(start, "source_no").withColumn("goal", goal).withColumns({"block": F.when(F.col("drawn") > 0, F.floor(F.col("goal") / F.col("drawn"))).otherwise(0), "longer": F.when(F.col("drawn") > 0, F.col("goal") % F.col("drawn")).otherwise(0)})
+    s = s.select("source", "source_size", "source_no", "target", "goal", "block", "longer", "first")
+    d = d.alias("d").join(s.alias("s"), same("d", "s", "source")).select("d.doc_id", "d.size", "d.text_hash", "s.source_no", "s.source_size", "s.target", "s.goal", "s.block", "s.longer", "s.first")
     order = [F.asc("source_no"), F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text_hash")), F.asc("doc_id"), F.asc("text_hash")]
     d = cut(ordered_offsets(d, order, {"at": "size"}, "streams").withColumn("at", F.col("at") - F.col("first")), "documents")
-    limit = F.col("drawn") * words
+    # the first `longer` blocks have a word more than the others
+    longer = F.col("longer") * (F.col("block") + 1)
+    rank_of = lambda x: F.when(x < longer, F.floor(x / (F.col("block") + 1))).otherwise(F.col("longer") + F.floor((x - longer) / F.greatest("block", F.lit(1))))
+    first_of = lambda r: r * F.col("block") + F.least(r, "longer")
     p = d.where("size > 0").select("*", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("epoch"))
-    p = p.withColumn("begin", F.col("at") + F.col("epoch") * F.col("source_size")).where(F.col("begin") < limit)
-    p = p.withColumn("end", F.least(F.col("begin") + F.col("size"), limit))
-    p = p.select("row_no", "doc_id", "source_no", "epoch", "begin", "end", F.explode(F.sequence(F.floor(F.col("begin") / words), F.floor((F.col("end") - 1) / words))).alias("rank"))
-    lo, hi = F.greatest(F.col("begin"), F.col("rank") * words), F.least(F.col("end"), (F.col("rank") + 1) * words)
+    p = p.withColumn("begin", F.col("at") + F.col("epoch") * F.col("source_size")).where(F.col("begin") < F.col("goal"))
+    p = p.withColumn("end", F.least(F.col("begin") + F.col("size"), "goal"))
+    p = p.select("row_no", "doc_id", "source_no", "epoch", "begin", "end", "block", "longer", F.explode(F.sequence(rank_of(F.col("begin")), rank_of(F.col("end") - 1))).alias("rank"))
+    lo, hi = F.greatest("begin", first_of(F.col("rank"))), F.least("end", first_of(F.col("rank") + 1))
     plan = p.join(slots, ["source_no", "rank"]).select("slot", "row_no", "doc_id", "epoch", (lo - F.col("begin")).alias("from_word"), (hi - lo).alias("n_words"))
     taken = plan.groupBy("row_no").agg(F.sum("n_words").alias("taken"))
     out = d.join(taken, "row_no", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "row_no", "text_hash")
