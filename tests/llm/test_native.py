@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 import duckdb
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tallyloom.llm import decontamination, mixing, queries, sharding
 
@@ -82,10 +83,37 @@ def test_mixing(spark, sf, which):
     assert len(rows) == len(expected)
     assert all(abs(taken[s] - target[s]) <= max(80, 0.01 * target[s]) for s in target)
     slots = Counter(r.slot for r in plan.select("slot").collect())
-    assert not slots or max(slots) < sum(x[0] for x in expected.values()) / 16 + 1
+    # sources below three blocks weigh as much as three
+    assert not slots or max(slots) < sum(x[0] for x in expected.values()) / 16 + 3 * len(target) + 1
+    assert {s: taken[s] for s in target} == {s: math.floor(t + 0.5) for s, t in target.items()}
     assert sorted(map(tuple, mixing.mix(docs)[0].collect())) == sorted(map(tuple, rows))
 
 
+@pytest.mark.parametrize(("sources", "words"), [(3, 5), (60, 12), (60, 200), (1, 1), (4, 40)])
+def test_mixing_of_small_sources(spark, sources, words):
+    """What each document gives: the first words of its source's stream, repeated, up to the target."""
+    rows = [(s * 100 + i, "w " * (words // 4 if i < 3 else words - 3 * (words // 4)), f"s{s:02}") for s in range(sources) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    out, plan = mixing.mix(docs)
+    got = {r.doc_id: r for r in out.collect()}
+    expected = brute.mixing([(i, t, s) for i, t, s in rows])
+    order = docs.select("doc_id", "source", F.xxhash64(F.lit(0), "doc_id", mixing.text_hash()).alias("h")).orderBy("source", "h", "doc_id").collect()
+    for s in {r.source for r in order}:
+        mine = [r.doc_id for r in order if r.source == s]
+        goal, size, at = math.floor(expected[mine[0]][2] + 0.5), words, 0
+        assert sum(got[i].taken for i in mine) == goal
+        for i in mine:
+            n = expected[i][0]
+            assert got[i].taken == sum(max(0, min(goal, at + e * size + n) - min(goal, at + e * size)) for e in range(3))
+            at += n
+    pieces = plan.collect()
+    assert sum(p.n_words for p in pieces) == sum(r.taken for r in got.values()) and all(p.n_words > 0 for p in pieces)
+    by_slot = {}
+    for p in pieces:
+        by_slot.setdefault(p.slot, set()).add(p.doc_id // 100)
+    assert all(len(x) == 1 for x in by_slot.values())
+
+
 def test_mixing_nulls_repeats_and_nothing(spark):
     assert mixing.mix(odd(spark))[0].count() == 7
     assert mixing.mix(odd(spark).limit(0))[0].count() == 0
