@@ -89,3 +89,12 @@ def test_recall_of_trees():
     assert met == pairs and apart == 0
     one = sum(bool(set(names[2 * i, :8].tolist()) & set(names[2 * i + 1, :8].tolist())) for i in range(pairs))
     assert one / pairs > 0.9
+
+
+def test_ids_of_other_types_in_the_jaccard_join(spark):
+    from tallyloom.llm import near_duplicates
+
+    text = "one two three four five six seven eight"
+    df = spark.createDataFrame([("b", text), ("a", text + " "), ("c", "another text"), (None, None)], "doc_id string, text string")
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates.near_duplicates(df).collect()}
+    assert got == {("a", 4, "a"), ("b", 4, "a"), ("c", 1, "c"), (None, 0, None)}
