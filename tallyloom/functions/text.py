@@ -54,9 +54,9 @@ def first_words(t: Column, n: int = 5) -> Column:
 
 
 def escaped(t: Column) -> Column:
-    """A phrase as a pattern: special characters escaped, blanks kept, word bounds where it begins or ends in a letter or digit."""
-    body = F.regexp_replace(t, "([^A-Za-z0-9_ ])", "\\\\$1")
-    return F.concat(F.when(t.rlike("^[A-Za-z0-9]"), "\\b").otherwise(""), body, F.when(t.rlike("[A-Za-z0-9]$"), "\\b").otherwise(""))
+    """A phrase as a pattern: special characters escaped, blanks kept, word bounds if it begins and ends in letters or digits."""
+    body = F.regexp_replace(t, "([()\\[\\]{}?*+\\-|^$\\\\.&~#\\t\\n\\r\\x0B\\f])", "\\\\$1")
+    return F.when(t.rlike("^[\\p{L}\\p{N}](.*[\\p{L}\\p{N}])?$"), F.concat(F.lit("\\b"), body, F.lit("\\b"))).otherwise(body)
 
 
 def message_content(raw: Column) -> Column:

@@ -13,6 +13,11 @@ from pyspark.sql.types import DoubleType
 from ..functions import labels
 
 
+#: What is said of fields without a rater who stands alone.
+DISTRIBUTED = "Disagreements distributed across all three variants (no consistent outlier)."
+VARYING = "No consistent outlier; disagreements vary by case."
+
+
 def patterns(wide: DataFrame) -> DataFrame:
     """(doc_id, field, A, B, C) -> rows with a disagreement and who stands alone."""
     p = labels.vote_pattern(F.col("A"), F.col("B"), F.col("C"))
@@ -22,8 +27,8 @@ def patterns(wide: DataFrame) -> DataFrame:
 def summaries(found: DataFrame) -> DataFrame:
     """One row for each field: disagreements, the rater who stands alone most, and a sentence.
 
-    More than 60 % with one outlier: the sentence names its most frequent votes; three raters within one of each other: no
-    consistent outlier; else none.
+    More than 60 % with one outlier: the sentence names its most frequent votes (of equally frequent ones, the first by
+    value). All three raters stand alone, within one of each other: distributed. Else the cases vary.
     """
     n = found.groupBy("field").agg(F.count("*").alias("disagreements"), *[F.count_if(F.col("outlier") == r).alias(r) for r in "ABC"])
     by = found.where("outlier is not null").groupBy("field", "outlier", "consensus", "odd").agg(F.count("*").alias("n"))
@@ -32,16 +37,22 @@ def summaries(found: DataFrame) -> DataFrame:
     who = F.when(F.col("A") == most, "A").when(F.col("B") == most, "B").otherwise("C")
     t = n.select("*", most.alias("most"), who.alias("outlier")).join(top, ["field", "outlier"], "left")
     sentence = F.concat(F.col("outlier"), F.lit(" votes '"), F.col("odd"), F.lit("' where the other two vote '"), F.col("consensus"), F.lit("' on "), F.col("most").cast("string"), F.lit(" of "), F.col("disagreements").cast("string"), F.lit(" disagreements."))
-    even = most - F.least("A", "B", "C") <= 1
-    text = F.when(F.col("most") > 0.6 * F.col("disagreements"), sentence).when(even & (most > 0), "Disagreements distributed across all three variants (no consistent outlier).")
-    clear = F.col("most") > 0.6 * F.col("disagreements")
+    clear, least = F.col("most") > 0.6 * F.col("disagreements"), F.least("A", "B", "C")
+    text = F.when(clear, sentence).when((least > 0) & (most - least <= 1), DISTRIBUTED).otherwise(VARYING)
     return t.select("field", "disagreements", F.when(clear, F.col("outlier")).alias("outlier"), F.when(clear, F.col("odd")).alias("odd"), F.when(clear, F.col("most")).alias("n"), text.alias("summary"))
 
 
 def clusters(summary: DataFrame) -> DataFrame:
-    """Fields with the same outlier and vote, by size; the identity is made of structured columns."""
-    t = summary.where("outlier is not null").groupBy("outlier", "odd").agg(F.sum("n").alias("n"), F.sort_array(F.collect_list("field")).alias("fields"))
-    return t.withColumn("cluster_id", F.concat(F.lower("outlier"), F.lit("_votes_"), F.regexp_replace(F.lower("odd"), "[^a-z0-9]+", "_"))).orderBy(F.desc("n"), "cluster_id")
+    """cluster_id, cluster_label, outlier, n (disagreements of its fields), fields: fields whose rater stands alone with the
+    same vote, and two clusters for those without an outlier; every field is in one."""
+    slug = F.regexp_replace(F.regexp_replace(F.lower(F.trim("odd")), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+    named = F.col("outlier").isNotNull() & (F.length("odd") > 0) & ~F.contains("odd", F.lit("'"))
+    varying = F.col("outlier").isNull() & (F.col("summary") == VARYING)
+    id_ = F.when(named, F.concat(F.lower("outlier"), F.lit("_overasserts_"), F.when(slug == "", "unknown").otherwise(slug))).when(varying, "no_consistent_outlier").otherwise("unclassified_disagreement")
+    label = F.when(named, F.concat("outlier", F.lit(" over-asserts '"), "odd", F.lit("'"))).when(varying, "No consistent outlier").otherwise("Unclassified disagreement pattern")
+    t = summary.select("field", "disagreements", id_.alias("cluster_id"), label.alias("cluster_label"), F.when(named, F.col("outlier")).alias("outlier"))
+    t = t.groupBy("cluster_id").agg(F.min("cluster_label").alias("cluster_label"), F.min("outlier").alias("outlier"), F.sum("disagreements").alias("n"), F.sort_array(F.collect_list("field")).alias("fields"))
+    return t.orderBy(F.desc("n"), "cluster_id")
 
 
 def target(found: DataFrame, least: int = 50) -> DataFrame:
@@ -110,13 +121,28 @@ def example_quotas(weights: dict[str, int], total: int = 8) -> dict[str, int]:
 
 
 def quota_examples(records: DataFrame, total: int = 8) -> DataFrame:
-    """(cluster_id, record_id, weight, examples) -> `total` examples of each cluster: those within their record's quota
-    first (at least one, in proportion to its weight; halves to even), then more of the records in turn."""
-    all_ = F.sum("weight").over(Window.partitionBy("cluster_id"))
-    t = records.withColumn("quota", F.greatest(F.bround(F.col("weight") / all_ * total), F.lit(1.0)).cast("int"))
-    t = t.select("cluster_id", "record_id", "quota", F.posexplode("examples").alias("at", "example"))
-    w = Window.partitionBy("cluster_id").orderBy((F.col("at") >= F.col("quota")).cast("int"), "record_id", "at")
-    return t.withColumn("place", F.row_number().over(w)).where(F.col("place") <= total).select("cluster_id", "place", "record_id", "example")
+    """(cluster_id, record_id, weight, example) -> `total` examples of each cluster, none twice: those within their record's
+    quota first (at least one, in proportion to its weight; halves to even), the heaviest record first and the smallest
+    examples first; then what the records have left. An example that an earlier record gave is passed over.
+
+    Of a record, only its first `total` examples and as many that others may give before it can be taken, so no more are
+    gathered.
+    """
+    first = Window.partitionBy("cluster_id", "record_id").orderBy("example")
+    t = records.dropDuplicates(["cluster_id", "record_id", "example"]).withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= 2 * total)
+
+    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
+        held = sorted(((-g["weight"].iloc[0], r, sorted(g["example"])) for r, g in pdf.groupby("record_id")), key=lambda x: x[:2])
+        quota, taken, seen = example_quotas({r: -w for w, r, _ in held}, total), [], set()
+        for most in (quota, dict.fromkeys(quota, total)):
+            for _, record, examples_ in held:
+                new = [x for x in examples_ if x not in seen][: min(most[record], total - len(taken))]
+                taken += [(record, x) for x in new]
+                seen.update(new)
+        return pd.DataFrame([(pdf["cluster_id"].iloc[0], i + 1, *x) for i, x in enumerate(taken)], columns=["cluster_id", "place", "record_id", "example"])
+
+    kind = {f.name: f.dataType.simpleString() for f in records.schema}
+    return t.groupBy("cluster_id").applyInPandas(pick, f"cluster_id {kind['cluster_id']}, place int, record_id {kind['record_id']}, example {kind['example']}")
 
 
 @pandas_udf(DoubleType())

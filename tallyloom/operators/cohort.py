@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,20 +93,34 @@ def quotas(groups: DataFrame, name: str, size: str, total: int) -> list[tuple[st
         whole = sum(room.values())
         share = {k: left * v / whole for k, v in room.items()}
         add = {k: min(room[k], int(share[k])) for k in room}
-        for k in sorted(room, key=lambda k: (-(share[k] - int(share[k])), str(k)))[: left - sum(add.values())]:
+        for k in sorted(room, key=lambda k: (-round(share[k] - int(share[k]), 9), k is None, str(k)))[: left - sum(add.values())]:
             add[k] += add[k] < room[k]
         for k, v in add.items():
             quota[k] += v
         left -= sum(add.values())
-    return sorted(quota.items(), key=lambda x: str(x[0]))
+    return sorted(quota.items(), key=lambda x: (x[0] is None, str(x[0])))
+
 
+def stratified(df: DataFrame, key: str, stratum: str, total: int, seed: int, near: int = 4096) -> DataFrame:
+    """A sample with the strata in proportion: the first rows of each in hash order. A null stratum is one, too.
 
-def stratified(df: DataFrame, key: str, stratum: str, total: int, seed: int) -> DataFrame:
-    """A sample with the strata in proportion: the first rows of each in hash order."""
-    q = quotas(df.groupBy(stratum).agg(F.count("*").alias("size")), stratum, "size", total)
-    t = df.sparkSession.createDataFrame(q, df.select(stratum, F.lit(0).cast("long").alias("quota")).schema)
-    w = Window.partitionBy(stratum).orderBy(shuffle_key(F.col(key), seed), key)
-    return df.withColumn("rn", F.row_number().over(w)).join(F.broadcast(t), stratum).where("rn <= quota").drop("rn", "quota")
+    No stratum is sorted: rows are counted by the first digits of their hash, which tells the bucket where a stratum's quota
+    ends. All earlier buckets are taken, and only that bucket's rows (about `near` of them) are put in order.
+    """
+    sizes = df.groupBy(stratum).agg(F.count("*").alias("size"))
+    q = quotas(sizes, stratum, "size", total)
+    most = sizes.agg(F.max("size")).first()[0] or 1
+    digits = max(1, math.ceil(math.log(max(most / near, 1), 16)))
+    t = df.withColumn("tl_hash", shuffle_key(F.col(key), seed)).withColumn("tl_bucket", F.substring("tl_hash", 1, digits))
+    quota = df.sparkSession.createDataFrame(q, df.select(F.col(stratum).alias("tl_stratum"), F.lit(0).cast("long").alias("tl_quota")).schema).where("tl_quota > 0")
+    counts = t.groupBy(F.col(stratum).alias("tl_of"), "tl_bucket").agg(F.count("*").alias("n"))
+    counts = counts.withColumn("upto", F.sum("n").over(Window.partitionBy("tl_of").orderBy("tl_bucket")))
+    # one row for each stratum, as in the table of quotas
+    ends = counts.join(quota, F.col("tl_of").eqNullSafe(F.col("tl_stratum"))).where("upto >= tl_quota and upto - n < tl_quota")
+    ends = F.broadcast(ends.select("tl_stratum", F.col("tl_bucket").alias("tl_end"), (F.col("tl_quota") - F.col("upto") + F.col("n")).alias("tl_rest")))
+    t = t.join(ends, F.col(stratum).eqNullSafe(F.col("tl_stratum")))
+    last = t.where("tl_bucket = tl_end").withColumn("tl_nth", F.row_number().over(Window.partitionBy("tl_stratum").orderBy("tl_hash", key))).where("tl_nth <= tl_rest")
+    return t.where("tl_bucket < tl_end").select(*df.columns).unionByName(last.select(*df.columns))
 
 
 def slices(df: DataFrame, key: str, sizes: list[tuple[str, int]], seed: int) -> DataFrame:
@@ -123,7 +139,10 @@ def shares(df: DataFrame, column: str, name: str) -> DataFrame:
 
 
 def balance(population: DataFrame, sample_: DataFrame, stratum: str, within_pp: float = 2.0) -> DataFrame:
-    j = shares(population, stratum, "population_pct").join(shares(sample_, stratum, "sample_pct"), stratum, "full_outer").fillna(0.0)
+    """Shares of the strata, the null one among them, in a population and in a sample of it."""
+    p, q = shares(population, stratum, "population_pct"), shares(sample_, stratum, "sample_pct").withColumnRenamed(stratum, "tl_stratum")
+    j = p.join(q, F.col(stratum).eqNullSafe(F.col("tl_stratum")), "full_outer")
+    j = j.select(F.coalesce(stratum, "tl_stratum").alias(stratum), *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("population_pct", "sample_pct")])
     return j.withColumn("delta_pp", F.abs(F.col("population_pct") - F.col("sample_pct"))).withColumn("within", F.col("delta_pp") <= within_pp)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import domains, stats, text
+from . import ordered
 
 ALL = Window.partitionBy  # over small, aggregated tables
 
@@ -49,29 +50,25 @@ def progress(summary: DataFrame, hours: Column, planned: int) -> DataFrame:
 
 
 def running(events: DataFrame, keys: list[str], order: list[str], columns: list[str]) -> DataFrame:
-    """Running totals in each run."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return events.withColumns({f"total_{c}": F.sum(c).over(w) for c in columns} | {"n_calls": F.count("*").over(w)})
+    """Running totals in each run, of any length."""
+    return ordered.running(events, keys, order, {f"total_{c}": c for c in columns})
 
 
 def over_budget(run: DataFrame, keys: list[str], order: list[str], budget: float) -> DataFrame:
     """The first row of each run with a running cost strictly above the budget."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return run.where(F.col("total_cost") > budget).withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
+    every = F.struct(*[F.col(f"`{c}`") for c in run.columns])
+    return run.where(F.col("total_cost") > budget).groupBy(*[F.col(k).alias(f"run_{k}") for k in keys]).agg(F.min_by(every, F.struct(*order)).alias("first")).select("first.*")
 
 
-def window_rate(events: DataFrame, keys: list[str], order: list[str], latency: str, n: int = 1000) -> DataFrame:
+def window_rate(events: DataFrame, keys: list[str], order: list[str], latency: str, n: int = 1000, block: int = 1 << 14) -> DataFrame:
     """Calls a second over the last n latencies."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-(n - 1), 0)
-    return events.withColumn("window_rps", F.try_divide(F.count(latency).over(w).cast("double"), F.sum(latency).over(w)))
+    t = ordered.moving(events, keys, order, n, {"window_calls": F.count(latency), "window_seconds": F.sum(latency)}, block)
+    return t.withColumn("window_rps", F.try_divide(F.col("window_calls").cast("double"), F.col("window_seconds"))).drop("window_calls", "window_seconds")
 
 
 def thinned(t: DataFrame, keys: list[str], order: list[str], points: int = 4000) -> DataFrame:
     """About so many rows of each key: every n-th one and the last."""
-    w = Window.partitionBy(*keys)
-    t = t.withColumns({"rn": F.row_number().over(w.orderBy(*order)), "rows": F.count("*").over(w)})
-    step = F.greatest(F.ceil(F.col("rows") / points), F.lit(1))
-    return t.where(((F.col("rn") - 1) % step == 0) | (F.col("rn") == F.col("rows"))).drop("rn", "rows")
+    return ordered.every_nth(t, keys, order, points)
 
 
 def derivative(t: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:

@@ -5,11 +5,11 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
-from ..functions import domains
+from ..functions import domains, text as texts
 
 #: Fixed value: a section header, alone on its line. UNIX_LINES, so that only \n ends a line.
 HEADER = "(?md)^([A-Z][A-Za-z ()/-]{2,60}):\\s*\\n"
@@ -119,16 +119,37 @@ def vote(text: Column, spec: dict) -> Column:
     return F.when(F.coalesce(out, F.lit(False)), 1).otherwise(-1)
 
 
-def mine_ngrams(phrases: DataFrame, column: str = "phrase", top: int = 15) -> list[str]:
-    """N-grams of 2 to 5 words in at least two phrases, by (-count, -length, text), none inside another that was taken first."""
-    w = F.split(F.lower(F.trim(column)), "\\s+")
-    t = phrases.select(F.col(column), w.alias("w")).distinct()
-    grams = F.flatten(F.transform(F.sequence(F.lit(2), F.lit(5)), lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.array_join(F.slice(F.col("w"), i + 1, n), " "))).otherwise(F.array().cast("array<string>"))))
-    g = t.select(column, F.explode(F.array_distinct(grams)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).where("n >= 2")
-    taken: list[str] = []
-    for r in g.orderBy(F.desc("n"), F.desc(F.size(F.split("gram", " "))), "gram").toLocalIterator():
-        if not any(f" {r.gram} " in f" {x} " or f" {x} " in f" {r.gram} " for x in taken):
-            taken.append(r.gram)
-            if len(taken) == top:
-                break
-    return taken
+#: Fixed value: what counts as a word of a phrase.
+WORD = "[A-Za-z0-9]+(?:[./-][A-Za-z0-9]+)*"
+
+
+def ngrams(phrases: DataFrame, column: str, order: str, least: int = 2, most: int = 5) -> DataFrame:
+    """gram (lower case), example (as the first phrase has it), n phrases, length in words: of all n-grams in two phrases or
+    more. Phrases are rows; `order` says which comes first."""
+    t = phrases.select(F.col(order).alias("at"), F.expr(f"regexp_extract_all(trim(`{column}`), '{WORD}', 0)").alias("w"))
+    places = F.flatten(F.transform(F.sequence(F.lit(least), F.lit(most)), lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.struct(i.alias("i"), F.array_join(F.slice(F.col("w"), i + 1, n), " ").alias("x"), n.alias("length")))).otherwise(F.array().cast("array<struct<i:int,x:string,length:int>>"))))
+    t = t.select("at", F.explode(places).alias("p")).select("at", "p.*").withColumn("gram", F.lower("x"))
+    one = t.groupBy("gram", "at").agg(F.min_by("x", "i").alias("x"), F.first("length").alias("length"))
+    return one.groupBy("gram").agg(F.min_by("x", "at").alias("example"), F.count("*").alias("n"), F.first("length").alias("length")).where("n >= 2")
+
+
+def longest(found: DataFrame) -> DataFrame:
+    """n-grams that don't stand within another one (letter by letter: its first word may be the end of a word there, its last
+    one the beginning of one). Each n-gram is joined with what may stand in others: no n-gram is compared with all."""
+    w = F.split("gram", " ")
+    inner = F.flatten(F.transform(F.sequence(F.lit(2), F.size("w")), lambda k: F.transform(F.sequence(F.lit(0), F.size("w") - k), lambda i: F.slice("w", i + 1, k))))
+    t = found.select("gram", w.alias("w")).select("gram", F.explode(inner).alias("s"))
+    # the ends of the first word, the beginnings of the last
+    ends = F.transform(F.sequence(F.lit(1), F.length(F.element_at("s", 1))), lambda i: F.substr(F.element_at("s", 1), i))
+    t = t.select("gram", "s", F.explode(ends).alias("a"))
+    begins = F.transform(F.sequence(F.lit(1), F.length(F.element_at("s", -1))), lambda i: F.substr(F.element_at("s", -1), F.lit(1), i))
+    t = t.select("gram", "s", "a", F.explode(begins).alias("z"))
+    parts = t.select("gram", F.array_join(F.concat(F.array("a"), F.slice("s", 2, F.size("s") - 2), F.array("z")), " ").alias("part")).where("part <> gram")
+    return found.join(parts.select(F.col("part").alias("gram")), "gram", "left_anti")
+
+
+def mine_patterns(phrases: DataFrame, column: str, order: str, top: int = 15) -> DataFrame:
+    """place, pattern, gram, n: the most frequent n-grams of 2 to 5 words that don't stand in longer ones, as patterns."""
+    t = longest(ngrams(phrases, column, order)).orderBy(F.desc("n"), F.desc("length"), "gram").limit(top)
+    place = F.row_number().over(Window.orderBy(F.desc("n"), F.desc("length"), "gram"))  # of `top` rows
+    return t.select(place.alias("place"), texts.escaped(F.col("example")).alias("pattern"), "gram", "n")

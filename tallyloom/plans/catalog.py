@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import domains, labels, stats, text
-from ..operators import agreement, audit, cohort, embedding, longform, quality, resample, sections, votes
+from ..operators import agreement, audit, cohort, embedding, label_matrix, longform, quality, resample, sections, votes
 from . import simulated as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -643,17 +643,48 @@ def _(spark, sf):
     return resample.interval(resample.median_replicates(v, 200, 42), [])
 
 
-@query("disagreement_clusters", f"{PAT}, o AS (SELECT field, CASE pattern WHEN 'a=b!=c' THEN 'C' WHEN 'a=c!=b' THEN 'B' WHEN 'b=c!=a' THEN 'A' END AS outlier, CASE pattern WHEN 'a=b!=c' THEN c WHEN 'a=c!=b' THEN b WHEN 'b=c!=a' THEN a END AS odd, CASE pattern WHEN 'b=c!=a' THEN b WHEN 'all_different' THEN NULL ELSE a END AS consensus FROM p WHERE pattern <> 'all_equal'), n AS (SELECT field, count(*) AS d, sum((outlier = 'A')::INT) AS na, sum((outlier = 'B')::INT) AS nb, sum((outlier = 'C')::INT) AS nc FROM o GROUP BY field), w AS (SELECT *, greatest(na, nb, nc) AS most, CASE WHEN na = greatest(na, nb, nc) THEN 'A' WHEN nb = greatest(na, nb, nc) THEN 'B' ELSE 'C' END AS who FROM n), t AS (SELECT field, outlier, odd, consensus, row_number() OVER (PARTITION BY field, outlier ORDER BY count(*) DESC, consensus, odd) AS rn FROM o WHERE outlier IS NOT NULL GROUP BY field, outlier, odd, consensus), s AS (SELECT w.field, who, odd, most FROM w JOIN t ON t.field = w.field AND t.outlier = w.who AND rn = 1 WHERE most > 0.6 * d) SELECT lower(who) || '_votes_' || regexp_replace(lower(odd), '[^a-z0-9]+', '_', 'g') AS cluster_id, who AS outlier, odd, sum(most)::BIGINT AS n, string_agg(field, ',' ORDER BY field) AS fields FROM s GROUP BY ALL")
+SUMMARY = f"""{PAT}, o AS (SELECT field, CASE pattern WHEN 'a=b!=c' THEN 'C' WHEN 'a=c!=b' THEN 'B' WHEN 'b=c!=a' THEN 'A' END AS outlier, CASE pattern WHEN 'a=b!=c' THEN c WHEN 'a=c!=b' THEN b WHEN 'b=c!=a' THEN a END AS odd,
+CASE pattern WHEN 'b=c!=a' THEN b WHEN 'all_different' THEN NULL ELSE a END AS consensus FROM p WHERE pattern <> 'all_equal'),
+n AS (SELECT field, count(*) AS d, count(*) FILTER (WHERE outlier = 'A') AS na, count(*) FILTER (WHERE outlier = 'B') AS nb, count(*) FILTER (WHERE outlier = 'C') AS nc FROM o GROUP BY field),
+w AS (SELECT *, greatest(na, nb, nc) AS most, least(na, nb, nc) AS fewest, CASE WHEN na = greatest(na, nb, nc) THEN 'A' WHEN nb = greatest(na, nb, nc) THEN 'B' ELSE 'C' END AS who FROM n),
+t AS (SELECT field, outlier, odd, consensus, row_number() OVER (PARTITION BY field, outlier ORDER BY count(*) DESC, consensus, odd) AS rn FROM o WHERE outlier IS NOT NULL GROUP BY field, outlier, odd, consensus),
+su AS (SELECT w.field, d AS disagreements, most > 0.6 * d AS clear, CASE WHEN most > 0.6 * d THEN who END AS outlier, CASE WHEN most > 0.6 * d THEN odd END AS odd, CASE WHEN most > 0.6 * d THEN most END AS n,
+CASE WHEN most > 0.6 * d THEN who || ' votes \'\'' || odd || '\'\' where the other two vote \'\'' || consensus || '\'\' on ' || most || ' of ' || d || ' disagreements.'
+WHEN fewest > 0 AND most - fewest <= 1 THEN 'Disagreements distributed across all three variants (no consistent outlier).' ELSE 'No consistent outlier; disagreements vary by case.' END AS summary
+FROM w LEFT JOIN t ON t.field = w.field AND t.outlier = w.who AND rn = 1),
+cf AS (SELECT *, CASE WHEN clear THEN lower(outlier) || '_overasserts_' || trim(regexp_replace(lower(odd), '[^a-z0-9]+', '_', 'g'), '_') WHEN summary LIKE 'No consistent outlier;%' THEN 'no_consistent_outlier' ELSE 'unclassified_disagreement' END AS cluster_id,
+CASE WHEN clear THEN outlier || ' over-asserts \'\'' || odd || '\'\'' WHEN summary LIKE 'No consistent outlier;%' THEN 'No consistent outlier' ELSE 'Unclassified disagreement pattern' END AS cluster_label FROM su),
+cl AS (SELECT cluster_id, min(cluster_label) AS cluster_label, min(outlier) AS outlier, sum(disagreements)::BIGINT AS n, string_agg(field, ',' ORDER BY field) AS fields FROM cf GROUP BY cluster_id)"""
+
+
+def _clusters(spark, sf):
+    return audit.clusters(audit.summaries(audit.patterns(S.wide(spark, sf))))
+
+
+@query("disagreement_clusters", f"{SUMMARY} SELECT * FROM cl")
 def _(spark, sf):
-    c = audit.clusters(audit.summaries(audit.patterns(S.wide(spark, sf))))
-    return c.select("cluster_id", "outlier", "odd", "n", F.array_join("fields", ",").alias("fields"))
+    return _clusters(spark, sf).withColumn("fields", F.array_join("fields", ","))
 
 
-@query("audit_summaries")
+@query("audit_summaries", f"{SUMMARY} SELECT field, disagreements, outlier, odd, n, summary FROM su")
 def _(spark, sf):
     return audit.summaries(audit.patterns(S.wide(spark, sf)))
 
 
+#: A field for each language and rater, so that there are fields of all kinds: with an outlier, distributed, varying.
+BY_LANGUAGE = PAT.replace("wide AS (SELECT * FROM wide0)", "wide AS (SELECT wide0.doc_id, wide0.field || ' ' || coalesce(lang, 'none') AS field, CASE wide0.doc_id % 6 WHEN 1 THEN 'maybe so' ELSE a END AS a, CASE wide0.doc_id % 6 WHEN 2 THEN 'maybe so' ELSE b END AS b, CASE wide0.doc_id % 6 WHEN 3 THEN 'maybe so' ELSE c END AS c FROM wide0 JOIN f USING (doc_id))")
+
+
+@query("audit_summaries_by_language", f"{SUMMARY.replace(PAT, BY_LANGUAGE)} SELECT cf.field, disagreements, odd, n, summary, cluster_id, cluster_label FROM cf")
+def _(spark, sf):
+    lang = S.read(spark, sf, "documents").select("doc_id", F.coalesce("lang", F.lit("none")).alias("lang"))
+    w = S.wide(spark, sf).join(lang, "doc_id")
+    w = w.select("doc_id", F.concat_ws(" ", "field", "lang").alias("field"), *[F.when(F.col("doc_id") % 6 == i + 1, "maybe so").otherwise(F.col(r)).alias(r) for i, r in enumerate("ABC")])
+    s = audit.summaries(audit.patterns(w))
+    c = audit.clusters(s).select("cluster_id", "cluster_label", F.explode("fields").alias("field"))
+    return s.join(c, "field").select("field", "disagreements", "odd", "n", "summary", "cluster_id", "cluster_label")
+
+
 @query("audit_examples")
 def _(spark, sf):
     return audit.examples(audit.patterns(S.wide(spark, sf)), S.read(spark, sf, "documents").select("doc_id", F.col("source").alias("stratum")))
@@ -721,14 +752,14 @@ def _(spark, sf):
     return j.withColumn("rn", F.row_number().over(Window.partitionBy("target_field", "field").orderBy(F.desc(gap), "doc_id"))).where("rn <= 3").select("target_field", "field", "doc_id", "probability", "consensus")
 
 
-@query("cluster_kappa")
+@query("cluster_kappa", f"{SUMMARY.replace(S.WIDE, S.PAIRS)}, {S.kappa_sql('pairs', 'field, pair', 'kap')}, km AS (SELECT field, avg(kappa) AS kappa_mean FROM kap GROUP BY field) SELECT cluster_id, round(coalesce(avg(kappa_mean), 0), 6) AS kappa_mean FROM cf LEFT JOIN km USING (field) GROUP BY cluster_id")
 def _(spark, sf):
-    return audit.cluster_kappa(audit.clusters(audit.summaries(audit.patterns(S.wide(spark, sf)))), _report(spark, sf))
+    return audit.cluster_kappa(_clusters(spark, sf), _report(spark, sf))
 
 
-@query("collapse_adjusted_clusters")
+@query("collapse_adjusted_clusters", f"{SUMMARY}, x AS (SELECT cluster_id, count(*) AS original, count(*) FILTER (WHERE NOT ((a = 'yes') = (b = 'yes') AND (b = 'yes') = (c = 'yes'))) AS apart FROM p JOIN cf USING (field) WHERE pattern <> 'all_equal' GROUP BY cluster_id) SELECT cl.cluster_id, n, round(apart / original, 6)::DOUBLE AS survival, greatest(0, least(round_even(n * (apart / original), 0), n))::BIGINT AS adjusted FROM cl JOIN x USING (cluster_id)")
 def _(spark, sf):
-    found = audit.clusters(audit.summaries(audit.patterns(S.wide(spark, sf))))
+    found = _clusters(spark, sf)
     p = audit.patterns(S.wide(spark, sf)).join(found.select("cluster_id", F.explode("fields").alias("field")), "field")
     c = lambda x: labels.collapse(F.col(x))
     apart = ~(c("A").eqNullSafe(c("B")) & c("B").eqNullSafe(c("C")))
@@ -785,10 +816,62 @@ def _(spark, sf):
     return readers.cached(d, cache, "m")[1].agg(F.count("*").alias("missing"))
 
 
-@query("mined_phrases")
+#: Every n-gram of words, the phrases that have it; those that stand in no other one.
+MINED = """WITH w AS (SELECT item_id, regexp_extract_all(trim(text), '[A-Za-z0-9]+(?:[./-][A-Za-z0-9]+)*') AS w FROM benchmark),
+g AS (SELECT item_id, w, n, unnest(range(0, len(w) - n + 1)) AS i FROM w, range(2, 6) r(n) WHERE len(w) >= n),
+x AS (SELECT item_id, n, i, array_to_string(w[i + 1 : i + n], ' ') AS x FROM g), y AS (SELECT lower(x) AS gram, item_id, min_by(x, i) AS x, min(n) AS length FROM x GROUP BY ALL),
+c AS (SELECT gram, min_by(x, item_id) AS example, count(*) AS n, min(length) AS length FROM y GROUP BY gram HAVING count(*) >= 2),
+k AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM c l WHERE l.gram <> c.gram AND contains(l.gram, c.gram)))"""
+
+
+@query("mined_phrases", f"{MINED} SELECT row_number() OVER (ORDER BY n DESC, length DESC, gram) AS place, '\\b' || regexp_replace(example, '([.-])', '\\\\\\1', 'g') || '\\b' AS pattern, gram, n FROM k ORDER BY place LIMIT 15")
+def _(spark, sf):
+    return sections.mine_patterns(S.read(spark, sf, "benchmark"), "text", "item_id")
+
+
+@query("longest_ngrams", f"{MINED} SELECT gram, example, n, length FROM k")
 def _(spark, sf):
-    d = S.read(spark, sf, "benchmark").select(F.lower(F.col("text")).alias("phrase"))
-    return spark.createDataFrame([(i, p) for i, p in enumerate(sections.mine_ngrams(d))] or [(0, "")], "place int, phrase string")
+    return sections.longest(sections.ngrams(S.read(spark, sf, "benchmark"), "text", "item_id"))
+
+
+# ---------------------------------------------------------------- the label model by its overlap matrix
+MATRIX = f"""WITH {MAJ}, vc AS (SELECT doc_id, target_field, target_value, lf_name, 2 * vote - 1 AS x FROM votes WHERE vote <> -1),
+m AS (SELECT p.target_field, p.target_value, p.lf_name AS a, q.lf_name AS b, count(*) AS n, avg(CASE WHEN p.lf_name = q.lf_name THEN p.x ELSE p.x * q.x END) AS m FROM vc p JOIN vc q USING (doc_id, target_field, target_value) WHERE p.lf_name <= q.lf_name GROUP BY ALL)"""
+FUSED = f"""{MATRIX}, s AS (SELECT target_field, target_value, a, b, m FROM m WHERE a <> b UNION ALL SELECT target_field, target_value, b, a, m FROM m WHERE a <> b),
+q AS (SELECT x.target_field, x.target_value, x.a AS lf_name, x.m * y.m / z.m AS q FROM s x JOIN s y USING (target_field, target_value, a) JOIN s z ON z.target_field = x.target_field AND z.target_value = x.target_value AND z.a = x.b AND z.b = y.b WHERE x.b < y.b),
+ac AS (SELECT target_field, target_value, lf_name, greatest(0.05, least(0.95, (1 + CASE WHEN q > 0 THEN sqrt(least(q, 1)) ELSE 0 END) / 2)) AS acc FROM q),
+pr AS (SELECT target_field, target_value, greatest(0.01, least(0.99, (1 + sum(n * (2 * acc - 1) * m) / sum(n * (2 * acc - 1) * (2 * acc - 1))) / 2)) AS prior FROM ac JOIN m USING (target_field, target_value) WHERE m.a = m.b AND m.a = lf_name GROUP BY ALL),
+z AS (SELECT doc_id, v.target_field, v.target_value, sum(CASE vote WHEN 1 THEN 1 WHEN 0 THEN -1 ELSE 0 END * ln(acc / (1 - acc))) + max(ln(prior / (1 - prior))) AS z, count(*) FILTER (WHERE vote <> -1) AS cast_ FROM votes v JOIN ac USING (target_field, target_value, lf_name) JOIN pr USING (target_field, target_value) GROUP BY ALL)"""
+
+
+@query("label_overlap_matrix", f"{MATRIX} SELECT target_field, target_value, a, b, n, round(m, 6) AS m FROM m")
+def _(spark, sf):
+    return label_matrix.overlap_matrix(S.votes(spark, sf))
+
+
+#: The sample's only target with a model has three functions: one triple for each.
+@query("label_model_from_overlaps", f"{FUSED} SELECT mv.doc_id, mv.target_field, round(CASE WHEN z IS NULL THEN probability WHEN cast_ = 0 THEN 0.5 ELSE 1 / (1 + exp(-z)) END, 6) AS probability, CASE WHEN z IS NULL THEN fit_status ELSE 'success_model' END AS fit_status, n_lfs_contributing FROM mv LEFT JOIN z USING (doc_id, target_field, target_value)")
+def _(spark, sf):
+    return label_matrix.fuse(S.votes(spark, sf)).select("doc_id", "target_field", "probability", "fit_status", "n_lfs_contributing")
+
+
+# ---------------------------------------------------------------- strata with nulls
+NULL_QUOTA = QUOTA.replace("g AS (SELECT lang, count(*) AS size FROM documents GROUP BY lang)", "dn AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE lang END AS lang FROM documents), g AS (SELECT lang, count(*) AS size FROM dn GROUP BY lang)")
+
+
+def _with_nulls(spark, sf):
+    return S.read(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 4 != 0, F.col("lang")).alias("lang"))
+
+
+@query("stratified_sample_with_nulls", f"WITH {NULL_QUOTA}, r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('11|' || doc_id::VARCHAR), doc_id) AS rn FROM dn) SELECT r.lang, doc_id FROM r JOIN q ON r.lang IS NOT DISTINCT FROM q.lang WHERE rn <= quota")
+def _(spark, sf):
+    return cohort.stratified(_with_nulls(spark, sf), "doc_id", "lang", 100, 11, near=16).select("lang", "doc_id")
+
+
+@query("stratum_balance_with_nulls", f"WITH {NULL_QUOTA}, p AS (SELECT lang, 100.0 * size / sum(size) OVER () AS pp FROM g), s AS (SELECT lang, 100.0 * quota / sum(quota) OVER () AS sp FROM q) SELECT p.lang, round(pp::DOUBLE, 6) AS population_pct, round(sp::DOUBLE, 6) AS sample_pct, round(abs(pp - sp)::DOUBLE, 6) AS delta_pp, abs(pp - sp) <= 2 AS within FROM p JOIN s ON p.lang IS NOT DISTINCT FROM s.lang")
+def _(spark, sf):
+    d = _with_nulls(spark, sf)
+    return cohort.balance(d, cohort.stratified(d, "doc_id", "lang", 100, 11), "lang")
 
 
 from . import more  # noqa: E402, F401  registers further queries

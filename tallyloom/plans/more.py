@@ -2,33 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import domains, labels, text
+from ..functions.shared import scratch
 from ..operators import agreement, audit, cohort, longform, quality, resample
 from ..sources import readers, sinks
 from . import simulated as S
 from .catalog import FP, FULL, FULL_KAPPA, _models, query
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share, deleted when the application ends."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        at = tempfile.mkdtemp(prefix="tallyloom-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    path = f"{at.rstrip('/')}/tallyloom/{name}-{uuid.uuid4().hex}"
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return path
-
-
 # ---------------------------------------------------------------- reports over all kinds of fields
 def features(spark: SparkSession, sf: str) -> DataFrame:
     """Records of three raters with all kinds of fields, from their three answers."""
@@ -125,11 +109,10 @@ def _(spark, sf):
     return audit.new_clusters(before, after, 1)
 
 
-@query("quota_examples", "WITH r AS (SELECT source AS cluster_id, lang AS record_id, count(*) AS weight, list(doc_id ORDER BY doc_id) AS ex FROM documents GROUP BY ALL), q AS (SELECT *, greatest(round_even(weight / sum(weight) OVER (PARTITION BY cluster_id) * 8, 0), 1) AS quota FROM r), e AS (SELECT cluster_id, record_id, quota, unnest(ex) AS example, generate_subscripts(ex, 1) - 1 AS pos FROM q), p AS (SELECT cluster_id, record_id, example, row_number() OVER (PARTITION BY cluster_id ORDER BY (pos >= quota)::INT, record_id, pos) AS place FROM e) SELECT cluster_id, place, record_id, example FROM p WHERE place <= 8")
+@query("quota_examples", "WITH r AS (SELECT source AS cluster_id, lang AS record_id, count(*) AS weight, list(doc_id ORDER BY doc_id) AS ex FROM documents GROUP BY ALL), q AS (SELECT *, greatest(round_even(weight / sum(weight) OVER (PARTITION BY cluster_id) * 8, 0), 1) AS quota FROM r), e AS (SELECT cluster_id, record_id, quota, weight, unnest(ex) AS example, generate_subscripts(ex, 1) - 1 AS pos FROM q), p AS (SELECT cluster_id, record_id, example, row_number() OVER (PARTITION BY cluster_id ORDER BY (pos >= quota)::INT, weight DESC, record_id, pos) AS place FROM e) SELECT cluster_id, place, record_id, example FROM p WHERE place <= 8")
 def _(spark, sf):
-    d = S.read(spark, sf, "documents")
-    r = d.groupBy(F.col("source").alias("cluster_id"), F.col("lang").alias("record_id")).agg(F.count("*").alias("weight"), F.sort_array(F.collect_list("doc_id")).alias("examples"))
-    return audit.quota_examples(r)
+    d = S.read(spark, sf, "documents").select(F.col("source").alias("cluster_id"), F.col("lang").alias("record_id"), F.col("doc_id").alias("example"))
+    return audit.quota_examples(d.join(d.groupBy("cluster_id", "record_id").agg(F.count("*").alias("weight")), ["cluster_id", "record_id"]))
 
 
 @query("thinned_rates", "WITH t AS (SELECT event_type, event_id, ts, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_type, event_id FROM t WHERE (rn - 1) % greatest(ceil(n / 100), 1)::BIGINT = 0 OR rn = n")

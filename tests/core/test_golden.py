@@ -137,8 +137,8 @@ def test_compound(spark):
 
 
 def test_ngrams(spark):
-    p = frame(spark, [("patient is dnr dni now",), ("she is dnr dni",), ("full code",)], "phrase string")
-    got = sections.mine_ngrams(p)
+    p = frame(spark, [("patient is dnr dni now", 1), ("she is dnr dni", 2), ("full code", 3)], "phrase string, at long")
+    got = [r.gram for r in sections.mine_patterns(p, "phrase", "at").collect()]
     assert "is dnr dni" in got and "dnr dni" not in got and not any("full" in g for g in got)
 
 
