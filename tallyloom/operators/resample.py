@@ -6,6 +6,9 @@ label patterns: the replicates are as large as the patterns, whatever the number
 
 from __future__ import annotations
 
+import hashlib
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -68,7 +71,11 @@ def paired_models(wide: DataFrame, reps: int, seed: int, least: int = 10) -> Dat
     p = d.groupBy("cells").agg(F.count("*").alias("n"))
     p = p.select((F.row_number().over(Window.orderBy("cells")) - 1).alias("pattern_no"), "cells", "n")  # bounded by the labels
     whole = p.select(F.lit(-1).cast("long").alias("rep"), F.col("pattern_no").cast("long").alias("pattern_no"), F.col("n").alias("w"))
-    t = pattern_draws(p, reps, seed).unionByName(whole).join(p.select("pattern_no", F.explode("cells").alias("x")), "pattern_no").select("rep", "w", "x.*")
+    return paired_statistics(pattern_draws(p, reps, seed).unionByName(whole).join(p.select("pattern_no", F.explode("cells").alias("x")), "pattern_no").select("rep", "w", "x.*"), least)
+
+
+def paired_statistics(t: DataFrame, least: int) -> DataFrame:
+    """The statistics of paired_models() from (rep, model, field, A, B, C, w); rep -1 are all documents."""
     keys = ["rep", "model", "field", "pair"]
     k = agreement.kappa(agreement.contingency(longform.pairs(t, keep=("rep", "model", "field", "w")), keys, F.col("w")), keys)
     yes = sum(((F.col(r) == "yes").cast("int") for r in longform.RATERS), F.lit(0))
@@ -86,6 +93,61 @@ def paired_models(wide: DataFrame, reps: int, seed: int, least: int = 10) -> Dat
     return wholes.unionByName(deltas.select("rep", "filter", "field", F.lit("delta").alias("statistic"), "value"))
 
 
+#: Fixed value: 2^32 times the probabilities that a Poisson number of mean 1 is at most 0, 1, 2, ...
+POISSON = tuple(math.ceil(2**32 * math.exp(-1) * sum(1 / math.factorial(i) for i in range(k + 1))) for k in range(12))
+
+
+def document_weights(keys: list, first: int, seed: int) -> np.ndarray:
+    """How often each document counts in replicates first to first + 3 (first is a multiple of 4): Poisson numbers of mean 1,
+    each from 8 digits of the md5 of seed, first / 4 and the document's key."""
+    digits = b"".join(hashlib.md5(f"{seed}|{first // 4}|{k}".encode()).digest() for k in keys)
+    return np.searchsorted(np.array(POISSON), np.frombuffer(digits, ">u4").astype(np.int64), "right").reshape(-1, 4)
+
+
+def weighted_cells(t: DataFrame, columns: list[str], reps: int, seed: int) -> DataFrame:
+    """(row_no, columns) -> rep, columns, w: how often documents with these labels count in each replicate.
+
+    A document's weights depend on nothing but its key, so every row draws them where it is: no document is shuffled, and a
+    task gives a vector of replicates for each different row of labels that it has met.
+    """
+
+    def add(batches):
+        cells, sums = {}, []
+        for batch in batches:
+            d = batch["row_no"].dictionary_encode()
+            documents = d.indices.to_numpy()
+            rows = list(zip(*(batch[c].to_pylist() for c in columns), strict=True))
+            code = np.array([cells.setdefault(r, len(cells)) for r in rows], np.int64)
+            sums += [np.zeros(reps, np.int64) for _ in range(len(cells) - len(sums))]
+            some, place = np.unique(code, return_inverse=True)
+            keys = d.dictionary.to_pylist()
+            for first in range(0, reps, 4):
+                w = document_weights(keys, first, seed)[documents]
+                for k in range(min(4, reps - first)):
+                    for c, n in zip(some.tolist(), np.bincount(place, w[:, k], len(some)).astype(np.int64).tolist(), strict=True):
+                        sums[c][first + k] += n
+        yield pa.record_batch([*(pa.array([r[i] for r in cells], pa.string()) for i in range(len(columns))), pa.array([x.tolist() for x in sums], pa.list_(pa.int64()))], [*columns, "weights"])
+
+    schema = ", ".join(f"{c} string" for c in columns) + ", weights array<long>"
+    t = t.where("row_no is not null").select("row_no", *[F.col(c).cast("string").alias(c) for c in columns]).mapInArrow(add, schema)
+    return t.select(*columns, F.posexplode("weights").alias("rep", "w")).groupBy(F.col("rep").cast("long").alias("rep"), *columns).agg(F.sum("w").alias("w")).where("w > 0")
+
+
+def weighted_kappas(pairs: DataFrame, reps: int, seed: int) -> DataFrame:
+    """Kappa of each replicate from (row_no, field, pair, left, right), as kappa_replicates(), but with Poisson weights of
+    documents in place of a fixed number of draws: of use where documents have too many joint patterns to be gathered."""
+    keys = ["rep", "field", "pair"]
+    t = weighted_cells(pairs, ["field", "pair", "left", "right"], reps, seed)
+    return agreement.kappa(agreement.contingency(t, keys, F.col("w")), keys)
+
+
+def weighted_models(wide: DataFrame, reps: int, seed: int, least: int = 10) -> DataFrame:
+    """paired_models() with Poisson weights of documents: a document's weight is the same in both models."""
+    columns = ["model", "field", "A", "B", "C"]
+    whole = wide.groupBy(*columns).agg(F.count("*").alias("w")).select(F.lit(-1).cast("long").alias("rep"), *columns, "w")
+    return paired_statistics(weighted_cells(wide, columns, reps, seed).unionByName(whole), least)
+
+
 def interval(t: DataFrame, keys: list[str], value: str = "value", lo: float = 0.025, hi: float = 0.975) -> DataFrame:
     """Percentile interval over finite values; null if there are none."""
     v = F.when(~F.isnan(value) & (F.abs(value) != float("inf")), F.col(value))

@@ -271,3 +271,33 @@ def _(spark, sf):
 def _(spark, sf):
     k = agreement.kappa(agreement.contingency(S.pairs(spark, sf), FP), FP)
     return k.groupBy("pair").agg(F.count("*").alias("first"), F.count_if(F.col("kappa") < 0.6).alias("last")).select("pair", audit.reduction_pct(F.col("first"), F.col("last")).alias("reduction"))
+
+
+# ---------------------------------------------------------------- bootstraps by document weights
+def draws_sql(seed: int, reps: int) -> str:
+    """CTE dw(doc_id, rep, w): the weights of resample.document_weights()."""
+    at = f"('0x' || substr(md5('{seed}|' || (rep // 4)::VARCHAR || '|' || doc_id::VARCHAR), (1 + 8 * (rep % 4))::INT, 8))::BIGINT"
+    return f"dw AS (SELECT doc_id, rep, len(list_filter({list(resample.POISSON)}::BIGINT[], lambda c: c <= {at})) AS w FROM documents, range({reps}) r(rep))"
+
+
+@query("weighted_bootstrap_kappa_ci", f"WITH {S.PAIRS}, {draws_sql(42, 60)}, wp AS (SELECT field, pair, rep, l, r, w FROM pairs JOIN dw USING (doc_id) WHERE w > 0), {S.kappa_sql('wp', 'field, pair, rep', 'kw', 'sum(w)')} SELECT field, pair, round(quantile_cont(kappa, 0.025), 6) AS low, round(quantile_cont(kappa, 0.975), 6) AS high, count(kappa) AS n_finite FROM kw GROUP BY ALL")
+def _(spark, sf):
+    k = resample.weighted_kappas(S.pairs(spark, sf).withColumnRenamed("doc_id", "row_no"), 60, 42)
+    return resample.interval(k.withColumnRenamed("kappa", "value"), FP)
+
+
+MODELS = f"""WITH {S.WIDE}, {draws_sql(20260523, 40)}, b AS (SELECT doc_id, 'small' AS model, field, a, b, c FROM wide UNION ALL SELECT doc_id, 'full', field, CASE WHEN doc_id % 5 = 0 THEN 'not_documented' ELSE a END, CASE WHEN doc_id % 5 = 0 THEN 'not_documented' ELSE b END, CASE WHEN doc_id % 5 = 0 THEN 'not_documented' ELSE c END FROM wide),
+x AS (SELECT b.*, rep, w FROM b JOIN dw USING (doc_id) WHERE w > 0 UNION ALL SELECT b.*, -1, 1 FROM b),
+often AS (SELECT rep, field, min(n) AS n FROM (SELECT rep, field, model, sum(((a = 'yes')::INT + (b = 'yes')::INT + (c = 'yes')::INT) * w) AS n FROM x GROUP BY ALL) GROUP BY ALL HAVING min(n) >= 10),
+pw AS (SELECT rep, model, field, 'A_B' AS pair, a AS l, b AS r, w FROM x WHERE rep >= 0 UNION ALL SELECT rep, model, field, 'A_C', a, c, w FROM x WHERE rep >= 0 UNION ALL SELECT rep, model, field, 'B_C', b, c, w FROM x WHERE rep >= 0),
+{S.kappa_sql('pw', 'rep, model, field, pair', 'km', 'sum(w)')},
+both_ AS (SELECT km.*, 'fixed' AS filter FROM km WHERE field IN (SELECT field FROM often WHERE rep = -1) UNION ALL SELECT km.*, 'dynamic' FROM km JOIN often USING (rep, field)),
+d AS (SELECT rep, filter, field, median(dd) AS v FROM (SELECT rep, filter, field, pair, 100 * (max(kappa) FILTER (WHERE model = 'full') - max(kappa) FILTER (WHERE model = 'small')) AS dd FROM both_ GROUP BY ALL) GROUP BY ALL),
+s AS (SELECT rep, filter, NULL AS field, unnest(['median_delta', 'mean_delta', 'negative_share']) AS statistic, unnest([median(v), avg(v), avg((v < 0)::INT)]) AS v FROM d GROUP BY rep, filter
+UNION ALL SELECT rep, filter, NULL, 'pooled_delta', 100 * (median(kappa) FILTER (WHERE model = 'full') - median(kappa) FILTER (WHERE model = 'small')) FROM both_ GROUP BY rep, filter UNION ALL SELECT rep, filter, field, 'delta', v FROM d)"""
+
+
+@query("weighted_model_size_ci", f"{MODELS} SELECT filter, statistic, field, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high, count(v) AS n_finite FROM s GROUP BY ALL")
+def _(spark, sf):
+    both = S.wide(spark, sf).withColumn("model", F.lit("small")).unionByName(S.wide(spark, sf, "full").withColumn("model", F.lit("full"))).withColumnRenamed("doc_id", "row_no")
+    return resample.interval(resample.weighted_models(both, 40, 20260523), ["filter", "statistic", "field"])

@@ -93,10 +93,10 @@ WIDE = f"{FACTS}, {WIDE0}, wide AS (SELECT * FROM wide0)"
 PAIRS = f"{WIDE}, pairs AS (SELECT doc_id, field, 'A_B' AS pair, a AS l, b AS r FROM wide UNION ALL SELECT doc_id, field, 'A_C', a, c FROM wide UNION ALL SELECT doc_id, field, 'B_C', b, c FROM wide)"
 
 
-def kappa_sql(source: str, keys: str, out: str) -> str:
+def kappa_sql(source: str, keys: str, out: str, weight: str = "count(*)") -> str:
     """CTEs for kappa over source(keys, l, r) into out(keys, n, agreement, kappa, pabak)."""
     on = " AND ".join(f"t.{k.strip()} = e.{k.strip()}" for k in keys.split(","))
-    return f"""{out}_c AS (SELECT {keys}, l, r, count(*) AS n FROM {source} GROUP BY ALL),
+    return f"""{out}_c AS (SELECT {keys}, l, r, {weight} AS n FROM {source} GROUP BY ALL),
 {out}_t AS (SELECT {keys}, sum(n)::DOUBLE AS n, sum(CASE WHEN l = r THEN n ELSE 0 END)::DOUBLE AS agree FROM {out}_c GROUP BY ALL),
 {out}_r AS (SELECT {keys}, l AS v, sum(n)::DOUBLE AS n FROM {out}_c GROUP BY ALL), {out}_k AS (SELECT {keys}, r AS v, sum(n)::DOUBLE AS n FROM {out}_c GROUP BY ALL),
 {out}_e AS (SELECT {keys}, sum(x.n * y.n) AS e FROM {out}_r x JOIN {out}_k y USING ({keys}, v) GROUP BY ALL),
