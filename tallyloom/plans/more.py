@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from ..functions import domains, labels, text
 from ..functions.shared import scratch
 from ..operators import agreement, audit, cohort, longform, quality, resample
 from ..sources import readers, sinks
+from ..streaming import run
 from . import simulated as S
 from .catalog import FP, FULL, FULL_KAPPA, _models, query
 
@@ -301,3 +303,21 @@ UNION ALL SELECT rep, filter, NULL, 'pooled_delta', 100 * (median(kappa) FILTER
 def _(spark, sf):
     both = S.wide(spark, sf).withColumn("model", F.lit("small")).unionByName(S.wide(spark, sf, "full").withColumn("model", F.lit("full"))).withColumnRenamed("doc_id", "row_no")
     return resample.interval(resample.weighted_models(both, 40, 20260523), ["filter", "statistic", "field"])
+
+
+# ---------------------------------------------------------------- a run as a stream
+@query("checkpointed_run", "SELECT doc_id, n_chars, length(text) AS n, n_chars / 1000.0 AS cost FROM documents")
+def _(spark, sf):
+    """The first start is stopped by its budget, the second one goes on from its checkpoint."""
+    d, table, out, checkpoint = S.read(spark, sf, "documents"), scratch(spark, "notes"), scratch(spark, "run"), scratch(spark, "checkpoint")
+    d.select("doc_id", "text", "n_chars").repartition(3, "doc_id").write.parquet(table)
+    total = d.agg(F.sum("n_chars")).first()[0] or 0
+    extract = lambda b: b.select(F.col("doc_id").alias("note"), "n_chars", F.length("text").alias("n"), (F.col("n_chars") / 1000).alias("cost"))
+    for budget in (total / 3000, None):
+        stream = spark.readStream.schema("doc_id long, text string, n_chars long").option("maxFilesPerTrigger", 1).parquet(table)
+        try:
+            run.start(stream, extract, out, checkpoint, budget, note_files=False).awaitTermination()
+        except StreamingQueryException as e:
+            if "BudgetReached" not in str(e):
+                raise
+    return run.records(spark, out).withColumnRenamed("note", "doc_id")
