@@ -87,24 +87,30 @@ def reduction_pct(first: Column, last: Column) -> Column:
 
 
 def examples(found: DataFrame, strata: DataFrame, cap: int = 10, top_patterns: int = 5) -> DataFrame:
-    """At most `cap` documents of each field: round robin over its most frequent patterns, unseen strata first.
+    """At most `cap` documents of each field: round robin over its most frequent patterns, unseen strata first (none and the
+    empty one are never new).
 
-    Only the first `cap` candidates of a pattern, stratum and field can be taken, so no more are gathered in one place.
+    A turn takes a pattern's first document of an unseen stratum, or its first one left. With `cap` turns, at most `cap` strata
+    and documents are gone before any turn, so only the first documents of a pattern's first 2 * cap strata, and its first
+    2 * cap documents, can be taken: no more are gathered, and none that could be taken is left out.
     """
     t = found.join(strata, "doc_id").withColumn("key", F.concat_ws("|", F.coalesce("A", F.lit("null")), F.coalesce("B", F.lit("null")), F.coalesce("C", F.lit("null"))))
     n = t.groupBy("field", "key").agg(F.count("*").alias("n")).withColumn("rank", F.row_number().over(Window.partitionBy("field").orderBy(F.desc("n"), "key"))).where(F.col("rank") <= top_patterns)
-    t = t.join(n, ["field", "key"]).withColumn("nth", F.row_number().over(Window.partitionBy("field", "key", "stratum").orderBy("doc_id"))).where(F.col("nth") <= cap)
-    t = t.withColumn("of_pattern", F.row_number().over(Window.partitionBy("field", "key").orderBy("nth", "stratum", "doc_id"))).where(F.col("of_pattern") <= cap * 20)
+    t = t.join(n, ["field", "key"]).select("field", "key", "rank", "doc_id", F.col("stratum").cast("string").alias("stratum"))
+    in_order = Window.partitionBy("field", "key", "rank").orderBy("doc_id", "stratum")
+    head = lambda x: x.withColumn("nth", F.row_number().over(in_order)).where(F.col("nth") <= 2 * cap).drop("nth")
+    firsts = t.groupBy("field", "key", "rank", "stratum").agg(F.min("doc_id").alias("doc_id")).select(*t.columns)
+    t = head(t).unionByName(head(firsts)).distinct()
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        queues = [g.sort_values("doc_id").to_dict("records") for _, g in pdf.groupby("rank", sort=True)]
+        queues = [g.sort_values(["doc_id", "stratum"]).to_dict("records") for _, g in pdf.groupby("rank", sort=True)]
         seen, ids, out = set(), set(), []
         while len(out) < cap and any(queues):
             for q in queues:
                 q[:] = [r for r in q if r["doc_id"] not in ids]
                 if not q or len(out) == cap:
                     continue
-                r = next((r for r in q if r["stratum"] not in seen), q[0])
+                r = next((r for r in q if r["stratum"] and r["stratum"] not in seen), q[0])
                 seen.add(r["stratum"])
                 ids.add(r["doc_id"])
                 out.append((r["field"], r["doc_id"], r["key"], r["stratum"], len(out)))

@@ -321,3 +321,21 @@ def _(spark, sf):
             if "BudgetReached" not in str(e):
                 raise
     return run.records(spark, out).withColumnRenamed("note", "doc_id")
+
+
+# ---------------------------------------------------------------- pattern files
+@query("pattern_files", """WITH f AS (SELECT item_id, item_id % 5 = 1 AS no_target, item_id % 7 = 2 AS no_list, item_id % 3 = 0 AS compound, item_id % 6 = 3 AS bad_window, split_part(text, ' ', 1) AS w, split_part(text, ' ', 2) AS w2 FROM benchmark),
+e AS (SELECT item_id, 'missing target_value' AS error FROM f WHERE no_target UNION ALL SELECT item_id, 'regex_patterns is not a list' FROM f WHERE no_list UNION ALL SELECT item_id, 'compound_patterns[0].window_chars is not a whole number' FROM f WHERE compound AND bad_window)
+SELECT item_id, 'field_' || item_id AS field_name, 'yes' AS target_value, [w, w2] AS regex_patterns, CASE WHEN compound THEN 2 ELSE 0 END AS n_words, NULL AS error FROM f WHERE item_id NOT IN (SELECT item_id FROM e) UNION ALL SELECT item_id, NULL, NULL, NULL, NULL, error FROM e""")
+def _(spark, sf):
+    i, w = F.col("item_id"), F.split("text", " ")
+    words = F.array(F.coalesce(F.get(w, 0), F.lit("")), F.coalesce(F.get(w, 1), F.lit("")))
+    compound = F.when(i % 3 == 0, F.array(F.struct(words.alias("all_of"), F.when(i % 6 == 3, F.lit(0.5)).otherwise(F.lit(None)).alias("wrong"))))
+    lines = F.concat_ws(
+        "\n", F.concat(F.lit("field_name: field_"), i.cast("string")), F.when(i % 5 != 1, F.lit("target_value: 'yes'")), F.concat(F.lit("regex_patterns: "), F.when(i % 7 == 2, F.lit("none")).otherwise(F.to_json(words))),
+        F.when(compound.isNotNull(), F.concat(F.lit("compound_patterns: [{all_of: "), F.to_json(words), F.lit(", window_chars: "), F.when(i % 6 == 3, F.lit("0.5")).otherwise(F.lit("40")), F.lit("}]"))),
+    )
+    folder = scratch(spark, "patterns")
+    S.read(spark, sf, "benchmark").select("item_id", lines.alias("value")).write.partitionBy("item_id").text(folder)
+    t = readers.pattern_files(spark, folder)
+    return t.select(F.regexp_extract("path", "item_id=([0-9]+)", 1).cast("long").alias("item_id"), "field_name", "target_value", "regex_patterns", F.size(F.flatten("compound_patterns.all_of")).alias("n_words"), "error")

@@ -111,3 +111,64 @@ def pending(ids: DataFrame, done: DataFrame, key: str) -> DataFrame:
 
 def still_failed(failed: DataFrame, retried_ok: DataFrame, key: str) -> DataFrame:
     return failed.join(retried_ok.select(key).distinct(), key, "left_anti")
+
+
+PATTERN_FILE = "path string, field_name string, target_value string, regex_patterns array<string>, compound_patterns array<struct<all_of: array<string>, window_chars: int, description: string>>, error string"
+
+
+def pattern_errors(payload) -> list[str]:
+    """All that is wrong with what a pattern file holds."""
+    if not isinstance(payload, dict):
+        return ["not a mapping"]
+    out = [f"missing {k}" for k in ("field_name", "regex_patterns", "target_value") if k not in payload]
+    patterns = payload.get("regex_patterns", [])
+    if not isinstance(patterns, list):
+        out.append("regex_patterns is not a list")
+    elif any(not isinstance(p, str) for p in patterns):
+        out.append("regex_patterns holds more than strings")
+    compounds = payload.get("compound_patterns") or []
+    if not isinstance(compounds, list):
+        return [*out, "compound_patterns is not a list"]
+    for i, c in enumerate(compounds):
+        at = f"compound_patterns[{i}]"
+        if not isinstance(c, dict):
+            out.append(f"{at} is not a mapping")
+            continue
+        out += [f"{at} missing {k}" for k in ("all_of", "window_chars") if k not in c]
+        if "all_of" in c and (not isinstance(c["all_of"], list) or not c["all_of"] or any(not isinstance(x, str) for x in c["all_of"])):
+            out.append(f"{at}.all_of is not a list of strings")
+        if "window_chars" in c and (not isinstance(c["window_chars"], int) or isinstance(c["window_chars"], bool)):
+            out.append(f"{at}.window_chars is not a whole number")
+        if c.get("description") is not None and not isinstance(c["description"], str):
+            out.append(f"{at}.description is not a string")
+    return out
+
+
+def pattern_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The pattern files (YAML) of a folder and of those in it: a row for each good file, and one for each error of a bad one.
+
+    Spark lists and reads the files, so they may be in any store; each is parsed where it is read.
+    """
+
+    def parse(batches):
+        import pyarrow as pa
+        import yaml
+
+        for batch in batches:
+            rows = []
+            for path, value in zip(batch["path"].to_pylist(), batch["value"].to_pylist(), strict=True):
+                try:
+                    payload = yaml.safe_load(value)
+                    errors = pattern_errors(payload)
+                except yaml.YAMLError as e:
+                    errors = [f"not YAML: {getattr(e, 'problem', None) or 'unreadable'}"]
+                if errors:
+                    rows += [{"path": path, "error": e} for e in errors]
+                    continue
+                compounds = [{"all_of": c["all_of"], "window_chars": c["window_chars"], "description": c.get("description")} for c in payload.get("compound_patterns") or []]
+                rows.append({"path": path, "field_name": str(payload["field_name"]), "target_value": str(payload["target_value"]), "regex_patterns": payload["regex_patterns"], "compound_patterns": compounds, "error": None})
+            compound = pa.struct([("all_of", pa.list_(pa.string())), ("window_chars", pa.int32()), ("description", pa.string())])
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([*((c, pa.string()) for c in ("path", "field_name", "target_value")), ("regex_patterns", pa.list_(pa.string())), ("compound_patterns", pa.list_(compound)), ("error", pa.string())]))
+
+    t = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.{yaml,yml,txt}")
+    return t.select(F.input_file_name().alias("path"), "value").mapInArrow(parse, PATTERN_FILE)
