@@ -119,6 +119,18 @@ def vote(text: Column, spec: dict) -> Column:
     return F.when(F.coalesce(out, F.lit(False)), 1).otherwise(-1)
 
 
+def explain(text: Column, spec: dict) -> Column:
+    """A vote and its evidence, as struct(vote, evidence): the first pattern that fits, else the first compound one (by its
+    description, or its words); no_section without text."""
+    said = [(matches(text, [p]).isNotNull(), f"regex match: {p}") for p in spec["regex_patterns"]]
+    said += [(compound(c["all_of"], c["window_chars"])(text).isNotNull(), f"compound match: {c.get('description') or c['all_of']}") for c in spec["compound_patterns"]]
+    evidence = F.lit(None).cast("string")
+    for fits, why in reversed(said):
+        evidence = F.when(fits, F.lit(why)).otherwise(evidence)
+    evidence = F.when(text.isNull(), "no_section").otherwise(evidence)
+    return F.struct(F.when(evidence.isNull() | (evidence == "no_section"), -1).otherwise(1).alias("vote"), evidence.alias("evidence"))
+
+
 #: Fixed value: what counts as a word of a phrase.
 WORD = "[A-Za-z0-9]+(?:[./-][A-Za-z0-9]+)*"
 

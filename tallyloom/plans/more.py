@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 
 from ..functions import domains, labels, text
 from ..functions.shared import scratch
-from ..operators import agreement, audit, cohort, longform, quality, resample
+from ..operators import agreement, audit, cohort, label_matrix, longform, quality, resample, votes
 from ..sources import readers, sinks
 from ..streaming import run
 from . import simulated as S
-from .catalog import FP, FULL, FULL_KAPPA, _models, query
+from .catalog import FP, FULL, FULL_KAPPA, FUSED, _models, query
 
 
 # ---------------------------------------------------------------- reports over all kinds of fields
@@ -339,3 +339,40 @@ def _(spark, sf):
     S.read(spark, sf, "benchmark").select("item_id", lines.alias("value")).write.partitionBy("item_id").text(folder)
     t = readers.pattern_files(spark, folder)
     return t.select(F.regexp_extract("path", "item_id=([0-9]+)", 1).cast("long").alias("item_id"), "field_name", "target_value", "regex_patterns", F.size(F.flatten("compound_patterns.all_of")).alias("n_words"), "error")
+
+
+# ---------------------------------------------------------------- edge rules, predictions, lists
+DIALECTS = {"paper": (0.0, 1.0), "nan": (float("nan"), float("nan")), "null": (None, None), "strict": (1.0, 0.0)}
+BY_LANGUAGE = """WITH d AS (SELECT source, lang, lang AS l, CASE WHEN doc_id % 3 = 0 THEN 'en' ELSE lang END AS r, CASE WHEN lang = 'fr' THEN 0 ELSE 1 END AS w FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL),
+c AS (SELECT source, lang, l, r, sum(w) AS n FROM d GROUP BY ALL), t AS (SELECT source, lang, sum(n)::DOUBLE AS n, sum(CASE WHEN l = r THEN n ELSE 0 END)::DOUBLE AS agree FROM c GROUP BY ALL),
+a AS (SELECT source, lang, l AS v, sum(n)::DOUBLE AS n FROM c GROUP BY ALL), b AS (SELECT source, lang, r AS v, sum(n)::DOUBLE AS n FROM c GROUP BY ALL), e AS (SELECT source, lang, sum(a.n * b.n) AS e FROM a JOIN b USING (source, lang, v) GROUP BY ALL),
+x AS (SELECT * FROM (VALUES ('paper', 0.0::DOUBLE, 1.0::DOUBLE), ('nan', 'nan'::DOUBLE, 'nan'::DOUBLE), ('null', NULL, NULL), ('strict', 1.0, 0.0)) x(dialect, on_empty, on_constant))"""
+
+
+@query("kappa_edge_rules", f"{BY_LANGUAGE} SELECT dialect, source, lang, t.n::BIGINT AS n, round(CASE WHEN t.n = 0 THEN on_empty WHEN coalesce(e, 0) = t.n * t.n THEN on_constant ELSE (t.n * agree - coalesce(e, 0)) / (t.n * t.n - coalesce(e, 0)) END, 6) AS kappa FROM t LEFT JOIN e USING (source, lang), x")
+def _(spark, sf):
+    """Groups without pairs, with one label on both sides throughout, and others, under each set of rules."""
+    d = S.read(spark, sf, "documents").where("lang is not null and source is not null")
+    d = d.select("source", "lang", F.col("lang").alias("left"), F.when(F.col("doc_id") % 3 == 0, "en").otherwise(F.col("lang")).alias("right"), F.when(F.col("lang") == "fr", 0).otherwise(1).alias("w"))
+    table, out = agreement.contingency(d, ["source", "lang"], F.col("w")), None
+    for name, (empty, constant) in DIALECTS.items():
+        k = agreement.kappa(table, ["source", "lang"], empty, constant).select(F.lit(name).alias("dialect"), "source", "lang", "n", "kappa")
+        out = k if out is None else out.unionByName(k)
+    return out
+
+
+@query("predictions_with_consensus", f"{FUSED}, cs AS (SELECT doc_id, CASE WHEN (a = 'yes')::INT + (b = 'yes')::INT + (c = 'yes')::INT > (a = 'no')::INT + (b = 'no')::INT + (c = 'no')::INT THEN 1.0 WHEN (a = 'yes')::INT + (b = 'yes')::INT + (c = 'yes')::INT < (a = 'no')::INT + (b = 'no')::INT + (c = 'no')::INT THEN 0.0 ELSE 0.5 END::DOUBLE AS consensus FROM ({S.WIDE0[len('wide0 AS ('):-1]}) WHERE field = 'long_text'), p AS (SELECT mv.doc_id, mv.target_field, mv.target_value, round(CASE WHEN z IS NULL THEN probability WHEN cast_ = 0 THEN 0.5 ELSE 1 / (1 + exp(-z)) END, 6) AS probability, CASE WHEN z IS NULL THEN fit_status ELSE 'success_model' END AS fit_status FROM mv LEFT JOIN z USING (doc_id, target_field, target_value)) SELECT p.*, consensus, abs(probability - consensus) > 0.3 AS apart, md5(text) AS text_key, length(text) AS n_text FROM p JOIN cs USING (doc_id) JOIN documents USING (doc_id)")
+def _(spark, sf):
+    """What the model says of each document and target beside what three raters say of its length, and the document's text."""
+    c = S.wide(spark, sf).where("field = 'long_text'").select("doc_id", votes.consensus(F.col("A"), F.col("B"), F.col("C"), "tristate").alias("consensus"))
+    p = label_matrix.fuse(S.votes(spark, sf)).drop("n_lfs_total", "n_lfs_contributing")
+    d = S.read(spark, sf, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_key"), F.char_length("text").alias("n_text"))
+    p = p.withColumn("probability", F.round("probability", 6)).join(c, "doc_id").join(d, "doc_id")
+    return p.withColumn("apart", F.abs(F.col("probability") - F.col("consensus")) > 0.3)
+
+
+@query("lists_compared", f"WITH {S.TAGS} SELECT pair, list_sort(l) = list_sort(r) AS same, count(*) AS n, sum(len(l) - len(r))::BIGINT AS more FROM tp GROUP BY ALL")
+def _(spark, sf):
+    t = S.tag_pairs(spark, sf)
+    same = labels.canonical_list(F.reverse("left")).eqNullSafe(labels.canonical_list(F.concat("right", "right")))
+    return t.groupBy("pair", same.alias("same")).agg(F.count("*").alias("n"), F.sum(F.size("left") - F.size("right")).alias("more"))

@@ -93,3 +93,33 @@ def test_escaped_and_mined(spark):
     assert mined(phrases) == ["\\bacute heart failure\\b"]
     assert mined(["Chest pain", "chest pain"]) == ["\\bChest pain\\b"] and mined(["one", "two"]) == []
     assert mined(["art failure", "art failure", "heart failure", "heart failure"]) == ["\\bheart failure\\b"]
+
+
+def test_votes_with_evidence(spark):
+    from tallyloom.functions import domains
+    from tallyloom.operators import sections
+
+    r, words = random.Random(5), ["dnr", "no", "denies", "alcohol", "abuse", "now", "and", "stable", "DNR", "\n"]
+    texts = [None, "", *(" ".join(r.choice(words) for _ in range(r.randrange(1, 30))) for _ in range(120))]
+    spec = sections.load_patterns({"field_name": "f", "target_value": "yes", "regex_patterns": [r"\bdnr\b", "stable now"], "compound_patterns": [{"all_of": ["alcohol", "abuse"], "window_chars": 12, "description": "drinks"}, {"all_of": ["and", "now"], "window_chars": 4}]})
+
+    def plain(t):
+        import itertools
+        import re
+
+        negated = lambda at: any(c in t[max(0, at - domains.NEGATION_WINDOW) : at].lower() for c in domains.NEGATION_CUES)
+        if t is None:
+            return (-1, "no_section")
+        for p in spec["regex_patterns"]:
+            if any(not negated(m.start()) for m in re.finditer(p, t, re.IGNORECASE)):
+                return (1, f"regex match: {p}")
+        for c in spec["compound_patterns"]:
+            starts = [[m.start() for m in re.finditer(p, t, re.IGNORECASE)] for p in c["all_of"]]
+            spans = [(max(x) - min(x), min(x)) for x in itertools.product(*starts) if max(x) - min(x) <= c["window_chars"]]
+            if spans and not negated(min(spans)[1]):
+                return (1, f"compound match: {c.get('description') or c['all_of']}")
+        return (-1, None)
+
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string").select("i", sections.explain(F.col("t"), spec).alias("x"))
+    got = {x.i: (x.x.vote, x.x.evidence) for x in df.collect()}
+    assert got == {i: plain(t) for i, t in enumerate(texts)} and len({e for _, e in got.values()}) >= 4
