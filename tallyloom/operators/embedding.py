@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import stats
+from . import sections
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -47,3 +48,26 @@ def separation(own: DataFrame, other: DataFrame, least_gain: float = 0.15) -> Da
     a = own.groupBy("target").agg(F.median("similarity").alias("own"))
     b = other.groupBy("target").agg(F.median("similarity").alias("other"))
     return a.join(b, "target").withColumn("gain", F.col("own") - F.col("other")).withColumn("enough", F.col("gain") >= least_gain)
+
+
+def section_rows(notes: DataFrame, names: list[str], least: int = 20, key: str = "doc_id") -> DataFrame:
+    """(key, text) -> key, section, text, text_key: the named sections of notes that are worth a vector, of `least` characters
+    or more without the blanks around them."""
+    found = F.array(*[F.struct(F.lit(n).alias("section"), sections.section(F.col("s"), n).alias("body")) for n in names])
+    t = notes.select(key, sections.sections(F.col("text")).alias("s")).select(key, F.explode(found).alias("x"))
+    t = t.select(key, "x.section", F.regexp_replace(F.col("x.body"), r"^\s+|\s+$", "").alias("text"))
+    return t.where(F.char_length("text") >= least).withColumn("text_key", F.sha2(F.col("text"), 256))
+
+
+def with_vectors(rows: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of section_rows() with their vectors of a cache (text_key, vec), and the texts that it lacks, each once."""
+    one = cache.dropDuplicates(["text_key"])
+    return rows.join(one, "text_key"), rows.join(one, "text_key", "left_anti").select("text_key", "text").dropDuplicates(["text_key"])
+
+
+def pooled(vectors: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, n, vec: the mean of the vectors of each key, element by element. Each element is summed up where it is before
+    anything is shuffled. Vectors of a key are of one length."""
+    t = vectors.where("vec is not null").select(*keys, F.posexplode("vec").alias("at", "x"))
+    t = t.groupBy(*keys, "at").agg(F.count("*").alias("n"), F.avg(F.col("x").cast("double")).alias("x"))
+    return t.groupBy(*keys).agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("at", "x"))).alias("v")).select(*keys, "n", F.col("v.x").alias("vec"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -30,6 +31,38 @@ def registry(targets: DataFrame) -> DataFrame:
     return targets
 
 
+class Catalogue:
+    """Labeling functions of a user, by name: each makes a vote column (1, 0 or -1; null counts as -1) of the documents'
+    columns, out of column functions or a registered Python or pandas UDF."""
+
+    def __init__(self):
+        self.functions: dict[str, tuple[str, str | None, Callable[[], Column]]] = {}
+
+    def register(self, name: str, target_field: str, target_value: str | None = None):
+        """A decorator; a name that is there already is refused."""
+
+        def add(make: Callable[[], Column]):
+            if name in self.functions:
+                raise ValueError(f"a labeling function with the name {name!r} is registered already")
+            self.functions[name] = (target_field, target_value, make)
+            return make
+
+        return add
+
+    def for_field(self, target_field: str) -> list[str]:
+        return [name for name, (f, *_) in self.functions.items() if f == target_field]
+
+    def votes(self, documents: DataFrame, names: list[str] | None = None, key: str = "doc_id") -> DataFrame:
+        """The vote table of all functions, or of those named: one pass over the documents, without a shuffle."""
+        unknown = [n for n in names or [] if n not in self.functions]
+        if unknown:
+            raise KeyError(f"no labeling functions with the names {unknown}")
+        cast = [F.struct(F.lit(n).alias("lf_name"), F.lit(f).alias("target_field"), F.lit(v).cast("string").alias("target_value"), F.coalesce(make().cast("int"), F.lit(-1)).alias("vote")) for n, (f, v, make) in self.functions.items() if names is None or n in names]
+        if not cast:
+            raise ValueError("no labeling functions")
+        return documents.select(key, F.explode(F.array(*cast)).alias("x")).select(key, "x.*")
+
+
 def code_votes(codes: DataFrame, patterns: DataFrame) -> DataFrame:
     """(doc_id, code, version, is_primary, ord) -> a vote of each function for each document: positive or none.
 

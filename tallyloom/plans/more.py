@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import domains, labels, text
 from ..functions.shared import scratch
-from ..operators import agreement, audit, cohort, label_matrix, longform, quality, resample, votes
+from ..operators import agreement, audit, cohort, embedding, label_matrix, longform, quality, resample, votes
 from ..sources import readers, sinks
 from ..streaming import run
 from . import simulated as S
@@ -376,3 +376,39 @@ def _(spark, sf):
     t = S.tag_pairs(spark, sf)
     same = labels.canonical_list(F.reverse("left")).eqNullSafe(labels.canonical_list(F.concat("right", "right")))
     return t.groupBy("pair", same.alias("same")).agg(F.count("*").alias("n"), F.sum(F.size("left") - F.size("right")).alias("more"))
+
+
+# ---------------------------------------------------------------- a user's functions, vectors of sections
+@query("user_votes", "SELECT doc_id, unnest(['long', 'digits', 'english']) AS lf_name, unnest(['quality', 'quality', 'language']) AS target_field, unnest(['high', 'high', 'en']) AS target_value, unnest([CASE WHEN n_chars > 1500 THEN 1 WHEN n_chars < 300 THEN 0 ELSE -1 END, CASE WHEN length(regexp_replace(text, '[^0-9]', '', 'g')) >= 3 THEN 1 ELSE -1 END, CASE WHEN lang IS NULL THEN -1 WHEN lang = 'en' THEN 1 ELSE 0 END])::BIGINT AS vote FROM documents")
+def _(spark, sf):
+    mine = votes.Catalogue()
+
+    @mine.register("long", "quality", "high")
+    def _():
+        return F.when(F.col("n_chars") > 1500, 1).when(F.col("n_chars") < 300, 0)
+
+    @mine.register("digits", "quality", "high")
+    def _():
+        @F.pandas_udf("int")
+        def digits(texts):
+            return texts.fillna("").str.count("[0-9]").ge(3).map({True: 1, False: -1})
+
+        return digits(F.col("text"))
+
+    @mine.register("english", "language", "en")
+    def _():
+        return (F.col("lang") == "en").cast("int")
+
+    return mine.votes(S.read(spark, sf, "documents"))
+
+
+@query("section_vectors", "WITH d AS (SELECT doc_id, lang, regexp_replace(replace(text, ':', ';'), '^\\s+|\\s+$', '', 'g') AS t FROM documents), v AS (SELECT lang, embedding FROM d JOIN embeddings ON vec_id = doc_id WHERE length(t) >= 20) SELECT lang, count(*) AS n, 64 AS dims, round(avg(embedding[1]), 6) AS first, round(avg(embedding[64]), 6) AS last FROM v GROUP BY lang")
+def _(spark, sf):
+    """Vectors stand for the texts of documents of the same number."""
+    d = S.read(spark, sf, "documents")
+    note = F.concat(F.lit("intro\nChief Complaint:\n pain "), F.coalesce("lang", F.lit("")), F.lit("\nHospital Course:\n"), F.translate("text", ":", ";"), F.lit("\n"))
+    rows = embedding.section_rows(d.select("doc_id", note.alias("text")), ["Chief Complaint", "Hospital Course"])
+    e = S.read(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec"))
+    t = rows.where("section = 'Hospital Course'").join(e, "doc_id").join(d.select("doc_id", "lang"), "doc_id")
+    t = embedding.pooled(t, ["lang"])
+    return t.select("lang", "n", F.size("vec").alias("dims"), F.get("vec", 0).alias("first"), F.get("vec", 63).alias("last"))

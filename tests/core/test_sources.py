@@ -123,3 +123,34 @@ def test_votes_with_evidence(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "i long, t string").select("i", sections.explain(F.col("t"), spec).alias("x"))
     got = {x.i: (x.x.vote, x.x.evidence) for x in df.collect()}
     assert got == {i: plain(t) for i, t in enumerate(texts)} and len({e for _, e in got.values()}) >= 4
+
+
+def test_catalogue_of_functions(spark):
+    from tallyloom.operators import votes
+
+    mine = votes.Catalogue()
+    mine.register("even", "parity", "even")(lambda: F.when(F.col("doc_id") % 2 == 0, 1).otherwise(0))
+    mine.register("row", "parity")(lambda: F.udf(lambda x: None if x == 3 else 1, "int")(F.col("doc_id")))
+    with pytest.raises(ValueError, match="even"):
+        mine.register("even", "other")(lambda: F.lit(1))
+    assert mine.for_field("parity") == ["even", "row"] and mine.for_field("x") == []
+    got = sorted((r.doc_id, r.lf_name, r.vote) for r in mine.votes(spark.range(4).withColumnRenamed("id", "doc_id")).collect())
+    assert got == [(0, "even", 1), (0, "row", 1), (1, "even", 0), (1, "row", 1), (2, "even", 1), (2, "row", 1), (3, "even", 0), (3, "row", -1)]
+    assert mine.votes(spark.range(4).withColumnRenamed("id", "doc_id"), ["row"]).count() == 4
+    with pytest.raises(KeyError):
+        mine.votes(spark.range(1), ["none"])
+
+
+def test_section_vectors(spark):
+    from tallyloom.operators import embedding
+
+    note = "intro\nChief Complaint:\nshort one\nHospital Course:\n  long enough to be worth a vector \nDischarge Condition:\nexactly twenty chars\n"
+    df = spark.createDataFrame([(1, note), (2, "no header at all"), (3, None)], "doc_id long, text string")
+    rows = embedding.section_rows(df, ["Chief Complaint", "Hospital Course", "Discharge Condition"])
+    got = {(r.doc_id, r.section): r.text for r in rows.collect()}
+    assert got == {(1, "Hospital Course"): "long enough to be worth a vector", (1, "Discharge Condition"): "exactly twenty chars"}
+    cache = rows.where("section = 'Hospital Course'").select("text_key", F.array(F.lit(1.0), F.lit(2.0)).alias("vec"))
+    have, lack = embedding.with_vectors(rows, cache.unionByName(cache))
+    assert [r.section for r in have.collect()] == ["Hospital Course"] and [r.text for r in lack.collect()] == ["exactly twenty chars"]
+    v = spark.createDataFrame([("a", [1.0, 3.0]), ("a", [3.0, 5.0]), ("b", None), ("c", [7.0, 8.0])], "k string, vec array<double>")
+    assert sorted((r.k, r.n, r.vec) for r in embedding.pooled(v, ["k"]).collect()) == [("a", 2, [2.0, 4.0]), ("c", 1, [7.0, 8.0])]
