@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import domains, labels, text
 from ..functions.shared import scratch
-from ..operators import agreement, audit, cohort, embedding, label_matrix, longform, quality, resample, votes
+from ..operators import agreement, audit, claims, cohort, embedding, label_matrix, longform, quality, resample, votes
 from ..sources import readers, sinks
 from ..streaming import run
 from . import simulated as S
@@ -412,3 +412,39 @@ def _(spark, sf):
     t = rows.where("section = 'Hospital Course'").join(e, "doc_id").join(d.select("doc_id", "lang"), "doc_id")
     t = embedding.pooled(t, ["lang"])
     return t.select("lang", "n", F.size("vec").alias("dims"), F.get("vec", 0).alias("first"), F.get("vec", 63).alias("last"))
+
+
+# ---------------------------------------------------------------- claims
+def published() -> claims.Claims:
+    """Quantities of the tables as claims."""
+    c = claims.Claims()
+    c.register("documents", ["documents"], "documents", ".0f")(lambda d: d.agg(F.count("*")))
+    c.register("languages", ["documents"], "languages", ".0f")(lambda d: d.agg(F.count_distinct("lang")))
+    c.register("median_chars", ["documents"], "median length", ".1f")(lambda d: d.agg(F.median("n_chars")))
+    c.register("labelled_pct", ["documents", "labels"], "share of documents with a label", ".1f")(lambda d, x: d.join(x.select("doc_id").distinct().withColumn("has", F.lit(1)), "doc_id", "left").agg(100.0 * F.count("has") / F.count("*")))
+    c.register("toxic_pct", ["labels"], "share of toxic labels", ".2f")(lambda x: x.agg(100.0 * F.avg("toxic")))
+    c.register("quality_kappa", ["labels"], "agreement of quality and not toxic", ".3f")(lambda x: agreement.kappa(agreement.contingency(x.where("quality is not null and toxic is not null").select(F.lit("q").alias("field"), F.col("quality").cast("string").alias("left"), (1 - F.col("toxic")).cast("string").alias("right")), ["field"]), ["field"]).select("kappa"))
+    c.register("calls", ["events"], "calls", ".0f")(lambda e: e.agg(F.count("*")))
+    c.register("mean_value", ["events"], "mean of values", ".3f")(lambda e: e.agg(F.avg("value")))
+    c.register("turns_per_conversation", ["conversations"], "mean number of turns", ".2f")(lambda t: t.groupBy("conv_id").agg(F.count("*").alias("n")).agg(F.avg("n")))
+    c.register("order_total", ["orders"], "sum of order prices", ".2f")(lambda o: o.agg(F.sum("o_totalprice").cast("double")))
+    c.register("benchmark_words", ["benchmark"], "mean words of an item", ".1f")(lambda b: b.agg(F.avg(text.word_count(F.col("text")))))
+    c.register("vector_labels", ["embeddings"], "labels of vectors", ".0f")(lambda e: e.agg(F.count_distinct("label")))
+    return c
+
+
+_VALUES = """WITH v AS (SELECT 'documents' AS key, count(*)::DOUBLE AS value FROM documents UNION ALL SELECT 'languages', count(DISTINCT lang) FROM documents UNION ALL SELECT 'median_chars', median(n_chars) FROM documents
+UNION ALL SELECT 'labelled_pct', 100.0 * count(x.doc_id) / count(*) FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) x ON x.doc_id = d.doc_id UNION ALL SELECT 'toxic_pct', 100 * avg(toxic) FROM labels
+UNION ALL SELECT 'quality_kappa', (SELECT CASE WHEN e = n * n THEN 1 ELSE (n * s - e) / (n * n - e) END FROM (SELECT n, s, q * t + (n - q) * (n - t) AS e FROM (SELECT count(*)::DOUBLE AS n, sum((quality = 1 - toxic)::INT)::DOUBLE AS s, sum(quality)::DOUBLE AS q, sum(1 - toxic)::DOUBLE AS t FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL)))
+UNION ALL SELECT 'calls', count(*) FROM events UNION ALL SELECT 'mean_value', avg(value) FROM events UNION ALL SELECT 'turns_per_conversation', (SELECT avg(n) FROM (SELECT count(*) AS n FROM conversations GROUP BY conv_id))
+UNION ALL SELECT 'order_total', sum(o_totalprice)::DOUBLE FROM orders UNION ALL SELECT 'benchmark_words', (SELECT avg(len(regexp_extract_all(text, '\\S+'))) FROM benchmark) UNION ALL SELECT 'vector_labels', count(DISTINCT label) FROM embeddings)"""
+
+
+@query("claim_registry", f"{_VALUES} SELECT key, round(value, 4) AS value, CASE WHEN key IN ('toxic_pct', 'quality_kappa', 'labelled_pct') THEN 'computed' ELSE 'kept' END AS status FROM v")
+def _(spark, sf):
+    """All claims, then again after one table has changed: those of the other tables are kept."""
+    names = ["documents", "labels", "events", "conversations", "orders", "benchmark", "embeddings"]
+    paths, c, old = {n: f"{sf}/{n}.parquet" for n in names}, published(), scratch(spark, "labels")
+    S.read(spark, sf, "labels").unionByName(S.read(spark, sf, "labels").limit(1)).write.parquet(old)
+    first = c.recompute(spark, paths | {"labels": old})
+    return c.recompute(spark, paths, first).select("key", F.round("value", 4).alias("value"), "status")

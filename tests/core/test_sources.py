@@ -154,3 +154,31 @@ def test_section_vectors(spark):
     assert [r.section for r in have.collect()] == ["Hospital Course"] and [r.text for r in lack.collect()] == ["exactly twenty chars"]
     v = spark.createDataFrame([("a", [1.0, 3.0]), ("a", [3.0, 5.0]), ("b", None), ("c", [7.0, 8.0])], "k string, vec array<double>")
     assert sorted((r.k, r.n, r.vec) for r in embedding.pooled(v, ["k"]).collect()) == [("a", 2, [2.0, 4.0]), ("c", 1, [7.0, 8.0])]
+
+
+def test_claims_follow_their_inputs(spark, tmp_path):
+    from tallyloom.operators import claims
+
+    paths = {n: str(tmp_path / n) for n in ("a", "b")}
+    for n, p in paths.items():
+        spark.range(10).repartition(2, "id").write.parquet(p)
+    c = claims.Claims()
+    c.register("n_a", ["a"])(lambda a: a.agg(F.count("*")))
+    c.register("sum_b", ["b"])(lambda b: b.agg(F.sum("id")))
+    c.register("both", ["a", "b"])(lambda a, b: a.join(b, "id").agg(F.count("*")))
+    c.register("wrong", ["a"])(lambda a: a.agg(F.sum("no_such_column")))
+    with pytest.raises(ValueError, match="n_a"):
+        c.register("n_a", ["b"])(lambda b: b)
+    first = c.recompute(spark, paths)
+    assert {r.key: (r.value, r.status.split(":")[0]) for r in first.collect()} == {"n_a": (10.0, "computed"), "sum_b": (45.0, "computed"), "both": (10.0, "computed"), "wrong": (None, "failed")}
+    again = c.recompute(spark, paths, first.where("status not like 'failed%'"))
+    assert {r.key: r.status.split(":")[0] for r in again.collect()} == {"n_a": "kept", "sum_b": "kept", "both": "kept", "wrong": "failed"}
+    before = {r.file: r["print"] for r in claims.file_prints(spark, paths["b"]).collect()}
+    spark.range(10, 12).coalesce(1).write.mode("append").parquet(paths["b"])
+    after = {r.file: r["print"] for r in claims.file_prints(spark, paths["b"]).collect()}
+    assert before.items() <= after.items() and len(after) == len(before) + 1
+    third = {r.key: (r.value, r.status.split(":")[0]) for r in c.recompute(spark, paths, again).collect()}
+    assert third == {"n_a": (10.0, "kept"), "sum_b": (66.0, "computed"), "both": (10.0, "computed"), "wrong": (None, "failed")}
+    assert claims.table_print(spark, paths["a"]) == claims.table_print(spark, paths["a"])
+    spark.read.parquet(paths["a"]).orderBy(F.desc("id")).coalesce(1).write.parquet(str(tmp_path / "c"))
+    assert claims.table_print(spark, str(tmp_path / "c")) == claims.table_print(spark, paths["a"])
