@@ -164,6 +164,26 @@ def guards(proposals: DataFrame, vocabulary: list[str], placeholders: list[str],
     return t.withColumn("accepted", F.col("vocabulary_ok") & F.col("placeholders_ok") & F.col("frozen_ok") & (F.col("edit_share") <= most))
 
 
+def has_each(text: Column, groups: list[list[str]], without: str = "") -> Column:
+    """Whether a text has, whatever its case, one of the phrases of every group; characters of `without` don't count in it."""
+    t = F.lower(F.translate(text, without, "") if without else text)
+    out = F.lit(True)
+    for phrases in groups:
+        out = out & F.exists(F.array(*[F.lit(p.lower()) for p in phrases]), lambda p: F.contains(t, p))
+    return F.coalesce(out, F.lit(False))
+
+
+def named_guards(proposals: DataFrame, vocabulary: list[str], placeholders: list[str], frozen: dict[str, list[list[str]]], without: str = "`", most: float = 0.25) -> DataFrame:
+    """(before, after) -> adds vocabulary_ok, placeholders_ok (both letter by letter), frozen_ok, edit_share, failed (names of the
+    checks that a text doesn't pass, sorted) and accepted. A frozen check has groups of phrases: one of each must be left."""
+    every = lambda words: F.coalesce(F.forall(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(F.col("after"), w)), F.lit(False)) if words else F.lit(True)
+    checks = {"vocabulary": every(vocabulary), "placeholders": every(placeholders)} | {f"frozen: {name}": has_each(F.col("after"), groups, without) for name, groups in frozen.items()}
+    t = proposals.withColumns({"vocabulary_ok": checks["vocabulary"], "placeholders_ok": checks["placeholders"], "edit_share": edit_share("before", "after")})
+    checks["edit_share"] = F.coalesce(F.col("edit_share") <= most, F.lit(False))
+    t = t.withColumn("failed", F.array_sort(F.array_compact(F.array(*[F.when(~ok, name) for name, ok in checks.items()]))))
+    return t.withColumns({"frozen_ok": ~F.exists("failed", lambda x: F.startswith(x, F.lit("frozen: "))), "accepted": F.size("failed") == 0})
+
+
 def should_stop(history: list[dict], most: int = 5, failures: int = 2, least_gain: float = 2.0, budget: float | None = None) -> str | None:
     """Why an optimisation loop ends, or None: iterations, failures in a row, a gain below the least, budget."""
     if len(history) >= most:

@@ -182,3 +182,22 @@ def test_claims_follow_their_inputs(spark, tmp_path):
     assert claims.table_print(spark, paths["a"]) == claims.table_print(spark, paths["a"])
     spark.read.parquet(paths["a"]).orderBy(F.desc("id")).coalesce(1).write.parquet(str(tmp_path / "c"))
     assert claims.table_print(spark, str(tmp_path / "c")) == claims.table_print(spark, paths["a"])
+
+
+def test_guards_by_name(spark):
+    frozen = {"answers": [["yes"], ["no"], ["not said"]], "edges": [["edge cases", "corner cases"]], "tags": [["one of the tags", "a tag of the list"], ["never empty", "at least one"]]}
+    before = "Answer YES, no or Not said. Edge cases: {x}. Give one of the `tags`; the list is never empty. mania"
+    rows = [
+        ("same", before, before),
+        ("other words", before, before.replace("Edge", "Corner").replace("never empty", "AT LEAST ONE")),
+        ("lost", before, before.replace("Edge cases", "Cases").replace("{x}", "{ x}")),
+        ("vocabulary", before, before.replace("mania", "Mania")),
+        ("rewritten", before, "yes no not said edge cases one of the tags never empty {x} mania " + "z" * 80),
+        ("none", before, None),
+    ]
+    df = spark.createDataFrame(rows, "name string, before string, after string")
+    got = {r.name: (r.failed, r.frozen_ok, r.accepted) for r in audit.named_guards(df, ["mania"], ["{x}"], frozen).collect()}
+    assert got["same"] == ([], True, True) and got["other words"] == ([], True, True)
+    assert got["lost"] == (["frozen: edges", "placeholders"], False, False)
+    assert got["vocabulary"] == (["vocabulary"], True, False) and got["rewritten"] == (["edit_share"], True, False)
+    assert got["none"] == (["edit_share", "frozen: answers", "frozen: edges", "frozen: tags", "placeholders", "vocabulary"], False, False)
