@@ -94,7 +94,7 @@ def count(key, t):
     return pa.table({"block": t["block"], "bucket": t["bucket"], "classes": pa.array([classes[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)], pa.binary())})
 
 
-NODES = "doc_id {}, text_hash long, n int, key binary, posted array<long>, meeting int, shingles binary"
+NODES = "doc_id long, text_hash long, n int, key binary, posted array<long>, meeting int, shingles binary"
 
 
 def least_overlap(n: int) -> int:
@@ -416,11 +416,11 @@ def link_counts(base: DataFrame, labels: DataFrame, cell_sets: int, cell_shingle
 def classes(docs: DataFrame, k: int = K, cell_sets: int = CELL_SETS, cell_shingles: int = CELL_SHINGLES, block_bytes: int = BLOCK_BYTES, count_links: bool = False) -> DataFrame:
     """doc_id, text_hash, n (shingles), component (a name for it, null for empty sets) of each row; n_links where asked for."""
     d, blocks = dealt(docs, block_bytes)
-    bits = bucket_bits(blocks)
+    bits, kind = bucket_bits(blocks), docs.schema["doc_id"].dataType.simpleString()
     # the same columns as below, so that the texts are shuffled once for both
     sent = d.groupBy("block").applyInArrow(sender(bits, k), SENT)
     replies = sent.groupBy("bucket").applyInArrow(count, "block int, bucket int, classes binary")
-    base = cut(d.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(poster(k), NODES.format(docs.schema["doc_id"].dataType.simpleString())), "sets")
+    base = cut(d.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(poster(k), NODES.replace("doc_id long", f"doc_id {kind}")), "sets")
     del d, sent, replies
     release(docs.sparkSession)  # the texts, shuffled by block
     nodes, groups = candidates(base)
