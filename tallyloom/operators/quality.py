@@ -32,13 +32,14 @@ def quantiles(df: DataFrame, x: Column, keys: tuple[str, ...] = ()) -> DataFrame
     return g.select(*keys, "n", zero(F.col("least")).alias("least"), *[zero(F.col("q")[i]).alias(n) for i, n in enumerate(("p10", "p25", "p50", "p75", "p90", "p99"))], zero(F.col("most")).alias("most"), zero(F.col("mean")).alias("mean"), zero(F.col("sd")).alias("sd"))
 
 
-def run_summary(events: DataFrame, keys: list[str]) -> DataFrame:
-    """(input_tokens, output_tokens, latency_seconds, parse_ok, parse_error) of each run: outcomes, latency, tokens and cost."""
+def run_summary(events: DataFrame, keys: list[str], tail: bool = False) -> DataFrame:
+    """(input_tokens, output_tokens, latency_seconds, parse_ok, parse_error) of each run: outcomes, latency (with `tail`, its
+    99th percentile, too), tokens and cost."""
     late = F.when(F.col("latency_seconds") > 0, F.col("latency_seconds"))
     api = F.coalesce(F.lower("parse_error").startswith("api_error:"), F.lit(False))
     t = events.groupBy(*keys).agg(
         F.count("*").alias("attempted"), F.count_if("parse_ok").alias("succeeded"), F.count_if(~F.col("parse_ok") & ~api).alias("parse_failures"), F.count_if(~F.col("parse_ok") & api).alias("api_errors"),
-        F.coalesce(F.median(late), F.lit(0.0)).alias("p50"), F.coalesce(F.percentile(late, 0.95), F.lit(0.0)).alias("p95"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"),
+        F.coalesce(F.median(late), F.lit(0.0)).alias("p50"), F.coalesce(F.percentile(late, 0.95), F.lit(0.0)).alias("p95"), *([F.coalesce(F.percentile(late, 0.99), F.lit(0.0)).alias("p99")] if tail else []), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"),
     )
     return t.withColumn("cost_usd", stats.cost(F.col("input_tokens"), F.col("output_tokens"), domains.PRICE_IN, domains.PRICE_OUT))
 
@@ -167,6 +168,26 @@ def gates(summary: DataFrame, baseline_cost: float, planned_rps: float | None =
     return t.select(*keys, "gate", "value", "limit", F.when(F.col("ok"), "PASS").otherwise("FAIL").alias("result"), F.when(F.min("ok").over(Window.partitionBy(*keys)), "PASS").otherwise("FAIL").alias("overall"))
 
 
+def strict_gates(summary: DataFrame, baselines: DataFrame, planned_rps: float, timed: Column, keys: tuple[str, ...] = ("run_id",)) -> DataFrame:
+    """PASS or FAIL rows of large runs (run_summary with its tail, and rps): parse failures and API errors below 0.5 %, the cost of
+    a call within 5 % of the run's own earlier one (keys, baseline_cost), the 99th percentile of latency below three medians (a
+    median of 0 passes), and, of the runs that are `timed`, a rate within 20 % of the planned one.
+
+    A run without an earlier cost fails that gate (its value is null). overall: all gates of a run; whole: all gates of all runs.
+    """
+    n = F.col("attempted")
+    cost = stats.ratio(F.col("cost_usd"), n) / F.col("baseline_cost") - 1
+    late = stats.ratio(F.col("p99"), F.col("p50"))
+    rows = [
+        ("parse_failures", stats.ratio(F.col("parse_failures"), n), F.lit(0.005), "<", F.lit(True)), ("api_errors", stats.ratio(F.col("api_errors"), n), F.lit(0.005), "<", F.lit(True)),
+        ("cost_drift", F.abs(cost), F.lit(0.05), "<=", F.lit(True)), ("latency_p99", late, F.lit(3.0), "<", F.lit(True)), ("throughput", F.abs(F.col("rps") / planned_rps - 1), F.lit(0.2), "<=", timed),
+    ]
+    gate = [F.struct(F.lit(g).alias("gate"), v.alias("value"), m.alias("limit"), F.coalesce((v < m) if op == "<" else (v <= m), F.lit(False)).alias("ok"), there.alias("there")) for g, v, m, op, there in rows]
+    t = summary.join(baselines, list(keys), "left").select(*keys, F.explode(F.array(*gate)).alias("x")).where("x.there").select(*keys, "x.*")
+    said = lambda ok: F.when(ok, "PASS").otherwise("FAIL")
+    return t.select(*keys, "gate", "value", "limit", said(F.col("ok")).alias("result"), said(F.min("ok").over(Window.partitionBy(*keys))).alias("overall"), said(F.min("ok").over(ALL())).alias("whole"))
+
+
 def integrity(results: DataFrame, key: str, expected: tuple[int, int]) -> DataFrame:
     """Post-run checks: rows, distinct keys, surplus, outcomes that add up, a count in the accepted range."""
     t = results.agg(F.count("*").alias("attempted"), F.count_distinct(key).alias("unique"), F.count_if("parse_ok").alias("ok"), F.count_if(~F.col("parse_ok")).alias("failed"))

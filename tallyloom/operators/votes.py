@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import stats
+from ..functions import text as texts
 from .cohort import match_patterns
 
 TARGET = ["target_field", "target_value"]
@@ -165,6 +166,28 @@ def smoke(t: DataFrame, keys: list[str], lf: Column, model: Column) -> DataFrame
     return g.agg(F.count_if(lf & model).alias("hits"), F.count_if(lf & ~model).alias("false_hits"), F.count_if(~lf & model).alias("misses"))
 
 
+def smoke_rates(t: DataFrame, keys: list[str], lf: Column, model: Column) -> DataFrame:
+    """smoke() with all rows counted: how often a function fires, how many of its firings the model shares, and how many of the
+    model's positives it finds, in percent (0 of nothing)."""
+    lf, model = F.coalesce(lf, F.lit(False)), F.coalesce(model, F.lit(False))
+    g = t.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(lf).alias("fired"), F.count_if(model).alias("model_yes"), F.count_if(lf & model).alias("shared"))
+    return g.withColumns({"fired_pct": stats.pct(F.col("fired"), F.col("n")), "agreement_pct": stats.pct(F.col("shared"), F.col("fired")), "recall_pct": stats.pct(F.col("shared"), F.col("model_yes"))})
+
+
+def smoke_examples(t: DataFrame, keys: list[str], lf: Column, model: Column, fired_text: Column, model_text: Column, order: str = "doc_id", each: int = 10, n_chars: int = 300) -> DataFrame:
+    """keys, kind (false_hit or miss), place, order, excerpt: the first `each` cases of both kinds of each function.
+
+    A false hit (it fires, the model isn't positive) shows what the function saw, a miss what the model said. Both come from one
+    pass; the rank's limit is pushed below the shuffle, so no function's cases are gathered whole.
+    """
+    from pyspark.sql import Window
+
+    lf, model = F.coalesce(lf, F.lit(False)), F.coalesce(model, F.lit(False))
+    cases = t.where(lf != model).select(*keys, F.when(lf, "false_hit").otherwise("miss").alias("kind"), order, F.when(lf, fired_text).otherwise(model_text).alias("said"))
+    place = F.row_number().over(Window.partitionBy(*keys, "kind").orderBy(order, "said"))
+    return cases.withColumn("place", place).where(F.col("place") <= each).select(*keys, "kind", "place", order, texts.excerpt(F.col("said"), n_chars).alias("excerpt"))
+
+
 def consensus(a: Column, b: Column, c: Column, kind: str) -> Column:
     """Probability from three raters: tags by at least half, tri-state by majority of yes and no."""
     yes = sum((F.coalesce((x == "yes").cast("int"), F.lit(0)) for x in (a, b, c)), F.lit(0))

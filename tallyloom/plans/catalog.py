@@ -874,4 +874,4 @@ def _(spark, sf):
     return cohort.balance(d, cohort.stratified(d, "doc_id", "lang", 100, 11), "lang")
 
 
-from . import more  # noqa: E402, F401  registers further queries
+from . import more, records  # noqa: E402, F401  register further queries
