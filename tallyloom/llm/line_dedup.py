@@ -15,12 +15,22 @@ earlier in the corpus (by doc_id, then text hash, then line number) is dropped;
 
 Equal lines are told by 128 bits of hash over their words.
 
+Other bounds are a parameter: `bounds` is a list of (words, edits), and two lines are near within the most edits that any entry
+allows to the longer one of them; ((1, 1), (20, 2)) allows one word to lines of any length and two from 20 words on. Any
+bounds but the default go through near_within(): all variants within the bound are hashed with the places of the words that
+count as replaced, so that equal keys, and the numbers of words that were only taken out, say how many edits two lines are
+apart, and the earliest line within the bound is the least of a few per key. It emits about n ** edits keys for a line of n
+words, in blocks: a thousand words with a bound of two are some two million keys. No line is left out.
+
 Defined results: null and empty texts have no lines; null ids come last; repeated rows are documents of their own, whose
 order follows an internal row number, so all but one lose all lines that aren't blank; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import combinations, islice
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -33,6 +43,8 @@ from . import textops
 from .common import BLANKS, LOWER, UPPER, cut, documents, ordered_offsets, text_hash
 
 MIN_WORDS = 8
+#: From how many words (of the longer line) on how many edits count as near.
+BOUNDS = ((MIN_WORDS, 1),)
 
 
 def line_words(line: Column) -> Column:
@@ -153,16 +165,8 @@ def within_one(a: Column, b: Column) -> Column:
     return (F.abs(na - nb) <= 1) & (F.greatest(na, nb) >= MIN_WORDS) & (rest_a == rest_b)
 
 
-def near_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """All lines (place, key, key2), distinct lines (and their first place), and the keys of those with an earlier near line."""
-    every = cut(keyed_lines(docs), "all-lines")
-    d = cut(every.where("key is not null").groupBy("key", "key2").agg(F.min("place").alias("first"), F.first("halves").alias("halves")), "lines")
-    halves = d.where("halves is not null").select("key", F.posexplode("halves").alias("which", "half"))
-    shared = halves.groupBy("half").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a != b").select("half")
-    # of the halves as of its own length, which are shared, and whether one is as of a length more
-    which = [F.max(F.col("which") == 0).alias("same_first"), F.max(F.col("which") == 1).alias("same_last"), F.max(F.col("which") > 1).alias("longer")]
-    candidates = halves.join(shared, "half", "left_semi").groupBy("key").agg(*which).join(d.select("key", "key2", "first"), "key")
-    flags = ["same_first", "same_last", "longer"]
+def ranked_lines(docs: DataFrame, candidates: DataFrame, flags: list[str]) -> DataFrame:
+    """key, key2, rank (in the corpus' order), flags, line (its words, joined by blanks) of distinct lines (key, key2, first)."""
     # the words of candidates come from their documents; of repeated rows any has them
     wanted = candidates.groupBy("first.doc_id", "first.text_hash").agg(F.collect_list(F.struct("key", "key2", "first", *flags)).alias("wanted"))
     t = docs.select("doc_id", "text", text_hash().alias("text_hash")).alias("t")
@@ -173,7 +177,103 @@ def near_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     text = text.select("x.key", "x.key2", "x.first", *[f"x.{c}" for c in flags], joined(line_words(F.col("x.line"))).alias("line"))
     text = text.groupBy("key", "key2").agg(F.first("first").alias("first"), F.first("line").alias("line"), *[F.first(c).alias(c) for c in flags])
     # candidates are ranked by their place, so that their many variants carry one number
-    text = cut(ordered_offsets(text, [F.asc("first"), F.asc("key"), F.asc("key2")], {}, "ranked-lines").select("key", "key2", F.col("row_no").alias("rank"), *flags, "line"), "candidate-lines")
+    return cut(ordered_offsets(text, [F.asc("first"), F.asc("key"), F.asc("key2")], {}, "ranked-lines").select("key", "key2", F.col("row_no").alias("rank"), *flags, "line"), "candidate-lines")
+
+
+def allowed(words: int, bounds: tuple[tuple[int, int], ...]) -> int:
+    """The edits that count as near for lines of which the longer has so many words."""
+    return max([edits for least, edits in bounds if words >= least], default=0)
+
+
+def deletions(words: list[bytes], bounds: tuple[tuple[int, int], ...], block: int = 1 << 16) -> Iterator[tuple[np.ndarray, int, int]]:
+    """(hashes, replaced, taken): of the variants of a line without some of its words, where `replaced` of them count as replaced
+    (their places in the variant are in the hash) and the others as taken out. Only those that a line within the bound may have."""
+    n, most = len(words), max((edits for _, edits in bounds), default=0)
+    w, base = textops.mixed(word_hashes(words)[:, 0]), np.uint64(BASE)
+    power = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, base, np.uint64))))
+    # of words that stand behind s words that are gone: sums of their hashes at their places in the variant
+    sums = [np.concatenate((np.zeros(min(s, n) + 1, np.uint64), np.cumsum(w[s:] * power[: max(n - s, 0)]))) for s in range(most + 1)]
+    for gone in range(min(n, most) + 1):
+        # with b words taken out of the other line, that is n - taken + b words long
+        fits = [r for r in range(gone + 1) if any(gone + b <= allowed(max(n, n - gone + r + b), bounds) for b in range(most + 1))]
+        every = combinations(range(n), gone) if fits else iter(())
+        while part := list(islice(every, block)):
+            at = np.array(part, np.int64).reshape(len(part), gone)
+            ends, starts = np.column_stack((at, np.full(len(at), n))), np.column_stack((np.zeros(len(at), np.int64), at + 1))
+            total = sum((sums[s][ends[:, s]] - sums[s][starts[:, s]] for s in range(gone + 1)), np.zeros(len(at), np.uint64))
+            total = textops.mixed(total + np.uint64(n - gone))
+            for r in fits:
+                for which in combinations(range(gone), r):
+                    h = total
+                    for s in which:
+                        h = textops.mixed(h * np.uint64(AGAIN) + (at[:, s] - s + 1).astype(np.uint64))
+                    yield h.view(np.int64), r, gone - r
+
+
+def all_variants(bounds: tuple[tuple[int, int], ...]):
+    def emit(batches):
+        for b in batches:
+            for rank, line in zip(b["rank"].to_pylist(), b["line"].to_pylist(), strict=True):
+                words = line.encode().split()
+                for h, replaced, taken in deletions(words, bounds):
+                    h = np.unique(h)
+                    yield pa.record_batch([pa.array(np.full(len(h), rank)), pa.array(h), *(pa.array(np.full(len(h), x, np.int32)) for x in (replaced, taken, len(words)))], ["rank", "h", "replaced", "taken", "n"])
+
+    return emit
+
+
+def edits_apart(a: list[str], b: list[str], most: int) -> bool:
+    """Whether so many words inserted, deleted or replaced at most make a and b equal: rows of the table within the band."""
+    if abs(len(a) - len(b)) > most:
+        return False
+    far = most + 1
+    row = {j: j for j in range(min(most, len(b)) + 1)}
+    for i, x in enumerate(a, 1):
+        now = {}
+        for j in range(max(0, i - most), min(len(b), i + most) + 1):
+            now[j] = i if j == 0 else min(row.get(j, far) + 1, now.get(j - 1, far) + 1, row.get(j - 1, far) + (x != b[j - 1]))
+        row = now
+    return row.get(len(b), far) <= most
+
+
+def verified(bounds: tuple[tuple[int, int], ...]):
+    def check(batches):
+        for b in batches:
+            pairs = [(x.split(), y.split()) for x, y in zip(b["x"].to_pylist(), b["y"].to_pylist(), strict=True)]
+            yield b.select(["key", "key2"]).filter(pa.array([edits_apart(x, y, allowed(max(len(x), len(y)), bounds)) for x, y in pairs], pa.bool_()))
+
+    return check
+
+
+def near_within(docs: DataFrame, bounds: tuple[tuple[int, int], ...]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """As near_lines(), for any bounds."""
+    every = cut(keyed_lines(docs), "all-lines")
+    d = cut(every.where("key is not null").groupBy("key", "key2").agg(F.min("place").alias("first")), "lines")
+    text = ranked_lines(docs, d, [])
+    v = cut(text.select("rank", "line").mapInArrow(all_variants(bounds), "rank long, h long, replaced int, taken int, n int"), "variants")
+    # of each key, the earliest line of those without so many words: one row, whatever the group's size
+    most = max((edits for _, edits in bounds), default=0)
+    heads = v.groupBy("h", "replaced").agg(F.min("rank").alias("low"), F.max("rank").alias("high"), *[F.min(F.when(F.col("taken") == t, F.col("rank"))).alias(f"first_{t}") for t in range(most + 1)]).where("low != high").drop("low", "high")
+    longer = lambda t: F.greatest(F.col("n"), F.col("n") - F.col("taken") + t)
+    edits = lambda n: F.greatest(F.lit(0), F.lit(0), *[F.when(n >= least, e).otherwise(0) for least, e in bounds])
+    near = [F.when(F.col("replaced") + F.col("taken") + t <= edits(longer(t)), F.col(f"first_{t}")) for t in range(most + 1)]
+    pairs = v.join(heads, ["h", "replaced"]).select("rank", F.least(*near, F.lit((1 << 63) - 1)).alias("earlier")).groupBy("rank").agg(F.min("earlier").alias("earlier")).where("earlier < rank")
+    mine, others = text.select("key", "key2", "rank", F.col("line").alias("x")), text.select(F.col("rank").alias("earlier"), F.col("line").alias("y"))
+    found = pairs.join(mine, "rank").join(others, "earlier").select("key", "key2", "x", "y")
+    return every, d, cut(found.mapInArrow(verified(bounds), "key long, key2 long"), "near-lines")
+
+
+def near_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All lines (place, key, key2), distinct lines (and their first place), and the keys of those with an earlier near line."""
+    every = cut(keyed_lines(docs), "all-lines")
+    d = cut(every.where("key is not null").groupBy("key", "key2").agg(F.min("place").alias("first"), F.first("halves").alias("halves")), "lines")
+    halves = d.where("halves is not null").select("key", F.posexplode("halves").alias("which", "half"))
+    shared = halves.groupBy("half").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a != b").select("half")
+    # of the halves as of its own length, which are shared, and whether one is as of a length more
+    which = [F.max(F.col("which") == 0).alias("same_first"), F.max(F.col("which") == 1).alias("same_last"), F.max(F.col("which") > 1).alias("longer")]
+    candidates = halves.join(shared, "half", "left_semi").groupBy("key").agg(*which).join(d.select("key", "key2", "first"), "key")
+    flags = ["same_first", "same_last", "longer"]
+    text = ranked_lines(docs, candidates, flags)
     v = text.select("rank", F.col("same_first").alias("first"), F.col("same_last").alias("last"), "longer", "line")
     v = cut(v.mapInArrow(variants, VARIANTS), "variants")
     same_place = v.where("at >= 0").groupBy("h", "at").agg(F.min("rank").alias("earlier"), F.max("rank").alias("last")).where("earlier != last").select("h", "at", "earlier")
@@ -188,9 +288,9 @@ def near_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return every, d, cut(pairs.select("key", "key2").distinct(), "near-lines")
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, bounds: tuple[tuple[int, int], ...] = BOUNDS) -> DataFrame:
     """doc_id, text_hash, n_lines, n_repeated (an equal line is earlier), n_near (only a near one is), dropped (line numbers)."""
-    every, d, near = near_lines(docs)
+    every, d, near = near_lines(docs) if tuple(bounds) == BOUNDS else near_within(docs, tuple(bounds))
     known = cut(d.join(near.select("key", "key2", F.lit(True).alias("near")), ["key", "key2"], "left").select("key", "key2", "first", F.coalesce("near", F.lit(False)).alias("near")), "known-lines")
     t = every.where("key is not null").select("place", "key", "key2").join(known, ["key", "key2"]).select("place", (F.col("place") > F.col("first")).alias("repeated"), "near")
     t = t.unionByName(every.where("key is null").select("place", F.lit(False).alias("repeated"), F.lit(False).alias("near")))  # blank lines join nothing
@@ -199,9 +299,9 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     return out.drop("row_id")
 
 
-def without_lines(docs: DataFrame) -> DataFrame:
+def without_lines(docs: DataFrame, bounds: tuple[tuple[int, int], ...] = BOUNDS) -> DataFrame:
     """The documents with their dropped lines taken out of the text (of repeated rows, one keeps what is not dropped)."""
-    drop = dedup_lines(docs).select("doc_id", "text_hash", "dropped")
+    drop = dedup_lines(docs, bounds).select("doc_id", "text_hash", "dropped")
     drop = drop.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "text_hash").orderBy(F.size("dropped"))))
     d = docs.withColumns({"tallyloom_id": F.col("doc_id"), "tallyloom_hash": text_hash()})
     d = d.withColumn("tallyloom_nth", F.row_number().over(Window.partitionBy("tallyloom_id", "tallyloom_hash").orderBy("tallyloom_hash")))
