@@ -156,9 +156,16 @@ def overlap(splits: dict[str, DataFrame], key: str) -> DataFrame:
     return out if out is not None else spark.createDataFrame([], "a string, b string, shared long")
 
 
+def difference(a: DataFrame, b: DataFrame, name: str = "surplus") -> DataFrame:
+    """Distinct rows that one of two tables (of the same columns) has more often, and how much more often the first one has them:
+    one aggregation of both. Nulls equal nulls; `name` must not be one of the columns."""
+    t = a.withColumn(name, F.lit(1)).unionByName(b.withColumn(name, F.lit(-1)))
+    return t.groupBy(*[F.col(f"`{c}`") for c in a.columns]).agg(F.sum(name).alias(name)).where(F.col(name) != 0)
+
+
 def same_rows(a: DataFrame, b: DataFrame) -> bool:
     """Determinism check: nothing is left either way."""
-    return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+    return difference(a, b).isEmpty()
 
 
 def match_patterns(codes: DataFrame, patterns: DataFrame) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import domains
-from ..operators import agreement, longform, quality, records, votes
+from ..functions import domains, text
+from ..operators import agreement, cohort, longform, quality, records, votes
 from . import simulated as S
 from .catalog import PAT, SUMMARY, query
 
@@ -108,3 +108,22 @@ def _(spark, sf):
     t = quality.run_summary(run, ["run_id"], tail=True).join(span, "run_id").withColumn("rps", F.when(F.col("ms") > 0, F.col("attempted") / (F.col("ms") / 1000)).otherwise(0.0))
     early = quality.run_summary(run.where("event_id % 2 = 0"), ["run_id"]).select("run_id", (F.col("cost_usd") / F.col("attempted")).alias("baseline_cost"))
     return quality.strict_gates(t, early, 0.001, F.col("run_id") < "f")
+
+
+# ---------------------------------------------------------------- replies, determinism
+@query("json_replies", "SELECT conv_id, turn, CASE turn % 3 WHEN 1 THEN coalesce(role, '') || coalesce(text, '') WHEN 0 THEN text ELSE role END AS content FROM conversations")
+def _(spark, sf):
+    """Turns as a model's replies (a string, a list of texts, or a record amid words), and what is read from them."""
+    one = lambda content: F.to_json(F.struct(F.array(F.struct(F.struct(content.alias("content")).alias("message"))).alias("choices")))
+    listed = F.array(F.struct(F.col("role").alias("text")), F.struct(F.col("text").alias("text")))
+    amid = F.concat(F.lit("Here it is: "), F.to_json(F.struct(F.struct("role").alias("record"))), F.lit(" - done"))
+    kind = F.col("turn") % 3
+    content = F.when(kind == 0, text.message_content(one(F.col("text")))).when(kind == 1, text.message_content(one(listed))).otherwise(F.get_json_object(text.json_slice(amid), "$.record.role"))
+    return S.read(spark, sf, "conversations").select("conv_id", "turn", content.alias("content"))
+
+
+@query("differing_rows", "WITH a AS (SELECT lang, source FROM documents WHERE doc_id % 2 = 0), b AS (SELECT lang, source FROM documents WHERE doc_id % 2 = 1), t AS (SELECT lang, source, 1 AS s FROM a UNION ALL SELECT lang, source, -1 FROM b) SELECT lang, source, sum(s)::BIGINT AS surplus FROM t GROUP BY ALL HAVING sum(s) <> 0")
+def _(spark, sf):
+    d = S.read(spark, sf, "documents")
+    a, b = (d.where(F.col("doc_id") % 2 == i).select("lang", "source") for i in (0, 1))
+    return cohort.difference(a, b)

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from tallyloom.functions import domains
-from tallyloom.operators import longform, quality, records, votes
+from tallyloom.operators import cohort, longform, quality, records, votes
 from tests.core.test_sources import plain_examples
 
 
@@ -74,3 +74,11 @@ def test_strict_gates(spark):
     assert {g for (run, g), x in got.items() if run == "b" and x == "FAIL"} == {"parse_failures", "cost_drift", "latency_p99"} and ("b", "throughput") not in got
     assert {x for (run, _), x in got.items() if run == "c"} == {"PASS"} and got["new", "cost_drift"] == "FAIL"
     assert {(r.run_id, r.overall) for r in rows} == {("a", "PASS"), ("b", "FAIL"), ("c", "PASS"), ("new", "FAIL")} and {r.whole for r in rows} == {"FAIL"}
+
+
+def test_difference(spark):
+    a = spark.createDataFrame([("x", 1), ("x", 1), (None, 2), ("y", None)], "`a.b` string, n long")
+    b = spark.createDataFrame([("x", 1), (None, 2), ("y", None), ("z", 3)], "`a.b` string, n long")
+    assert sorted(map(tuple, cohort.difference(a, b).collect())) == [("x", 1, 1), ("z", 3, -1)]
+    assert cohort.same_rows(a, a.orderBy("n")) and not cohort.same_rows(a, b) and not cohort.same_rows(a, a.distinct())
+    assert cohort.same_rows(a.limit(0), b.limit(0))
