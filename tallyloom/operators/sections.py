@@ -20,11 +20,16 @@ BLANK = " \t\n\r\x0b\x0c"
 def sections(text: Column) -> Column:
     """Map of header to body (stripped; of repeated headers the first); without any header the whole text under WHOLE."""
     t = F.coalesce(text, F.lit(""))
-    names = F.regexp_extract_all(t, F.lit(HEADER), F.lit(1))
     bodies = F.transform(F.slice(F.split(t, HEADER), 2, 1 << 20), lambda b: F.btrim(b, F.lit(BLANK)))
-    pairs = F.arrays_zip(names.alias("k"), bodies.alias("v"))
-    first = F.filter(F.transform(F.filter(pairs, lambda p: p["k"].isNotNull()), lambda p: F.struct(p["k"].alias("k"), p["v"].alias("v"))), lambda p, i: F.array_position(names, p["k"]) == i + 1)
-    return F.when(F.size(names) > 0, F.map_from_entries(first)).otherwise(F.create_map(F.lit(WHOLE), t))
+    found = F.struct(F.regexp_extract_all(t, F.lit(HEADER), F.lit(1)).alias("names"), bodies.alias("bodies"))
+
+    def by_name(x: Column) -> Column:
+        body = lambda k: F.get(x["bodies"], (F.array_position(x["names"], k) - 1).cast("int"))
+        first = F.map_from_entries(F.transform(F.array_distinct(x["names"]), lambda k: F.struct(k.alias("k"), body(k).alias("v"))))
+        return F.when(F.size(x["names"]) > 0, first).otherwise(F.create_map(F.lit(WHOLE), t))
+
+    # a lambda's argument is computed once: the text isn't searched again for each of its headers
+    return F.get(F.transform(F.array(found), by_name), F.lit(0))
 
 
 def section(s: Column, name: str, aliases: dict[str, tuple[str, ...]] = domains.SECTION_ALIASES) -> Column:
@@ -46,8 +51,9 @@ def search_text(s: Column, names: list[str]) -> Column:
 
 
 def negation_aware(pattern: str, cues: tuple[str, ...] = domains.NEGATION_CUES, window: int = domains.NEGATION_WINDOW) -> str:
-    """One pattern for "matches where no cue stands in the `window` characters before": bounded look-behinds."""
-    return "(?isu)" + "".join(f"(?<!{re.escape(c)}.{{0,{window - len(c)}}})" for c in cues) + f"(?:{pattern})"
+    """One pattern for "matches where no cue stands in the `window` characters before": bounded look-behinds. The match itself is
+    looked for first, so they are only tried where it begins, not at every character; nothing is consumed."""
+    return f"(?isu)(?=(?:{pattern}))" + "".join(f"(?<!{re.escape(c)}.{{0,{window - len(c)}}})" for c in cues)
 
 
 def matches(text: Column, patterns: list[str]) -> Column:

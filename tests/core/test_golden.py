@@ -125,6 +125,47 @@ def test_regex_votes(spark):
             sections.load_patterns(bad)
 
 
+def negated_everywhere(t, pattern):
+    """Whether no match of a pattern is free of cues in the 30 characters before it."""
+    import re
+
+    at = [m.start() for m in re.finditer(f"(?=(?:{pattern}))", t, re.IGNORECASE)]
+    return all(any(c in t[max(0, i - domains.NEGATION_WINDOW) : i].lower() for c in domains.NEGATION_CUES) for i in at)
+
+
+def test_negation_looks_for_the_match_first(spark):
+    import random
+    import time
+
+    r, words = random.Random(5), ["no", "not", "Denies", "dnr", "DNR", "without", "negative for", "x", "piano", "\n", "."]
+    texts = [" ".join(r.choices(words, k=r.randrange(1, 25))) for _ in range(400)]
+    for pattern in (r"\bdnr\b", "dnr x|x dnr", "x*", r"(d)nr.*\1"):
+        got = frame(spark, [(t,) for t in texts], "t string").select(F.col("t").rlike(sections.negation_aware(pattern))).collect()
+        assert [x[0] for x in got] == [not negated_everywhere(t, f"(?s:{pattern})") for t in texts]
+    long = frame(spark, [("plain words " * 20000,)], "t string").repartition(1)  # look-behinds at each character: more than 20 times a plain search
+
+    def seconds(pattern):
+        took = []
+        for _ in range(3):
+            began = time.time()
+            assert not any(long.select(*[F.concat("t", F.lit(str(i))).rlike(pattern) for i in range(4)]).first())
+            took.append(time.time() - began)
+        return min(took)
+
+    assert seconds(sections.negation_aware(r"\bdnr\b")) < 4 * seconds(r"(?isu)\bdnr\b") + 1
+
+
+def test_sections_of_many_headers(spark):
+    import time
+
+    names = [f"Head{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(3000)]
+    note = "".join(f"{n}:\nbody {i}\n" for i, n in enumerate([*names, *names]))
+    began = time.time()
+    s = frame(spark, [(note,)], "t string").select(sections.sections(F.col("t")).alias("x")).first().x
+    assert time.time() - began < 8  # the text was searched once for each header
+    assert s == {n: f"body {i}" for i, n in enumerate(names)}
+
+
 def test_compound(spark):
     assert sections.least_window("alcohol only", ["alcohol", "abuse"], 20) is None
     assert sections.least_window("alcohol" + "." * 100 + "abuse", ["alcohol", "abuse"], 20) is None
