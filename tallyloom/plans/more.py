@@ -308,13 +308,15 @@ def _(spark, sf):
 # ---------------------------------------------------------------- a run as a stream
 @query("checkpointed_run", "SELECT doc_id, n_chars, length(text) AS n, n_chars / 1000.0 AS cost FROM documents")
 def _(spark, sf):
-    """The first start is stopped by its budget, the second one goes on from its checkpoint."""
+    """The first start is stopped by its budget, the second one goes on from its checkpoint. Files of notes are as many as the
+    input's partitions ask for, in three batches."""
     d, table, out, checkpoint = S.read(spark, sf, "documents"), scratch(spark, "notes"), scratch(spark, "run"), scratch(spark, "checkpoint")
-    d.select("doc_id", "text", "n_chars").repartition(3, "doc_id").write.parquet(table)
+    d.select("doc_id", "text", "n_chars").repartition(3 * max(1, d.rdd.getNumPartitions()), "doc_id").write.parquet(table)
+    a_third = max(1, -(-len(spark.read.parquet(table).inputFiles()) // 3))
     total = d.agg(F.sum("n_chars")).first()[0] or 0
     extract = lambda b: b.select(F.col("doc_id").alias("note"), "n_chars", F.length("text").alias("n"), (F.col("n_chars") / 1000).alias("cost"))
     for budget in (total / 3000, None):
-        stream = spark.readStream.schema("doc_id long, text string, n_chars long").option("maxFilesPerTrigger", 1).parquet(table)
+        stream = spark.readStream.schema("doc_id long, text string, n_chars long").option("maxFilesPerTrigger", a_third).parquet(table)
         try:
             run.start(stream, extract, out, checkpoint, budget, note_files=False).awaitTermination()
         except StreamingQueryException as e:

@@ -4,6 +4,7 @@ import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
+from tallyloom.plans import catalog, more
 from tallyloom.streaming import run
 
 
@@ -50,3 +51,19 @@ def test_budget(spark, table, tmp_path):
     assert 4 <= first < 20
     run.start(notes(spark, table), extract, out, checkpoint, budget=100.0, note_files=False).awaitTermination()
     assert run.records(spark, out).count() == 20 and run.spent(spark, out, 1000) == 10.0
+
+
+def test_files_of_notes_grow_with_the_input(spark, sf, tmp_path, monkeypatch):
+    paths = {n: str(tmp_path / n) for n in ("notes", "run", "checkpoint")}
+    monkeypatch.setattr(more, "scratch", lambda spark, name: paths[name])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        want = spark.read.parquet(f"{sf}/documents.parquet")
+        n = want.rdd.getNumPartitions()
+        got = catalog.QUERIES["checkpointed_run"](spark, sf)
+        assert sorted(r.doc_id for r in got.collect()) == sorted(r.doc_id for r in want.collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    files = spark.read.parquet(paths["notes"]).inputFiles()
+    assert n > 3 and len(files) > 2 * n  # there were three, whatever the input
+    assert run.ledger(spark, paths["run"]).count() == 3  # and they still make three batches
