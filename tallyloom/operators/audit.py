@@ -24,14 +24,15 @@ def patterns(wide: DataFrame) -> DataFrame:
     return wide.select("*", p.alias("p")).where("p.pattern != 'all_equal'").select(*wide.columns, "p.pattern", "p.outlier", "p.consensus", "p.odd")
 
 
-def summaries(found: DataFrame) -> DataFrame:
-    """One row for each field: disagreements, the rater who stands alone most, and a sentence.
+def summaries(found: DataFrame, weight: Column | None = None) -> DataFrame:
+    """One row for each field (a row of `found` counts `weight` times): disagreements, the rater who stands alone most, and a sentence.
 
     More than 60 % with one outlier: the sentence names its most frequent votes (of equally frequent ones, the first by
     value). All three raters stand alone, within one of each other: distributed. Else the cases vary.
     """
-    n = found.groupBy("field").agg(F.count("*").alias("disagreements"), *[F.count_if(F.col("outlier") == r).alias(r) for r in "ABC"])
-    by = found.where("outlier is not null").groupBy("field", "outlier", "consensus", "odd").agg(F.count("*").alias("n"))
+    found = found.select("field", "outlier", "consensus", "odd", (F.lit(1) if weight is None else weight).cast("long").alias("w"))
+    n = found.groupBy("field").agg(F.sum("w").alias("disagreements"), *[F.sum(F.when(F.col("outlier") == r, F.col("w")).otherwise(0)).alias(r) for r in "ABC"])
+    by = found.where("outlier is not null").groupBy("field", "outlier", "consensus", "odd").agg(F.sum("w").alias("n"))
     top = by.withColumn("rn", F.row_number().over(Window.partitionBy("field", "outlier").orderBy(F.desc("n"), "consensus", "odd"))).where("rn = 1").drop("rn", "n")
     most = F.greatest("A", "B", "C")
     who = F.when(F.col("A") == most, "A").when(F.col("B") == most, "B").otherwise("C")

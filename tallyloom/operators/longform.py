@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +30,13 @@ def shared(answers: DataFrame, raters: int = 3, key: str = "doc_id") -> DataFram
 
 
 def side_by_side(answers: DataFrame, raters: tuple[str, ...] = RATERS, keys: tuple[str, ...] = ("doc_id", "field")) -> DataFrame:
-    """One column for each rater; the raters are known, so no job looks for them."""
-    return answers.groupBy(*keys).agg(*[F.max(F.when(F.col("rater") == r, F.col("value"))).alias(r) for r in raters], F.count_distinct("rater").alias("n_raters")).where(F.col("n_raters") == len(raters)).drop("n_raters")
+    """One column for each rater, where all have answered; the raters are known, so no job looks for them, and no distinct count
+    shuffles the answers twice. Answers of others don't count."""
+    known = answers.where(F.col("rater").isin(*raters))
+    by = [F.max(F.when(F.col("rater") == r, F.col("value"))).alias(r) for r in raters]
+    here = [F.max(F.col("rater") == r).alias(f"has_{r}") for r in raters]
+    w = known.groupBy(*keys).agg(*by, *here)
+    return w.where(reduce(Column.__and__, [F.col(f"has_{r}") for r in raters])).drop(*[f"has_{r}" for r in raters])
 
 
 def pairs(wide: DataFrame, raters: tuple[str, ...] = RATERS, keep: tuple[str, ...] = ("doc_id", "field")) -> DataFrame:
@@ -48,12 +55,28 @@ def on_off(on: DataFrame, off: DataFrame, key: str | list[str], columns: list[st
 def unpivot_features(features: DataFrame, tags: tuple[str, ...] = domains.TAGS, enums: tuple[str, ...] = tuple(domains.ENUMS), tristates: tuple[str, ...] = domains.TRISTATE_FIELDS, ids: tuple[str, ...] = ("doc_id", "rater")) -> DataFrame:
     """Answers of all four kinds of fields: a bit for each tag of the vocabulary; tri-state fields, not documented where
     missing; enums, None (as text) where missing; the dominant reason, other where unknown."""
+    rows = feature_values(tags, enums, tristates)
+    return features.select(*ids, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), v.alias("value")) for f, v in rows])).alias("x")).select(*ids, "x.field", "x.value")
+
+
+def feature_values(tags: tuple[str, ...] = domains.TAGS, enums: tuple[str, ...] = tuple(domains.ENUMS), tristates: tuple[str, ...] = domains.TRISTATE_FIELDS) -> list[tuple[str, Column]]:
+    """The fields of unpivot_features() and their values."""
     bits = [(f"admission_reason_tags:{t}", F.coalesce(F.array_contains("admission_reason_tags", t), F.lit(False)).cast("int").cast("string")) for t in tags]
     three = [(f, F.coalesce(F.col(f), F.lit("not_documented"))) for f in tristates]
     some = [(f, F.coalesce(F.col(f), F.lit("None"))) for f in enums]
     first = F.col("dominant_admission_reason")
-    rows = [*bits, *three, *some, ("dominant_admission_reason", F.when(first.isin(*tags), first).otherwise("other"))]
-    return features.select(*ids, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), v.alias("value")) for f, v in rows])).alias("x")).select(*ids, "x.field", "x.value")
+    return [*bits, *three, *some, ("dominant_admission_reason", F.when(first.isin(*tags), first).otherwise("other"))]
+
+
+def features_side_by_side(features: DataFrame, tags: tuple[str, ...] = domains.TAGS, enums: tuple[str, ...] = tuple(domains.ENUMS), tristates: tuple[str, ...] = domains.TRISTATE_FIELDS, raters: tuple[str, ...] = RATERS, key: str = "doc_id") -> DataFrame:
+    """side_by_side(unpivot_features(features)): records are grouped whole, before they become a row for each field."""
+    rows = feature_values(tags, enums, tristates)
+    said = features.where(F.col("rater").isin(*raters)).select(key, "rater", F.array(*[v for _, v in rows]).alias("values"))
+    w = said.groupBy(key).agg(*[F.collect_list(F.when(F.col("rater") == r, F.col("values"))).alias(r) for r in raters])  # a rater's records of one document
+    w = w.where(reduce(Column.__and__, [F.size(r) > 0 for r in raters]))
+    value = lambda r, i: F.array_max(F.transform(F.col(r), lambda x: F.get(x, i)))
+    fields = F.transform(F.array(*[F.lit(f) for f, _ in rows]), lambda f, i: F.struct(f.alias("field"), *[value(r, i).alias(r) for r in raters]))
+    return w.select(key, F.explode(fields).alias("x")).select(key, "x.*")
 
 
 def first_of(df: DataFrame, key: str | list[str], order: list[Column]) -> DataFrame:

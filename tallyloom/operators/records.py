@@ -21,8 +21,16 @@ def field_type(field: Column) -> Column:
 
 def ballots(answers: DataFrame) -> DataFrame:
     """doc_id, field, A, B, C: answers of all kinds (longform.unpivot_features) as votes; tags are present or absent."""
-    v = F.when(labels.field_class(F.col("field")) == "tag", F.when(F.col("value") == "1", "present").otherwise("absent")).otherwise(F.col("value"))
-    return longform.side_by_side(answers.withColumn("value", v))
+    return longform.side_by_side(answers.withColumn("value", _vote(F.col("value"))))
+
+
+def feature_ballots(features: DataFrame) -> DataFrame:
+    """ballots(longform.unpivot_features(features)), without a shuffle of the answers."""
+    return longform.features_side_by_side(features).withColumns({r: _vote(F.col(r)) for r in RATERS})
+
+
+def _vote(value: Column) -> Column:
+    return F.when(labels.field_class(F.col("field")) == "tag", F.when(value == "1", "present").otherwise("absent")).otherwise(value)
 
 
 def is_positive(field: Column, vote: Column) -> Column:
@@ -31,10 +39,10 @@ def is_positive(field: Column, vote: Column) -> Column:
     return F.when(kind == "tag", vote == "present").when(kind == "tristate", vote == "yes").otherwise(vote != "not_documented")
 
 
-def metrics(votes: DataFrame) -> DataFrame:
-    """field, kappa_A_B, kappa_A_C, kappa_B_C and the means over pairs."""
+def metrics(counts: DataFrame) -> DataFrame:
+    """field, A, B, C, n -> field, kappa_A_B, kappa_A_C, kappa_B_C and the means over pairs."""
     fp = ["field", "pair"]
-    k = agreement.kappa(agreement.contingency(longform.pairs(votes), fp), fp)
+    k = agreement.kappa(agreement.contingency(longform.pairs(counts, keep=("field", "n")), fp, F.col("n")), fp)
     by_pair = [F.max(F.when(F.col("pair") == f"{a}_{b}", F.col("kappa"))).alias(f"kappa_{a}_{b}") for i, a in enumerate(RATERS) for b in RATERS[i + 1 :]]
     return k.groupBy("field").agg(*by_pair, F.avg("kappa").alias("kappa_mean"), F.avg("pabak").alias("pabak_mean"), F.avg("agreement").alias("agreement_mean"))
 
@@ -66,13 +74,19 @@ def audit_records(answers: DataFrame, codes: DataFrame, reasons: DataFrame, leas
     disagreement_pattern_summary, examples. Fields without a disagreement have no record. A document without codes can't be an
     example; one without a rater's words has empty excerpts.
     """
-    # the votes are written once, as agreement, positives, patterns and examples each read a few of their columns
-    w = written(ballots(answers), "ballots")
+    return ballot_records(ballots(answers), codes, reasons, least, cap)
+
+
+def ballot_records(votes: DataFrame, codes: DataFrame, reasons: DataFrame, least: int = 10, cap: int = 10) -> DataFrame:
+    """audit_records() of ballots."""
+    # the votes are written once; agreement, positives and patterns only need how often each three of them occurs
+    w = written(votes, "ballots")
+    counts = w.groupBy("field", *RATERS).agg(F.count("*").alias("n"))
     found = audit.patterns(w)
-    n = w.groupBy("field").agg(*[F.count_if(is_positive(F.col("field"), F.col(r))).alias(f"n_positive_{r}") for r in RATERS])
+    n = counts.groupBy("field").agg(*[F.sum(F.when(is_positive(F.col("field"), F.col(r)), F.col("n")).otherwise(0)).alias(f"n_positive_{r}") for r in RATERS])
     total = F.col("n_positive_A") + F.col("n_positive_B") + F.col("n_positive_C")
-    s = audit.summaries(found).select("field", F.col("disagreements").alias("disagreement_count"), F.col("summary").alias("disagreement_pattern_summary"))
-    t = s.join(metrics(w), "field").join(n, "field").join(example_rows(found, codes, reasons, cap), "field", "left")
+    s = audit.summaries(audit.patterns(counts), F.col("n")).select("field", F.col("disagreements").alias("disagreement_count"), F.col("summary").alias("disagreement_pattern_summary"))
+    t = s.join(metrics(counts), "field").join(n, "field").join(example_rows(found, codes, reasons, cap), "field", "left")
     tag = F.col("field").startswith(TAG)
     return t.select(
         F.when(tag, TAG[:-1]).otherwise(F.col("field")).alias("field"), F.when(tag, F.substr("field", F.lit(len(TAG) + 1))).alias("target_value"), field_type(F.col("field")).alias("field_type"),

@@ -16,7 +16,8 @@ BASE = ("long_text", "multi_line", "has_digit")
 # ---------------------------------------------------------------- all fields of a record
 def every_feature(spark: SparkSession, sf: str) -> DataFrame:
     """Records of three raters with all fields: each follows one of the raters' three answers, in a way of its own."""
-    a = S.answers(spark, sf).groupBy("doc_id", "rater").agg(*[F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in BASE])
+    a = S.answers(spark, sf).repartition("doc_id")  # once, for what is grouped by documents later
+    a = a.groupBy("doc_id", "rater").agg(*[F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in BASE])
     i = F.col("doc_id")
     has = [(F.col(BASE[t % 3]) == "yes") & (i % (t + 2) == 0) for t in range(len(domains.TAGS))]
     tags = F.array_compact(F.array(*[F.when(h, t) for h, t in zip(has, domains.TAGS, strict=True)]))
@@ -61,7 +62,7 @@ def every_record(spark: SparkSession, sf: str) -> DataFrame:
     d = S.read(spark, sf, "documents")
     codes = d.select("doc_id", F.col("lang").alias("primary_code"), F.col("source").alias("chapter"))
     reasons = d.select("doc_id", F.explode(F.array(*map(F.lit, "ABC"))).alias("rater"), F.col("text").alias("reasoning"))
-    return records.audit_records(every_answer(spark, sf), codes, reasons)
+    return records.ballot_records(records.feature_ballots(every_feature(spark, sf)), codes, reasons)
 
 
 @query("audit_records", f"""{SUMMARY.replace(PAT, _PAT)}, {_KAPPAS}, pn AS (SELECT field, a, b, c, count(*) AS n FROM p WHERE pattern <> 'all_equal' GROUP BY ALL), ex AS (SELECT field, least(sum(n), 10)::BIGINT AS n_examples FROM (SELECT * FROM pn QUALIFY row_number() OVER (PARTITION BY field ORDER BY n DESC) <= 5) GROUP BY field)

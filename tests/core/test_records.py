@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import domains
 from tallyloom.operators import cohort, longform, quality, records, votes
+from tallyloom.plans import records as plans
 from tests.core.test_sources import plain_examples
 
 
@@ -51,6 +52,28 @@ def test_audit_records(spark):
     assert records.audit_records(answers(spark, same), codes, reasons).count() == 0
 
 
+def exchanges(df):
+    return df.select("*")._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_records_grouped_whole(spark, sf):
+    rng = random.Random(8)
+    some = lambda *v: rng.choice([*v, None])
+    rows = [(i, r, rng.sample(["obstetric", "gi_bleed", "odd"], rng.randrange(3)), some("obstetric", "odd"), some("independent", "dependent"), some("yes", "no")) for i in range(40) for r in "AABCD" if rng.random() < 0.8]
+    features = spark.createDataFrame(rows, "doc_id long, rater string, admission_reason_tags array<string>, dominant_admission_reason string, functional_status string, shock_present string")
+    kinds = domains.TAGS, ("functional_status",), ("shock_present",)
+    got = longform.features_side_by_side(features, *kinds)
+    long = longform.side_by_side(longform.unpivot_features(features, *kinds))
+    assert got.columns == long.columns and sorted(got.collect()) == sorted(long.collect())
+    by = {}
+    for i, r, tags, *_ in rows:
+        by.setdefault(i, {}).setdefault(r, []).append("obstetric" in (tags or ()))
+    want = {i: tuple(str(int(max(x[r]))) for r in "ABC") for i, x in by.items() if {*"ABC"} <= set(x)}
+    assert 0 < len(want) < 40 and {r.doc_id: (r.A, r.B, r.C) for r in got.where("field = 'admission_reason_tags:obstetric'").collect()} == want
+    assert exchanges(long) == 1  # a distinct count of raters made two
+    assert exchanges(records.feature_ballots(plans.every_feature(spark, sf))) == 1  # documents are dealt out once, before they become a row for each field
+
+
 def test_smoke(spark):
     rows = [("f", i, i % 2 == 0, i % 3 == 0 if i < 40 else None, f"text  {i}", f"reason {i}") for i in range(50)] + [("silent", 1, False, True, None, "why"), ("silent", 2, None, None, "x", "y")]
     t = spark.createDataFrame(rows, "lf string, doc_id long, fired boolean, yes boolean, text string, reasoning string")
